@@ -16,10 +16,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BROADCAST_MAX_ROWS = 2_000_000
 HASH_BUCKET_HEX = 4       # md5 order keys: 16^4 = 65,536 buckets
 RANGE_BUCKETS = 1024      # numeric order keys: quantile buckets
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with
+    a limit, so the check reads at most ``max_rows + 1`` rows); otherwise leave
+    the join to Spark (sort-merge join; AQE may still convert or split it)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def md5_order_key(seed: int, key) -> Column:
     """Reproducible shuffle key: md5 of ``seed|key`` (same text in DuckDB)."""
     k = F.col(key) if isinstance(key, str) else key
@@ -63,10 +72,41 @@ def distributed_rank(df: DataFrame, order: Sequence[Column | str], bucket: Colum
     offsets = counts.select(*part, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if keep_below is not None:
         offsets = offsets.where(F.col("_off") < keep_below)
-    # offsets has at most (#partition values x #buckets) rows: safe to broadcast.
-    joined = b.join(F.broadcast(offsets), [*part, "_bkt"], "inner")
+    # offsets has at most (#partition values x #buckets) rows; broadcast only
+    # while that is proven small (many partition values -> shuffle join).
+    off = F.broadcast(offsets) if not part else bounded_broadcast(offsets)
+    joined = b.join(off, [*part, "_bkt"], "inner")
     within = Window.partitionBy(*part, "_bkt").orderBy(*order)
     out = joined.withColumn(rank_col, F.col("_off") + F.row_number().over(within))
     if keep_below is not None:
         out = out.where(F.col(rank_col) <= keep_below)
     return out.drop("_bkt", "_off")
+
+
+def running_agg(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], bucket: Column,
+                value: str, fn: str = "min", out: str = "running", exclusive: bool = True) -> DataFrame:
+    """Running min / max / sum of ``value`` along ``order`` within a partition,
+    computed in (partition, bucket) groups plus a carry from earlier buckets.
+
+    ``exclusive``: rows strictly before the current one (null for the first).
+    The carry table has at most (#partitions x #buckets) rows and one window
+    group per partition of at most #buckets rows, so a partition holding most
+    of the data is still spread over every bucket.
+    """
+    agg = {"min": F.min, "max": F.max, "sum": F.sum}[fn]
+    part = list(partition_by)
+    b = df.withColumn("_bkt", bucket)
+    per = b.groupBy(*part, "_bkt").agg(agg(value).alias("_bv"))
+    prev = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*part, "_bkt", agg("_bv").over(prev).alias("_carry"))
+    j = b.join(bounded_broadcast(carry), [*part, "_bkt"], "inner")
+    end = -1 if exclusive else Window.currentRow
+    w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inner = agg(value).over(w)
+    if fn == "min":
+        comb = F.least(inner, F.col("_carry"))
+    elif fn == "max":
+        comb = F.greatest(inner, F.col("_carry"))
+    else:
+        comb = F.coalesce(inner, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
+    return j.withColumn(out, comb).drop("_bkt", "_carry")

@@ -71,4 +71,4 @@ def sample_reduction(original: DataFrame, sampled: DataFrame, label: str = "labe
         F.count(F.when((F.col("_s") == 1) & (F.col("_l") == 1), 1)).alias("sampled_positives"),
         F.count(F.when((F.col("_s") == 1) & (F.col("_l") == 0), 1)).alias("sampled_negatives"))
     red = F.coalesce(F.try_divide(F.col("sampled_rows").cast("double"), F.col("original_rows")), F.lit(1.0))
-    return agg.withColumn("reduction_pct", F.round((F.lit(1.0) - red) * 100, 6))
+    return agg.withColumn("reduction_pct", (F.lit(1.0) - red) * F.lit(100.0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import tokenizer
-from .ranking import distributed_rank, range_bucket
+from .ranking import BROADCAST_MAX_ROWS, bounded_broadcast, distributed_rank, range_bucket  # noqa: F401
 
 # Fixed values.
 PAD_ID, UNK_ID = 0, 1
@@ -22,15 +22,6 @@ PAD_TOKEN, UNK_TOKEN = "<PAD>", "<UNK>"
 FIRST_ID = 2
 DEFAULT_MAX_LEN = 200
 DEFAULT_MIN_FREQ = 2
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with
-    a limit, so the check reads at most ``max_rows + 1`` rows); otherwise leave
-    the join to Spark (sort-merge, AQE may still convert it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def with_tokens(df: DataFrame, text_col: str = "url", tok="url", out: str = "tokens") -> DataFrame:

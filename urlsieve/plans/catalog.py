@@ -345,3 +345,333 @@ def q_standalone_stats(spark, sf):
     "END AS explanation FROM final"))
 def q_result_listing(spark, sf):
     return H.result_listing(flows.url_cascade(fx.urls(spark, sf)))
+
+
+# ---------------------------------------------------------------- P1–P4
+from ..operators import sampling as P  # noqa: E402
+
+SCORED_LABELLED = "sl AS (SELECT row_id, url, true_label AS label FROM scored)"
+BALANCED_SQL = (f"bs AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "
+                f"{O.md5_key(42, 'row_id')}, row_id) AS _r FROM sl) WHERE _r <= 2000)")
+
+
+def _scored_labelled(spark, sf):
+    return fx.scored(spark, sf).select("row_id", "url", F.col("true_label").alias("label"))
+
+
+@register("sample_n", O.with_(O.SCORED) +
+          f"SELECT row_id, url, true_label FROM scored ORDER BY {O.md5_key(42, 'row_id')}, row_id LIMIT 10000")
+def q_sample_n(spark, sf):
+    return P.sample_n(fx.scored(spark, sf).select("row_id", "url", "true_label"), n=10_000)
+
+
+@register("stratified_split", O.with_(O.SCORED, SCORED_LABELLED, *O.split_ctes("sl")) +
+          "SELECT row_id, label, split FROM split")
+def q_stratified_split(spark, sf):
+    return P.stratified_split(_scored_labelled(spark, sf)).select("row_id", "label", "split")
+
+
+@register("balanced_sample", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL) + (
+    f"SELECT row_id, label, row_number() OVER (ORDER BY {O.md5_key(43, 'row_id')}, row_id) AS position FROM bs"))
+def q_balanced_sample(spark, sf):
+    return P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000).select("row_id", "label", "position")
+
+
+@register("sample_reduction", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL) + (
+    "SELECT (SELECT count(*) FROM sl) AS original_rows, count(*) AS sampled_rows, "
+    "count(*) FILTER (WHERE label = 1) AS sampled_positives, count(*) FILTER (WHERE label = 0) AS sampled_negatives, "
+    "(1.0::DOUBLE - coalesce(CAST(count(*) AS DOUBLE) / nullif(CAST((SELECT count(*) FROM sl) AS DOUBLE), 0), 1.0)) "
+    "* 100.0::DOUBLE AS reduction_pct FROM bs"))
+def q_sample_reduction(spark, sf):
+    sl = _scored_labelled(spark, sf)
+    return P.sample_reduction(sl, P.balanced_sample(sl, per_class=2_000))
+
+
+# ---------------------------------------------------------------- F1–F4
+from ..operators import promptdata as PD  # noqa: E402
+
+A_ROWS = ("arows AS (SELECT page_id AS row_id, url AS input, 'Decide if this is phishing and explain why.' AS instruction, "
+          "CASE WHEN status = 'phishing' THEN 'Phishing: The URL ''' || url || ''' contains suspicious keywords or "
+          "patterns typical for phishing attempts.' ELSE 'Legitimate: The URL ''' || url || ''' does not show common "
+          "phishing indicators.' END AS output FROM raw_urls)")
+B_ROWS = ("brows AS (SELECT row_id, url AS input, 'Analyze the following URL and determine if it is a phishing attempt "
+          "or legitimate. Explain your reasoning.' AS instruction, CASE WHEN label = 1 THEN 'Phishing: This URL is "
+          "classified as phishing based on its structure and characteristics.' ELSE 'Legitimate: This URL is "
+          "classified as legitimate based on its structure and characteristics.' END AS output FROM bs)")
+
+
+def _rendered_sql(src: str, out: str, url_prefix: bool) -> str:
+    return (f"{out} AS (SELECT *, {O.prompt('instruction', 'input', url_prefix)} AS prompt, "
+            f"output || '<|end|>' AS target FROM {src})")
+
+
+def _rows_a(spark, sf):
+    return PD.instruction_rows_a(fx.raw_urls(spark, sf).withColumnRenamed("page_id", "row_id"))
+
+
+def _rows_b(spark, sf):
+    return PD.instruction_rows_b(P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000))
+
+
+@register("instruction_rows_a", O.with_(O.RAW_URLS, A_ROWS) + "SELECT row_id, input, instruction, output FROM arows")
+def q_instruction_rows_a(spark, sf):
+    return _rows_a(spark, sf)
+
+
+@register("instruction_rows_b", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL, B_ROWS) +
+          "SELECT row_id, input, instruction, output FROM brows")
+def q_instruction_rows_b(spark, sf):
+    return _rows_b(spark, sf)
+
+
+@register("render_prompt", O.with_(O.RAW_URLS, A_ROWS, _rendered_sql("arows", "ra", True)) +
+          "SELECT row_id, prompt, target FROM ra")
+def q_render_prompt(spark, sf):
+    return PD.rendered(_rows_a(spark, sf)).select("row_id", "prompt", "target")
+
+
+@register("render_conversation", (
+    "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' "
+    "ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id"))
+def q_render_conversation(spark, sf):
+    return PD.render_conversation(fx.table(spark, sf, "conversations"))
+
+
+def _pack_sql(rows: str, full_len: int, prompt_len: int, fast: bool) -> str:
+    ws = O.whitespace_tokens
+    parts = [
+        f"ptok AS (SELECT row_id, {ws('prompt || target')} AS tokens, len({ws('prompt')}) AS plen FROM {rows})",
+        "tc_ex AS (SELECT row_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM ptok)",
+        "tc AS (SELECT token, count(*) AS cnt, min(struct_pack(r := row_id, p := pos)) AS f FROM tc_ex GROUP BY token)",
+        "vocab AS (SELECT token, cnt, CAST(row_number() OVER (ORDER BY f.r, f.p) + 1 AS INTEGER) AS idx FROM tc "
+        "WHERE cnt >= 2 AND token NOT IN ('<PAD>', '<UNK>'))",
+        f"pex AS (SELECT row_id, unnest(list_slice(tokens, 1, {full_len})) AS token, "
+        f"unnest(range(len(list_slice(tokens, 1, {full_len})))) AS pos FROM ptok)",
+        "pids AS (SELECT e.row_id, list(coalesce(v.idx, 1) ORDER BY e.pos) AS ids FROM pex e "
+        "LEFT JOIN vocab v ON e.token = v.token GROUP BY e.row_id)",
+        f"pj AS (SELECT t.row_id, least(t.plen, {prompt_len}) AS p, coalesce(i.ids, CAST([] AS INTEGER[])) AS ids "
+        f"FROM ptok t LEFT JOIN pids i ON t.row_id = i.row_id)",
+        f"pk AS (SELECT row_id, p, ids, len(ids) AS n, list_concat(ids, list_resize(CAST([] AS INTEGER[]), "
+        f"{full_len} - len(ids), 0)) AS input_ids FROM pj)",
+    ]
+    rep = lambda n, v: f"list_resize(CAST([] AS INTEGER[]), {n}, {v})"
+    if fast:
+        labels = f"list_concat({rep('p', -100)}, list_slice(input_ids, p + 1, {full_len}))"
+    else:
+        labels = (f"list_concat({rep('p', -100)}, CASE WHEN n > p THEN list_slice(ids, p + 1, n) "
+                  f"ELSE CAST([] AS INTEGER[]) END, {rep(f'{full_len} - n', -100)})")
+    attn = f"list_concat({rep('n', 1)}, {rep(f'{full_len} - n', 0)})"
+    return ",\n".join(parts) + f"\nSELECT row_id, input_ids, {attn} AS attention_mask, {labels} AS labels FROM pk"
+
+
+@register("pack_supervised", O.with_(O.RAW_URLS, A_ROWS, _rendered_sql("arows", "ra", True)).rstrip("\n") + ",\n" +
+          _pack_sql("ra", 512, 384, False))
+def q_pack_supervised(spark, sf):
+    rows = PD.rendered(_rows_a(spark, sf), url_prefix=True)
+    return PD.pack_supervised(rows, PD.packing_vocab(rows))
+
+
+@register("pack_supervised_fast", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL, B_ROWS,
+                                          _rendered_sql("brows", "rb", False)).rstrip("\n") + ",\n" +
+          _pack_sql("rb", 256, 200, True))
+def q_pack_supervised_fast(spark, sf):
+    rows = PD.rendered(_rows_b(spark, sf), url_prefix=False)
+    return PD.pack_supervised(rows, PD.packing_vocab(rows), fast=True)
+
+
+# ---------------------------------------------------------------- M1b
+@register("train_logreg")
+def q_train_logreg(spark, sf):
+    """M1b (rows-only check): hashed counts + logistic regression, scored on validation."""
+    split = flows.train_layer1_split(fx.urls(spark, sf))
+    model = M.train_logreg(split.where(F.col("split") == "train"))
+    val = split.where(F.col("split") == "validation")
+    return M.score_logreg(val, model).select("row_id", "label", "layer1_confidence", "layer1_prediction")
+
+
+# ---------------------------------------------------------------- E1–E11
+from ..operators import evaluation as E  # noqa: E402
+
+
+def _final_fixture(spark, sf):
+    return flows.fixture_cascade(fx.scored(spark, sf))
+
+
+def _cnt(cond: str) -> str:
+    return f"count(*) FILTER (WHERE {cond})"
+
+
+def _cells(y: str, p: str, pre: str, guard: str = "true") -> str:
+    return ", ".join([f"{_cnt(f'{guard} AND {y} = 1 AND {p} = 1')} AS {pre}tp",
+                      f"{_cnt(f'{guard} AND {y} = 0 AND {p} = 1')} AS {pre}fp",
+                      f"{_cnt(f'{guard} AND {y} = 1 AND {p} = 0')} AS {pre}fn",
+                      f"{_cnt(f'{guard} AND {y} = 0 AND {p} = 0')} AS {pre}tn"])
+
+
+EC = ("ec AS (SELECT count(*) AS total, " + _cells("true_label", "final_prediction", "h_") + ", "
+      + _cells("true_label", "layer1_prediction", "l_") + ", "
+      + _cells("true_label", "final_prediction", "s_", "used_layer2") + ", "
+      + f"{_cnt('used_layer2 AND layer1_prediction = true_label')} AS s_l1_correct, {_cnt('used_layer2')} AS routed, "
+      + f"{_cnt('used_layer2 AND layer1_prediction <> final_prediction AND final_prediction = true_label')} AS corrections, "
+      + f"{_cnt('used_layer2 AND layer1_prediction <> final_prediction AND final_prediction <> true_label')} AS mistakes, "
+      + f"{_cnt('true_label = 0')} AS y0, {_cnt('true_label = 1')} AS y1, {_cnt('final_prediction = 0')} AS f0, "
+      + f"{_cnt('final_prediction = 1')} AS f1, {_cnt('layer1_prediction = 0')} AS p0, "
+      + f"{_cnt('layer1_prediction = 1')} AS p1 FROM final)")
+EVAL = [*O.fixture_cascade_ctes(), EC]
+
+
+def _m(pre: str) -> dict[str, str]:
+    tp, fp, fn, tn = (f"{pre}{c}" for c in ("tp", "fp", "fn", "tn"))
+    rec = O.ratio(tp, f"{tp} + {fn}")
+    return {"accuracy": O.ratio(f"{tp} + {tn}", f"{tp} + {fp} + {fn} + {tn}"),
+            "precision": O.ratio(tp, f"{tp} + {fp}"), "recall": rec,
+            "f1_score": O.ratio(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"),
+            "auc_roc": f"(CASE WHEN {tp} + {fn} > 0 AND {tn} + {fp} > 0 THEN ({rec} + "
+                       f"{O.ratio(tn, f'{tn} + {fp}')}) / 2 ELSE 0.0 END)"}
+
+
+def _msel(pre: str) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in _m(pre).items()) + \
+        ", " + ", ".join(f"{pre}{c} AS {c}" for c in ("tp", "fp", "fn", "tn"))
+
+
+@register("metrics_overall", O.with_(*EVAL) + f"SELECT {_msel('h_')} FROM ec")
+def q_metrics_overall(spark, sf):
+    return E.metrics_overall(_final_fixture(spark, sf))
+
+
+@register("metrics_layer1", O.with_(*EVAL) + f"SELECT {_msel('l_')} FROM ec")
+def q_metrics_layer1(spark, sf):
+    return E.metrics_layer1(_final_fixture(spark, sf))
+
+
+@register("metrics_layer2_subset", O.with_(*EVAL) + (
+    f"SELECT routed AS count, {O.ratio('s_tp + s_tn - s_l1_correct', 'routed')} AS accuracy_improvement, "
+    f"{_m('s_')['precision']} AS precision_layer2, {_m('s_')['recall']} AS recall_layer2, "
+    f"{_m('s_')['f1_score']} AS f1_layer2 FROM ec WHERE routed > 0"))
+def q_metrics_layer2_subset(spark, sf):
+    return E.metrics_layer2_subset(_final_fixture(spark, sf))
+
+
+@register("metrics_efficiency", O.with_(*EVAL) + (
+    "SELECT total AS total_samples, total - routed AS layer1_resolved, routed AS layer2_processed, "
+    "(total - routed) * 100.0::DOUBLE / nullif(total, 0) AS efficiency_percentage, "
+    "routed * 100.0::DOUBLE / nullif(total, 0) AS layer2_usage_percentage FROM ec"))
+def q_metrics_efficiency(spark, sf):
+    return E.metrics_efficiency(_final_fixture(spark, sf))
+
+
+@register("metrics_improvement", O.with_(*EVAL) + "SELECT " + ", ".join(
+    f"{_m('h_')[k]} - {_m('l_')[k]} AS {k}_improvement" for k in E.METRIC_NAMES) + " FROM ec")
+def q_metrics_improvement(spark, sf):
+    return E.metrics_improvement(_final_fixture(spark, sf))
+
+
+@register("model_comparison", O.with_(*EVAL) + " UNION ALL ".join(
+    f"SELECT '{k}' AS metric, {_m('l_')[k]} AS layer1, {_m('h_')[k]} AS hybrid, "
+    f"{_m('h_')[k]} - {_m('l_')[k]} AS improvement FROM ec" for k in E.METRIC_NAMES))
+def q_model_comparison(spark, sf):
+    return E.model_comparison(_final_fixture(spark, sf))
+
+
+@register("confusion_matrix", O.with_(*EVAL) + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, {a} AS actual, {p} AS predicted, {pre}{c} AS n FROM ec"
+    for m, pre in (("layer1", "l_"), ("hybrid", "h_"))
+    for a, p, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))))
+def q_confusion_matrix(spark, sf):
+    return E.confusion_matrix(_final_fixture(spark, sf))
+
+
+@register("error_reduction", O.with_(*EVAL) + (
+    "SELECT l_fp AS fp_layer1, h_fp AS fp_hybrid, l_fp - h_fp AS fp_reduction, "
+    "(l_fp - h_fp) * 100.0::DOUBLE / greatest(l_fp, 1) AS fp_reduction_pct, l_fn AS fn_layer1, h_fn AS fn_hybrid, "
+    "l_fn - h_fn AS fn_reduction, (l_fn - h_fn) * 100.0::DOUBLE / greatest(l_fn, 1) AS fn_reduction_pct FROM ec "
+    "WHERE y0 + p0 > 0 AND y1 + p1 > 0 AND y0 + f0 > 0 AND y1 + f1 > 0"))
+def q_error_reduction(spark, sf):
+    return E.error_reduction(_final_fixture(spark, sf))
+
+
+@register("layer2_effect", O.with_(*EVAL) + (
+    "SELECT routed AS layer2_samples, corrections, mistakes, (corrections - mistakes) * 100.0::DOUBLE / routed "
+    "AS net_improvement_pct FROM ec WHERE routed > 0"))
+def q_layer2_effect(spark, sf):
+    return E.layer2_effect(_final_fixture(spark, sf))
+
+
+@register("layer2_examples", O.with_(*O.fixture_cascade_ctes()) + (
+    "SELECT kind, CAST(rank AS INTEGER) AS rank, row_id, substr(url, 1, 60) || '...' AS url_head, "
+    "CASE WHEN layer1_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS layer1, "
+    "CASE WHEN final_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS layer2 FROM "
+    "(SELECT *, CASE WHEN final_prediction = true_label THEN 'correction' ELSE 'mistake' END AS kind, "
+    "row_number() OVER (PARTITION BY final_prediction = true_label ORDER BY row_id) AS rank FROM final "
+    "WHERE used_layer2 AND layer1_prediction <> final_prediction) WHERE rank <= 3"))
+def q_layer2_examples(spark, sf):
+    return E.layer2_examples(_final_fixture(spark, sf))
+
+
+@register("evaluation_report")
+def q_evaluation_report(spark, sf):
+    """E11 (rows-only check): the report lines."""
+    return E.evaluation_report(_final_fixture(spark, sf))
+
+
+# ---------------------------------------------------------------- V1–V4
+from ..operators import runs as V  # noqa: E402
+
+
+@register("best_checkpoint", O.with_(O.HISTORY) + (
+    "SELECT run_id, b.e AS best_epoch, b.l AS best_val_loss, epochs FROM (SELECT run_id, "
+    "min(struct_pack(l := val_loss, e := epoch)) AS b, count(*) AS epochs FROM history GROUP BY run_id)"))
+def q_best_checkpoint(spark, sf):
+    return V.best_checkpoint(fx.history(spark, sf))
+
+
+@register("early_stop", O.with_(
+    O.HISTORY,
+    "imp AS (SELECT run_id, epoch, (pb IS NULL OR val_loss < pb) AS improved FROM (SELECT *, min(val_loss) OVER "
+    "(PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM history))",
+    "win AS (SELECT run_id, epoch, count(*) FILTER (WHERE NOT improved) OVER w AS bad, count(*) OVER w AS n FROM imp "
+    "WINDOW w AS (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))",
+    "stops AS (SELECT run_id, min(epoch) AS stop_epoch FROM win WHERE n = 3 AND bad = 3 GROUP BY run_id)",
+    "per AS (SELECT run_id, max(epoch) FILTER (WHERE improved) AS last_imp, count(*) AS epochs FROM imp GROUP BY run_id)")
+    + ("SELECT p.run_id, s.stop_epoch, CAST(CASE WHEN s.stop_epoch IS NOT NULL THEN s.stop_epoch - 3 ELSE p.last_imp "
+       "END AS INTEGER) AS best_epoch, CAST(coalesce(s.stop_epoch, p.epochs) AS INTEGER) AS epochs_trained "
+       "FROM per p LEFT JOIN stops s ON p.run_id = s.run_id"))
+def q_early_stop(spark, sf):
+    return V.early_stop(fx.history(spark, sf))
+
+
+@register("early_stop_window", O.with_(
+    O.HISTORY,
+    "w AS (SELECT run_id, epoch, val_loss, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch "
+    "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS wmin FROM history)",
+    "t AS (SELECT run_id, min(epoch) AS trigger_epoch FROM w WHERE epoch > 3 AND val_loss > wmin GROUP BY run_id)")
+    + ("SELECT r.run_id, CAST(t.trigger_epoch AS INTEGER) AS trigger_epoch FROM (SELECT DISTINCT run_id FROM history) r "
+       "LEFT JOIN t ON r.run_id = t.run_id"))
+def q_early_stop_window(spark, sf):
+    return V.early_stop_window(fx.history(spark, sf))
+
+
+@register("log_rate", O.with_(
+    O.HISTORY,
+    "l AS (SELECT run_id, epoch, epoch_us(ts) AS now_us, lag(epoch_us(ts)) OVER (PARTITION BY run_id ORDER BY epoch) "
+    "AS prev_us, count(*) OVER (PARTITION BY run_id) AS logs FROM history)",
+    "r AS (SELECT *, 60.0::DOUBLE / nullif((now_us - prev_us) / 1e6, 0) * 50.0::DOUBLE AS spm FROM l)")
+    + ("SELECT run_id, epoch, epoch * 50 AS global_step, spm AS steps_per_minute, "
+       "CAST((logs - epoch) * 50 AS DOUBLE) / nullif(spm, 0) AS eta_minutes FROM r"))
+def q_log_rate(spark, sf):
+    return V.log_rate(fx.history(spark, sf))
+
+
+@register("training_history", O.with_(O.HISTORY) + " UNION ALL ".join(
+    f"SELECT run_id, epoch, '{m}' AS metric, {m} AS value FROM history" for m in ("train_loss", "val_loss", "accuracy")))
+def q_training_history(spark, sf):
+    return V.training_history(fx.history(spark, sf))
+
+
+@register("training_estimate", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL) + (
+    "SELECT count(*) AS rows, CAST(floor(count(*) / 32) AS BIGINT) AS total_steps, "
+    "CAST(floor(count(*) / 32) AS BIGINT) * 0.8::DOUBLE AS estimated_seconds, "
+    "CAST(floor(count(*) / 32) AS BIGINT) * 0.8::DOUBLE / 3600.0::DOUBLE AS estimated_hours FROM bs"))
+def q_training_estimate(spark, sf):
+    return V.training_estimate(P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000))

@@ -62,7 +62,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     run holding most events is still numbered by many tasks."""
     e = table(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("user_id").alias("run_id"), "value", "props")
-    e = e.withColumn("_t", F.unix_micros("ts"))
+    e = e.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     ranked = distributed_rank(e, ["_t", "event_id"], range_bucket(e, "_t"),
                               partition_by=["run_id"], rank_col="epoch")
     return ranked.select(
