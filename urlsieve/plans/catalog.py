@@ -675,3 +675,144 @@ def q_training_history(spark, sf):
     "CAST(floor(count(*) / 32) AS BIGINT) * 0.8::DOUBLE / 3600.0::DOUBLE AS estimated_hours FROM bs"))
 def q_training_estimate(spark, sf):
     return V.training_estimate(P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000))
+
+
+# ---------------------------------------------------------------- B1–B5
+from ..session import fresh_path  # noqa: E402
+from ..sources import files as S  # noqa: E402
+from . import jobs as J  # noqa: E402
+
+BATCH_OUT = ("url, layer1_confidence, layer1_prediction, used_layer2, final_prediction, layer2_explanation, "
+             "decision_maker")
+
+
+def _write_urls_csv(spark, sf) -> str:
+    src = fresh_path(spark, "batch_input")
+    fx.urls(spark, sf).select(F.col("row_id").alias("page_id"), "url", "label") \
+        .write.option("header", True).csv(src)
+    return src
+
+
+@register("batch_job", O.with_(*FLAG) + (
+    f"SELECT {BATCH_OUT}, row_id AS original_page_id, label AS original_label, label AS true_label, "
+    "label = final_prediction AS correct_prediction FROM final"))
+def q_batch_job(spark, sf):
+    model, _ = flows.train_layer1(fx.urls(spark, sf))
+    src = _write_urls_csv(spark, sf)
+    _, res = J.batch_job(spark, src, model, "url", "label", fresh_path(spark, "batch_output"),
+                         schema="page_id bigint, url string, label int")
+    return res
+
+
+@register("batch_metrics", O.with_(*FLAG, (
+    "bm AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = final_prediction) AS hit, "
+    "count(*) FILTER (WHERE final_prediction = 1 AND label = 1) AS tp, count(*) FILTER (WHERE final_prediction = 1) AS pp, "
+    "count(*) FILTER (WHERE label = 1) AS ap FROM final)"),
+    "pr AS (SELECT *, tp / CAST(greatest(pp, 1) AS DOUBLE) AS p, tp / CAST(greatest(ap, 1) AS DOUBLE) AS r FROM bm)") + (
+    "SELECT CAST(hit AS DOUBLE) / nullif(CAST(n AS DOUBLE), 0) AS accuracy, p AS precision, r AS recall, "
+    "2.0::DOUBLE * p * r / greatest(p + r, 0.001::DOUBLE) AS f1_score FROM pr"))
+def q_batch_metrics(spark, sf):
+    u = fx.urls(spark, sf)
+    model, _ = flows.train_layer1(u)
+    final = J.with_truth(J.score_table(u.select(F.col("row_id").alias("page_id"), "url", "label"), model), "label")
+    return J.batch_metrics(final)
+
+
+@register("url_list_job", O.with_(*FLAG) + f"SELECT {BATCH_OUT} FROM final")
+def q_url_list_job(spark, sf):
+    u = fx.urls(spark, sf)
+    model, _ = flows.train_layer1(u)
+    _, res = J.url_list_job(spark, u.select("url"), model, fresh_path(spark, "url_list_output"))
+    return res
+
+
+def _sim_sql(seed: int = 42) -> str:
+    def u(j):
+        return f"(CAST('0x' || substr(md5('{seed}|' || CAST(row_id AS VARCHAR) || '|{j}'), 1, 4) AS INTEGER) / 65536.0::DOUBLE)"
+    d = lambda x: f"CAST({x!r} AS DOUBLE)"
+    lo = {k: d(v[0]) for k, v in J.SIM_RANGES.items()}
+    wd = {k: d(v[1] - v[0]) for k, v in J.SIM_RANGES.items()}
+    conf = (f"CASE WHEN label = 0 AND {u(1)} < {d(J.SIM_L1_FP_RATE)} THEN {lo['fp']} + {wd['fp']} * {u(2)} "
+            f"WHEN label = 0 THEN {lo['tn']} + {wd['tn']} * {u(2)} "
+            f"WHEN {u(1)} < {d(J.SIM_L1_FN_RATE)} THEN {lo['fn']} + {wd['fn']} * {u(2)} "
+            f"ELSE {lo['tp']} + {wd['tp']} * {u(2)} END")
+    pred = (f"CASE WHEN label = 0 THEN CASE WHEN {u(1)} < {d(J.SIM_L1_FP_RATE)} THEN 1 ELSE 0 END "
+            f"ELSE CASE WHEN {u(1)} < {d(J.SIM_L1_FN_RATE)} THEN 0 ELSE 1 END END")
+    l2 = (f"CASE WHEN label = 0 THEN CASE WHEN {u(3)} < {d(J.SIM_L2_FP_RATE)} THEN 1 ELSE 0 END "
+          f"ELSE CASE WHEN {u(3)} < {d(J.SIM_L2_FN_RATE)} THEN 0 ELSE 1 END END")
+    return (f"sim AS (SELECT row_id, url, label AS true_label, {conf} AS layer1_confidence, {pred} AS layer1_prediction, "
+            f"{l2} AS _l2 FROM urls), sim2 AS (SELECT *, layer1_confidence > {d(J.SIM_BAND[0])} AND "
+            f"layer1_confidence < {d(J.SIM_BAND[1])} AS used_layer2 FROM sim)")
+
+
+@register("simulate_scored", O.with_(O.URLS, _sim_sql()) + (
+    "SELECT row_id, url, true_label, layer1_confidence, layer1_prediction, used_layer2, "
+    "CASE WHEN used_layer2 THEN _l2 ELSE layer1_prediction END AS final_prediction, "
+    "CASE WHEN used_layer2 THEN 'Phi3' ELSE 'BiGRU' END AS decision_maker FROM sim2"))
+def q_simulate_scored(spark, sf):
+    return J.simulate_scored(fx.urls(spark, sf))
+
+
+# ---------------------------------------------------------------- S1–S5
+@register("csv_scan", O.with_(O.URLS) + "SELECT row_id, url, label FROM urls")
+def q_csv_scan(spark, sf):
+    path = fresh_path(spark, "csv_scan")
+    fx.urls(spark, sf).write.option("header", True).csv(path)
+    return S.read_csv(spark, path, "row_id bigint, url string, label int")
+
+
+@register("json_scan", O.with_(O.URLS) + "SELECT row_id, url AS text, label FROM urls")
+def q_json_scan(spark, sf):
+    path = fresh_path(spark, "json_scan")
+    fx.urls(spark, sf).select("row_id", F.col("url").alias("text"), "label").write.json(path)
+    return S.read_json_records(spark, path, "row_id bigint, text string, label int", array_file=False)
+
+
+@register("csv_sink", O.with_(*FLAG) + f"SELECT {O.FINAL_COLS}, label AS true_label FROM final")
+def q_csv_sink(spark, sf):
+    final = flows.url_cascade(fx.urls(spark, sf))
+    path = S.write_results(final, fresh_path(spark, "csv_sink"), prefix="hybrid_detection_results")
+    return S.read_back(spark, path, final.schema)
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf):
+    """S5 (rows-only check): nested evaluation report written as JSON text, read back."""
+    final = _final_fixture(spark, sf)
+    groups = {"overall": E.metrics_overall(final), "layer1_only": E.metrics_layer1(final),
+              "layer2_samples": E.metrics_layer2_subset(final), "efficiency": E.metrics_efficiency(final)}
+    path = S.write_metrics_json(groups, fresh_path(spark, "metrics_json"))
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "report")
+
+
+# ---------------------------------------------------------------- X1, X2, U1
+from ..streaming import cascade_stream as X  # noqa: E402
+
+
+def _run_stream_cascade(spark, sf) -> str:
+    out = fresh_path(spark, "stream_cascade")
+    stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet")
+    X.stream_cascade(stream, flows.rule_layer2, out, fresh_path(spark, "stream_cascade_ckpt"))
+    return out
+
+
+@register("stream_cascade", O.with_(*FIX) + f"SELECT {O.FINAL_COLS}, true_label FROM final")
+def q_stream_cascade(spark, sf):
+    out = _run_stream_cascade(spark, sf)
+    return spark.read.schema(X.FINAL_SCHEMA).parquet(out).select("row_id", *H.FINAL_COLUMNS, "true_label")
+
+
+@register("stream_cascade_stats", O.with_(*FIX) + STATS_SQL)
+def q_stream_cascade_stats(spark, sf):
+    out = _run_stream_cascade(spark, sf)
+    stats = fresh_path(spark, "stream_stats")
+    X.stream_stats(X.final_stream(spark, out), stats, fresh_path(spark, "stream_stats_ckpt"))
+    return X.with_efficiency(spark.read.parquet(stats))
+
+
+@register("plugin_scorer", O.with_(*FIX) + (
+    "SELECT url, layer2_prediction, layer2_explanation, 1.0 AS layer2_confidence FROM final_l2"))
+def q_plugin_scorer(spark, sf):
+    s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
+    wl = H.layer2_worklist(H.route(s))
+    return H.layer2_results(H.plugin_responses(wl))
