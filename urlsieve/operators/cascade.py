@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import bounded_broadcast
+from ..session import cut_lineage
+from .ranking import bounded_broadcast
 
 DEFAULT_BAND = 0.3
 
@@ -171,11 +172,20 @@ def _final(j: DataFrame) -> DataFrame:
 
 
 def cascade(scored: DataFrame, layer2_fn, threshold: float = DEFAULT_BAND, url: str = "url",
-            on_missing: str = "reference") -> DataFrame:
+            on_missing: str = "reference", materialize: bool = True) -> DataFrame:
     """H1 -> H3 -> layer 2 -> H8.  ``layer2_fn(worklist) -> layer2 results`` or
-    ``None`` when layer 2 is unavailable."""
+    ``None`` when layer 2 is unavailable.
+
+    ``materialize``: the routed layer-1 rows feed both the work list and the
+    merge, and layer-2 answers come from a costly (possibly non-deterministic)
+    model; both are checkpointed to the shared folder so neither is computed
+    twice and a lost executor does not re-run the model."""
     routed = route(scored, threshold)
+    if materialize:
+        routed = cut_lineage(routed)
     l2 = layer2_fn(layer2_worklist(routed, url)) if layer2_fn is not None else None
+    if l2 is not None and materialize:
+        l2 = cut_lineage(l2)
     return combine(routed, l2, url, on_missing)
 
 
@@ -291,6 +301,8 @@ def plugin_responses(worklist: DataFrame, scorer=None, instruction: str = DEFAUL
                         resp.append(None); err.append(str(exc))
             yield pd.DataFrame({url: urls, "response": resp, "error": err})
 
+    from ..session import ship_package
+    ship_package(worklist.sparkSession)
     if batch_rows:
         worklist.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     schema = f"{url} string, response string, error string"

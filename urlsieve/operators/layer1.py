@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import bounded_broadcast
+from ..session import cut_lineage
+from .ranking import broadcastable
 
 CONFIDENCE_DECIMALS = 6
 DECISION_THRESHOLD = 0.5
@@ -33,7 +34,7 @@ class TokenModel:
 
 
 def train_token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label",
-                        alpha: float = 1.0, min_freq: int = 1) -> TokenModel:
+                        alpha: float = 1.0, min_freq: int = 1, materialize: bool = True) -> TokenModel:
     """weight(token) = ln((c1+a)/(N1+aV)) - ln((c0+a)/(N0+aV));
     bias = ln((n1+1)/(n0+1)).  Tokens seen fewer than ``min_freq`` times in
     the training rows are left out (the T4 vocabulary rule); V = kept tokens."""
@@ -55,6 +56,8 @@ def train_token_weights(train: DataFrame, tokens: str = "tokens", label: str = "
     rows = train.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"),
                      F.count(F.when(F.col(label) == 0, 1)).alias("q"))
     bias = rows.select(F.ln((F.col("p") + 1.0) / (F.col("q") + 1.0)).alias("bias"))
+    if materialize:  # the model is read by every scoring job: compute it once
+        weights, bias = cut_lineage(weights), cut_lineage(bias)
     return TokenModel(weights, bias)
 
 
@@ -66,15 +69,29 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
                  tokens: str = "tokens", threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """M2 (+M4): adds layer1_confidence = P(phishing), layer1_prediction =
     confidence > 0.5, layer1_error.  A null url or a non-finite score gives the
-    error row (0.5, 0)."""
-    ex = df.select(row_id, F.explode(tokens).alias("token"))
-    wt = bounded_broadcast(model.weights.select("token", "weight"))
-    sums = ex.join(wt, "token", "inner").groupBy(row_id).agg(F.sum("weight").alias("_s"))
-    joined = df.join(sums, row_id, "left")
+    error row (0.5, 0).
+
+    Weights proven small: tokens are exploded and looked up by a broadcast
+    join inside one stage, and the per-row sum (partial aggregate, map side)
+    carries the row's other columns -- one shuffle, no join back.
+    Otherwise only (row_id, token) is shuffled to the weights and the sums are
+    joined back on row_id.
+    """
+    weights = model.weights.select(F.col("token").alias("_tok"), "weight")
+    others = [c for c in df.columns if c != row_id]
+    if broadcastable(weights):
+        ex = df.select("*", F.explode_outer(tokens).alias("_t"))
+        j = ex.join(F.broadcast(weights), F.col("_t") == F.col("_tok"), "left")
+        scored = j.groupBy(row_id).agg(*[F.first(c).alias(c) for c in others], F.sum("weight").alias("_s"))
+    else:
+        ex = df.select(row_id, F.explode(tokens).alias("_t"))
+        sums = ex.join(weights, F.col("_t") == F.col("_tok"), "inner").groupBy(row_id) \
+            .agg(F.sum("weight").alias("_s"))
+        scored = df.join(sums, row_id, "left")
     raw = sigmoid(model.bias.select("bias").scalar() + F.coalesce(F.col("_s"), F.lit(0.0)))
     bad = F.col(url).isNull() | raw.isNull() | F.isnan(raw)
     conf = F.when(bad, F.lit(ERROR_CONFIDENCE)).otherwise(F.round(raw, CONFIDENCE_DECIMALS))
-    return (joined
+    return (scored
             .withColumn("layer1_error", bad)
             .withColumn("layer1_confidence", conf)
             .withColumn("layer1_prediction",

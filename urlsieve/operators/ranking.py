@@ -18,15 +18,20 @@ from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 2_000_000
 HASH_BUCKET_HEX = 4       # md5 order keys: 16^4 = 65,536 buckets
-RANGE_BUCKETS = 1024      # numeric order keys: quantile buckets
+RANGE_BUCKETS = 65536     # numeric order keys: equal-width cells
+
+
+def broadcastable(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (checked with a limit, so
+    the check reads at most ``max_rows + 1`` rows).  Meant for materialised
+    (checkpointed) tables, where the check is a cheap scan."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with
-    a limit, so the check reads at most ``max_rows + 1`` rows); otherwise leave
-    the join to Spark (sort-merge join; AQE may still convert or split it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only if it is proven small; otherwise leave the join
+    to Spark (sort-merge join; AQE may still convert it or split skew)."""
+    return F.broadcast(df) if broadcastable(df, max_rows) else df
 
 
 def md5_order_key(seed: int, key) -> Column:
@@ -41,19 +46,16 @@ def hash_bucket(order_key: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:
 
 
 def range_bucket(df: DataFrame, col: str, n: int = RANGE_BUCKETS) -> Column:
-    """Monotone bucket of a numeric column from approximate quantiles.
-
-    One distributed aggregate; the driver receives ``n`` boundary numbers.
-    Balance depends on the sketch; correctness does not (any monotone bucket
-    gives the exact rank).
-    """
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(col), probs, 10 * n).alias("q")).first()
-    bounds = sorted(set(v for v in (row["q"] or []) if v is not None))
-    if not bounds:
+    """Monotone bucket of a numeric column: ``width_bucket`` over [min, max]
+    with ``n`` cells (one small aggregate for the bounds, then O(1) native
+    arithmetic per row).  Any monotone bucket gives the exact rank; many
+    narrow cells keep every (partition, cell) group small for evenly spread
+    keys, including a partition that holds most of the rows."""
+    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    lo, hi = row["lo"], row["hi"]
+    if lo is None or lo == hi:
         return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < F.col(col)))
+    return F.width_bucket(F.col(col).cast("double"), F.lit(float(lo)), F.lit(float(hi) + 1.0), F.lit(n))
 
 
 def distributed_rank(df: DataFrame, order: Sequence[Column | str], bucket: Column,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import tokenizer
+from ..session import cut_lineage
 from .ranking import BROADCAST_MAX_ROWS, bounded_broadcast, distributed_rank, range_bucket  # noqa: F401
 
 # Fixed values.
@@ -46,7 +47,7 @@ def token_counts(df: DataFrame, row_id: str = "row_id", tokens: str = "tokens")
                       F.col("first.p").alias("first_pos"))
 
 
-def build_vocab(counts: DataFrame, min_freq: int = DEFAULT_MIN_FREQ) -> DataFrame:
+def build_vocab(counts: DataFrame, min_freq: int = DEFAULT_MIN_FREQ, materialize: bool = True) -> DataFrame:
     """T4: tokens with cnt >= min_freq, ids from 2 in order of first occurrence.
 
     The rank runs bucketed by ranges of first_row (see ranking), not as one
@@ -54,7 +55,9 @@ def build_vocab(counts: DataFrame, min_freq: int = DEFAULT_MIN_FREQ) -> DataFram
     kept = counts.where((F.col("cnt") >= min_freq) & ~F.col("token").isin(PAD_TOKEN, UNK_TOKEN))
     ranked = distributed_rank(kept, ["first_row", "first_pos"], range_bucket(kept, "first_row"),
                               rank_col="_r")
-    return ranked.select("token", "cnt", (F.col("_r") + (FIRST_ID - 1)).cast("int").alias("idx"))
+    vocab = ranked.select("token", "cnt", (F.col("_r") + (FIRST_ID - 1)).cast("int").alias("idx"))
+    # read by every encode / decode job: compute once, cut the lineage
+    return cut_lineage(vocab) if materialize else vocab
 
 
 def vocab_size(vocab: DataFrame) -> int:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import distributed_rank, range_bucket
+from ..session import cut_lineage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -65,8 +66,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     ranked = distributed_rank(e, ["_t", "event_id"], range_bucket(e, "_t"),
                               partition_by=["run_id"], rank_col="epoch")
-    return ranked.select(
+    return cut_lineage(ranked.select(
         "run_id", F.col("epoch").cast("int").alias("epoch"), "ts",
         (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("train_loss"),
         F.col("value").alias("val_loss"),
-        (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy"))
+        (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy")))

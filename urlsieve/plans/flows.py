@@ -9,6 +9,7 @@ from ..functions.urls import tokenizer
 from ..operators import cascade as H
 from ..operators import layer1 as M
 from ..operators.sampling import stratified_split
+from ..session import cut_lineage
 
 
 def tokenized(df: DataFrame, text_col: str = "url", tok="url") -> DataFrame:
@@ -16,8 +17,8 @@ def tokenized(df: DataFrame, text_col: str = "url", tok="url") -> DataFrame:
 
 
 def train_layer1_split(labelled: DataFrame, text_col: str = "url", tok="url", seed: int = 42) -> DataFrame:
-    """T1 tokens + P2 split column."""
-    return stratified_split(tokenized(labelled, text_col, tok), seed=seed)
+    """T1 tokens + P2 split column, materialised (read by training and scoring)."""
+    return cut_lineage(stratified_split(tokenized(labelled, text_col, tok), seed=seed))
 
 
 def train_layer1(labelled: DataFrame, text_col: str = "url", tok="url", min_freq: int = 2,

@@ -82,3 +82,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     unlike a local checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``urlsieve`` importable in Python workers (for mapInPandas
+    stages): zip the package into the shared folder and ``addPyFile`` it,
+    once per SparkContext.  Skipped when the workers already import it
+    (e.g. the package is installed on the cluster image)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = fresh_path(spark, "urlsieve-pkg") + ".zip"
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
