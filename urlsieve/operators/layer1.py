@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ranking import broadcastable
+from .ranking import bounded_broadcast, broadcastable
 
 CONFIDENCE_DECIMALS = 6
 DECISION_THRESHOLD = 0.5
@@ -68,8 +69,8 @@ def sigmoid(x: Column) -> Column:
 def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url: str = "url",
                  tokens: str = "tokens", threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """M2 (+M4): adds layer1_confidence = P(phishing), layer1_prediction =
-    confidence > 0.5, layer1_error.  A null url or a non-finite score gives the
-    error row (0.5, 0).
+    confidence > 0.5, layer1_error (the token array is dropped).  A null url
+    or a non-finite score gives the error row (0.5, 0).
 
     Weights proven small: tokens are exploded and looked up by a broadcast
     join inside one stage, and the per-row sum (partial aggregate, map side)
@@ -78,16 +79,19 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
     joined back on row_id.
     """
     weights = model.weights.select(F.col("token").alias("_tok"), "weight")
-    others = [c for c in df.columns if c != row_id]
-    if broadcastable(weights):
-        ex = df.select("*", F.explode_outer(tokens).alias("_t"))
+    carried = [f.name for f in df.schema.fields
+               if f.name not in (row_id, tokens) and not isinstance(f.dataType, T.MapType)]
+    if broadcastable(weights) and len(carried) == len(df.columns) - 2:
+        # carried columns depend on row_id only, so they can be grouping keys:
+        # a hash aggregate (no sort), collapsed to one row per url map side.
+        ex = df.select(row_id, *carried, F.explode_outer(tokens).alias("_t"))
         j = ex.join(F.broadcast(weights), F.col("_t") == F.col("_tok"), "left")
-        scored = j.groupBy(row_id).agg(*[F.first(c).alias(c) for c in others], F.sum("weight").alias("_s"))
+        scored = j.groupBy(row_id, *carried).agg(F.sum("weight").alias("_s"))
     else:
         ex = df.select(row_id, F.explode(tokens).alias("_t"))
-        sums = ex.join(weights, F.col("_t") == F.col("_tok"), "inner").groupBy(row_id) \
+        sums = ex.join(bounded_broadcast(weights), F.col("_t") == F.col("_tok"), "inner").groupBy(row_id) \
             .agg(F.sum("weight").alias("_s"))
-        scored = df.join(sums, row_id, "left")
+        scored = df.drop(tokens).join(sums, row_id, "left")
     raw = sigmoid(model.bias.select("bias").scalar() + F.coalesce(F.col("_s"), F.lit(0.0)))
     bad = F.col(url).isNull() | raw.isNull() | F.isnan(raw)
     conf = F.when(bad, F.lit(ERROR_CONFIDENCE)).otherwise(F.round(raw, CONFIDENCE_DECIMALS))

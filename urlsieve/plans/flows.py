@@ -50,7 +50,7 @@ def url_cascade(labelled: DataFrame, layer2_fn=rule_layer2, threshold: float = H
     labelled url table (row_id, url, label)."""
     if model is None:
         model, _ = train_layer1(labelled)
-    scored = score_urls(labelled, model)
+    scored = score_urls(labelled, model)   # token arrays are dropped by the scorer
     final = H.cascade(scored, layer2_fn, threshold)
     return final.select("row_id", *H.FINAL_COLUMNS, F.col("label").alias("true_label"))
 
