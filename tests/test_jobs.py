@@ -88,3 +88,20 @@ def test_sampling_sizes(spark):
     counts = {r.label: r["count"] for r in b.groupBy("label").count().collect()}
     assert counts == {0: 700, 1: 700}
     assert sorted(r.position for r in b.collect()) == list(range(1, 1401))
+
+
+def test_cli_main_with_config(spark, model, capsys):
+    d = tempfile.mkdtemp(dir="/tmp")
+    J.save_model(model, os.path.join(d, "model"))
+    src = os.path.join(d, "in.csv")
+    with open(src, "w") as fh:
+        fh.write("url,label\n" + "".join(f"{u},{y}\n" for u, y in BATCH))
+    cfg = os.path.join(d, "config.json")
+    with open(cfg, "w") as fh:
+        fh.write('{"models": {"bigru": {"model_path": "%s"}}, "pipeline": {"bigru_threshold_low": 0.25, '
+                 '"batch_size": 64}, "output": {"output_directory": "%s"}}' % (os.path.join(d, "model"), d))
+    J.main(["--input", src, "--label-column", "label", "--config", cfg, "--output", "run1"])
+    assert "Results saved to:" in capsys.readouterr().out
+    assert os.path.isdir(os.path.join(d, "run1"))
+    c = J.JobConfig.from_json(cfg)
+    assert c.threshold == 0.25 and c.batch_size == 64 and c.device == "cpu"

@@ -19,6 +19,7 @@ from ..operators import tokens as T
 from . import fixtures as fx
 from . import flows
 from . import oracle as O
+from ..session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +47,14 @@ def q_clean_rows(spark, sf):
     return C.normalize_labels(C.clean_rows(raw, url_col, label_col, keep=["page_id"]), label_col)
 
 
+@register("detect_columns", O.with_(O.RAW_URLS) + "SELECT page_id, url, status AS label FROM raw_urls")
+def q_detect_columns(spark, sf):
+    """The url and label columns found by name in a raw table, read whole."""
+    raw = fx.raw_urls(spark, sf)
+    url_col, label_col = C.detect_columns(raw)
+    return raw.select("page_id", F.col(url_col).alias("url"), F.col(label_col).alias("label"))
+
+
 @register("normalize_labels", O.with_(O.RAW_URLS) + (
     "SELECT page_id AS row_id, url, CASE status WHEN 'legitimate' THEN 0 WHEN 'phishing' THEN 1 END AS label "
     "FROM raw_urls WHERE url IS NOT NULL AND status IS NOT NULL"))
@@ -467,7 +476,7 @@ def _pack_sql(rows: str, full_len: int, prompt_len: int, fast: bool) -> str:
 @register("pack_supervised", O.with_(O.RAW_URLS, A_ROWS, _rendered_sql("arows", "ra", True)).rstrip("\n") + ",\n" +
           _pack_sql("ra", 512, 384, False))
 def q_pack_supervised(spark, sf):
-    rows = PD.rendered(_rows_a(spark, sf), url_prefix=True)
+    rows = cut_lineage(PD.rendered(_rows_a(spark, sf), url_prefix=True))   # read by vocab and packing
     return PD.pack_supervised(rows, PD.packing_vocab(rows))
 
 
@@ -475,7 +484,7 @@ def q_pack_supervised(spark, sf):
                                           _rendered_sql("brows", "rb", False)).rstrip("\n") + ",\n" +
           _pack_sql("rb", 256, 200, True))
 def q_pack_supervised_fast(spark, sf):
-    rows = PD.rendered(_rows_b(spark, sf), url_prefix=False)
+    rows = cut_lineage(PD.rendered(_rows_b(spark, sf), url_prefix=False))  # read by vocab and packing
     return PD.pack_supervised(rows, PD.packing_vocab(rows), fast=True)
 
 

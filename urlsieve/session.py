@@ -22,9 +22,27 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of lineage cuts are removed once their DataFrame is gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings to pass at submit time for a given input size: scan splits of
+    ``target_partition_bytes``, an initial shuffle width that gives every
+    core several tasks and keeps each shuffle partition near the target
+    before AQE coalesces small ones, and skew splitting."""
+    parts = max(total_cores * 4, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "urlsieve", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench.  A cluster job gets its session from
@@ -98,6 +116,11 @@ def ship_package(spark: SparkSession) -> None:
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    base = shared_dir(spark)
+    if not _is_local(spark) and not base.startswith(("file:", "/")):
+        # cluster: the package travels with spark-submit --py-files (or the image)
+        _SHIPPED.add(key)
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     zpath = fresh_path(spark, "urlsieve-pkg") + ".zip"
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
