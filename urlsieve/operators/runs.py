@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_micros
 from .ranking import bounded_broadcast, range_bucket, running_agg
 
 DEFAULT_PATIENCE = 3
@@ -86,10 +87,11 @@ def log_rate(history: DataFrame, logging_steps: int = LOGGING_STEPS, run: str =
     """V3: per log row, steps/min = 60 / seconds since the previous log x
     logging_steps and ETA = remaining steps / rate (null on a run's first log).
     global_step = epoch x logging_steps; max_steps = logs of the run x logging_steps."""
-    lb = _look_back(history.select(run, epoch, ts), run, epoch, 2)
+    micros = epoch_micros(ts, history.schema[ts].dataType)
+    lb = _look_back(history.select(run, epoch, micros.alias("_us")), run, epoch, 2)
     pair = lb.groupBy(run, "_target").agg(
-        F.max(F.when(F.col("_lag") == 0, F.unix_micros(F.col(ts).cast("timestamp")))).alias("_now"),
-        F.max(F.when(F.col("_lag") == 1, F.unix_micros(F.col(ts).cast("timestamp")))).alias("_prev")).where(F.col("_now").isNotNull())
+        F.max(F.when(F.col("_lag") == 0, F.col("_us"))).alias("_now"),
+        F.max(F.when(F.col("_lag") == 1, F.col("_us"))).alias("_prev")).where(F.col("_now").isNotNull())
     sizes = history.groupBy(run).agg(F.count(F.lit(1)).alias("_logs"))
     j = pair.join(bounded_broadcast(sizes), run)
     dt = (F.col("_now") - F.col("_prev")) / F.lit(1e6)

@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_micros
 from ..operators.ranking import distributed_rank, range_bucket
 from ..session import cut_lineage
 
@@ -63,7 +64,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     run holding most events is still numbered by many tasks."""
     e = table(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("user_id").alias("run_id"), "value", "props")
-    e = e.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.withColumn("_t", epoch_micros("ts", e.schema["ts"].dataType))
     ranked = distributed_rank(e, ["_t", "event_id"], range_bucket(e, "_t"),
                               partition_by=["run_id"], rank_col="epoch")
     return cut_lineage(ranked.select(
