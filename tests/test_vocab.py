@@ -80,3 +80,17 @@ def test_running_min_equals_window(spark):
     w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("rm", F.min("loss").over(w))
     assert got.select("run", "epoch", "rm").exceptAll(want.select("run", "epoch", "rm")).count() == 0
+
+
+def test_token_counts_fallback_for_unpackable_row_ids(spark):
+    urls = SEED_B
+    small = _urls(spark, urls)
+    big = spark.createDataFrame([((i - 3) * (1 << 50), u) for i, u in enumerate(urls)], "row_id bigint, url string")
+    big = flows.tokenized(big)
+    a = {r.token: (r.cnt, r.first_pos) for r in T.token_counts(small).collect()}
+    b_rows = T.token_counts(big).collect()
+    b = {r.token: (r.cnt, r.first_pos) for r in b_rows}
+    assert a == b
+    first = {r.token: r.first_row for r in b_rows}
+    assert first["com"] == -3 * (1 << 50) and first["bank"] == 0
+    assert _vocab(spark, urls) == {r.token: r.idx for r in T.build_vocab(T.token_counts(big)).collect()}

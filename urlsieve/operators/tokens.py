@@ -34,17 +34,37 @@ def exploded_tokens(df: DataFrame, row_id: str = "row_id", tokens: str = "tokens
     return df.select(row_id, F.posexplode(tokens).alias("pos", "token"))
 
 
-def token_counts(df: DataFrame, row_id: str = "row_id", tokens: str = "tokens") -> DataFrame:
+POS_BITS = 20                 # packed first-occurrence key: row_id << 20 | pos
+MAX_PACKED_ROW = 1 << (63 - POS_BITS)
+
+
+def token_counts(df: DataFrame, row_id: str = "row_id", tokens: str = "tokens",
+                 materialize: bool = True) -> DataFrame:
     """Token, cnt, first occurrence (first_row, first_pos).
 
-    Hash aggregate with map-side partial counts: a token present in every row
-    is pre-aggregated per task before the shuffle."""
+    The first occurrence is the minimum of ``row_id << 20 | pos``, a long, so
+    the whole count is one hash aggregate with map-side partials (a token in
+    every row costs one partial row per task).  The packing is exact while
+    row ids lie in [0, 2^43) and positions below 2^20; that is checked on the
+    materialised per-token table, and any other input takes the exact
+    (sort-based) struct minimum instead."""
     ex = exploded_tokens(df, row_id, tokens)
+    packed = F.shiftleft(F.col(row_id).cast("long"), POS_BITS) + F.col("pos")
     agg = ex.groupBy("token").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(packed).alias("_k"),
+        F.min(row_id).alias("_rmin"), F.max(row_id).alias("_rmax"), F.max("pos").alias("_pmax"))
+    if materialize:
+        agg = cut_lineage(agg)
+        g = agg.agg(F.min("_rmin"), F.max("_rmax"), F.max("_pmax")).first()
+        exact = g[0] is None or (g[0] >= 0 and g[1] < MAX_PACKED_ROW and g[2] < (1 << POS_BITS))
+        if exact:
+            return agg.select("token", "cnt", F.shiftright("_k", POS_BITS).cast(df.schema[row_id].dataType)
+                              .alias("first_row"),
+                              (F.col("_k").bitwiseAND((1 << POS_BITS) - 1)).cast("int").alias("first_pos"))
+    slow = ex.groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min(F.struct(F.col(row_id).alias("r"), F.col("pos").alias("p"))).alias("first"))
-    return agg.select("token", "cnt", F.col("first.r").alias("first_row"),
-                      F.col("first.p").alias("first_pos"))
+    return slow.select("token", "cnt", F.col("first.r").alias("first_row"), F.col("first.p").alias("first_pos"))
 
 
 def build_vocab(counts: DataFrame, min_freq: int = DEFAULT_MIN_FREQ, materialize: bool = True) -> DataFrame:
