@@ -34,11 +34,13 @@ def improvements(history: DataFrame, run: str = "run_id", epoch: str = "epoch",
 def best_checkpoint(history: DataFrame, run: str = "run_id", epoch: str = "epoch",
                     loss: str = "val_loss") -> DataFrame:
     """V1: the last improving epoch = the first epoch reaching the run's
-    minimum loss; one aggregate with map-side partials."""
-    best = F.min(F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e")))
-    agg = history.groupBy(run).agg(best.alias("_b"), F.count(F.lit(1)).alias("epochs"))
-    return agg.select(run, F.col("_b.e").alias("best_epoch"), F.col("_b.l").alias("best_val_loss"),
-                      "epochs")
+    minimum loss.  Two hash aggregates (map-side partials, one row per run
+    and task shuffled): the minimum per run, then the first epoch at it."""
+    best = history.groupBy(run).agg(F.min(loss).alias("best_val_loss"), F.count(F.lit(1)).alias("epochs"))
+    at_best = history.select(run, epoch, loss).join(bounded_broadcast(best), run) \
+        .where(F.col(loss) == F.col("best_val_loss"))
+    first = at_best.groupBy(run).agg(F.min(epoch).alias("best_epoch"))
+    return best.join(first, run, "left").select(run, "best_epoch", "best_val_loss", "epochs")
 
 
 def _look_back(df: DataFrame, run: str, epoch: str, width: int) -> DataFrame:
