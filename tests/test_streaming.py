@@ -20,3 +20,32 @@ def test_stream_stats_equal_batch_stats(spark):
     assert s == b
     assert b["total_processed"] == b["layer1_legitimate"] + b["layer1_suspicious"] + \
         (b["total_processed"] - b["layer1_legitimate"] - b["layer1_suspicious"])
+
+
+def test_running_counters_over_many_micro_batches(spark):
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from urlsieve.operators import cascade as H
+    from urlsieve.plans import fixtures as fx
+    from urlsieve.plans import flows
+    from urlsieve.session import fresh_path
+    from urlsieve.streaming import cascade_stream as X
+
+    src = tempfile.mkdtemp(dir="/tmp")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    # four arrival files
+    for i in range(4):
+        orders.where(F.col("o_orderkey") % 4 == i).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    stream = X.scored_stream(spark, os.path.join(src, "part*", "*.parquet"), max_files_per_trigger=1)
+    out = fresh_path(spark, "s_out")
+    X.stream_cascade(stream, flows.rule_layer2, out, fresh_path(spark, "s_ck"))
+    batches = spark.read.parquet(out).select("batch").distinct().count()
+    assert batches == 4
+    stats = fresh_path(spark, "s_stats")
+    X.stream_stats(X.final_stream(spark, out), stats, fresh_path(spark, "s_stats_ck"))
+    got = X.with_efficiency(spark.read.parquet(stats)).first().asDict()
+    want = H.cascade_stats(flows.fixture_cascade(fx.scored(spark, SF))).first().asDict()
+    assert got == want
