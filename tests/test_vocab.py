@@ -94,3 +94,24 @@ def test_token_counts_fallback_for_unpackable_row_ids(spark):
     first = {r.token: r.first_row for r in b_rows}
     assert first["com"] == -3 * (1 << 50) and first["bank"] == 0
     assert _vocab(spark, urls) == {r.token: r.idx for r in T.build_vocab(T.token_counts(big)).collect()}
+
+
+def test_rank_segments_edges(spark):
+    from urlsieve.operators.ranking import rank_segments
+    # label 0: 3000 rows (hot), label 1: 1 row, label 2: 40 rows
+    df = spark.range(0, 3041).select(F.col("id").alias("row_id"),
+                                     F.when(F.col("id") < 3000, 0).when(F.col("id") == 3000, 1).otherwise(2)
+                                     .alias("label"))
+    keyed = df.withColumn("_k", md5_order_key(7, "row_id"))
+    w = Window.partitionBy("label").orderBy("_k", "row_id")
+    ranked = keyed.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    for cuts, want in (
+        (lambda t: [F.lit(0)], lambda r, n: 1),
+        (lambda t: [t], lambda r, n: 0),
+        (lambda t: [F.lit(10), F.lit(10_000)], lambda r, n: 0 if r <= 10 else 1),
+        (lambda t: [F.ceil(t / 5), F.ceil(t / 5) + F.ceil((t - F.ceil(t / 5)) / 5)],
+         lambda r, n: 0 if r <= -(-n // 5) else (1 if r <= -(-n // 5) + -(-(n - -(-n // 5)) // 5) else 2)),
+    ):
+        seg = rank_segments(keyed, "_k", "row_id", hash_bucket(F.col("_k"), 2), ["label"], cuts)
+        got = ranked.withColumn("seg", seg).select("r", "n", "seg").collect()
+        assert all(x.seg == want(x.r, x.n) for x in got)

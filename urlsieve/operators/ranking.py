@@ -112,3 +112,52 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]
     else:
         comb = F.coalesce(inner, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
     return j.withColumn(out, comb).drop("_bkt", "_carry")
+
+
+def rank_segments(df: DataFrame, key: str, tie: str, bucket: Column, partition_by: Sequence[str],
+                  cut_ranks) -> Column:
+    """Segment number of each row for rank cut points, without shuffling ``df``.
+
+    Rows are ordered by (``key``, ``tie``) (unique) within each partition
+    value; ``cut_ranks(n)`` maps the partition's row count (a Column) to a list
+    of ranks r1 <= r2 <= ...  A row gets segment 0 if its rank <= r1, 1 if
+    <= r2, and so on.  Work: per-(partition, bucket) counts, a row number
+    inside the few buckets that hold a cut, and the cut keys (at most
+    #partition values x #cuts rows) brought to the driver as literals.  The
+    result is a plain column expression (narrow, codegen) over ``df``.
+    """
+    part = list(partition_by)
+    b = df.select(*part, key, tie, bucket.alias("_bkt"))
+    counts = b.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    offs = counts.select(*part, "_bkt", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_n").over(whole).alias("_tot"))
+    cuts = cut_ranks(F.col("_tot"))
+    want = offs.select(*part, "_bkt", "_n", "_off", "_tot",
+                       F.posexplode(F.array(*[c.cast("long") for c in cuts])).alias("_ci", "_rank"))
+    hit = want.where((F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col("_n")))
+    hit = hit.select(*part, "_bkt", "_ci", (F.col("_rank") - F.col("_off")).alias("_local"))
+    # the buckets holding a cut: at most #partition values x #cuts of them
+    boundary = b.join(F.broadcast(hit.select(*part, "_bkt").distinct()), [*part, "_bkt"])
+    w = Window.partitionBy(*part, "_bkt").orderBy(key, tie)
+    ranked = boundary.withColumn("_local", F.row_number().over(w))
+    picked = ranked.join(F.broadcast(hit), [*part, "_bkt", "_local"]).select(*part, "_ci", key, tie)
+    cut_rows = picked.collect()
+    # partitions where a cut rank <= 0 put every row above that cut
+    below = want.where(F.col("_rank") <= 0).select(*part, "_ci").distinct().collect()
+
+    def at(values):
+        cond = F.lit(True)
+        for c, v in zip(part, values):
+            cond = cond & (F.col(c) == F.lit(v))
+        return cond
+
+    seg = F.lit(0)
+    for r in cut_rows:
+        vals = [r[c] for c in part]
+        above = (F.col(key) > F.lit(r[key])) | ((F.col(key) == F.lit(r[key])) & (F.col(tie) > F.lit(r[tie])))
+        seg = seg + F.when(at(vals) & above, 1).otherwise(0)
+    for r in below:
+        seg = seg + F.when(at([r[c] for c in part]), 1).otherwise(0)
+    return seg

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import distributed_rank, hash_bucket, md5_order_key
+from .ranking import distributed_rank, hash_bucket, md5_order_key, rank_segments
 
 DEFAULT_SEED = 42
 DEFAULT_SAMPLE = 100_000
@@ -21,41 +21,42 @@ TEST_FRACTION_DIVISOR = 5      # test 20 %, then validation 20 % of the rest
 
 def sample_n(df: DataFrame, n: int = DEFAULT_SAMPLE, seed: int = DEFAULT_SEED,
              row_id: str = "row_id") -> DataFrame:
-    """Exactly ``n`` rows if the table is larger, else all rows."""
-    key = md5_order_key(seed, row_id)
-    keyed = df.withColumn("_k", key)
-    ranked = distributed_rank(keyed, ["_k", row_id], hash_bucket(F.col("_k")),
-                              rank_col="_r", keep_below=n)
-    return ranked.drop("_k", "_r")
+    """Exactly ``n`` rows if the table is larger, else all rows.
+
+    The n-th smallest md5 key is found from bucket counts and one small
+    sort of the bucket that holds it; the sample is then a filter."""
+    keyed = df.withColumn("_k", md5_order_key(seed, row_id))
+    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [], lambda total: [F.lit(n)])
+    return keyed.where(seg == 0).drop("_k")
 
 
 def stratified_split(df: DataFrame, seed: int = DEFAULT_SEED, label: str = "label",
                      row_id: str = "row_id") -> DataFrame:
     """Per label, first ceil(n/5) by md5 order -> test, next
-    ceil((n - test)/5) -> validation, rest -> train.  Adds ``split``."""
-    keyed = df.withColumn("_k", md5_order_key(seed, row_id))
-    ranked = distributed_rank(keyed, ["_k", row_id], hash_bucket(F.col("_k")),
-                              partition_by=[label], rank_col="_r")
-    # one row per label value: bounded by the number of classes
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ceil((n - test)/5) -> validation, rest -> train.  Adds ``split``.
+
+    The two cut keys per label come from bucket counts; the split itself is a
+    narrow column expression, so the table is not shuffled."""
     d = TEST_FRACTION_DIVISOR
-    sizes = sizes.select(label, F.ceil(F.col("_n") / d).alias("_t"), "_n")
-    sizes = sizes.withColumn("_v", F.ceil((F.col("_n") - F.col("_t")) / d))
-    j = ranked.join(F.broadcast(sizes), label)
-    split = (F.when(F.col("_r") <= F.col("_t"), "test")
-             .when(F.col("_r") <= F.col("_t") + F.col("_v"), "validation")
-             .otherwise("train"))
-    return j.withColumn("split", split).drop("_k", "_r", "_t", "_v", "_n")
+
+    def cuts(total):
+        t = F.ceil(total / d)
+        return [t, t + F.ceil((total - t) / d)]
+
+    keyed = df.withColumn("_k", md5_order_key(seed, row_id))
+    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [label], cuts)
+    split = F.when(seg == 0, "test").when(seg == 1, "validation").otherwise("train")
+    return keyed.withColumn("split", split).drop("_k")
 
 
 def balanced_sample(df: DataFrame, per_class: int = DEFAULT_PER_CLASS, seed: int = DEFAULT_SEED,
                     label: str = "label", row_id: str = "row_id") -> DataFrame:
-    """At most ``per_class`` rows per label, then a reproducible shuffle
-    position (``position``, 1-based) over the union."""
+    """At most ``per_class`` rows per label (a filter on per-label cut
+    keys), then a reproducible shuffle position (``position``, 1-based) over
+    the union -- at most labels x per_class rows."""
     keyed = df.withColumn("_k", md5_order_key(seed, row_id))
-    picked = distributed_rank(keyed, ["_k", row_id], hash_bucket(F.col("_k")),
-                              partition_by=[label], rank_col="_r", keep_below=per_class)
-    picked = picked.drop("_k", "_r").withColumn("_k", md5_order_key(seed + 1, row_id))
+    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [label], lambda total: [F.lit(per_class)])
+    picked = keyed.where(seg == 0).drop("_k").withColumn("_k", md5_order_key(seed + 1, row_id))
     shuffled = distributed_rank(picked, ["_k", row_id], hash_bucket(F.col("_k")), rank_col="position")
     return shuffled.drop("_k")
 
