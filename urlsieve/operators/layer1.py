@@ -66,7 +66,7 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url: str = "url",
+def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url: str | None = "url",
                  tokens: str = "tokens", threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """M2 (+M4): adds layer1_confidence = P(phishing), layer1_prediction =
     confidence > 0.5, layer1_error (the token array is dropped).  A null url
@@ -74,7 +74,9 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
 
     Weights proven small: tokens are exploded and looked up by a broadcast
     join inside one stage, and the per-row sum (partial aggregate, map side)
-    carries the row's other columns -- one shuffle, no join back.
+    carries the row's other columns as grouping keys -- one shuffle, no join
+    back.  Keys are hashed once per token, so pass narrow columns (drop long
+    texts before scoring; ``url=None`` skips the null-url check).
     Otherwise only (row_id, token) is shuffled to the weights and the sums are
     joined back on row_id.
     """
@@ -93,7 +95,9 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
             .agg(F.sum("weight").alias("_s"))
         scored = df.drop(tokens).join(sums, row_id, "left")
     raw = sigmoid(model.bias.select("bias").scalar() + F.coalesce(F.col("_s"), F.lit(0.0)))
-    bad = F.col(url).isNull() | raw.isNull() | F.isnan(raw)
+    bad = raw.isNull() | F.isnan(raw)
+    if url is not None:
+        bad = F.col(url).isNull() | bad
     conf = F.when(bad, F.lit(ERROR_CONFIDENCE)).otherwise(F.round(raw, CONFIDENCE_DECIMALS))
     return (scored
             .withColumn("layer1_error", bad)

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BROADCAST_MAX_ROWS = 2_000_000
 HASH_BUCKET_HEX = 4       # md5 order keys: 16^4 = 65,536 buckets
 RANGE_BUCKETS = 65536     # numeric order keys: equal-width cells
@@ -75,8 +77,9 @@ def distributed_rank(df: DataFrame, order: Sequence[Column | str], bucket: Colum
     if keep_below is not None:
         offsets = offsets.where(F.col("_off") < keep_below)
     # offsets has at most (#partition values x #buckets) rows; broadcast only
-    # while that is proven small (many partition values -> shuffle join).
-    off = F.broadcast(offsets) if not part else bounded_broadcast(offsets)
+    # while that is proven small (many partition values -> shuffle join).  With
+    # partition columns it is materialised first so the size check is a cheap scan.
+    off = F.broadcast(offsets) if not part else bounded_broadcast(cut_lineage(offsets))
     joined = b.join(off, [*part, "_bkt"], "inner")
     within = Window.partitionBy(*part, "_bkt").orderBy(*order)
     out = joined.withColumn(rank_col, F.col("_off") + F.row_number().over(within))
@@ -101,7 +104,7 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]
     per = b.groupBy(*part, "_bkt").agg(agg(value).alias("_bv"))
     prev = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*part, "_bkt", agg("_bv").over(prev).alias("_carry"))
-    j = b.join(bounded_broadcast(carry), [*part, "_bkt"], "inner")
+    j = b.join(bounded_broadcast(cut_lineage(carry)), [*part, "_bkt"], "inner")
     end = -1 if exclusive else Window.currentRow
     w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     inner = agg(value).over(w)

@@ -244,9 +244,10 @@ TEXT_MODEL_CTES = [O.TEXTS, TEXT_TOK, *O.split_ctes("ttok"), "train AS (SELECT *
           f"SELECT round(_loss, 6) AS val_loss, {METRIC_SQL}, tp, fp, fn, tn FROM v")
 def q_text_validation_metrics(spark, sf):
     """M1 + M2 + M5 over whole documents with a whitespace tokenizer, on the test split."""
-    texts = fx.texts(spark, sf).withColumnRenamed("text", "url")
-    model, split = flows.train_layer1(texts, tok="whitespace")
-    scored = M.score_layer1(split.where(F.col("split") == "test"), model)
+    texts = flows.tokenized(fx.texts(spark, sf), "text", "whitespace").select("row_id", "label", "tokens")
+    split = cut_lineage(P.stratified_split(texts))        # whole texts are tokenised once, then dropped
+    model = M.train_token_weights(split.where(F.col("split") == "train"), min_freq=2)
+    scored = M.score_layer1(split.where(F.col("split") == "test"), model, url=None)
     return M.validation_metrics(scored)
 
 
