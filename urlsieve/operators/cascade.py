@@ -269,11 +269,14 @@ def _loaded(scorer):
 
 
 def plugin_responses(worklist: DataFrame, scorer=None, instruction: str = DEFAULT_INSTRUCTION,
-                     url: str = "url", batch_rows: int | None = None) -> DataFrame:
+                     url: str = "url", batch_rows: int | None = None,
+                     num_partitions: int | None = None) -> DataFrame:
     """Run a Python model over the distinct routed urls in Arrow batches.
 
     Output url, response, error (per-row failure captured, the job goes on).
     A scorer whose ``load`` raises makes every row an error row.
+    ``num_partitions`` spreads a costly model over more tasks (the work list
+    is already deduplicated, so no url is scored twice).
     """
     scorer = scorer or RuleScorer()
 
@@ -306,7 +309,10 @@ def plugin_responses(worklist: DataFrame, scorer=None, instruction: str = DEFAUL
     if batch_rows:
         worklist.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     schema = f"{url} string, response string, error string"
-    return worklist.select(url).mapInPandas(run, schema)
+    wl = worklist.select(url)
+    if num_partitions:
+        wl = wl.repartition(num_partitions, url)
+    return wl.mapInPandas(run, schema)
 
 
 def rule_responses(worklist: DataFrame, instruction: str = DEFAULT_INSTRUCTION,
