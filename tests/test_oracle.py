@@ -24,3 +24,20 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() == 50
     assert set(df.columns) >= {"url", "final_prediction", "decision_maker"}
+
+
+BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "SortAggregate")
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_plan_has_no_slow_operators(spark, key):
+    """No cross product, no nested-loop join, no row-at-a-time Python UDF and
+    no sort-based aggregate in any registered query's physical plan."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        E.queries()[key](spark, SF).explain()
+    plan = buf.getvalue()
+    assert not [b for b in BANNED if b in plan], plan

@@ -19,10 +19,14 @@ LABEL_TEXT = {0: "Legitimate", 1: "Phishing"}
 
 
 def evaluation_counts(final: DataFrame, truth: str = "true_label") -> DataFrame:
-    """The single aggregate all E-operators read."""
+    """The single aggregate all E-operators read.  Without a truth column
+    there is nothing to evaluate: the aggregate is taken over no rows and
+    every metric operator returns an empty result."""
+    if truth not in final.columns:
+        final = final.withColumn(truth, F.lit(None).cast("int")).where(F.lit(False))
     y, f, l1, u = F.col(truth), F.col("final_prediction"), F.col("layer1_prediction"), F.col("used_layer2")
     changed = u & (l1 != f)
-    return final.agg(
+    counts = final.agg(
         F.count(F.lit(1)).alias("total"),
         *binary_counts(y, f, "h_"), *binary_counts(y, l1, "l_"),
         *binary_counts(F.when(u, y), F.when(u, f), "s_"),
@@ -33,6 +37,7 @@ def evaluation_counts(final: DataFrame, truth: str = "true_label") -> DataFrame:
         F.count(F.when(y == 0, 1)).alias("y0"), F.count(F.when(y == 1, 1)).alias("y1"),
         F.count(F.when(f == 0, 1)).alias("f0"), F.count(F.when(f == 1, 1)).alias("f1"),
         F.count(F.when(l1 == 0, 1)).alias("p0"), F.count(F.when(l1 == 1, 1)).alias("p1"))
+    return counts.where(F.col("total") > 0)
 
 
 def _metrics(prefix: str) -> dict[str, Column]:

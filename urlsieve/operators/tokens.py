@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import tokenizer
 from ..session import cut_lineage
-from .ranking import BROADCAST_MAX_ROWS, bounded_broadcast, distributed_rank, range_bucket  # noqa: F401
+from .ranking import bounded_broadcast, distributed_rank, range_bucket
 
 # Fixed values.
 PAD_ID, UNK_ID = 0, 1

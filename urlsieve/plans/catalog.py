@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_tokens, url_tokens_structured
 from ..operators import cascade as H
 from ..operators import cleaning as C
+from ..operators import evaluation as E
 from ..operators import layer1 as M
+from ..operators import promptdata as PD
+from ..operators import runs as V
+from ..operators import sampling as P
 from ..operators import tokens as T
+from ..session import cut_lineage, fresh_path
+from ..sources import files as S
+from ..streaming import cascade_stream as X
 from . import fixtures as fx
 from . import flows
+from . import jobs as J
 from . import oracle as O
-from ..session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -358,7 +365,6 @@ def q_result_listing(spark, sf):
 
 
 # ---------------------------------------------------------------- P1–P4
-from ..operators import sampling as P  # noqa: E402
 
 SCORED_LABELLED = "sl AS (SELECT row_id, url, true_label AS label FROM scored)"
 BALANCED_SQL = (f"bs AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "
@@ -398,7 +404,6 @@ def q_sample_reduction(spark, sf):
 
 
 # ---------------------------------------------------------------- F1–F4
-from ..operators import promptdata as PD  # noqa: E402
 
 A_ROWS = ("arows AS (SELECT page_id AS row_id, url AS input, 'Decide if this is phishing and explain why.' AS instruction, "
           "CASE WHEN status = 'phishing' THEN 'Phishing: The URL ''' || url || ''' contains suspicious keywords or "
@@ -500,7 +505,6 @@ def q_train_logreg(spark, sf):
 
 
 # ---------------------------------------------------------------- E1–E11
-from ..operators import evaluation as E  # noqa: E402
 
 
 def _final_fixture(spark, sf):
@@ -626,7 +630,6 @@ def q_evaluation_report(spark, sf):
 
 
 # ---------------------------------------------------------------- V1–V4
-from ..operators import runs as V  # noqa: E402
 
 
 @register("best_checkpoint", O.with_(O.HISTORY) + (
@@ -688,9 +691,6 @@ def q_training_estimate(spark, sf):
 
 
 # ---------------------------------------------------------------- B1–B5
-from ..session import fresh_path  # noqa: E402
-from ..sources import files as S  # noqa: E402
-from . import jobs as J  # noqa: E402
 
 BATCH_OUT = ("url, layer1_confidence, layer1_prediction, used_layer2, final_prediction, layer2_explanation, "
              "decision_maker")
@@ -796,7 +796,6 @@ def q_metrics_json(spark, sf):
 
 
 # ---------------------------------------------------------------- X1, X2, U1
-from ..streaming import cascade_stream as X  # noqa: E402
 
 
 def _run_stream_cascade(spark, sf) -> str:

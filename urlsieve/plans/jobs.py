@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade as H
 from ..operators import layer1 as M
-from ..operators.ranking import md5_order_key
 from ..sources.files import read_csv, write_results
 from . import flows
 
@@ -72,7 +71,8 @@ def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", lay
 
 
 def with_truth(final: DataFrame, label_column: str | None) -> DataFrame:
-    if not label_column:
+    """true_label and correct_prediction, only when the named label column exists."""
+    if not label_column or f"original_{label_column}" not in final.columns:
         return final
     lab = F.col(f"original_{label_column}").cast("int")
     return final.withColumn("true_label", lab).withColumn(
