@@ -148,15 +148,16 @@ def metric_columns(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str,
 
 
 def validation_metrics(scored: DataFrame, label: str = "label",
-                       conf: str = "layer1_confidence") -> DataFrame:
-    """M5: mean binary cross-entropy over rows + hard-label metrics at > 0.5."""
+                       conf: str = "layer1_confidence", group_by: tuple[str, ...] = ()) -> DataFrame:
+    """M5: mean binary cross-entropy over rows + hard-label metrics at > 0.5
+    (one aggregate; ``group_by`` e.g. ``("split",)`` for several splits at once)."""
     y = F.col(label).cast("double")
     p = F.col(conf)
     loss = -(y * clamped_log(p) + (F.lit(1.0) - y) * clamped_log(F.lit(1.0) - p))
     pred = (p > DECISION_THRESHOLD).cast("int")
-    agg = scored.agg(F.avg(loss).alias("_loss"), *binary_counts(F.col(label), pred))
+    agg = scored.groupBy(*group_by).agg(F.avg(loss).alias("_loss"), *binary_counts(F.col(label), pred))
     m = metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    return agg.select(F.round("_loss", CONFIDENCE_DECIMALS).alias("val_loss"),
+    return agg.select(*group_by, F.round("_loss", CONFIDENCE_DECIMALS).alias("val_loss"),
                       *[F.round(v, CONFIDENCE_DECIMALS).alias(k) for k, v in m.items()],
                       F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
                       F.col("fn").cast("bigint").alias("fn"), F.col("tn").cast("bigint").alias("tn"))

@@ -825,3 +825,33 @@ def q_plugin_scorer(spark, sf):
     s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
     wl = H.layer2_worklist(H.route(s))
     return H.layer2_results(H.plugin_responses(wl))
+
+
+# ---------------------------------------------------------------- training path
+def _val_grouped_sql(where: str) -> str:
+    clamp = lambda p: f"(CASE WHEN {p} <= 0 THEN -100.0 ELSE greatest(ln({p}), -100.0) END)"
+    loss = (f"-(CAST(label AS DOUBLE) * {clamp('layer1_confidence')} + (1.0 - CAST(label AS DOUBLE)) * "
+            f"{clamp('1.0 - layer1_confidence')})")
+    pred = "CAST(layer1_confidence > 0.5 AS INTEGER)"
+    return (f"v AS (SELECT split, avg({loss}) AS _loss, count(*) FILTER (WHERE label = 1 AND {pred} = 1) AS tp, "
+            f"count(*) FILTER (WHERE label = 0 AND {pred} = 1) AS fp, count(*) FILTER (WHERE label = 1 AND {pred} = 0) AS fn, "
+            f"count(*) FILTER (WHERE label = 0 AND {pred} = 0) AS tn FROM l1 WHERE {where} GROUP BY split)")
+
+
+TRAIN_JOB_CTES = [
+    O.RAW_URLS,
+    "lab AS (SELECT page_id AS row_id, url, CASE status WHEN 'legitimate' THEN 0 WHEN 'phishing' THEN 1 END AS label "
+    "FROM raw_urls WHERE url IS NOT NULL AND status IS NOT NULL)",
+    f"smp AS (SELECT * FROM lab ORDER BY {O.md5_key(42, 'row_id')}, row_id LIMIT 100000)",
+    f"tok AS (SELECT row_id, url, label, {O.t1('url')} AS tokens FROM smp)",
+    *O.split_ctes("tok"), "train AS (SELECT * FROM split WHERE split = 'train')",
+    *O.nb_ctes("train"), *O.score_ctes("split"), _val_grouped_sql("split <> 'train'")]
+
+
+@register("training_job", O.with_(*TRAIN_JOB_CTES) +
+          f"SELECT split, round(_loss, 6) AS val_loss, {METRIC_SQL}, tp, fp, fn, tn FROM v")
+def q_training_job(spark, sf):
+    """C1-C3 -> P1 -> P2 -> T4 -> T8 -> M1 -> M5 on validation and test, model saved."""
+    raw = fx.raw_urls(spark, sf).withColumnRenamed("page_id", "row_id")
+    _, metrics = J.training_job(raw, fresh_path(spark, "training_job"))
+    return metrics

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cascade as H
+from ..operators import cleaning as C
 from ..operators import layer1 as M
+from ..operators import sampling as P
+from ..operators import tokens as T
+from ..session import cut_lineage
 from ..sources.files import read_csv, write_results
 from . import flows
 
@@ -117,6 +121,25 @@ def url_list_job(spark: SparkSession, urls, model: M.TokenModel, output_dir: str
     return path, read_csv(spark, path, final.schema)
 
 
+def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_len: int = 150,
+                 min_freq: int = 2, tok="url", seed: int = 42) -> tuple[M.TokenModel, DataFrame]:
+    """The layer-1 training path: C1-C3 -> P1 -> P2 -> T4 (train split) ->
+    T8 written once -> M1a -> M5 on validation and test (one aggregate).
+    ``raw`` needs a ``row_id`` column.  The model is saved under
+    ``out_dir/model`` together with its vocabulary; returns (model, metrics)."""
+    labelled = C.load_labelled(raw)
+    sampled = P.sample_n(labelled, sample_size, seed)
+    split = cut_lineage(P.stratified_split(flows.tokenized(sampled, "url", tok), seed))
+    train = split.where(F.col("split") == "train")
+    vocab = T.build_vocab(T.token_counts(train), min_freq)
+    T.write_training_table(T.model_ready(split, vocab, max_len), out_dir + "/training_table")
+    vocab.write.mode("errorifexists").parquet(out_dir + "/model/vocab")
+    model = M.train_token_weights(train, min_freq=min_freq)
+    save_model(model, out_dir + "/model")
+    held_out = M.score_layer1(split.where(F.col("split") != "train"), model)
+    return model, M.validation_metrics(held_out, group_by=("split",))
+
+
 def uniform(seed: int, key, j: int):
     """Uniform in [0, 1) from 16 bits of md5(seed|key|j); same integer in SQL."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"), F.lit(f"|{j}")))
