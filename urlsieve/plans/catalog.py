@@ -855,3 +855,21 @@ def q_training_job(spark, sf):
     raw = fx.raw_urls(spark, sf).withColumnRenamed("page_id", "row_id")
     _, metrics = J.training_job(raw, fresh_path(spark, "training_job"))
     return metrics
+
+
+# ---------------------------------------------------------------- tuning-data path
+JSON_ROWS = ("jrows AS (SELECT row_id, url, label FROM urls WHERE row_id IS NOT NULL AND url IS NOT NULL "
+             "AND label IS NOT NULL)")
+JSON_BALANCED = (f"bs AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "
+                 f"{O.md5_key(42, 'row_id')}, row_id) AS _r FROM jrows) WHERE _r <= 2000)")
+
+
+@register("instruction_data_job", O.with_(O.URLS, JSON_ROWS, JSON_BALANCED, B_ROWS,
+                                          _rendered_sql("brows", "rb", False)).rstrip("\n") + ",\n" +
+          _pack_sql("rb", 256, 200, True))
+def q_instruction_data_job(spark, sf):
+    """S2 -> C2 -> P3 -> F2 -> F3 -> F4 -> parquet over the pages urls written as JSON records."""
+    src = fresh_path(spark, "json_records")
+    fx.urls(spark, sf).select("row_id", F.col("url").alias("text"), "label").write.json(src)
+    out = J.instruction_data_job(spark, src, fresh_path(spark, "instruction_data"))
+    return out.select("row_id", "input_ids", "attention_mask", "labels")

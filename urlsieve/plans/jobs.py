@@ -17,7 +17,8 @@ from ..operators import layer1 as M
 from ..operators import sampling as P
 from ..operators import tokens as T
 from ..session import cut_lineage
-from ..sources.files import read_csv, write_results
+from ..operators import promptdata as PD
+from ..sources.files import read_csv, read_json_records, write_results
 from . import flows
 
 # Fixed values of the simulated scores (B5): error rates and confidence ranges.
@@ -140,6 +141,22 @@ def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_l
     return model, M.validation_metrics(held_out, group_by=("split",))
 
 
+def instruction_data_job(spark: SparkSession, json_path: str, out_path: str, per_class: int = 2_000,
+                         fast: bool = True, array_file: bool = False, seed: int = 42) -> DataFrame:
+    """The tuning-data path: S2 records (row_id, text, label) -> C2 (rows with
+    any null dropped, label as int) -> P3 balanced sample -> F2 rows -> F3
+    prompt (no ``URL:`` prefix on the fast path) -> F4 packing -> parquet,
+    written once and read back.  No intermediate CSV."""
+    raw = read_json_records(spark, json_path, "row_id bigint, text string, label int", array_file)
+    clean = C.clean_rows(raw, "text", "label", keep=["row_id"], drop_any_null=True) \
+        .withColumn("label", F.col("label").cast("int"))
+    rows = PD.instruction_rows_b(P.balanced_sample(clean, per_class=per_class, seed=seed), url="text")
+    rows = cut_lineage(PD.rendered(rows, url_prefix=not fast))      # read by the vocabulary and the packing
+    packed = PD.pack_supervised(rows, PD.packing_vocab(rows), fast=fast)
+    packed.write.mode("errorifexists").parquet(out_path)
+    return spark.read.parquet(out_path)
+
+
 def uniform(seed: int, key, j: int):
     """Uniform in [0, 1) from 16 bits of md5(seed|key|j); same integer in SQL."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"), F.lit(f"|{j}")))
