@@ -115,3 +115,15 @@ def test_rank_segments_edges(spark):
         seg = rank_segments(keyed, "_k", "row_id", hash_bucket(F.col("_k"), 2), ["label"], cuts)
         got = ranked.withColumn("seg", seg).select("r", "n", "seg").collect()
         assert all(x.seg == want(x.r, x.n) for x in got)
+
+
+def test_reserved_tokens_never_enter_the_vocabulary(spark):
+    # T2 does not lower-case: a literal <PAD>/<UNK> token must not take a reserved id
+    urls = ["http://a.com/<PAD>/<UNK>", "http://b.com/<PAD>/<UNK>", "http://c.com/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "row_id bigint, url string")
+    df = flows.tokenized(df, tok="structured")
+    vocab = T.build_vocab(T.token_counts(df), min_freq=2)
+    v = {r.token: r.idx for r in vocab.collect()}
+    assert "<PAD>" not in v and "<UNK>" not in v and v == {"com": 2}
+    enc = {r.row_id: r.sequence for r in T.encode(df, vocab, 4).collect()}
+    assert enc[0] == [2, 1, 1, 0]        # com, <PAD>, <UNK> (one-char "a" dropped) -> com, unk, unk, pad
