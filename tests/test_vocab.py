@@ -49,7 +49,8 @@ def test_decode_inverts_encode_in_vocabulary(spark):
     df = _urls(spark, SEED_B)
     vocab = T.build_vocab(T.token_counts(df), min_freq=1)
     enc = T.encode(df, vocab, max_len=10)
-    dec = T.decode(enc, vocab)
+    assert "tokens" not in enc.columns
+    dec = T.decode(enc, vocab).join(df.select("row_id", "tokens"), "row_id")
     for r in dec.collect():
         assert r.decoded == r.tokens
 

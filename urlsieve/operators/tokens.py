@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import tokenizer
 from ..session import cut_lineage
-from .ranking import bounded_broadcast, distributed_rank, range_bucket
+from .ranking import bounded_broadcast, broadcastable, distributed_rank, range_bucket
 
 # Fixed values.
 PAD_ID, UNK_ID = 0, 1
@@ -108,10 +109,27 @@ def token_ids(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", tokens: s
 
 def encode(df: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN, row_id: str = "row_id",
            tokens: str = "tokens", out: str = "sequence") -> DataFrame:
-    """T5: fixed-length id array for every row of ``df`` (other columns kept)."""
+    """T5: fixed-length id array for every row of ``df``; the token array is
+    replaced by the id array, other columns are kept.
+
+    Vocabulary proven small: explode, broadcast lookup and ``collect_list``
+    grouped by row_id plus the other (narrow) columns -- the map-side partial
+    aggregate collapses each row before the one shuffle, no join back.
+    Otherwise a slim (row_id, token) path and a join back on row_id."""
+    carried = [f.name for f in df.schema.fields
+               if f.name not in (row_id, tokens) and not isinstance(f.dataType, T.MapType)]
+    v = vocab.select("token", "idx")
+    if broadcastable(v) and len(carried) == len(df.columns) - 2:
+        toks = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_len)
+        ex = df.select(row_id, *carried, F.posexplode_outer(toks).alias("pos", "token"))
+        looked = ex.join(F.broadcast(v), "token", "left")
+        item = F.when(F.col("pos").isNotNull(),
+                      F.struct(F.col("pos"), F.coalesce(F.col("idx"), F.lit(UNK_ID)).alias("idx")))
+        g = looked.groupBy(row_id, *carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        return g.select(row_id, *carried, pad_to(F.transform("_items", lambda x: x["idx"]), max_len).alias(out))
     ids = token_ids(df.select(row_id, tokens), vocab, row_id, tokens, max_tokens=max_len)
     seq = ids.select(row_id, pad_to(F.col("ids"), max_len).alias(out))
-    return df.join(seq, row_id, "left")
+    return df.drop(tokens).join(seq, row_id, "left")
 
 
 def attention_mask(seq) -> Column:
