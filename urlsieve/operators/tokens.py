@@ -91,20 +91,21 @@ def pad_to(ids: Column, length: int, fill: int = PAD_ID) -> Column:
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", tokens: str = "tokens",
-              max_tokens: int | None = None, out: str = "ids") -> DataFrame:
-    """(row_id, ids) with ids in token order, unknown -> 1, for every row of
-    ``df`` (a row without tokens gets an empty array).  Tokens past
-    ``max_tokens`` are cut before the lookup."""
+              max_tokens: int | None = None, out: str = "ids", carry: Sequence[str] = ()) -> DataFrame:
+    """(row_id, carry..., ids) with ids in token order, unknown -> 1, for
+    every row of ``df`` (a row without tokens gets an empty array).  Tokens
+    past ``max_tokens`` are cut before the lookup.  ``carry``: narrow columns
+    kept as grouping keys (collapsed map side, no join back needed)."""
     toks = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    ex = df.select(row_id, F.posexplode_outer(toks).alias("pos", "token"))
+    ex = df.select(row_id, *carry, F.posexplode_outer(toks).alias("pos", "token"))
     v = bounded_broadcast(vocab.select("token", "idx"))
     looked = ex.join(v, "token", "left")
     item = F.when(F.col("pos").isNotNull(),
                   F.struct(F.col("pos"), F.coalesce(F.col("idx"), F.lit(UNK_ID)).alias("idx")))
-    grouped = looked.groupBy(row_id).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return grouped.select(row_id, F.transform("_items", lambda x: x["idx"]).alias(out))
+    grouped = looked.groupBy(row_id, *carry).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select(row_id, *carry, F.transform("_items", lambda x: x["idx"]).alias(out))
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN, row_id: str = "row_id",
