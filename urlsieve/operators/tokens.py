@@ -142,15 +142,18 @@ def attention_mask(seq) -> Column:
 def decode(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", seq: str = "sequence",
            out: str = "decoded") -> DataFrame:
     """Ids back to tokens through the inverse vocabulary; padding dropped,
-    unknown ids as ``<UNK>``."""
-    ex = df.select(row_id, F.posexplode(seq).alias("pos", "idx")).where(F.col("idx") != PAD_ID)
+    unknown ids as ``<UNK>``.  The id array is replaced by the token array;
+    other (narrow) columns ride along as grouping keys, so one shuffle and
+    no join back (rows of padding only get an empty array)."""
+    carried = [f.name for f in df.schema.fields
+               if f.name not in (row_id, seq) and not isinstance(f.dataType, T.MapType)]
+    ex = df.select(row_id, *carried, F.posexplode_outer(seq).alias("pos", "idx"))
     v = bounded_broadcast(vocab.select("idx", "token"))
     looked = ex.join(v, "idx", "left")
-    item = F.struct("pos", F.coalesce(F.col("token"), F.lit(UNK_TOKEN)).alias("token"))
-    dec = looked.groupBy(row_id).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    dec = dec.select(row_id, F.transform("_items", lambda x: x["token"]).alias(out))
-    return df.join(dec, row_id, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    item = F.when(F.col("idx").isNotNull() & (F.col("idx") != PAD_ID),
+                  F.struct("pos", F.coalesce(F.col("token"), F.lit(UNK_TOKEN)).alias("token")))
+    dec = looked.groupBy(row_id, *carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return dec.select(row_id, *carried, F.transform("_items", lambda x: x["token"]).alias(out))
 
 
 def model_ready(df: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,
