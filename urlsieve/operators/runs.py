@@ -56,13 +56,16 @@ def early_stop(history: DataFrame, patience: int = DEFAULT_PATIENCE, run: str =
     improvement; later epochs are ignored.  best_epoch = the checkpoint kept."""
     imp = improvements(history, run, epoch, loss)
     lb = _look_back(imp.select(run, epoch, "improved"), run, epoch, patience)
-    win = lb.groupBy(run, "_target").agg(F.count(F.lit(1)).alias("_n"),
-                                        F.count(F.when(~F.col("improved"), 1)).alias("_bad"))
-    stops = win.where((F.col("_n") == patience) & (F.col("_bad") == patience)) \
-        .groupBy(run).agg(F.min("_target").alias("stop_epoch"))
-    per_run = imp.groupBy(run).agg(F.max(F.when(F.col("improved"), F.col(epoch))).alias("_last_imp"),
-                                  F.count(F.lit(1)).alias("_epochs"))
-    j = per_run.join(stops, run, "left")
+    here = F.col("_lag") == 0
+    win = lb.groupBy(run, "_target").agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("improved"), 1)).alias("_bad"),
+        F.max(F.when(here, F.col("improved").cast("int"))).alias("_imp_here"),
+        F.max(F.when(here, 1)).alias("_here"))
+    # one aggregate per run: first full window without improvement, last improvement, epochs
+    j = win.groupBy(run).agg(
+        F.min(F.when((F.col("_n") == patience) & (F.col("_bad") == patience), F.col("_target"))).alias("stop_epoch"),
+        F.max(F.when(F.col("_imp_here") == 1, F.col("_target"))).alias("_last_imp"),
+        F.count(F.when(F.col("_here") == 1, 1)).alias("_epochs"))
     return j.select(
         run, "stop_epoch",
         F.when(F.col("stop_epoch").isNotNull(), F.col("stop_epoch") - patience)
