@@ -45,11 +45,11 @@ def train_token_weights(train: DataFrame, tokens: str = "tokens", label: str = "
         F.count(F.when(F.col("_y") == 0, 1)).alias("c0"))
     if min_freq > 1:
         per_token = per_token.where(F.col("c1") + F.col("c0") >= min_freq)
-    totals = per_token.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"),
-                           F.count(F.lit(1)).alias("v"))
-    big_n1 = totals.select("n1").scalar()
-    big_n0 = totals.select("n0").scalar()
-    vocab = totals.select("v").scalar()
+    if materialize:  # vocabulary-sized; read by the totals and by the weights
+        per_token = cut_lineage(per_token)
+    totals = per_token.agg(F.struct(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"),
+                                    F.count(F.lit(1)).alias("v")).alias("t")).scalar()
+    big_n1, big_n0, vocab = totals["n1"], totals["n0"], totals["v"]
     a = F.lit(float(alpha))
     w = (F.ln((F.col("c1") + a) / (big_n1 + a * vocab))
          - F.ln((F.col("c0") + a) / (big_n0 + a * vocab)))
