@@ -114,3 +114,26 @@ def test_rule_scorer_native_equals_python(spark):
     a = H.rule_responses(wl).select("url", "response")
     b = H.plugin_responses(wl).select("url", "response")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _py_parse(answer: str) -> int:
+    """The H5 rule written from its contract, for the property test."""
+    low = answer.lower()
+    head = low[:20]
+    if "phishing" in low and "legitimate:" not in head:
+        return 1
+    if "legitimate" in low and "phishing:" not in head:
+        return 0
+    return 1 if low.count("phishing") > low.count("legitimate") else 0
+
+
+def test_parse_answer_matches_rule_on_random_answers(spark):
+    import random
+    rnd = random.Random(3)
+    parts = ["phishing", "Phishing:", "legitimate", "Legitimate:", "LEGITIMATE", ": ", " ", "not ", "x", "site",
+             "phishingphishing", "legit", "\n"]
+    answers = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
+    got = {r.i: r.p for r in df.select("i", H.parse_answer("a").alias("p")).collect()}
+    bad = [(a, got[i], _py_parse(a)) for i, a in enumerate(answers) if got[i] != _py_parse(a)]
+    assert not bad, bad[:5]
