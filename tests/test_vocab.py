@@ -128,3 +128,21 @@ def test_reserved_tokens_never_enter_the_vocabulary(spark):
     assert "<PAD>" not in v and "<UNK>" not in v and v == {"com": 2}
     enc = {r.row_id: r.sequence for r in T.encode(df, vocab, 4).collect()}
     assert enc[0] == [2, 1, 1, 0]        # com, <PAD>, <UNK> (one-char "a" dropped) -> com, unk, unk, pad
+
+
+def test_null_partition_values_are_their_own_group(spark):
+    from urlsieve.operators.ranking import rank_segments
+    df = spark.range(0, 600).select(F.col("id").alias("row_id"),
+                                    F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("label"))
+    keyed = df.withColumn("_k", md5_order_key(5, "row_id"))
+    w = Window.partitionBy("label").orderBy("_k", "row_id")
+    want = {r.row_id: r.r for r in keyed.withColumn("r", F.row_number().over(w)).collect()}
+    got = {r.row_id: r.rank for r in distributed_rank(keyed, ["_k", "row_id"], hash_bucket(F.col("_k"), 1),
+                                                      partition_by=["label"]).collect()}
+    assert got == want
+    seg = rank_segments(keyed, "_k", "row_id", hash_bucket(F.col("_k"), 1), ["label"], lambda t: [F.lit(50)])
+    segs = {r.row_id: r.s for r in keyed.withColumn("s", seg).collect()}
+    assert all(segs[i] == (0 if want[i] <= 50 else 1) for i in want)
+    rm = running_agg(keyed.withColumn("v", F.col("row_id").cast("double")), ["label"], ["row_id"],
+                     range_bucket(keyed, "row_id", 4), "v", "min", "m")
+    assert rm.count() == 600

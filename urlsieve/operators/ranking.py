@@ -23,6 +23,17 @@ HASH_BUCKET_HEX = 4       # md5 order keys: 16^4 = 65,536 buckets
 RANGE_BUCKETS = 65536     # numeric order keys: equal-width cells
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` with null-safe equality (a null partition value
+    is a group of its own, as in a SQL window)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def broadcastable(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """True if ``df`` has at most ``max_rows`` rows (checked with a limit, so
     the check reads at most ``max_rows + 1`` rows).  Meant for materialised
@@ -80,7 +91,7 @@ def distributed_rank(df: DataFrame, order: Sequence[Column | str], bucket: Colum
     # while that is proven small (many partition values -> shuffle join).  With
     # partition columns it is materialised first so the size check is a cheap scan.
     off = F.broadcast(offsets) if not part else bounded_broadcast(cut_lineage(offsets))
-    joined = b.join(off, [*part, "_bkt"], "inner")
+    joined = join_on(b, off, [*part, "_bkt"])
     within = Window.partitionBy(*part, "_bkt").orderBy(*order)
     out = joined.withColumn(rank_col, F.col("_off") + F.row_number().over(within))
     if keep_below is not None:
@@ -104,7 +115,7 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]
     per = b.groupBy(*part, "_bkt").agg(agg(value).alias("_bv"))
     prev = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*part, "_bkt", agg("_bv").over(prev).alias("_carry"))
-    j = b.join(bounded_broadcast(cut_lineage(carry)), [*part, "_bkt"], "inner")
+    j = join_on(b, bounded_broadcast(cut_lineage(carry)), [*part, "_bkt"])
     end = -1 if exclusive else Window.currentRow
     w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     inner = agg(value).over(w)
@@ -142,10 +153,10 @@ def rank_segments(df: DataFrame, key: str, tie: str, bucket: Column, partition_b
     hit = want.where((F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col("_n")))
     hit = hit.select(*part, "_bkt", "_ci", (F.col("_rank") - F.col("_off")).alias("_local"))
     # the buckets holding a cut: at most #partition values x #cuts of them
-    boundary = b.join(F.broadcast(hit.select(*part, "_bkt").distinct()), [*part, "_bkt"])
+    boundary = join_on(b, F.broadcast(hit.select(*part, "_bkt").distinct()), [*part, "_bkt"])
     w = Window.partitionBy(*part, "_bkt").orderBy(key, tie)
     ranked = boundary.withColumn("_local", F.row_number().over(w))
-    picked = ranked.join(F.broadcast(hit), [*part, "_bkt", "_local"]).select(*part, "_ci", key, tie)
+    picked = join_on(ranked, F.broadcast(hit), [*part, "_bkt", "_local"]).select(*part, "_ci", key, tie)
     cut_rows = picked.collect()
     # partitions where a cut rank <= 0 put every row above that cut
     below = want.where(F.col("_rank") <= 0).select(*part, "_ci").distinct().collect()
@@ -153,7 +164,7 @@ def rank_segments(df: DataFrame, key: str, tie: str, bucket: Column, partition_b
     def at(values):
         cond = F.lit(True)
         for c, v in zip(part, values):
-            cond = cond & (F.col(c) == F.lit(v))
+            cond = cond & F.col(c).eqNullSafe(F.lit(v))
         return cond
 
     seg = F.lit(0)
