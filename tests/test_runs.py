@@ -75,3 +75,14 @@ def test_early_stop_matches_window_on_hot_run(spark):
                 stop = e
                 break
         assert got[run] == (stop, best_e), run
+
+
+def test_null_run_is_a_run(spark, history):
+    nulled = history.withColumn("run_id", F.when(F.col("run_id") == 7, F.lit(None)).otherwise(F.col("run_id")))
+    for fn in (V.early_stop, V.best_checkpoint, V.early_stop_window):
+        a = {r.run_id: r.asDict() for r in fn(history).collect()}
+        b = {r.run_id: r.asDict() for r in fn(nulled).collect()}
+        a7 = dict(a[7], run_id=None)
+        assert b[None] == a7 and b[8] == a[8]
+    lr = V.log_rate(nulled).where(F.col("run_id").isNull()).count()
+    assert lr == len(LOSSES)

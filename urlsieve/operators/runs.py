@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
-from .ranking import bounded_broadcast, range_bucket, running_agg
+from .ranking import bounded_broadcast, join_on, range_bucket, running_agg
 
 DEFAULT_PATIENCE = 3
 LOGGING_STEPS = 50
@@ -37,10 +37,10 @@ def best_checkpoint(history: DataFrame, run: str = "run_id", epoch: str = "epoch
     minimum loss.  Two hash aggregates (map-side partials, one row per run
     and task shuffled): the minimum per run, then the first epoch at it."""
     best = history.groupBy(run).agg(F.min(loss).alias("best_val_loss"), F.count(F.lit(1)).alias("epochs"))
-    at_best = history.select(run, epoch, loss).join(bounded_broadcast(best), run) \
+    at_best = join_on(history.select(run, epoch, loss), bounded_broadcast(best), [run]) \
         .where(F.col(loss) == F.col("best_val_loss"))
     first = at_best.groupBy(run).agg(F.min(epoch).alias("best_epoch"))
-    return best.join(first, run, "left").select(run, "best_epoch", "best_val_loss", "epochs")
+    return join_on(best, first, [run], "left").select(run, "best_epoch", "best_val_loss", "epochs")
 
 
 def _look_back(df: DataFrame, run: str, epoch: str, width: int) -> DataFrame:
@@ -84,7 +84,7 @@ def early_stop_window(history: DataFrame, patience: int = DEFAULT_PATIENCE, run:
     trig = win.where((F.col("_here") == 1) & (F.col("_target") > patience) & (F.col("_cur") > F.col("_wmin")))
     first = trig.groupBy(run).agg(F.min("_target").cast("int").alias("trigger_epoch"))
     runs = history.select(run).distinct()
-    return runs.join(first, run, "left")
+    return join_on(runs, first, [run], "left")
 
 
 def log_rate(history: DataFrame, logging_steps: int = LOGGING_STEPS, run: str = "run_id",
@@ -98,7 +98,7 @@ def log_rate(history: DataFrame, logging_steps: int = LOGGING_STEPS, run: str =
         F.max(F.when(F.col("_lag") == 0, F.col("_us"))).alias("_now"),
         F.max(F.when(F.col("_lag") == 1, F.col("_us"))).alias("_prev")).where(F.col("_now").isNotNull())
     sizes = history.groupBy(run).agg(F.count(F.lit(1)).alias("_logs"))
-    j = pair.join(bounded_broadcast(sizes), run)
+    j = join_on(pair, bounded_broadcast(sizes), [run])
     dt = (F.col("_now") - F.col("_prev")) / F.lit(1e6)
     spm = F.try_divide(F.lit(60.0), dt) * F.lit(float(logging_steps))
     remaining = (F.col("_logs") - F.col("_target")) * logging_steps

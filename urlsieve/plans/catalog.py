@@ -649,7 +649,7 @@ def q_best_checkpoint(spark, sf):
     "per AS (SELECT run_id, max(epoch) FILTER (WHERE improved) AS last_imp, count(*) AS epochs FROM imp GROUP BY run_id)")
     + ("SELECT p.run_id, s.stop_epoch, CAST(CASE WHEN s.stop_epoch IS NOT NULL THEN s.stop_epoch - 3 ELSE p.last_imp "
        "END AS INTEGER) AS best_epoch, CAST(coalesce(s.stop_epoch, p.epochs) AS INTEGER) AS epochs_trained "
-       "FROM per p LEFT JOIN stops s ON p.run_id = s.run_id"))
+       "FROM per p LEFT JOIN stops s ON p.run_id IS NOT DISTINCT FROM s.run_id"))
 def q_early_stop(spark, sf):
     return V.early_stop(fx.history(spark, sf))
 
@@ -660,7 +660,7 @@ def q_early_stop(spark, sf):
     "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS wmin FROM history)",
     "t AS (SELECT run_id, min(epoch) AS trigger_epoch FROM w WHERE epoch > 3 AND val_loss > wmin GROUP BY run_id)")
     + ("SELECT r.run_id, CAST(t.trigger_epoch AS INTEGER) AS trigger_epoch FROM (SELECT DISTINCT run_id FROM history) r "
-       "LEFT JOIN t ON r.run_id = t.run_id"))
+       "LEFT JOIN t ON r.run_id IS NOT DISTINCT FROM t.run_id"))
 def q_early_stop_window(spark, sf):
     return V.early_stop_window(fx.history(spark, sf))
 
