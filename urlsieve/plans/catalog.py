@@ -800,7 +800,7 @@ def q_metrics_json(spark, sf):
 
 def _run_stream_cascade(spark, sf) -> str:
     out = fresh_path(spark, "stream_cascade")
-    stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet")
+    stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet", schema=fx.table(spark, sf, "orders").schema)
     X.stream_cascade(stream, flows.rule_layer2, out, fresh_path(spark, "stream_cascade_ckpt"))
     return out
 

@@ -31,10 +31,12 @@ FINAL_SCHEMA = T.StructType([
     T.StructField("true_label", T.IntegerType()), T.StructField("batch", T.LongType())])
 
 
-def scored_stream(spark: SparkSession, orders_glob: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def scored_stream(spark: SparkSession, orders_glob: str, max_files_per_trigger: int | None = None,
+                  schema: T.StructType | None = None) -> DataFrame:
     """Streaming scored urls derived from an orders file source (same columns
-    as the batch ``scored`` view plus layer1_prediction)."""
-    schema = spark.read.parquet(orders_glob).schema
+    as the batch ``scored`` view plus layer1_prediction).  A file source
+    needs a schema up front; without one it is read from the files once."""
+    schema = schema or spark.read.parquet(orders_glob).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
