@@ -146,3 +146,14 @@ def test_null_partition_values_are_their_own_group(spark):
     rm = running_agg(keyed.withColumn("v", F.col("row_id").cast("double")), ["label"], ["row_id"],
                      range_bucket(keyed, "row_id", 4), "v", "min", "m")
     assert rm.count() == 600
+
+
+def test_partition_rank_splits_only_hot_values(spark):
+    from urlsieve.operators.ranking import partition_rank
+    df = spark.range(0, 4000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 37 + 1).alias("g"),
+                                     ((F.col("id") * 7919) % 4000).alias("t"), "id")
+    w = Window.partitionBy("g").orderBy("t", "id")
+    want = {r.id: r.rank for r in df.withColumn("rank", F.row_number().over(w)).collect()}
+    for hot_rows in (100, 10_000):          # with and without a hot value
+        got = {r.id: r.rank for r in partition_rank(df, ["g"], ["t", "id"], "t", hot_rows=hot_rows, cells=16).collect()}
+        assert got == want

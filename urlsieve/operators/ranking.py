@@ -114,8 +114,9 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]
     b = df.withColumn("_bkt", bucket)
     per = b.groupBy(*part, "_bkt").agg(agg(value).alias("_bv"))
     prev = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*part, "_bkt", agg("_bv").over(prev).alias("_carry"))
-    j = join_on(b, bounded_broadcast(cut_lineage(carry)), [*part, "_bkt"])
+    # only cells with an earlier cell carry a value: single-cell partitions drop out here
+    carry = per.select(*part, "_bkt", agg("_bv").over(prev).alias("_carry")).where(F.col("_carry").isNotNull())
+    j = join_on(b, bounded_broadcast(cut_lineage(carry)), [*part, "_bkt"], "left")
     end = -1 if exclusive else Window.currentRow
     w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     inner = agg(value).over(w)
@@ -175,3 +176,52 @@ def rank_segments(df: DataFrame, key: str, tie: str, bucket: Column, partition_b
     for r in below:
         seg = seg + F.when(at([r[c] for c in part]), 1).otherwise(0)
     return seg
+
+
+HOT_ROWS = 1_000_000     # a partition value with more rows than this is split into cells
+HOT_CELLS = 4096
+
+
+def hot_cells(df: DataFrame, partition_by: Sequence[str], order_num: str, hot_rows: int = HOT_ROWS,
+              cells: int = HOT_CELLS, out: str = "_bkt") -> tuple[DataFrame, DataFrame | None]:
+    """Tag rows with a cell that splits only hot partition values.
+
+    One count per partition value; the values with more than ``hot_rows``
+    rows (at most total / hot_rows of them: bounded, broadcast) get ``cells``
+    ranges of ``order_num`` within their own min..max, every other row cell 0.
+    Returns (tagged rows, hot partition values or None when there are none).
+    """
+    part = list(partition_by)
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.where(F.col("_n") > hot_rows).select(*part))
+    if hot.limit(1).count() == 0:
+        return df.withColumn(out, F.lit(0).cast("long")), None
+    ranges = cut_lineage(join_on(df.select(*part, order_num), F.broadcast(hot), part)
+                         .groupBy(*part).agg(F.min(order_num).alias("_lo"), F.max(order_num).alias("_hi")))
+    tagged = join_on(df, F.broadcast(ranges), part, "left")
+    span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
+    cell = F.floor((F.col(order_num) - F.col("_lo")).cast("double") * cells / span).cast("long")
+    tagged = tagged.withColumn(out, F.when(F.col("_lo").isNotNull(), cell).otherwise(F.lit(0).cast("long")))
+    return tagged.drop("_lo", "_hi"), hot
+
+
+def partition_rank(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], order_num: str,
+                   rank_col: str = "rank", hot_rows: int = HOT_ROWS, cells: int = HOT_CELLS) -> DataFrame:
+    """row_number() over (partition by … order by …), splitting only the hot
+    partition values (see :func:`hot_cells`); only their cells get offsets,
+    every other value is numbered inside its own single group.
+    ``order_num`` must be numeric and non-decreasing along ``order``."""
+    part = list(partition_by)
+    tagged, hot = hot_cells(df, part, order_num, hot_rows, cells)
+    if hot is None:
+        w = Window.partitionBy(*part).orderBy(*order)
+        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+    counts = join_on(tagged.select(*part, "_bkt"), F.broadcast(hot), part) \
+        .groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(counts.select(*part, "_bkt", F.coalesce(F.sum("_c").over(before), F.lit(0))
+                                        .alias("_off")))
+    joined = join_on(tagged, F.broadcast(offsets), [*part, "_bkt"], "left")
+    within = Window.partitionBy(*part, "_bkt").orderBy(*order)
+    ranked = joined.withColumn(rank_col, F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(within))
+    return ranked.drop("_bkt", "_off")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
-from .ranking import bounded_broadcast, join_on, range_bucket, running_agg
+from .ranking import HOT_ROWS, bounded_broadcast, hot_cells, join_on, running_agg
 
 DEFAULT_PATIENCE = 3
 LOGGING_STEPS = 50
@@ -23,12 +23,14 @@ BATCH_SIZE, ACCUMULATION, SECONDS_PER_STEP = 4, 8, 0.8
 
 
 def improvements(history: DataFrame, run: str = "run_id", epoch: str = "epoch",
-                 loss: str = "val_loss") -> DataFrame:
-    """Adds ``improved``: loss < every earlier loss of the run (first epoch always)."""
-    r = running_agg(history, [run], [epoch], range_bucket(history, epoch), loss, "min",
-                    out="_prev_best", exclusive=True)
+                 loss: str = "val_loss", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``improved``: loss < every earlier loss of the run (first epoch
+    always).  The running minimum is scanned per (run, cell); only runs with
+    more than a million epochs are cut into cells (see ranking.hot_cells)."""
+    tagged, _ = hot_cells(history, [run], epoch, hot_rows=hot_rows, out="_cell")
+    r = running_agg(tagged, [run], [epoch], F.col("_cell"), loss, "min", out="_prev_best", exclusive=True)
     return r.withColumn("improved", F.col("_prev_best").isNull() | (F.col(loss) < F.col("_prev_best"))) \
-            .drop("_prev_best")
+            .drop("_prev_best", "_cell")
 
 
 def best_checkpoint(history: DataFrame, run: str = "run_id", epoch: str = "epoch",
@@ -51,10 +53,10 @@ def _look_back(df: DataFrame, run: str, epoch: str, width: int) -> DataFrame:
 
 
 def early_stop(history: DataFrame, patience: int = DEFAULT_PATIENCE, run: str = "run_id",
-               epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
+               epoch: str = "epoch", loss: str = "val_loss", hot_rows: int = HOT_ROWS) -> DataFrame:
     """V2: stop at the first epoch ending ``patience`` epochs in a row without
     improvement; later epochs are ignored.  best_epoch = the checkpoint kept."""
-    imp = improvements(history, run, epoch, loss)
+    imp = improvements(history, run, epoch, loss, hot_rows)
     lb = _look_back(imp.select(run, epoch, "improved"), run, epoch, patience)
     here = F.col("_lag") == 0
     win = lb.groupBy(run, "_target").agg(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
-from ..operators.ranking import distributed_rank, range_bucket
+from ..operators.ranking import partition_rank
 from ..session import cut_lineage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -60,13 +60,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per user: epoch = 1.. in (ts, event_id) order.
 
-    The epoch number is a per-run rank computed bucketed on ts ranges, so a
-    run holding most events is still numbered by many tasks."""
+    The epoch number is a per-run rank; a run with more than a million events
+    is cut into time cells, so even a run holding most events is numbered by
+    many tasks, while small runs stay single groups."""
     e = table(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("user_id").alias("run_id"), "value", "props")
     e = e.withColumn("_t", epoch_micros("ts", e.schema["ts"].dataType))
-    ranked = distributed_rank(e, ["_t", "event_id"], range_bucket(e, "_t"),
-                              partition_by=["run_id"], rank_col="epoch")
+    ranked = partition_rank(e, ["run_id"], ["_t", "event_id"], "_t", rank_col="epoch")
     return cut_lineage(ranked.select(
         "run_id", F.col("epoch").cast("int").alias("epoch"), "ts",
         (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("train_loss"),
