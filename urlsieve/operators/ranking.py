@@ -34,14 +34,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def broadcastable(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (checked with a limit, so
-    the check reads at most ``max_rows + 1`` rows).  Meant for materialised
-    (checkpointed) tables, where the check is a cheap scan."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def broadcastable(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (default
+    ``BROADCAST_MAX_ROWS``; checked with a limit, so the check reads at most
+    ``max_rows + 1`` rows).  Meant for materialised (checkpointed) tables,
+    where the check is a cheap scan."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return df.limit(bound + 1).count() <= bound
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only if it is proven small; otherwise leave the join
     to Spark (sort-merge join; AQE may still convert it or split skew)."""
     return F.broadcast(df) if broadcastable(df, max_rows) else df
