@@ -311,7 +311,7 @@ def q_parse_answer(spark, sf):
     O.parse_answer(O.extract_answer(O.rule_response("url"))) + " END AS layer2_prediction, "
     "CASE WHEN (" + O.hex16("md5(url)") + " % 2) = 0 THEN 'Error: scorer failed' ELSE " +
     O.extract_answer(O.rule_response("url")) + " END AS layer2_explanation, "
-    "CASE WHEN (" + O.hex16("md5(url)") + " % 2) = 0 THEN 0.0 ELSE 1.0 END AS layer2_confidence FROM final_wl"))
+    "CASE WHEN (" + O.hex16("md5(url)") + " % 2) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS layer2_confidence FROM final_wl"))
 def q_layer2_error_rows(spark, sf):
     """H6: half of the answers fail (even md5 prefix) and must become error rows."""
     wl = q_layer2_worklist(spark, sf)
@@ -820,7 +820,7 @@ def q_stream_cascade_stats(spark, sf):
 
 
 @register("plugin_scorer", O.with_(*FIX) + (
-    "SELECT url, layer2_prediction, layer2_explanation, 1.0 AS layer2_confidence FROM final_l2"))
+    "SELECT url, layer2_prediction, layer2_explanation, 1.0::DOUBLE AS layer2_confidence FROM final_l2"))
 def q_plugin_scorer(spark, sf):
     s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
     wl = H.layer2_worklist(H.route(s))
