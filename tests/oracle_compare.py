@@ -63,11 +63,24 @@ def rows_of(pdf):
     return cols, out
 
 
+def duck_type(t) -> str:
+    """Spark type -> the DuckDB type name of the same values."""
+    from pyspark.sql import types as T
+    if isinstance(t, T.ArrayType):
+        return duck_type(t.elementType) + "[]"
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+             T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.FloatType: "FLOAT"}
+    return names.get(type(t), str(t))
+
+
 def compare(spark, con, key, qfn, sql, sf_dir):
     t0 = time.time()
-    sdf = qfn(spark, sf_dir).toPandas()
+    frame = qfn(spark, sf_dir)
+    stypes = {f.name: duck_type(f.dataType) for f in frame.schema.fields}
+    sdf = frame.toPandas()
     t1 = time.time()
-    ddf = con.sql(sql).df() if sql else None
+    rel = con.sql(sql) if sql else None
+    ddf = rel.df() if sql else None
     t2 = time.time()
     res = {"key": key, "spark_rows": len(sdf), "spark_s": round(t1 - t0, 2)}
     if ddf is None:
@@ -77,8 +90,11 @@ def compare(spark, con, key, qfn, sql, sf_dir):
     res["duck_s"] = round(t2 - t1, 2)
     sc, sr = rows_of(sdf)
     dc, dr = rows_of(ddf)
+    dtypes = {n: str(t) for n, t in zip(rel.columns, rel.types)}
     if sc != dc:
         res["status"] = f"COLUMNS {sc} vs {dc}"
+    elif stypes != dtypes:
+        res["status"] = f"TYPES {[(n, stypes[n], dtypes.get(n)) for n in stypes if stypes[n] != dtypes.get(n)]}"
     elif sr != dr:
         diff_s = [r for r in sr if r not in set(dr)][:3]
         diff_d = [r for r in dr if r not in set(sr)][:3]
