@@ -873,3 +873,14 @@ def q_instruction_data_job(spark, sf):
     fx.urls(spark, sf).select("row_id", F.col("url").alias("text"), "label").write.json(src)
     out = J.instruction_data_job(spark, src, fresh_path(spark, "instruction_data"))
     return out.select("row_id", "input_ids", "attention_mask", "labels")
+
+
+@register("stream_cascade_static", O.with_(*FIX) + f"SELECT {O.FINAL_COLS}, true_label FROM final")
+def q_stream_cascade_static(spark, sf):
+    """X2 as a stream-static join with layer-2 answers saved ahead of the stream."""
+    s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
+    answers = cut_lineage(flows.rule_layer2(H.layer2_worklist(H.route(s))))
+    out = fresh_path(spark, "stream_static")
+    stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet", schema=fx.table(spark, sf, "orders").schema)
+    X.stream_cascade_static(stream, answers, out, fresh_path(spark, "stream_static_ckpt"))
+    return spark.read.parquet(out)

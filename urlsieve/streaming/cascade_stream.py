@@ -97,3 +97,16 @@ def with_efficiency(counters: DataFrame) -> DataFrame:
     eff = F.try_divide((F.col("total_processed") - F.col("layer2_processed")).cast("double") * 100,
                        F.col("total_processed").cast("double"))
     return counters.withColumn("efficiency_pct", eff)
+
+
+def stream_cascade_static(stream: DataFrame, layer2: DataFrame, out_path: str, checkpoint: str,
+                          threshold: float = H.DEFAULT_BAND) -> None:
+    """X2 as a stream-static join: routed stream rows left-joined (null-safe on
+    url) to a saved table of layer-2 answers, appended to a parquet sink.
+    No per-batch code; suits answers computed ahead (e.g. by a nightly U1
+    job).  The file sink with its checkpoint is exactly-once."""
+    final = H.combine(H.route(stream, threshold), layer2)
+    q = (final.select("row_id", *H.FINAL_COLUMNS, "true_label").writeStream.format("parquet")
+         .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
