@@ -1,12 +1,20 @@
-"""Exact ranks without a one-task window.
+"""Exact ranks, cut points and running aggregates without one-task windows.
 
 ``row_number() over (order by k)`` with no partition (or partitioned by a
-two-valued label) runs in one or two tasks.  Here the order is cut into
-buckets by a column that never decreases along the order; per-bucket counts
-(a table of at most ``labels x buckets`` rows, so its size is bounded by the
-parameters, not the data) give each bucket its offset, and the row number is
-taken inside (partition, bucket) groups, which are spread over all tasks.
-Result equals the plain window.
+two-valued label, or by a run holding most rows) runs in one or two tasks.
+The helpers here give the same results as the plain windows:
+
+* :func:`distributed_rank` -- the order is cut into buckets by a column that
+  never decreases along it; per-bucket counts (bounded by the bucket count)
+  give offsets and the row number runs inside (partition, bucket) groups.
+* :func:`rank_segments` -- when only a few cut ranks matter (samples,
+  splits): the cut keys are found from bucket counts plus a sort of the
+  boundary buckets, and the table itself is only filtered/mapped.
+* :func:`partition_rank`, :func:`hot_cells` -- per-partition ranks that cut
+  only the hot partition values (more than a million rows) into cells.
+* :func:`running_agg` -- running min/max/sum with a carry from earlier cells.
+* :func:`join_on`, :func:`bounded_broadcast` -- null-safe joins and
+  broadcasts behind a row-count check.
 """
 
 from __future__ import annotations
