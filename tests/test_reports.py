@@ -36,3 +36,9 @@ def test_logreg_scores_are_probabilities(spark):
     rows = E.queries()["train_logreg"](spark, SF).collect()
     assert rows and all(0.0 <= r.layer1_confidence <= 1.0 and not math.isnan(r.layer1_confidence) for r in rows)
     assert all(r.layer1_prediction == int(r.layer1_confidence > 0.5) for r in rows)
+
+
+def test_every_query_has_an_oracle_except_the_rows_only_ones():
+    missing = set(E.queries()) - set(E.oracle_sql())
+    assert missing == {"train_logreg", "evaluation_report", "metrics_json"}
+    assert len(E.queries()) >= 73
