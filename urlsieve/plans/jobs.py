@@ -41,6 +41,10 @@ class JobConfig:
 
     @classmethod
     def from_json(cls, path: str) -> JobConfig:
+        """Read the job file.  Fixed values: its section and key names
+        (models.bigru.model_path, models.phi3.adapter_path,
+        pipeline.bigru_threshold_low, pipeline.device, pipeline.batch_size,
+        output.output_directory); missing keys take the defaults."""
         with open(path) as fh:
             c = json.load(fh)
         return cls(model_path=c.get("models", {}).get("bigru", {}).get("model_path"),
