@@ -86,6 +86,26 @@ def domains(units: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def blocks(units: np.ndarray, length: int, gram_hash: int, width: int) -> tuple[np.ndarray, ...]:
+    """The windows of one domain in blocks of ``width`` neighbours, aligned at the chosen gram so that equal windows of
+    two domains fall into blocks of the same number: (number, first start, last start, hash of the units that all
+    windows of the full block share, hash of the units that this domain's windows of the block cover)."""
+    gram, n = gram_length(length), len(units) - length + 1
+    sums, inverse = _sums(units)
+    grams = mix((sums[gram:] - sums[:-gram]) * inverse[: len(units) - gram + 1]).view(np.int64)
+    at = int(np.flatnonzero(grams == gram_hash)[0])
+    number = (at - np.arange(n)) // width
+    cut = np.flatnonzero(number[1:] != number[:-1]) + 1
+    first, last = np.r_[0, cut], np.r_[cut - 1, n - 1]
+    number = number[first]
+    start = at - number * width
+
+    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
+
+    return number, first, last, hashes(start, start - width + 1 + length), hashes(first, last + length)
+
+
 def window_hashes(units: np.ndarray, length: int) -> np.ndarray:
     """Hash of each window of ``length`` units."""
     sums, inverse = _sums(units)

@@ -7,7 +7,9 @@ Ranks are assigned to synchronised positions (see ``anchors``) instead of all po
    agree, every window of each of them repeats.
 3. The rest (stretches that agree in part: edges of a shared passage, edits of near copies) is resolved window by
    window among the distinct stretches of one gram.  How is the caller's choice (``resolve``), for a gram with at most
-   ``HOT`` distinct stretches; a gram with more is spread over the cluster by window hash.
+   ``HOT`` distinct stretches.  The stretches of a gram with more are spread over the cluster and reranked twice more:
+   by the units that ``BLOCK`` neighbouring windows share (unique: all of them leave; equal over all that they cover:
+   all of them repeat), then by the windows of the blocks still undecided.
 
 Grams, stretches and windows are compared by 64-bit hashes, always two independent ones together (gram and stretch,
 gram and window).  Rows are grouped by gram with map-side partial aggregates, and the join back is an ordinary
@@ -33,6 +35,8 @@ from urlsieve.llm.common import Batches, materialise, merge_spans, text_key, utf
 
 #: Distinct stretches of one gram up to which one task resolves them together.
 HOT = 2048
+#: Neighbouring windows that are ranked together first where a gram has more.
+BLOCK = 8
 
 
 class ByteUnits:
@@ -160,20 +164,54 @@ def _resolved(repeated: Callable) -> Callable:
     return rows
 
 
+def _block_rows(unit, length: int) -> Callable:
+    schema = pa.schema([(n, pa.int64()) for n in ("g", "b", "core", "whole", "k", "lo", "i0", "i1")])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches(schema)
+        for batch in batches:
+            for g, k, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, first, last, core, whole = anchors.blocks(unit.units(data), length, g, BLOCK)
+                same = [np.full(len(b), x, np.int64) for x in (g, k, lo)]
+                yield from out.add(same[0], b, core, whole, same[1], same[2], first + lo, last + lo)
+        yield from out.flush()
+
+    return rows
+
+
 def _window_rows(unit, length: int) -> Callable:
     schema = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("k", pa.int64()), ("lo", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(schema)
         for batch in batches:
-            for g, k, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = anchors.window_hashes(unit.units(data), length)
-                yield from out.add(np.full(len(h), g, np.int64), h, np.full(len(h), k, np.int64), np.arange(lo, lo + len(h)))
+            for g, k, lo, data, open_blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.concatenate([np.arange(x["i0"], x["i1"] + 1) for x in open_blocks])
+                h = anchors.window_hashes(unit.units(data), length)[at - lo]
+                yield from out.add(np.full(len(h), g, np.int64), h, np.full(len(h), k, np.int64), at)
         yield from out.flush()
 
     return rows
 
 
+def _crowded(parts: DataFrame, unit, length: int) -> DataFrame:
+    """(k, lo, hi) of repeated window starts among the stretches of grams with more than ``HOT`` of them."""
+    parts = parts.select("g", "k", "lo", "data").repartition("k", "lo")
+    names = "g", "b", "core"
+    blocks = parts.mapInArrow(_block_rows(unit, length), ", ".join(f"{n} long" for n in (*names, "whole", "k", "lo", "i0", "i1")))
+    place = F.struct("k", "i0")
+    ranks = blocks.groupBy(*names).agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
+    ranks = ranks.where("a.k <> z.k or a.i0 <> z.i0").select(*names, (F.col("w0") == F.col("w1")).alias("equal"))
+    ranked = materialise(blocks.join(ranks, [*names]).select("k", "lo", "i0", "i1", "equal"), "blocks")
+    undecided = ranked.where("not equal").groupBy("k", "lo").agg(F.collect_set(F.struct("i0", "i1")).alias("blocks"))
+    windows = parts.join(undecided, ["k", "lo"]).select("g", "k", "lo", "data", "blocks").mapInArrow(
+        _window_rows(unit, length), "g long, h long, k long, lo int")
+    twice = windows.groupBy("g", "h").agg(F.min(F.struct("k", "lo")).alias("a"), F.max(F.struct("k", "lo")).alias("z"))
+    twice = twice.where("a.k <> z.k or a.lo <> z.lo").select("g", "h")
+    found = ranked.where("equal").select("k", F.col("i0").cast("int").alias("lo"), F.col("i1").cast("int").alias("hi"))
+    return found.unionByName(windows.join(twice, ["g", "h"]).select("k", "lo", F.col("lo").alias("hi")))
+
+
 def _stretches(unit, length: int) -> Callable:
     schema = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("lo", pa.int32()), ("data", pa.binary()), ("hot", pa.bool_())])
 
@@ -244,7 +282,7 @@ def remove_repeats(
     texts = docs.select(key.alias("k"), F.col(text_col).alias("t"))
     found = texts.mapInArrow(_domain_rows(unit, length), "k long, g long, c long, lo int, hi int")
     grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    grams = grams.where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed"))
+    grams = materialise(grams.where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
     ranked = found.join(grams, "g").select(
         "k", "lo", "hi", F.when(F.col("mixed"), F.col("g")).alias("g"), F.when(F.col("mixed"), F.col("c")).alias("c"))
     ranked = materialise(ranked, "ranked")
@@ -278,10 +316,8 @@ def remove_repeats(
     parts = materialise(parts, "undecided")
     cool = parts.where("not hot").select("g", "k", "lo", "data").repartition("g").sortWithinPartitions("g")
     more = cool.mapInArrow(_resolved((resolve or equal_windows)(unit, length)), "k long, lo int, hi int")
-    windows = parts.where("hot").select("g", "k", "lo", "data").mapInArrow(_window_rows(unit, length), "g long, h long, k long, lo int")
-    twice = windows.groupBy("g", "h").agg(F.min(F.struct("k", "lo")).alias("a"), F.max(F.struct("k", "lo")).alias("b"))
-    twice = twice.where("a.k <> b.k or a.lo <> b.lo").select("g", "h")
-    more = more.unionByName(windows.join(twice, ["g", "h"]).select("k", "lo", F.col("lo").alias("hi")))
+    if parts.where("hot").head(1):
+        more = more.unionByName(_crowded(parts.where("hot"), unit, length))
     more = more.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("_more")).withColumnRenamed("k", "_k")
     late = open_rows.select(*names, "_k", "_z", "_items").join(more.hint("shuffle_hash"), "_k", "left").select(*names, "_z", "_items", "_more")
     late = late.mapInArrow(_finish(unit, length, finish, fields, last=True),
