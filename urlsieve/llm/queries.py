@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urlsieve.llm import simhash, substring_dedup, suffix_array_dedup
+from urlsieve.llm import ann, decontamination, packing, quality, simhash, substring_dedup, suffix_array_dedup
 from urlsieve.llm.common import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup.repeated_byte_digest(read_table(spark, sf_dir, "documents"), length=200)
 
@@ -18,11 +27,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_word_digest(read_table(spark, sf_dir, "documents"), length=35)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), seq_len=4096, end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_suffix_array_dedup, op4_simhash_near_dedup, op9_substring_dedup)
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_simhash_near_dedup,
+        op5_nearest_neighbours, op9_substring_dedup, op10_packing)
 }
 SQL: dict[str, str] = {}
