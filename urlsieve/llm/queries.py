@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import ann, decontamination, packing, quality, simhash, substring_dedup, suffix_array_dedup
+from urlsieve.llm import (
+    ann, chat, decontamination, html_text, packing, quality, simhash, substring_dedup, suffix_array_dedup, token_counts,
+)
 from urlsieve.llm.common import read_table
 
 
@@ -31,6 +33,26 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of each document, made of its own text: a cut, a copy and a replacement."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(start, end, insert):
+        return F.struct(F.floor(start).cast("long").alias("start"), F.floor(end).cast("long").alias("end"), insert.alias("insert"))
+
+    edits = F.array(edit(n / 4, n / 4 + 7, F.lit("")), edit(n / 2, n / 2, F.substring("text", 1, 12)),
+                    edit(n * 3 / 4, n * 3 / 4 + 5, F.lit(" edit ")))
+    return token_counts.recount(read_table(spark, sf_dir, "documents").withColumn("edits", edits)).drop("text")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_word_digest(read_table(spark, sf_dir, "documents"), length=35)
 
@@ -42,6 +64,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_simhash_near_dedup,
-        op5_nearest_neighbours, op9_substring_dedup, op10_packing)
+        op5_nearest_neighbours, op6_token_counts, op7_chat_formatting, op8_html_extraction, op9_substring_dedup, op10_packing)
 }
 SQL: dict[str, str] = {}
