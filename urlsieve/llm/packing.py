@@ -19,6 +19,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,15 +34,15 @@ from urlsieve.llm.common import materialise
 SEQ_LEN = 4096
 UNIT = 64
 END_ID = 2
-#: Cached words of one worker, and characters tokenised at a time.
-CACHE_WORDS, CHUNK_CHARS = 400_000, 1_000_000
+#: Cached words of one generation, and characters tokenised at a time.
+CACHE_WORDS, CHUNK_CHARS = 500_000, 1_000_000
 
 _FOLD = bytes(range(256)).lower()
 
 
-def _plain_letter(c: str) -> bool:
-    """A Latin letter that stays one letter in lower case."""
-    return c < "\u0250" and c.isalpha() and len(c.lower()) == 1
+#: Latin letters that stay one letter in lower case; a word of them is one pre-token, unchanged by its neighbours.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
+_PLAIN = re.compile(f"[{_LETTERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -56,39 +57,67 @@ class WordTokenizer:
     Only for tokenizers that drop white space and never merge across it: a text's ids are then its words' ids in
     turn.  Words are cut at spaces and line feeds, which every such tokenizer takes as white space.  With
     ``fold_case`` (for tokenizers that lower-case), A-Z are folded first, except in texts that may hold a special token.
+    The cache has two generations of at most ``CACHE_WORDS``: words met again move to the newer one, the others go.
     """
 
+    _made: dict[str, WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """This process's tokenizer, whose cache outlives a task."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
     def __init__(self, path: str, fold_case: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fold_case = Tokenizer.from_file(path), fold_case
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        if suffix:
+            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         if self.fold_case and "<" not in text:
             text = text.encode().translate(_FOLD).decode()
         return text.replace("\n", " ").split(" ")
 
-    def _learn(self, words: set[str]) -> None:
-        ids = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)
-        self.cache.update(zip(words, (np.array(x.ids, "<u4").tobytes() for x in ids), strict=True))
+    def _learn(self, words: list[str]) -> None:
+        plain = list(filter(_PLAIN.fullmatch, words)) if self.last.any() else []
+        for at in range(0, len(plain), 5000):  # many words in one text, cut after the tokens that end one
+            part = plain[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            ids = ids.tobytes()
+            self.cache.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))  # noqa: B905
+        rest = list(set(words).difference(plain))
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.cache.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit values."""
         words = [self._words(x) for x in texts]
-        new = set().union(*words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {"": b""}
-            new = set().union(*words).difference(self.cache)
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {"": b""}
+        cache, older = self.cache, self.older
+        new = set().union(*words).difference(cache)
+        again = [w for w in new if w in older]
+        cache.update((w, older[w]) for w in again)
+        new.difference_update(again)
         if new:
             # a word's last "." or "," after a letter is a token of its own: look the bare word up instead
-            bare = {w[:-1] for w in new if len(w) > 1 and w[-1] in ".," and _plain_letter(w[-2])}
-            self._learn({*(w for w in new if w[:-1] not in bare or w[-1] not in ".,"), ".", ",", *bare.difference(self.cache)})
-            for w in new.difference(self.cache):
-                self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1]]
-        cache = self.cache
-        return [b"".join([cache[w] for w in x]) for x in words]
+            ended = [w for w in new if w[-1] in ".," and w[-2:-1] in _LETTERS and len(w) > 1]
+            new.difference_update(ended)
+            new.update(w[:-1] for w in ended)
+            new.update((".", ","))
+            self._learn([w for w in new if w not in cache])
+            for w in ended:
+                cache[w] = cache[w[:-1]] + cache[w[-1]]
+        return [b"".join(map(cache.__getitem__, x)) for x in words]
 
 
 def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
@@ -101,7 +130,7 @@ def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
         return parts + [(s, k) for s, k in ((full, body), (full + body, n - full - body)) if k]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer.of(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             at = 0
