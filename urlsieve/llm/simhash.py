@@ -153,7 +153,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the one with the least text hash).  Rows with a null id stay, as nothing names them."""
     groups = near_duplicate_components(docs, id_col, text_col, shingle, distance)
     heads = materialise(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "heads")
-    kept = docs.join(heads.select(id_col), id_col, "left_semi").select(docs.columns)
+    kept = docs.join(heads.select(id_col).hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
     if heads.where("n > 1").head(1):
         names = [f"c{i}" for i in range(len(docs.columns))]
         order = F.row_number().over(Window.partitionBy(f"c{docs.columns.index(id_col)}").orderBy(F.xxhash64(f"c{docs.columns.index(text_col)}")))
