@@ -3,9 +3,9 @@
 Ranks are assigned to synchronised positions (see ``anchors``) instead of all positions:
 
 1. Rank by the chosen gram.  A domain whose gram occurs once is unique and leaves: none of its windows repeats.
-2. Rerank by the whole stretch that the domain's windows cover (past the threshold).  Where all stretches of a gram
-   agree, every window of each of them repeats.
-3. The rest (stretches that agree in part: edges of a shared passage, edits of near copies) is resolved window by
+2. Rerank by the whole stretch that the domain's windows cover (past the threshold).  A stretch that occurs more than
+   once repeats with all of its windows.
+3. Stretches that occur once but share their gram (edges of a shared passage, edits of near copies) are resolved window by
    window among the distinct stretches of one gram.  How is the caller's choice (``resolve``), for a gram with at most
    ``HOT`` distinct stretches.  The stretches of a gram with more are spread over the cluster and reranked twice more:
    by the units that ``BLOCK`` neighbouring windows share (unique: all of them leave; equal over all that they cover:
@@ -281,19 +281,14 @@ def remove_repeats(
     key = _row_key(docs, id_col, text_col)
     texts = docs.select(key.alias("k"), F.col(text_col).alias("t"))
     found = texts.mapInArrow(_domain_rows(unit, length), "k long, g long, c long, lo int, hi int")
-    grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    grams = materialise(grams.where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
-    ranked = found.join(grams, "g").select(
-        "k", "lo", "hi", F.when(F.col("mixed"), F.col("g")).alias("g"), F.when(F.col("mixed"), F.col("c")).alias("c"))
-    ranked = materialise(ranked, "ranked")
-
-    mixed = ranked.where("g is not null")
-    classes = mixed.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi")).alias("r"))
+    grams = materialise(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")
+    ranked = materialise(found.join(grams, "g").select("k", "lo", "hi", "g", "c"), "ranked")
+
+    classes = ranked.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi")).alias("r"))
     classes = materialise(classes, "stretches")
     sizes = classes.groupBy("g").agg((F.count("*") > HOT).alias("hot"), F.min("n").alias("least")).where("least = 1")
     none = F.lit(None).cast("long").alias("g"), F.lit(False).alias("hot")
-    items = ranked.where("g is null").select("k", "lo", "hi", *none)
-    items = items.unionByName(mixed.join(classes.where("n > 1").select("g", "c"), ["g", "c"]).select("k", "lo", "hi", *none))
+    items = ranked.join(classes.where("n > 1").select("g", "c"), ["g", "c"]).select("k", "lo", "hi", *none)
     items = items.unionByName(classes.join(sizes, "g").select("r.k", "r.lo", "r.hi", "g", "hot"))
     items = items.groupBy("k").agg(F.collect_set(F.struct("lo", "hi", "g", "hot")).alias("_items"))
 
