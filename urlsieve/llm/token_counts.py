@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF, CONTEXT = 64, 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def default_tokenizer() -> str:
