@@ -60,7 +60,9 @@ def grow(sample: np.ndarray, leaves: int, seed: int) -> Tree:
     rows = [np.arange(len(sample))]
     for node in range(leaves - 1):
         at = sample[rows[node]] @ normals[node]
-        cuts[node] = np.median(at) if len(at) else 0
+        if len(at):  # between two values, so that rounding moves no vector
+            low, high = np.partition(at, [max(len(at) // 2 - 1, 0), len(at) // 2])[[max(len(at) // 2 - 1, 0), len(at) // 2]]
+            cuts[node] = (low + high) / 2 if len(at) > 1 else low - 1
         rows += [rows[node][at < cuts[node]], rows[node][at >= cuts[node]]]
     return Tree(normals, cuts, rows[leaves - 1 :])
 
