@@ -137,3 +137,18 @@ def test_parse_answer_matches_rule_on_random_answers(spark):
     got = {r.i: r.p for r in df.select("i", H.parse_answer("a").alias("p")).collect()}
     bad = [(a, got[i], _py_parse(a)) for i, a in enumerate(answers) if got[i] != _py_parse(a)]
     assert not bad, bad[:5]
+
+
+def test_scorers_of_one_class_keep_their_settings(spark):
+    class Fixed:
+        def __init__(self, answer):
+            self.answer = answer
+
+        def load(self):
+            return self
+
+        def generate(self, urls, instruction):
+            return [self.answer] * len(urls), [None] * len(urls)
+
+    urls = spark.createDataFrame([("a",)], "url string").coalesce(1)
+    assert [H.plugin_responses(urls, Fixed(x)).first().response for x in ("one", "two")] == ["one", "two"]

@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,12 +258,13 @@ class RuleScorer:
         return out, err
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, object] = {}    # by the scorer's pickled state
 
 
 def _loaded(scorer):
-    """Load a scorer once per Python worker process and reuse it."""
-    key = f"{type(scorer).__module__}.{type(scorer).__qualname__}:{getattr(scorer, 'name', '')}"
+    """Load a scorer once per Python worker process and reuse it; scorers of other
+    settings are other models."""
+    key = hashlib.sha256(cloudpickle.dumps(scorer)).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = scorer.load()
     return _LOADED[key]

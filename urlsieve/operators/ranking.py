@@ -60,7 +60,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 def md5_order_key(seed: int, key) -> Column:
     """Reproducible shuffle key: md5 of ``seed|key`` (same text in DuckDB)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
+    missing = F.raise_error(F.lit("a row id is null: seeded orders need one on every row")).cast("string")
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(k.cast("string"), missing)))
 
 
 def hash_bucket(order_key: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:

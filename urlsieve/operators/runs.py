@@ -24,12 +24,12 @@ BATCH_SIZE, ACCUMULATION, SECONDS_PER_STEP = 4, 8, 0.8
 
 def improvements(history: DataFrame, run: str = "run_id", epoch: str = "epoch",
                  loss: str = "val_loss", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``improved``: loss < every earlier loss of the run (first epoch
-    always).  The running minimum is scanned per (run, cell); only runs with
+    """Adds ``improved``: loss < every earlier loss of the run (the first epoch
+    always, unless its loss is NaN: that never improves).  The running minimum is scanned per (run, cell); only runs with
     more than a million epochs are cut into cells (see ranking.hot_cells)."""
     tagged, _ = hot_cells(history, [run], epoch, hot_rows=hot_rows, out="_cell")
     r = running_agg(tagged, [run], [epoch], F.col("_cell"), loss, "min", out="_prev_best", exclusive=True)
-    return r.withColumn("improved", F.col("_prev_best").isNull() | (F.col(loss) < F.col("_prev_best"))) \
+    return r.withColumn("improved", (F.col("_prev_best").isNull() & ~F.isnan(loss)) | (F.col(loss) < F.col("_prev_best"))) \
             .drop("_prev_best", "_cell")
 
 
@@ -38,7 +38,7 @@ def best_checkpoint(history: DataFrame, run: str = "run_id", epoch: str = "epoch
     """V1: the last improving epoch = the first epoch reaching the run's
     minimum loss.  Two hash aggregates (map-side partials, one row per run
     and task shuffled): the minimum per run, then the first epoch at it."""
-    best = history.groupBy(run).agg(F.min(loss).alias("best_val_loss"), F.count(F.lit(1)).alias("epochs"))
+    best = history.groupBy(run).agg(F.min(F.when(~F.isnan(loss), F.col(loss))).alias("best_val_loss"), F.count(F.lit(1)).alias("epochs"))
     at_best = join_on(history.select(run, epoch, loss), bounded_broadcast(best), [run]) \
         .where(F.col(loss) == F.col("best_val_loss"))
     first = at_best.groupBy(run).agg(F.min(epoch).alias("best_epoch"))

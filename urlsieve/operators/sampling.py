@@ -50,11 +50,12 @@ def stratified_split(df: DataFrame, seed: int = DEFAULT_SEED, label: str = "labe
 
 
 def balanced_sample(df: DataFrame, per_class: int = DEFAULT_PER_CLASS, seed: int = DEFAULT_SEED,
-                    label: str = "label", row_id: str = "row_id") -> DataFrame:
-    """At most ``per_class`` rows per label (a filter on per-label cut
+                    label: str = "label", row_id: str = "row_id", labels=(0, 1)) -> DataFrame:
+    """At most ``per_class`` rows of each of ``labels``; rows with another label
+    are of no class and go (a filter on per-label cut
     keys), then a reproducible shuffle position (``position``, 1-based) over
     the union -- at most labels x per_class rows."""
-    keyed = df.withColumn("_k", md5_order_key(seed, row_id))
+    keyed = df.where(F.col(label).isin(*labels)).withColumn("_k", md5_order_key(seed, row_id))
     seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [label], lambda total: [F.lit(per_class)])
     picked = keyed.where(seg == 0).drop("_k").withColumn("_k", md5_order_key(seed + 1, row_id))
     shuffled = distributed_rank(picked, ["_k", row_id], hash_bucket(F.col("_k")), rank_col="position")

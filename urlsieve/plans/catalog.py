@@ -405,6 +405,7 @@ def q_sample_reduction(spark, sf):
 
 # ---------------------------------------------------------------- F1–F4
 
+ALL_ROWS = "bs AS (SELECT * FROM sl)"
 A_ROWS = ("arows AS (SELECT page_id AS row_id, url AS input, 'Decide if this is phishing and explain why.' AS instruction, "
           "CASE WHEN status = 'phishing' THEN 'Phishing: The URL ''' || url || ''' contains suspicious keywords or "
           "patterns typical for phishing attempts.' ELSE 'Legitimate: The URL ''' || url || ''' does not show common "
@@ -425,7 +426,7 @@ def _rows_a(spark, sf):
 
 
 def _rows_b(spark, sf):
-    return PD.instruction_rows_b(P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000))
+    return PD.instruction_rows_b(_scored_labelled(spark, sf))
 
 
 @register("instruction_rows_a", O.with_(O.RAW_URLS, A_ROWS) + "SELECT row_id, input, instruction, output FROM arows")
@@ -433,7 +434,7 @@ def q_instruction_rows_a(spark, sf):
     return _rows_a(spark, sf)
 
 
-@register("instruction_rows_b", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL, B_ROWS) +
+@register("instruction_rows_b", O.with_(O.SCORED, SCORED_LABELLED, ALL_ROWS, B_ROWS) +
           "SELECT row_id, input, instruction, output FROM brows")
 def q_instruction_rows_b(spark, sf):
     return _rows_b(spark, sf)
@@ -486,7 +487,7 @@ def q_pack_supervised(spark, sf):
     return PD.pack_supervised(rows, PD.packing_vocab(rows))
 
 
-@register("pack_supervised_fast", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL, B_ROWS,
+@register("pack_supervised_fast", O.with_(O.SCORED, SCORED_LABELLED, ALL_ROWS, B_ROWS,
                                           _rendered_sql("brows", "rb", False)).rstrip("\n") + ",\n" +
           _pack_sql("rb", 256, 200, True))
 def q_pack_supervised_fast(spark, sf):
@@ -682,12 +683,12 @@ def q_training_history(spark, sf):
     return V.training_history(fx.history(spark, sf))
 
 
-@register("training_estimate", O.with_(O.SCORED, SCORED_LABELLED, BALANCED_SQL) + (
+@register("training_estimate", O.with_(O.SCORED, SCORED_LABELLED, ALL_ROWS) + (
     "SELECT count(*) AS rows, CAST(floor(count(*) / 32) AS BIGINT) AS total_steps, "
     "CAST(floor(count(*) / 32) AS BIGINT) * 0.8::DOUBLE AS estimated_seconds, "
     "CAST(floor(count(*) / 32) AS BIGINT) * 0.8::DOUBLE / 3600.0::DOUBLE AS estimated_hours FROM bs"))
 def q_training_estimate(spark, sf):
-    return V.training_estimate(P.balanced_sample(_scored_labelled(spark, sf), per_class=2_000))
+    return V.training_estimate(_scored_labelled(spark, sf))
 
 
 # ---------------------------------------------------------------- B1–B5
@@ -710,7 +711,7 @@ def q_batch_job(spark, sf):
     model, _ = flows.train_layer1(fx.urls(spark, sf))
     src = _write_urls_csv(spark, sf)
     _, res = J.batch_job(spark, src, model, "url", "label", fresh_path(spark, "batch_output"),
-                         schema="page_id bigint, url string, label int")
+                         schema="page_id bigint, url string, label int", layer2_fn=flows.rule_layer2)
     return res
 
 
@@ -724,7 +725,8 @@ def q_batch_job(spark, sf):
 def q_batch_metrics(spark, sf):
     u = fx.urls(spark, sf)
     model, _ = flows.train_layer1(u)
-    final = J.with_truth(J.score_table(u.select(F.col("row_id").alias("page_id"), "url", "label"), model), "label")
+    final = J.with_truth(J.score_table(u.select(F.col("row_id").alias("page_id"), "url", "label"), model,
+                                       layer2_fn=flows.rule_layer2), "label")
     return J.batch_metrics(final)
 
 
@@ -732,7 +734,8 @@ def q_batch_metrics(spark, sf):
 def q_url_list_job(spark, sf):
     u = fx.urls(spark, sf)
     model, _ = flows.train_layer1(u)
-    _, res = J.url_list_job(spark, u.select("url"), model, fresh_path(spark, "url_list_output"))
+    _, res = J.url_list_job(spark, u.select("url"), model, fresh_path(spark, "url_list_output"),
+                            layer2_fn=flows.rule_layer2)
     return res
 
 
@@ -842,16 +845,16 @@ TRAIN_JOB_CTES = [
     O.RAW_URLS,
     "lab AS (SELECT page_id AS row_id, url, CASE status WHEN 'legitimate' THEN 0 WHEN 'phishing' THEN 1 END AS label "
     "FROM raw_urls WHERE url IS NOT NULL AND status IS NOT NULL)",
-    f"smp AS (SELECT * FROM lab ORDER BY {O.md5_key(42, 'row_id')}, row_id LIMIT 100000)",
-    f"tok AS (SELECT row_id, url, label, {O.t1('url')} AS tokens FROM smp)",
-    *O.split_ctes("tok"), "train AS (SELECT * FROM split WHERE split = 'train')",
+    f"tok AS (SELECT row_id, url, label, {O.t1('url')} AS tokens FROM lab)", *O.split_ctes("tok"),
+    # the sample that fits the weights is the feature here: at most 100,000 rows of the train split
+    f"train AS (SELECT * FROM split WHERE split = 'train' ORDER BY {O.md5_key(42, 'row_id')}, row_id LIMIT 100000)",
     *O.nb_ctes("train"), *O.score_ctes("split"), _val_grouped_sql("split <> 'train'")]
 
 
 @register("training_job", O.with_(*TRAIN_JOB_CTES) +
           f"SELECT split, round(_loss, 6) AS val_loss, {METRIC_SQL}, tp, fp, fn, tn FROM v")
 def q_training_job(spark, sf):
-    """C1-C3 -> P1 -> P2 -> T4 -> T8 -> M1 -> M5 on validation and test, model saved."""
+    """C1-C3 -> P2 -> T4 -> T8 -> P1 (fit rows) -> M1 -> M5 on validation and test, model saved."""
     raw = fx.raw_urls(spark, sf).withColumnRenamed("page_id", "row_id")
     _, metrics = J.training_job(raw, fresh_path(spark, "training_job"))
     return metrics

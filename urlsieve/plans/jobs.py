@@ -16,7 +16,7 @@ from ..operators import cleaning as C
 from ..operators import layer1 as M
 from ..operators import sampling as P
 from ..operators import tokens as T
-from ..session import cut_lineage
+from ..session import cut_lineage, fresh_path
 from ..operators import promptdata as PD
 from ..sources.files import read_csv, read_json_records, write_results
 from . import flows
@@ -66,7 +66,7 @@ def load_model(spark: SparkSession, path: str) -> M.TokenModel:
     return M.TokenModel(spark.read.parquet(path + "/weights"), spark.read.parquet(path + "/bias"))
 
 
-def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", layer2_fn=flows.rule_layer2,
+def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", layer2_fn=None,
                 threshold: float = H.DEFAULT_BAND, on_missing: str = "reference") -> DataFrame:
     """Layer 1 + cascade over any table; every other input column is carried
     as ``original_<name>``."""
@@ -79,11 +79,30 @@ def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", lay
     return final.select(*H.FINAL_COLUMNS, *[f"original_{c}" for c in others])
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_answers(spark: SparkSession, path: str):
+    """Layer 2 from a saved table of answers (parquet: url, response and, where a
+    call failed, error): the first answer of each url of the work list."""
+    answers = spark.read.parquet(path)
+    if "error" not in answers.columns:
+        answers = answers.withColumn("error", F.lit(None).cast("string"))
+    one = answers.groupBy("url").agg(F.min(F.struct("response", "error")).alias("a")).select("url", "a.response", "a.error")
+
+    def run(worklist: DataFrame) -> DataFrame:
+        return H.layer2_results(one.join(worklist.select("url").distinct(), "url", "left_semi"))
+    return run
+
+
 def with_truth(final: DataFrame, label_column: str | None) -> DataFrame:
     """true_label and correct_prediction, only when the named label column exists."""
     if not label_column or f"original_{label_column}" not in final.columns:
         return final
-    lab = F.col(f"original_{label_column}").cast("int")
+    lab = F.col(f"original_{label_column}").try_cast("int")
     return final.withColumn("true_label", lab).withColumn(
         "correct_prediction", F.col("true_label") == F.col("final_prediction"))
 
@@ -105,41 +124,42 @@ def batch_metrics(final: DataFrame) -> DataFrame:
 
 def batch_job(spark: SparkSession, input_path: str, model: M.TokenModel, url_column: str = "url",
               label_column: str | None = None, output_dir: str = "results", output_name: str | None = None,
-              schema=None, layer2_fn=flows.rule_layer2, threshold: float = H.DEFAULT_BAND) -> tuple[str, DataFrame]:
-    """B1: read a CSV, score, carry columns, add truth, write.  Returns the
-    output path and the result read back from it."""
+              schema=None, layer2_fn=None, threshold: float = H.DEFAULT_BAND,
+              on_missing: str = "reference") -> tuple[str, DataFrame]:
+    """B1: read a CSV, score, carry columns, add truth, write.  ``layer2_fn``
+    answers the uncertain band; without one ``on_missing`` decides it (H7).
+    Returns the output path and the result as it was computed (from parquet:
+    text survives a CSV only as far as its reader's rules go)."""
     df = read_csv(spark, input_path, schema)
-    final = with_truth(score_table(df, model, url_column, layer2_fn, threshold), label_column)
-    path = write_results(final, output_dir, output_name, prefix="batch_results")
-    return path, read_csv(spark, path, final.schema)
+    final = _stored(with_truth(score_table(df, model, url_column, layer2_fn, threshold, on_missing), label_column), "batch_result")
+    return write_results(final, output_dir, output_name, prefix="batch_results"), final
 
 
 def url_list_job(spark: SparkSession, urls, model: M.TokenModel, output_dir: str = "results",
-                 output_name: str | None = None, layer2_fn=flows.rule_layer2,
-                 threshold: float = H.DEFAULT_BAND) -> tuple[str, DataFrame]:
+                 output_name: str | None = None, layer2_fn=None,
+                 threshold: float = H.DEFAULT_BAND, on_missing: str = "reference") -> tuple[str, DataFrame]:
     """Score given urls (a string, a list, or a DataFrame with ``url``)."""
     if isinstance(urls, str):
         urls = [urls]
     df = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
-    final = score_table(df.select("url"), model, "url", layer2_fn, threshold)
-    path = write_results(final, output_dir, output_name, prefix="url_list_results")
-    return path, read_csv(spark, path, final.schema)
+    final = _stored(score_table(df.select("url"), model, "url", layer2_fn, threshold, on_missing), "url_list_result")
+    return write_results(final, output_dir, output_name, prefix="url_list_results"), final
 
 
 def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_len: int = 150,
                  min_freq: int = 2, tok="url", seed: int = 42) -> tuple[M.TokenModel, DataFrame]:
-    """The layer-1 training path: C1-C3 -> P1 -> P2 -> T4 (train split) ->
-    T8 written once -> M1a -> M5 on validation and test (one aggregate).
+    """The layer-1 training path: C1-C3 -> P2 -> T4 (whole train split) -> T8
+    written once -> P1 (at most ``sample_size`` train rows fit the weights; split,
+    vocabulary, training table and metrics cover all rows) -> M1a -> M5 on validation and test (one aggregate).
     ``raw`` needs a ``row_id`` column.  The model is saved under
     ``out_dir/model`` together with its vocabulary; returns (model, metrics)."""
     labelled = C.load_labelled(raw)
-    sampled = P.sample_n(labelled, sample_size, seed)
-    split = cut_lineage(P.stratified_split(flows.tokenized(sampled, "url", tok), seed))
+    split = cut_lineage(P.stratified_split(flows.tokenized(labelled, "url", tok), seed))
     train = split.where(F.col("split") == "train")
     vocab = T.build_vocab(T.token_counts(train), min_freq)
     T.write_training_table(T.model_ready(split, vocab, max_len), out_dir + "/training_table")
     vocab.write.mode("errorifexists").parquet(out_dir + "/model/vocab")
-    model = M.train_token_weights(train, min_freq=min_freq)
+    model = M.train_token_weights(P.sample_n(train, sample_size, seed), min_freq=min_freq)
     save_model(model, out_dir + "/model")
     held_out = M.score_layer1(split.where(F.col("split") != "train"), model)
     return model, M.validation_metrics(held_out, group_by=("split",))
@@ -147,11 +167,14 @@ def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_l
 
 def instruction_data_job(spark: SparkSession, json_path: str, out_path: str, per_class: int = 2_000,
                          fast: bool = True, array_file: bool = False, seed: int = 42) -> DataFrame:
-    """The tuning-data path: S2 records (row_id, text, label) -> C2 (rows with
+    """The tuning-data path: S2 records (text, label, and row_id where they have
+    one; others are numbered) -> C2 (rows with
     any null dropped, label as int) -> P3 balanced sample -> F2 rows -> F3
     prompt (no ``URL:`` prefix on the fast path) -> F4 packing -> parquet,
     written once and read back.  No intermediate CSV."""
     raw = read_json_records(spark, json_path, "row_id bigint, text string, label int", array_file)
+    numbered = F.coalesce("row_id", F.monotonically_increasing_id())
+    raw = _stored(raw.withColumn("row_id", numbered), "records")   # written once, so numbers stay
     clean = C.clean_rows(raw, "text", "label", keep=["row_id"], drop_any_null=True) \
         .withColumn("label", F.col("label").cast("int"))
     rows = PD.instruction_rows_b(P.balanced_sample(clean, per_class=per_class, seed=seed), url="text")
@@ -198,6 +221,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--label-column", "-l", default=None)
     p.add_argument("--output", "-o", default=None, help="output folder name")
     p.add_argument("--config", "-c", default=None, help="JSON job configuration")
+    p.add_argument("--answers", "-a", default=None, help="saved layer-2 answers, parquet (overrides config)")
+    p.add_argument("--on-missing", default="reference", help="what decides the uncertain band without answers")
     p.add_argument("--model", "-m", default=None, help="saved token-weight model (overrides config)")
     return p.parse_args(argv)
 
@@ -212,10 +237,12 @@ def main(argv=None) -> None:
         raise SystemExit("no model: pass --model or models.bigru.model_path in the config")
     model = load_model(spark, model_path)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(cfg.batch_size))
-    path, out = batch_job(spark, args.input, model, args.url_column, args.label_column,
-                          cfg.output_directory, args.output, threshold=cfg.threshold)
+    answers = args.answers or cfg.layer2_path
+    path, out = batch_job(spark, args.input, model, args.url_column, args.label_column, cfg.output_directory, args.output,
+                          layer2_fn=saved_answers(spark, answers) if answers else None, threshold=cfg.threshold,
+                          on_missing=args.on_missing)
     H.cascade_stats(out).show(truncate=False)
-    if args.label_column:
+    if "true_label" in out.columns:
         batch_metrics(out).show(truncate=False)
     print(f"Results saved to: {path}")
 

@@ -9,6 +9,7 @@ that setting (tests, the bench) gets a fresh folder under ``/tmp``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -89,10 +90,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder (one per run, never reused)."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -117,12 +115,12 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     base = shared_dir(spark)
-    if not _is_local(spark) and not base.startswith(("file:", "/")):
+    if not base.startswith(("file:", "/")):
         # cluster: the package travels with spark-submit --py-files (or the image)
         _SHIPPED.add(key)
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    zpath = fresh_path(spark, "urlsieve-pkg") + ".zip"
+    zpath = re.sub("^file:(//)?(?=/)", "", fresh_path(spark, "urlsieve-pkg")) + ".zip"
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _, files in os.walk(pkg):
             for f in files:

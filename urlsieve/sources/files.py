@@ -26,22 +26,25 @@ def null_na_tokens(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
-            c = F.when(~c.isin(*na_tokens), c)
+            c = F.when(~c.isin(*na_tokens), c) if na_tokens else c
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_tokens=NA_TOKENS) -> DataFrame:
-    """Header row; typed by ``schema`` (or inferred: one extra pass, avoid
+             na_tokens=NA_TOKENS, multi_line: bool = True) -> DataFrame:
+    """Header row, columns by name, quoted line breaks and doubled quotes
+    (``multi_line``: a file is then one task; pass False for files known to
+    have no line break in a value); typed by ``schema`` (or inferred: one extra pass, avoid
     at scale).  Numeric columns are read as text first when a schema is given,
     so a pandas missing token (``NA``, ``nan`` …) becomes null instead of
     failing the cast."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    r = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+         .option("multiLine", multi_line))
     if schema is None:
         return null_na_tokens(r.option("inferSchema", True).csv(path), na_tokens)
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    raw = r.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in st.fields])).csv(path)
+    raw = r.option("inferSchema", False).csv(path).select(*[f"`{f.name}`" for f in st.fields])
     raw = null_na_tokens(raw, na_tokens)
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
                         else F.col(f.name) for f in st.fields])
@@ -68,7 +71,8 @@ def write_results(df: DataFrame, out_dir: str, name: str | None = None, prefix:
     path = os.path.join(out_dir, name or stamped_name(prefix))
     w = df.write.mode("errorifexists")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
     return path
@@ -76,7 +80,7 @@ def write_results(df: DataFrame, out_dir: str, name: str | None = None, prefix:
 
 def read_back(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     if fmt == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, na_tokens=())   # our own output: a text "None" is a text
     return spark.read.schema(schema).format(fmt).load(path)
 
 
