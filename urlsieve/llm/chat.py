@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import materialise
+from urlsieve.llm.common import materialise, sliced
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
@@ -61,7 +61,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unit = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())]))
-    for batch in batches:
+    for batch in sliced(batches):
         found = [parse(t or "") for t in batch.column(3).to_pylist()]
         said = [sorted(set(sentences(own.split("\n")))) for own, _ in found]
         quoted = [sorted({(level, h) for level, lines in passages for h in sentences(lines)}) for _, passages in found]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import materialise, text_key
+from urlsieve.llm.common import materialise, sliced, text_key
 
 ERROR_RATE = 0.1
 MIN_CHARS = 25
@@ -153,7 +153,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
-            for batch in batches:
+            for batch in sliced(batches):
                 row, out = [], []
                 for j, text in enumerate(batch.column(1).to_pylist()):
                     hits = list(matcher.find(normalise(text or "")))

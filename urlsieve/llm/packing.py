@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import materialise
+from urlsieve.llm.common import materialise, sliced
 
 SEQ_LEN = 4096
 UNIT = 64
@@ -131,7 +131,7 @@ def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.anchors import BYTE_UNITS, _sums, mix
-from urlsieve.llm.common import materialise, utf8
+from urlsieve.llm.common import materialise, sliced, utf8
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 2, 2
 THRESHOLD = 0.7
@@ -81,7 +81,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[:] += np.bincount(a * DIMS + places[b, j], signs[b, j], BUCKETS * DIMS)
 
     held, size = [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         for data in utf8(batch.column(0)):
             held.append(tokens(data))
             size += len(held[-1])
@@ -181,7 +181,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def _feature_rows(vectors: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = [pooled(d, vectors) for d in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["id", "y", "x"])
 
@@ -199,7 +199,7 @@ class QualityModel:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = model.value
-            for batch in batches:
+            for batch in sliced(batches):
                 x = np.array([pooled(d, m.vectors) for d in utf8(batch.column(at))]).reshape(-1, DIMS)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.network.scores(x), pa.float64())], names=names)
 

@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlsieve.llm import anchors
-from urlsieve.llm.common import Batches, materialise, merge_spans, text_key, utf8
+from urlsieve.llm.common import Batches, materialise, merge_spans, sliced, text_key, utf8
 
 #: Distinct stretches of one gram up to which one task resolves them together.
 HOT = 2048
@@ -95,7 +94,7 @@ def _domain_rows(unit, length: int) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for k, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 lo, hi, g, c = anchors.domains(unit.units(data), length)
                 yield from out.add(np.full(len(lo), k, np.int64), g, c, lo, hi)
@@ -107,7 +106,7 @@ def _domain_rows(unit, length: int) -> Callable:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, as compressed bytes."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in sliced(batches):
         z = pa.array([pack(x) for x in utf8(batch.column(batch.num_columns - 1))], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], names=batch.schema.names)
 
@@ -169,7 +168,7 @@ def _block_rows(unit, length: int) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for g, k, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b, first, last, core, whole = anchors.blocks(unit.units(data), length, g, BLOCK)
                 same = [np.full(len(b), x, np.int64) for x in (g, k, lo)]
@@ -184,7 +183,7 @@ def _window_rows(unit, length: int) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for g, k, lo, data, open_blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.concatenate([np.arange(x["i0"], x["i1"] + 1) for x in open_blocks])
                 h = anchors.window_hashes(unit.units(data), length)[at - lo]
@@ -217,7 +216,7 @@ def _stretches(unit, length: int) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             held = []
             for k, z, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 parts = unit.split(unpack(z))
@@ -241,7 +240,7 @@ def _finish(unit, length: int, finish: Callable, fields: list[tuple], last: bool
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             carried = batch.num_columns - (3 if last else 2)
             z, items = batch.column(carried).to_pylist(), batch.column(carried + 1).to_pylist()
             more = batch.column(carried + 2).to_pylist() if last else [None] * len(z)
@@ -259,9 +258,8 @@ def _finish(unit, length: int, finish: Callable, fields: list[tuple], last: bool
             names = [*batch.schema.names[:carried], *(n for n, _ in fields)]
             arrays = [*batch.columns[:carried], *columns]
             if not last:
-                keep = pa.array(left)
-                arrays += [pc.if_else(keep, batch.column(carried), pa.scalar(None, batch.schema.types[carried]))]
-                arrays += [pa.array([x if y else None for x, y in zip(items, left, strict=True)], batch.schema.types[carried + 1])]
+                arrays += [pa.array([x if y else None for x, y in zip(c, left, strict=True)], batch.schema.types[carried + j])
+                           for j, c in enumerate((z, items))]
                 names += ["_z", "_items"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsieve.llm.common import materialise, utf8
+from urlsieve.llm.common import materialise, sliced, utf8
 from urlsieve.llm.components import components
 
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.array([fingerprint(x, shingle) for x in utf8(batch.column(batch.num_columns - 1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*batch.schema.names[:-1], "fp"])
 

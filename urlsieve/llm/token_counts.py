@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlsieve.llm.common import sliced
+
 LEAF, CONTEXT = 64, 4
 CACHE_WORDS = 200_000
 
@@ -151,7 +153,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [CountTree.of(t or "", encoder) for t in batch.column(1).to_pylist()]
             leaves = [t.leaves() for t in found]
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +174,7 @@ def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             columns = [c.to_pylist() for c in batch.columns[1:]]
             for text, edits, *leaves in zip(*columns, strict=True):
