@@ -35,7 +35,7 @@ SEQ_LEN = 4096
 UNIT = 64
 END_ID = 2
 #: Cached words of one generation, and characters tokenised at a time.
-CACHE_WORDS, CHUNK_CHARS = 200_000, 500_000
+CACHE_WORDS, CHUNK_CHARS = 350_000, 1_000_000
 
 _FOLD = bytes(range(256)).lower()
 
