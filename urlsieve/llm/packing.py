@@ -21,11 +21,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +38,7 @@ SEQ_LEN = 4096
 UNIT = 64
 END_ID = 2
 #: Cached words of one generation, and characters tokenised at a time.
-CACHE_WORDS, CHUNK_CHARS = 350_000, 1_000_000
-
-_FOLD = bytes(range(256)).lower()
-
+CACHE_WORDS, CHUNK_CHARS = 350_000, 2_000_000
 
 #: Latin letters that stay one letter in lower case; a word of them is one pre-token, unchanged by its neighbours.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
@@ -74,50 +74,70 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fold_case = Tokenizer.from_file(path), fold_case
-        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
-        if suffix:
-            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.letters = self._spelling()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _words(self, text: str) -> list[str]:
-        if self.fold_case and "<" not in text:
-            text = text.encode().translate(_FOLD).decode()
-        return text.replace("\n", " ").split(" ")
+    def _spelling(self) -> dict[int, str]:
+        """How the model spells each plain letter; empty unless it spells plain words letter by letter."""
+        before, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if before is None:
+            return {}
+        spelled = {ord(c): "".join(x for x, _ in before.pre_tokenize_str(normal.normalize_str(c) if normal else c)) for c in _LETTERS}
+        for word in (_LETTERS, _LETTERS[::-1], "Plain"):
+            if [t.id for t in self.tokenizer.model.tokenize(word.translate(spelled))] != self._encode([word])[0]:
+                return {}
+        return spelled
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = list(filter(_PLAIN.fullmatch, words)) if self.last.any() else []
-        for at in range(0, len(plain), 5000):  # many words in one text, cut after the tokens that end one
-            part = plain[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            ids = ids.tobytes()
-            self.cache.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))  # noqa: B905
+        plain = list(filter(_PLAIN.fullmatch, words)) if self.letters else []
+        spell = self.tokenizer.model.tokenize
+        spelled = "\n".join(plain).translate(self.letters).split("\n") if plain else []
+        self.cache.update((w, array("I", [t.id for t in spell(x)]).tobytes()) for w, x in zip(plain, spelled, strict=True))
         rest = list(set(words).difference(plain))
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.cache.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        self.cache.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._encode(rest)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit values."""
-        words = [self._words(x) for x in texts]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct ``words``."""
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {"": b""}
         cache, older = self.cache, self.older
-        new = set().union(*words).difference(cache)
-        again = [w for w in new if w in older]
-        cache.update((w, older[w]) for w in again)
-        new.difference_update(again)
-        if new:
+        found = list(map(cache.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [words[i] for i in missing]
+            cache.update((w, x) for w, x in zip(new, map(older.get, new), strict=True) if x is not None)
+            new = [w for w in new if w not in cache]
             # a word's last "." or "," after a letter is a token of its own: look the bare word up instead
             ended = [w for w in new if w[-1] in ".," and w[-2:-1] in _LETTERS and len(w) > 1]
-            new.difference_update(ended)
-            new.update(w[:-1] for w in ended)
-            new.update((".", ","))
-            self._learn([w for w in new if w not in cache])
-            for w in ended:
-                cache[w] = cache[w[:-1]] + cache[w[-1]]
-        return [b"".join(map(cache.__getitem__, x)) for x in words]
+            wanted = {".", ",", *new}.difference(ended)
+            wanted.update(w[:-1] for w in ended)
+            cache.update((w, older[w]) for w in wanted if w in older and w not in cache)
+            self._learn([w for w in wanted if w not in cache])
+            cache.update((w, cache[w[:-1]] + cache[w[-1]]) for w in ended)
+            for i in missing:
+                found[i] = cache[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's ids start (with the end of the last)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.fold_case:
+            texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[code] - (ends - n)  # from a word's place in the output to that among the known
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(shift, n) + np.arange(n.sum())]
+        last = np.cumsum(pc.list_value_length(words).to_numpy())
+        return ids, np.r_[0, np.r_[0, ends][last]]
 
 
 def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
@@ -132,16 +152,18 @@ def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
         for batch in sliced(batches):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            sizes = pc.utf8_length(batch.column(1)).fill_null(0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK_CHARS):
-                    size += len(texts[stop])
+                while stop < len(sizes) and (stop == at or size + sizes[stop] <= CHUNK_CHARS):
+                    size += sizes[stop]
                     stop += 1
                 row, out = [], []
-                for i, ids in enumerate(tokenizer.encode(texts[at:stop]), at):
-                    ids += end
+                ids_of_all, bounds = tokenizer.encode(batch.column(1).slice(at, stop - at))
+                raw, bounds = ids_of_all.tobytes(), (bounds * 4).tolist()
+                for i, (low, high) in enumerate(pairwise(bounds), at):
+                    ids = raw[low:high] + end
                     n = len(ids) // 4
                     for start, length in cut(n):
                         part = ids[start * 4 : (start + length) * 4]
