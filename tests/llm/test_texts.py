@@ -129,3 +129,17 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 700 < len(ids) < 950
+
+
+def test_word_ids_equal_the_tokenizers():
+    """Ids by cached words are the tokenizer's own, also for slices of a column and odd white space, case and marks."""
+    import pyarrow as pa
+
+    odd = ["", "  ", " a.b, c. <|endoftext|>Q A", "İSTANBUL É ß ẞ ǅ \u0085x y z", "don't it's, o'clock.'", "a.,", "..",
+           "x\x00y\tZ\r\n", "é é.", "가 한국", "<|ENDOFTEXT|>", "ſ. K. Å,", "9.,8.", "Plain Words, plain words.\nAnd more"]
+    words = packing.WordTokenizer.of(packing.default_tokenizer())
+    want = [words.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+    column = pa.array(["Before " * 50, *odd, None])
+    for low in range(len(odd)):
+        ids, at = words.encode(column.slice(1 + low))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [*want[low:], []]

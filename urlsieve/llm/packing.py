@@ -124,7 +124,8 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text's ids start (with the end of the last)."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+        # a compact copy: ascii_lower misreads the offsets of slices
+        texts = texts.cast(pa.large_string()).fill_null("").take(np.arange(len(texts)))
         if self.fold_case:
             texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
