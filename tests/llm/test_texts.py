@@ -80,6 +80,26 @@ def test_html_main_text():
     assert main_text("<div>" * 50_000 + "x") == "x"
 
 
+def test_html_article_keeps_its_own_parts():
+    """Inside the marked article: formulas, lists of links and names that only contain a cut word stay."""
+    links = "".join(f"<li><a href={i}>Source {i}</a>" for i in range(4))
+    parts = {
+        "Title here": "<h1 class=page-header>Title here</h1>", "Lead.": "<header><h2>Lead.</h2></header>",
+        "So x=2 holds.": "<p>So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p>",
+        "Method": "<h2 class=section-header id=comments>Method</h2>", "An ad-hoc rule.": "<p class=ad-hoc>An ad-hoc rule.</p>",
+        "Others did so too.": "<div id=related-work><p>Others did so too.</p></div>", "Beware.": "<div class='notice alert'>Beware.</div>",
+        "a # why": "<pre>a <span class='token comment'># why</span></pre>", "Wise words. Someone": "<blockquote><p>Wise words.<footer>Someone</footer></blockquote>",
+        "Source 0 Source 1 Source 2 Source 3": f"<ul>{links}</ul>"}
+    cut = "".join(f"<div {x}>Gone</div>" for x in ("class=ad", "id=comments", "class='x share'", "class=newsletter", "class=cookie-notice", "class=related-posts",
+                                                  "hidden", "role=navigation", "class=ad_slot")) + "<nav>Gone</nav><footer>Gone</footer>"
+    for name in ("article", "main"):
+        page = f"<body><nav><a href=/>Home</a></nav><div class=ad>Buy</div><{name}>{''.join(parts.values())}{cut}</{name}><footer>(c)</footer></body>"
+        assert main_text(page) == " ".join(parts)
+        assert main_text(f"<body><{name}><ul>{links}</ul></{name}><p>Short.</p></body>") == "Source 0 Source 1 Source 2 Source 3"
+    text = "A paragraph that is long enough to be the text of the page. " * 5
+    assert main_text(f"<body><div><h1 class=page-header>Title</h1><p>{text}</p></div><div class=site-header>Gone</div></body>") == f"Title {text}".strip()
+
+
 def test_html_pages_whole_articles(spark):
     rows = entry.queries()["op8_html_extraction"](spark, SF).collect()
     assert len(rows) == 250 and all(r.n_chars == len(r.text) > 0 for r in rows)

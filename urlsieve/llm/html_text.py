@@ -2,6 +2,9 @@
 
 A page is parsed into a tree (unclosed and crossed tags are closed as browsers do).  Parts that are never article text
 are cut first: scripts, styles, forms, navigation and the like by tag, by role and by the words of their class and id.
+Inside the ``article`` or ``main`` element that holds most of the text only what is unambiguous is cut: a class or id
+counts as a whole name there (``ad``, not ``ad-hoc``), never on headings or in code, and lists of links stay.  Formulas
+are text.
 Every node then has a composite density: characters per tag, adjusted by how much of it is link text.  The subtree
 with the greatest sum of child densities is the core; the least density on the way from it to the body is the threshold
 at which further subtrees beside that way count as content too.
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from math import e, log
 
@@ -46,7 +49,7 @@ _P_ENDS = _BLOCK - {"br", "body", "head", "html", "option", "tr", "td", "th", "t
 _P_HOLDERS = _BLOCK - {"p", "br", "hr"}
 
 _CUT_TAGS = set("head script style noscript template nav aside form footer button select textarea input iframe svg canvas object "
-                "dialog menu fieldset audio video title math label".split())
+                "dialog menu fieldset audio video title label".split())
 _CUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 _CUT_WORDS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets ad ads adv advert adverts "
@@ -57,6 +60,17 @@ _CUT_WORDS = set(
 #: These name readers' words, which may outweigh the article; a part with another of the words that holds most text is a wrapper.
 _READERS = set("comment comments reply replies respond disqus".split())
 _LISTS = set("ul ol dl div table section p".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Words that on a heading name the heading itself.
+_HEADS = set("header masthead topbar banner".split())
+#: Whole names that are cut inside the page's article: words that name nothing else, and words with what they are shown in.
+_CUT_NAME = re.compile(
+    r"ad|ads|advert|adverts|advertisement|advertisements|adsense|adsbygoogle|sponsored|nav|navbar|breadcrumb|breadcrumbs|sidebar|comment|comments|"
+    r"disqus(?:-thread)?|newsletter|subscribe|share|sharing|pagination|pager|paywall|outbrain|taboola|"
+    r"(?:ads?|advert|advertisement|sponsored|nav|navigation|comments?|newsletter|subscribe|subscription|signup|share|sharing|social|cookies?|consent|gdpr|"
+    r"paywall|related|recommended)-(?:bar|banner|box|buttons?|container|form|icons?|links?|list|modal|notice|overlay|popup|signup|slot|thread|unit|widget|wrapper)|"
+    r"social-(?:share|sharing|media)|(?:related|recommended|trending|popular)-(?:articles|posts|stories|news)")
+_READERS_NAME = re.compile(r"comments?|comment-(?:box|container|form|list|thread|wrapper)|comments-(?:box|container|form|list|thread|wrapper)|replies|respond|disqus(?:-thread)?")
 
 
 class Page:
@@ -116,10 +130,11 @@ class Page:
                 stack.append(len(self.tag) - 1)
                 open_tags[name] += 1
 
-    def cut(self) -> list[bool]:
-        """Whether each node is, or lies in, a part that is not article text."""
+    def cut(self, article: int = 0) -> list[bool]:
+        """Whether each node is, or lies in, a part that is not article text; below ``article``, the element that the page
+        marks as its article (0: none), only what is unambiguous."""
         n, tag, parent = len(self.tag), self.tag, self.parent
-        chars, links, anchors, below, holds, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+        chars, links, anchors, below, holds, linked, heads = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             linked[i] = linked[parent[i]] or tag[i] == "a"
         for node, text, _ in self.texts:
@@ -132,41 +147,54 @@ class Page:
             below[parent[i]] += below[i] + 1
             anchors[parent[i]] += anchors[i] + (tag[i] == "a")
             holds[parent[i]] |= holds[i] or tag[i] in ("article", "main", "h1", "body")
-        out, inside = [False] * n, [False] * n
+            heads[parent[i]] |= heads[i] or tag[i] in _HEADINGS or tag[i] == "p"
+        out, inside, within, code = [False] * n, [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             out[i], inside[i] = out[parent[i]], inside[parent[i]] or tag[i] in ("article", "main")
+            within[i], code[i] = within[parent[i]] or i == article, code[parent[i]] or tag[i] in ("pre", "code")
+            sure = within[parent[i]]
             if out[i] or tag[i] in ("html", "body"):
                 continue
             if tag[i] in _CUT_TAGS and not (tag[i] in ("form", "aside", "fieldset") and holds[i]):
-                out[i] = True
+                out[i] = not (sure and tag[i] == "footer" and tag[parent[i]] == "blockquote")  # a quotation's source
+            elif tag[i] in ("annotation", "annotation-xml"):
+                out[i] = tag[parent[i]] == "semantics"  # not shown: the formula before it, in another notation
             elif tag[i] == "header":
-                out[i] = not (holds[i] and (inside[parent[i]] or tag[parent[i]] != "body"))
-            elif tag[i] in _LISTS and anchors[i] >= 3 and links[i] >= 0.8 * chars[i]:
+                out[i] = not (heads[i] if sure else holds[i] and (inside[parent[i]] or tag[parent[i]] != "body"))
+            elif not sure and tag[i] in _LISTS and anchors[i] >= 3 and links[i] >= 0.8 * chars[i]:
                 out[i] = not holds[i]
             elif self.attrs[i] and not holds[i]:
                 most = below[i] > 2 and 2 * (chars[i] - links[i]) > chars[0] - links[0]
-                out[i] = self._named(i, _READERS if most else _CUT_WORDS)
+                if not sure:
+                    words = _READERS if most or tag[i] in ("article", "main") else _CUT_WORDS
+                    out[i] = self._named(i, (words - _HEADS if tag[i] in _HEADINGS else words).intersection, _WORD.findall)
+                elif tag[i] in _HEADINGS or code[i]:
+                    out[i] = self._named(i, None, str.split)
+                else:
+                    name = _READERS_NAME if most or tag[i] in ("article", "main") else _CUT_NAME
+                    out[i] = self._named(i, lambda names: any(name.fullmatch(x.replace("_", "-")) for x in names), str.split)
         return out
 
-    def _named(self, i: int, words: set[str]) -> bool:
+    def _named(self, i: int, cuts: Callable | None, split: Callable[[str], list[str]]) -> bool:
+        """Whether a node is hidden, has a role that is not text, or a class or id of which ``cuts`` holds."""
         for name, *values in _ATTR.findall(self.attrs[i]):
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
             if name == "role" and value.lower() in _CUT_ROLES:
                 return True
-            own = _READERS if self.tag[i] in ("article", "main") else words
-            if name in ("class", "id") and own.intersection(w.lower() for w in _WORD.findall(value)):
+            if cuts and name in ("class", "id") and cuts([w.lower() for w in split(value)]):
                 return True
         return False
 
     def text(self) -> str:
-        gone = self.cut()
+        gone, root = self._gone()
         n, tag, parent = len(self.tag), self.tag, self.parent
         chars, links, tags, anchors = [0] * n, [0] * n, [0] * n, [0] * n
-        inside = [False] * n
+        inside, formula = [False] * n, [False] * n
         for i in range(1, n):
             inside[i] = inside[parent[i]] or tag[i] == "a"
+            formula[i] = formula[parent[i]] or tag[i] == "math"
         all_chars = all_links = 0
         for node, text, _ in self.texts:
             size = len("".join(text.split()))
@@ -174,13 +202,12 @@ class Page:
             if not gone[node]:
                 chars[node] += size
                 links[node] += size * inside[node]
-        root = self._root(gone, chars)
         for i in range(n - 1, 0, -1):
             if not gone[i]:
                 p = parent[i]
                 chars[p] += chars[i]
                 links[p] += links[i]
-                tags[p] += tags[i] + 1
+                tags[p] += tags[i] + (not formula[p])  # a formula is one tag
                 anchors[p] += anchors[i] + (tag[i] == "a")
         share = all_links / max(all_chars, 1)
         density, total, best = [0.0] * n, [0.0] * n, list(range(n))
@@ -219,12 +246,36 @@ class Page:
                 gap = False
         return " ".join("".join(out).split())
 
-    def _root(self, gone: list[bool], chars: list[int]) -> int:
-        """The article or main element that holds most of the text, else the body, else the whole page."""
-        whole, n = chars.copy(), len(self.tag)
-        for i in range(n - 1, 0, -1):
+    def _gone(self) -> tuple[list[bool], int]:
+        """What is cut, and the node to look in."""
+        gone = self.cut()
+        root = self._root(gone)
+        if self.tag[root] not in ("article", "main"):  # an article may be little more than what only its mark can keep
+            for i in self._marked(gone)[:1]:
+                loose = self.cut(i)
+                if self._root(loose) == i:
+                    return loose, i
+            return gone, root
+        return self.cut(root), root
+
+    def _whole(self, gone: list[bool]) -> list[int]:
+        whole = [0] * len(self.tag)
+        for node, text, _ in self.texts:
+            if not gone[node]:
+                whole[node] += len("".join(text.split()))
+        for i in range(len(whole) - 1, 0, -1):
             if not gone[i]:
                 whole[self.parent[i]] += whole[i]
+        return whole
+
+    def _marked(self, gone: list[bool]) -> list[int]:
+        """Article and main elements, that with most text first, before any is cut from it."""
+        whole = self._whole([False] * len(self.tag))
+        return sorted((i for i, t in enumerate(self.tag) if t in ("article", "main") and not gone[i]), key=lambda i: (-whole[i], i))
+
+    def _root(self, gone: list[bool]) -> int:
+        """The article or main element that holds most of the text, else the body, else the whole page."""
+        whole, n = self._whole(gone), len(self.tag)
         marked = [i for i in range(n) if self.tag[i] in ("article", "main") and not gone[i]]
         top = max(marked, key=lambda i: (whole[i], -i), default=0)
         if whole[top] * 2 >= whole[0]:
