@@ -62,6 +62,23 @@ def test_chat_links_nested_quotes(spark):
     assert len(out) == len(rows)
 
 
+def test_chat_links_lines_and_parts_of_sentences(spark):
+    long = "The committee met on the second of May and found that nothing at all had been done about the old bridge."
+    rows = [(1, 0, "user", "- milk and eggs\n- brown bread\n- tea"), (1, 1, "assistant", "你好。今天天气很好！我们去公园吧。\nx = f(y)"),
+            (1, 2, "user", long), (1, 3, "user", "Something else, and tea as well"),
+            (1, 4, "user", "> - brown bread\nWhich?"), (1, 5, "user", "> 今天天气很好！\n好"), (1, 6, "user", "> 去公园\n好"),
+            (1, 7, "user", "> nothing at all had\n> been done about the old\nOh"), (1, 8, "user", "> second of May\nLate"),
+            (1, 9, "user", "> The committee met ... the old bridge\nWell"), (1, 10, "user", "> milk\n> bread\nYes"), (1, 11, "user", "> x = f(y)\nCode"),
+            (1, 12, "user", "> nobody said this\nNo"), (1, 13, "user", "> > - TEA\n> Which?\nThat"), (2, 0, "user", "> second of May\nOther"),
+            (2, 1, "user", "the second of May"), (None, 0, "user", "> second of May"), (2, None, "user", "> second of May")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(messages).collect()
+    assert {r.turn: r.reply_to for r in out if r.conv_id == 1} == {
+        0: None, 1: None, 2: None, 3: None, 4: 0, 5: 1, 6: 1, 7: 2, 8: 2, 9: 2, 10: 0, 11: 1, 12: None, 13: 4}
+    assert len(out) == len(rows) and all(r.reply_to is None for r in out if r.conv_id != 1)
+    assert [r.turn for r in out if r.conv_id == 1] == [0, 4, 10, 13, 1, 5, 6, 11, 2, 7, 8, 9, 3, 12]
+
+
 def test_chat_depth_of_a_long_chain(spark):
     rows = [(1, i, "user", (f"> Message {i - 1} says so.\n" if i else "") + f"Message {i} says so.") for i in range(40)]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
