@@ -27,6 +27,20 @@ def test_quality_held_out_accuracy(spark):
         quality.train(docs, labels.where("quality = 1"))
 
 
+def test_quality_fits_one_row_of_a_repeated_id(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs, vectors, fitted, fit = docs.select("doc_id", "text"), quality.word_vectors(docs), [], quality.fit
+    monkeypatch.setattr(quality, "word_vectors", lambda *_: vectors)
+    monkeypatch.setattr(quality, "fit", lambda x, y: (fitted.append(len(x)), fit(x, y))[1])
+    again = docs.join(labels.where(~quality.held_out(F.col("doc_id"))).orderBy("doc_id").limit(3), "doc_id", "left_semi")
+    again = again.crossJoin(spark.range(400)).drop("id")
+    other = again.withColumn("text", F.concat("text", F.lit(" and "), F.rand(1).cast("string")))
+    plain, copies, others = (quality.train(d, labels).network for d in (docs, docs.unionByName(again).repartition(7), docs.unionByName(other)))
+    assert fitted[0] == fitted[1] == fitted[2] <= labels.count()
+    assert (plain.w1 == copies.w1).all() and plain.temperature == copies.temperature
+    assert np.abs(plain.scores(plain.mean) - others.scores(plain.mean)) < 0.2
+
+
 def test_count_tree_equals_full_recount():
     encoder, r = token_counts.Encoder(token_counts.default_tokenizer()), random.Random(5)
     parts = ["a", "B", "ab", "é", " ", "  ", "\n", "'s", "'", "l", "9", "!", "...", "<|endoftext|>", "x y z "]

@@ -7,11 +7,11 @@ ordinary grouped sum and may be sent to every task.  Tokens are runs of letters,
 a word equal to the one before it is a token of its own kind.
 
 A document's features are the mean of its tokens' vectors.  A network of one hidden layer is fitted on the driver to a
-bounded sample of labelled rows (``max_labels``, those of least id hash), and its temperature to labelled rows that the fit
-did not see.  Scoring reads nothing but the text.
+bounded sample of labelled ids (``max_labels``, those of least id hash), one row each, and its temperature to labelled rows
+that the fit did not see.  Scoring reads nothing but the text.
 
 Defined cases: null and empty texts have the zero vector and get the network's score for it; labels that are null,
-not 0 or 1, or contradictory for one id are not used; an empty table gives an empty result; without usable labels of
+not 0 or 1, or contradictory for one id are not used; of rows that share a labelled id the one of least text hash is fitted; an empty table gives an empty result; without usable labels of
 both kinds the fit raises ValueError.
 """
 
@@ -182,8 +182,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def _feature_rows(vectors: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            x = [pooled(d, vectors) for d in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["id", "y", "x"])
+            x = [pooled(d, vectors) for d in utf8(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float32()))], names=["id", "y", "h", "x"])
 
     return rows
 
@@ -214,15 +214,16 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_labels: int = MAX_LABELS, folds: int = 4, fold: int = 2) -> QualityModel:
-    """Word vectors from all of ``docs``; the network from at most ``max_labels`` labelled rows outside the held-out
-    fold, a quarter of them (by id hash) kept for the temperature."""
+    """Word vectors from all of ``docs``; the network from one row each of at most ``max_labels`` labelled ids outside the
+    held-out fold, a quarter of them (by id hash) kept for the temperature."""
     vectors = word_vectors(docs, text_col)
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     usable = usable.where(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     sample = materialise(usable.select("id", "y").orderBy(F.xxhash64("id"), "id").limit(max_labels), "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "y", "t")  # at most max_labels rows are broadcast
-    rows = rows.mapInArrow(_feature_rows(vectors), f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>")
+    rows = texts.join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("t").alias("h"), "t")  # at most max_labels rows are broadcast
+    rows = rows.mapInArrow(_feature_rows(vectors), f"id {docs.schema[id_col].dataType.simpleString()}, y int, h long, x array<float>")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("least")).select("id", "y", F.col("least.x").alias("x"))  # and collected
     got = rows.withColumn("late", F.pmod(F.xxhash64(F.lit("temperature"), "id"), F.lit(4)) == 0).orderBy("id", "x").toPandas()
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
