@@ -98,3 +98,13 @@ def test_nearest_recall_and_cases(spark):
     assert found >= 0.9 * 20 * len(by)
     assert ann.nearest(table.limit(0), F.col("id") % 20 == 0).count() == 0
     assert sorted(r.vec_id for r in ann.nearest(table.where("vec_id in (0, 5, 6, 7)"), F.col("id") == 0).collect()) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("n", [8, 21, 25])
+def test_nearest_of_a_small_table_has_k_rows(spark, n):
+    v = np.random.default_rng(n).normal(size=(n, 16))
+    table = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in ann.nearest(table, F.col("id") >= 0, k=20).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {q: len(x) for q, x in by.items()} == dict.fromkeys(range(n), min(20, n - 1))

@@ -2,7 +2,8 @@
 
 Trees split at the median of random projections.  They are fitted on a bounded sample (``SAMPLE`` vectors of least
 hash) and then index every vector.  A query keeps one queue over all trees, ordered by the summed squared margins of the
-splits it would have to cross, and takes leaves from it until they hold ``share`` of the sample.  Vectors of a leaf meet
+splits it would have to cross, and takes leaves from it until they hold ``share`` of the sample and ``k`` + 1 vectors of
+it, or there are no more.  Vectors of a leaf meet
 the queries that chose it in blocks of at most ``BLOCK`` rows a side, and are scored exactly (inner products in double
 precision of the original vectors).
 
@@ -76,12 +77,13 @@ class Forest:
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.c_[x, np.sqrt(np.maximum(self.length**2 - (x * x).sum(axis=1), 0))]
 
-    def choose(self, query: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs from the shared queue until they hold ``share`` of the sample."""
+    def choose(self, query: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
+        """(tree, leaf) pairs from the shared queue until they hold ``share`` of the sample and ``least`` vectors of it, or
+        all pairs."""
         x = np.r_[query, 0.0][None]
         margins = [t.margins(x)[0].tolist() for t in self.trees]
         seen, queue, out = np.zeros(self.size, bool), [(0.0, t, 0) for t in range(len(self.trees))], []
-        while queue and seen.sum() < share * self.size:
+        while queue and seen.sum() < max(share * self.size, least):
             cost, t, node = heapq.heappop(queue)
             own = margins[t]
             while node < len(own):
@@ -132,11 +134,11 @@ def _index_rows(forest, leaves: int):
     return rows
 
 
-def _query_rows(forest, leaves: int, share: float):
+def _query_rows(forest, leaves: int, share: float, least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = [[t * leaves + n for t, n in forest.value.choose(q, share)] for q in _matrix(batch.column(1))]
+                at = [[t * leaves + n for t, n in forest.value.choose(q, share, least)] for q in _matrix(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.int32()))], names=["query_id", "q", "leaf"])
 
     return rows
@@ -178,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     wanted = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(is_query)
     usable = distinct.select("v").distinct()
     queries = wanted.join(usable, "v", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    queries = queries.mapInArrow(_query_rows(forest, leaves, share), f"query_id long, q {kind}, leaf array<int>")
+    queries = queries.mapInArrow(_query_rows(forest, leaves, share, k + 1), f"query_id long, q {kind}, leaf array<int>")
     queries = materialise(queries, "queries").select("query_id", "q", F.explode("leaf").alias("leaf"))
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
