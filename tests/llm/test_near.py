@@ -75,6 +75,16 @@ def test_decontamination_cases(spark):
     assert decontamination.benchmark_hits(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_short_items_as_lines(spark):
+    bench = spark.createDataFrame([(1, "What  is 2+2?"), (2, "What is 2+2?"), (3, "a\nb"), (4, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "what is 2+2? "), (2, "First.\r\n\n\tWhat is\t2+2?\n4"), (3, "So what is 2+2? asked he"), (4, "x\nA\n\nb\nA\nB"),
+                                  (5, "a b"), (6, "What is\n2+2?"), (7, "a b c"), (8, None)], "doc_id long, text string")
+    hits = decontamination.benchmark_hits(docs, bench).collect()
+    assert sorted(tuple(h) for h in hits) == [
+        (1, 1, 0, 0, 12), (1, 2, 0, 0, 12), (2, 1, 0, 7, 19), (2, 2, 0, 7, 19), (4, 3, 0, 2, 5), (5, 3, 0, 0, 3), (6, 1, 0, 0, 12), (6, 2, 0, 0, 12)]
+    assert sorted(x.doc_id for x in decontamination.drop_contaminated(docs, bench).collect()) == [3, 7, 8]
+
+
 def test_nearest_recall_and_cases(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(600, 16))

@@ -7,8 +7,9 @@ occurrence keeps all but 4k of the item's 4-grams) and then Myers' bit-parallel
 is missed.
 
 The benchmark is the stated query set.  It goes to every task in blocks of at most ``block_chars`` characters, however
-large it is, one pass over the documents for each block.  Items under ``min_chars`` characters are not looked for:
-they occur in clean texts.
+large it is, one pass over the documents for each block.  Items under ``min_chars`` characters occur inside clean texts, so
+they are looked for without errors and only where they fill a whole text, a whole line of it or consecutive whole lines;
+elsewhere they do not count.
 
 Defined cases: null and empty texts hold nothing; null items are not looked for; repeated documents are each
 reported, once per id; documents with a null id are reported under it; repeated items under each of their ids;
@@ -120,6 +121,34 @@ class Matcher:
         return best
 
 
+class LineMatcher:
+    """Texts and lines that are one of the short items of a block."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        self.ids, self.longest = defaultdict(list), max((len(t) for _, t in items), default=0)
+        for i, t in items:
+            self.ids[t].append(i)
+
+    def find(self, text: str) -> Iterator[tuple[object, int, int, int]]:
+        """(item id, 0, start, end) of the first occurrence of each item; places are those in the normalised text."""
+        if not self.ids:
+            return
+        lines, starts, at, seen = [y for x in text.lower().splitlines() if (y := " ".join(x.split()))], [], 0, set()
+        for line in lines:
+            starts.append(at)
+            at += len(line) + 1
+        for n, line in enumerate(lines):
+            held, m = line, n
+            while len(held) <= self.longest:
+                if held in self.ids and held not in seen:
+                    seen.add(held)
+                    yield from ((i, 0, starts[n], starts[n] + len(held)) for i in self.ids[held])
+                m += 1
+                if m == len(lines):
+                    break
+                held += " " + lines[m]
+
+
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[list]:
     """Items of at most ``block_chars`` characters together (or one larger item), one block after the other."""
     total = items.agg(F.sum(F.length("t")).alias("n")).head().n or 0
@@ -148,15 +177,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
               "distance int, match_start long, match_end long")
     found = spark.createDataFrame([], schema)
     for block in _blocks(items, block_chars):
-        named = [(i, t) for i, t in ((i, normalise(t)) for i, t in block) if len(t) >= min_chars]
-        shared = spark.sparkContext.broadcast(named)
+        named = [(i, t) for i, t in ((i, normalise(t)) for i, t in block) if t]
+        shared = spark.sparkContext.broadcast(([x for x in named if len(x[1]) >= min_chars], [x for x in named if len(x[1]) < min_chars]))
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher, lines = Matcher(shared.value[0], error_rate), LineMatcher(shared.value[1])
             for batch in sliced(batches):
                 row, out = [], []
                 for j, text in enumerate(batch.column(1).to_pylist()):
-                    hits = list(matcher.find(normalise(text or "")))
+                    hits = [*matcher.find(normalise(text or "")), *lines.find(text or "")]
                     row += [j] * len(hits)
                     out += hits
                 if out:
