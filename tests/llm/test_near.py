@@ -24,6 +24,16 @@ def test_groups_match_brute_force(spark):
     assert sorted(x.doc_id for x in kept) == sorted({f + 10 for f in first}) and kept[0].asDict().keys() == set(docs.columns)
 
 
+def test_one_row_of_each_group_with_repeated_ids(spark):
+    r = random.Random(2)
+    a, b, c = (" ".join(r.choice("ab cd ef gh ij kl".split()) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a.upper()), (2, c), (3, b.upper()), (3, c.upper()), (1, a), (None, c), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == sorted([(0, c), (1, a), (1, b), (2, c), (4, "")])
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_links_connect_a_crowded_family(spark, hot):
     rng, base, family = np.random.default_rng(1), 0x1234567890ABCDEF, set()

@@ -149,13 +149,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component: one row of each group (of rows with equal ids,
-    the one with the least text hash).  Rows with a null id stay, as nothing names them."""
-    groups = near_duplicate_components(docs, id_col, text_col, shingle, distance)
-    heads = materialise(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "heads")
-    kept = docs.join(heads.select(id_col).hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
-    if heads.where("n > 1").head(1):
-        names = [f"c{i}" for i in range(len(docs.columns))]
-        order = F.row_number().over(Window.partitionBy(f"c{docs.columns.index(id_col)}").orderBy(F.xxhash64(f"c{docs.columns.index(text_col)}")))
-        kept = kept.toDF(*names).withColumn("rank", order).where("rank = 1").drop("rank").toDF(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group: that with the smallest id, and of rows with equal ids the one with the least text hash.  Rows
+    are told apart by id and text, so rows that share an id are each kept or dropped by their own group.  Rows with a null
+    id stay, as nothing names them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    name, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    row = F.when(name.isNotNull(), F.struct(name.alias("i"), F.xxhash64(text).alias("h")))
+    groups = near_duplicate_components(own.select(row.alias("id"), text.alias("t")), "id", "t", shingle, distance)
+    heads = materialise(groups.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")).select("id.i", "id.h", "n"), "heads")
+    kept = own.withColumn("i", name).withColumn("h", F.xxhash64(text)).join(heads.select("i", "h").hint("shuffle_hash"), ["i", "h"], "left_semi")
+    if heads.where("n > 1").head(1):  # the same id and text again
+        order = F.row_number().over(Window.partitionBy("i", "h").orderBy("h"))
+        kept = kept.withColumn("rank", order).where("rank = 1")
+    return kept.select(*names).unionByName(own.where(name.isNull())).toDF(*docs.columns)
