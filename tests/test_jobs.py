@@ -40,6 +40,25 @@ def test_batch_job_csv(spark, model):
     assert 0.0 <= m.accuracy <= 1.0
 
 
+def test_batch_job_spreads_one_file(spark, model, monkeypatch):
+    d, parts, score = tempfile.mkdtemp(dir="/tmp"), [], J.score_table
+    src = os.path.join(d, "one.csv")
+    with open(src, "w") as fh:
+        fh.write("url,label\n" + "".join(f"{u},{y}\n" for u, y in BATCH * 20))
+    monkeypatch.setattr(J, "score_table", lambda df, *a: (parts.append(df.rdd.getNumPartitions()), score(df, *a))[1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        counts = [J.batch_job(spark, src, model, "url", "label", os.path.join(d, f"out{m}"), "r", "url string, label int", multi_line=m)[1].count()
+                  for m in (True, False)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert counts == [len(BATCH) * 20] * 2 and min(parts) > 1
+    assert J.parse_args(["-i", src, "--single-line"]).single_line and not J.parse_args(["-i", src]).single_line
+    with open(os.path.join(d, "job.json"), "w") as fh:
+        fh.write('{"input": {"multi_line": false}}')
+    assert not J.JobConfig.from_json(os.path.join(d, "job.json")).multi_line and J.JobConfig().multi_line
+
+
 def test_batch_metrics_clamps(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "true_label int, final_prediction int")
     m = J.batch_metrics(df).first()

@@ -37,6 +37,7 @@ class JobConfig:
     device: str = "cpu"
     batch_size: int = 10_000               # Arrow records per batch for a Python scorer
     output_directory: str = "results"
+    multi_line: bool = True                # False: no value of the CSV holds a line break, files are split
     extra: dict = field(default_factory=dict)
 
     @classmethod
@@ -44,7 +45,7 @@ class JobConfig:
         """Read the job file.  Fixed values: its section and key names
         (models.bigru.model_path, models.phi3.adapter_path,
         pipeline.bigru_threshold_low, pipeline.device, pipeline.batch_size,
-        output.output_directory); missing keys take the defaults."""
+        output.output_directory) and input.multi_line; missing keys take the defaults."""
         with open(path) as fh:
             c = json.load(fh)
         return cls(model_path=c.get("models", {}).get("bigru", {}).get("model_path"),
@@ -52,7 +53,8 @@ class JobConfig:
                    threshold=c.get("pipeline", {}).get("bigru_threshold_low", H.DEFAULT_BAND),
                    device=c.get("pipeline", {}).get("device", "cpu"),
                    batch_size=c.get("pipeline", {}).get("batch_size", 10_000),
-                   output_directory=c.get("output", {}).get("output_directory", "results"))
+                   output_directory=c.get("output", {}).get("output_directory", "results"),
+                   multi_line=c.get("input", {}).get("multi_line", True))
 
 
 def save_model(model: M.TokenModel, path: str) -> None:
@@ -125,12 +127,16 @@ def batch_metrics(final: DataFrame) -> DataFrame:
 def batch_job(spark: SparkSession, input_path: str, model: M.TokenModel, url_column: str = "url",
               label_column: str | None = None, output_dir: str = "results", output_name: str | None = None,
               schema=None, layer2_fn=None, threshold: float = H.DEFAULT_BAND,
-              on_missing: str = "reference") -> tuple[str, DataFrame]:
-    """B1: read a CSV, score, carry columns, add truth, write.  ``layer2_fn``
+              on_missing: str = "reference", multi_line: bool = True) -> tuple[str, DataFrame]:
+    """B1: read a CSV, score, carry columns, add truth, write.  With ``multi_line``
+    a file is read by one task and its rows are spread for scoring; without,
+    files are split (for inputs with no line break in a value).  ``layer2_fn``
     answers the uncertain band; without one ``on_missing`` decides it (H7).
     Returns the output path and the result as it was computed (from parquet:
     text survives a CSV only as far as its reader's rules go)."""
-    df = read_csv(spark, input_path, schema)
+    df = read_csv(spark, input_path, schema, multi_line=multi_line)
+    if multi_line:
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     final = _stored(with_truth(score_table(df, model, url_column, layer2_fn, threshold, on_missing), label_column), "batch_result")
     return write_results(final, output_dir, output_name, prefix="batch_results"), final
 
@@ -223,6 +229,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--config", "-c", default=None, help="JSON job configuration")
     p.add_argument("--answers", "-a", default=None, help="saved layer-2 answers, parquet (overrides config)")
     p.add_argument("--on-missing", default="reference", help="what decides the uncertain band without answers")
+    p.add_argument("--single-line", action="store_true", help="no value holds a line break: split the files (overrides config)")
     p.add_argument("--model", "-m", default=None, help="saved token-weight model (overrides config)")
     return p.parse_args(argv)
 
@@ -240,7 +247,7 @@ def main(argv=None) -> None:
     answers = args.answers or cfg.layer2_path
     path, out = batch_job(spark, args.input, model, args.url_column, args.label_column, cfg.output_directory, args.output,
                           layer2_fn=saved_answers(spark, answers) if answers else None, threshold=cfg.threshold,
-                          on_missing=args.on_missing)
+                          on_missing=args.on_missing, multi_line=cfg.multi_line and not args.single_line)
     H.cascade_stats(out).show(truncate=False)
     if "true_label" in out.columns:
         batch_metrics(out).show(truncate=False)
