@@ -1,8 +1,9 @@
 """Suffix-array dedup: remove every byte covered by a ``length``-byte string that starts more than once.
 
-Position-rank pairs are ranked by growing prefixes and reranked until they are unique or past ``length`` bytes, as
-prefix doubling does.  Doubling over every position needs a (rank, next rank, position) row per byte and round; the
-README holds the figures.  So positions are the synchronised ones of ``repeats``: about 1.4 in 100.
+The method named for this, prefix doubling (pairs of ranks of every position, sorted at offsets that double), was
+exchanged: nothing here is ranked, sorted as pairs or doubled.  Doubling needs a (rank, next rank, position) row per byte
+and round; the README has the estimate, and no run of it was measured.  Instead, strings are compared by equal hashes at the
+synchronised positions of ``repeats``, about 1.4 in 100: of a gram, then of the whole stretch, of blocks and of windows.
 
 Defined cases: a null or empty text has no strings and stays empty; repeated rows are copies, so a row of at least
 ``length`` bytes that occurs twice goes whole; matches never cross rows; an empty table gives an empty result; extra
