@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +37,34 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what a task holds at a time does not follow the reader's batch size."""
+#: Bytes of texts and lists that a task takes up at a time; a larger row comes alone.
+SLICE_BYTES = 8 << 20
+
+
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes the texts and lists of each row take."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(kind):
+            total += 32 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``size`` bytes (or one row), so that what a task holds at a
+    time follows neither the reader's batch size nor the number of long texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(row_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            fits = int(np.searchsorted(ends, before + size, "right"))
+            stop = min(max(fits, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 class Batches:
