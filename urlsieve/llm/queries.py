@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsieve.llm import (
-    ann, chat, decontamination, fill_in_middle, html_text, merkle, packing, quality, simhash, substring_dedup, suffix_array_dedup,
-    token_counts,
+    ann, chat, decontamination, fill_in_middle, html_text, lm_scoring, merkle, packing, quality, simhash, substring_dedup,
+    suffix_array_dedup, token_counts,
 )
 from urlsieve.llm.common import read_table
 
@@ -70,11 +70,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(read_table(spark, sf_dir, "documents"), every=7)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_simhash_near_dedup,
         op5_nearest_neighbours, op6_token_counts, op7_chat_formatting, op8_html_extraction, op9_substring_dedup, op10_packing,
-        op11_fill_in_middle, op12_merkle_manifest)
+        op11_fill_in_middle, op12_merkle_manifest, op13_lm_scoring)
 }
 
 _OP11 = """
