@@ -71,3 +71,42 @@ def test_automaton_counts_occurrences():
         for end, size in enumerate(a.matches([bytes([w]) for w in s]), 1):
             best = max(n for n in range(end + 1) if n == 0 or sum(t[i:i + n] == s[end - n:end] for t in joined for i in range(len(t))) > 1)
             assert size == best
+
+
+def thue_morse(n):
+    return bytes(97 + (i.bit_count() & 1) for i in range(n))
+
+
+def test_texts_that_a_rolling_hash_cannot_tell_apart(spark):
+    """A random start and then a Thue-Morse string or its complement: all windows of 2,048 bytes differ."""
+    r = random.Random(5)
+    rows, plain = [], thue_morse(1024)
+    swapped = plain.translate(bytes.maketrans(b"ab", b"ba"))
+    for i in range(60):
+        start = bytes(r.choice(b"cdefgh") for _ in range(1024))
+        rows += [(2 * i, (start + plain).decode()), (2 * i + 1, (start + swapped).decode())]
+    got = suffix_array_dedup.repeated_byte_digest(spark.createDataFrame(rows, "doc_id long, text string"), length=2048).collect()
+    assert len(got) == 120 and all(x.n_removed == 0 for x in got)
+    copied = [*rows, (1000, rows[0][1])]
+    got = suffix_array_dedup.repeated_byte_digest(spark.createDataFrame(copied, "doc_id long, text string"), length=2048).where("n_removed > 0").collect()
+    assert {x.doc_id for x in got} == {0, 1000}
+
+
+@pytest.mark.parametrize("resolver", ["own", "hot"])
+def test_lengths_of_the_queries(spark, monkeypatch, resolver):
+    """200 bytes and 35 words against brute force, with shared passages around those lengths."""
+    if resolver == "hot":
+        monkeypatch.setattr(repeats, "HOT", 1)
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijé") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    passages = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (20, 34, 35, 36, 60, 120)]
+    texts = [None, "", passages[5] * 3]
+    for i in range(60):
+        parts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 4))]
+        texts.append((" " if i % 2 else "\n").join([parts[0], r.choice(passages), *parts[1:], r.choice(passages)[: r.randint(150, 400)]]))
+    texts += [texts[5], texts[6] + " x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_array_dedup.repeated_byte_digest(docs, length=200).collect()}
+    assert got == dict(enumerate(brute.byte_digest(texts, 200)))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.repeated_word_digest(docs, length=35).collect()}
+    assert got == dict(enumerate(brute.word_digest(texts, 35)))

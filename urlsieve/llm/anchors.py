@@ -9,6 +9,8 @@ so ranking domains moves a small share of what ranking every position would.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 BLOCK = 1 << 16
@@ -64,9 +66,9 @@ def gram_length(length: int) -> int:
     return max(1, length - max(1, length * 4 // 5) + 1)
 
 
-def domains(units: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lo, hi, gram hash, hash of the units lo .. hi + length - 1) of every domain, blockwise, so memory stays
-    bounded for texts of any length.  A domain cut by a block edge only loses the shortcut of equal contexts."""
+def domains(units: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, gram hash) of every domain, blockwise, so memory stays bounded for texts of any length.  A domain cut by a
+    block edge only loses the shortcut of equal contexts."""
     gram = gram_length(length)
     last, out = len(units) - length + 1, []
     for start in range(0, last, BLOCK):
@@ -78,18 +80,18 @@ def domains(units: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
         at = (_least(keyed, length - gram + 1) & _POSITION).astype(np.int64)
         cut = np.flatnonzero(at[1:] != at[:-1]) + 1
         lo, hi = np.r_[0, cut], np.r_[cut - 1, len(at) - 1]
-        whole = mix((sums[hi + length] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        out.append((lo + start, hi + start, grams[at[lo]].view(np.int64), whole.view(np.int64)))
+        out.append((lo + start, hi + start, grams[at[lo]].view(np.int64)))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def blocks(units: np.ndarray, length: int, gram_hash: int, width: int) -> tuple[np.ndarray, ...]:
+def blocks(units: np.ndarray, length: int, gram_hash: int, width: int, hashes: Callable) -> tuple[np.ndarray, ...]:
     """The windows of one domain in blocks of ``width`` neighbours, aligned at the chosen gram so that equal windows of
     two domains fall into blocks of the same number: (number, first start, last start, hash of the units that all
-    windows of the full block share, hash of the units that this domain's windows of the block cover)."""
+    windows of the full block share, hash of the units that this domain's windows of the block cover).  ``hashes`` gives
+    the hashes of stretches of the units from their starts and ends."""
     gram, n = gram_length(length), len(units) - length + 1
     sums, inverse = _sums(units)
     grams = mix((sums[gram:] - sums[:-gram]) * inverse[: len(units) - gram + 1]).view(np.int64)
@@ -99,15 +101,12 @@ def blocks(units: np.ndarray, length: int, gram_hash: int, width: int) -> tuple[
     first, last = np.r_[0, cut], np.r_[cut - 1, n - 1]
     number = number[first]
     start = at - number * width
-
-    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
-
     return number, first, last, hashes(start, start - width + 1 + length), hashes(first, last + length)
 
 
 def window_hashes(units: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each window of ``length`` units."""
+    """Rolling hash of each window of ``length`` units: equal windows have equal ones, but what differs may, too (a sum of powers
+    modulo 2^64 is blind to some long patterns), so it only finds candidates."""
     sums, inverse = _sums(units)
     n = len(units) - length + 1
     return mix((sums[length:] - sums[:n]) * inverse[:n] ^ np.uint64(0x94D049BB133111EB)).view(np.int64)

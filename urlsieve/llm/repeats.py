@@ -11,8 +11,9 @@ Ranks are assigned to synchronised positions (see ``anchors``) instead of all po
    by the units that ``BLOCK`` neighbouring windows share (unique: all of them leave; equal over all that they cover:
    all of them repeat), then by the windows of the blocks still undecided.
 
-Grams, stretches and windows are compared by 64-bit hashes, always two independent ones together (gram and stretch,
-gram and window).  Rows are grouped by gram with map-side partial aggregates, and the join back is an ordinary
+Grams are compared by a rolling hash, which only decides what meets: whatever then counts as equal is equal in the 64-bit
+XXH3 of its bytes, too, which is not algebraic and sees every byte (stretches, blocks and windows; windows resolved
+within one task are first found by their rolling hash).  Rows are grouped by gram with map-side partial aggregates, and the join back is an ordinary
 equi-join that adaptive execution splits when a gram is in a large share of the rows.  Texts are moved compressed,
 once for all documents and once more for those with undecided stretches.
 """
@@ -49,6 +50,12 @@ class ByteUnits:
     def split(data: bytes) -> bytes:
         return data
 
+    @staticmethod
+    def hashes(parts: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each stretch of units."""
+        digest = xxhash.xxh3_64_intdigest
+        return np.array([digest(parts[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
+
     @staticmethod
     def cut(parts: bytes, start: int, end: int) -> bytes:
         return parts[start:end]
@@ -70,6 +77,12 @@ class WordUnits:
     def split(data: bytes) -> list[bytes]:
         return data.split()
 
+    @staticmethod
+    def hashes(parts: list[bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each stretch of units: of its words joined by spaces, which no word holds."""
+        at = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)]
+        return ByteUnits.hashes(b" ".join(parts), at[starts], at[ends] - 1)
+
     @staticmethod
     def cut(parts: list[bytes], start: int, end: int) -> bytes:
         return b" ".join(parts[start:end])
@@ -96,7 +109,8 @@ def _domain_rows(unit, length: int) -> Callable:
         out = Batches(schema)
         for batch in sliced(batches):
             for k, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                lo, hi, g, c = anchors.domains(unit.units(data), length)
+                lo, hi, g = anchors.domains(unit.units(data), length)
+                c = unit.hashes(unit.split(data), lo, hi + length) if len(lo) else g
                 yield from out.add(np.full(len(lo), k, np.int64), g, c, lo, hi)
         yield from out.flush()
 
@@ -127,6 +141,15 @@ def _groups(batches: Iterator[pa.RecordBatch], many: int = 20_000) -> Iterator[l
         yield held
 
 
+def _twice(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which pairs occur more than once."""
+    order = np.lexsort((h, g))
+    same = (g[order][1:] == g[order][:-1]) & (h[order][1:] == h[order][:-1])
+    hit = np.zeros(len(order), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    return hit
+
+
 def equal_windows(unit, length: int) -> Callable:
     """Resolver: windows of one gram's stretches with equal hashes, found by sorting (gram, window) pairs."""
 
@@ -136,10 +159,11 @@ def equal_windows(unit, length: int) -> Callable:
         row = np.repeat(np.arange(len(rows)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         g, h = np.array([r[0] for r in rows], np.int64)[row], np.concatenate(hashes)
-        order = np.lexsort((h, g))
-        same = (g[order][1:] == g[order][:-1]) & (h[order][1:] == h[order][:-1])
-        hit = np.zeros(len(order), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        hit = _twice(g, h)
+        found = np.flatnonzero(hit)     # candidates get the hash of their bytes; they come row by row
+        for own in np.split(found, np.flatnonzero(np.diff(row[found])) + 1) if len(found) else []:
+            h[own] = unit.hashes(unit.split(rows[row[own[0]]][3]), at[own], at[own] + length)
+        hit[found] = _twice(g[found], h[found])
         yield from zip(row[hit].tolist(), at[hit].tolist(), strict=True)
 
     return repeated
@@ -170,7 +194,8 @@ def _block_rows(unit, length: int) -> Callable:
         out = Batches(schema)
         for batch in sliced(batches):
             for g, k, lo, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b, first, last, core, whole = anchors.blocks(unit.units(data), length, g, BLOCK)
+                parts = unit.split(data)
+                b, first, last, core, whole = anchors.blocks(unit.units(data), length, g, BLOCK, lambda a, z, p=parts: unit.hashes(p, a, z))
                 same = [np.full(len(b), x, np.int64) for x in (g, k, lo)]
                 yield from out.add(same[0], b, core, whole, same[1], same[2], first + lo, last + lo)
         yield from out.flush()
@@ -186,7 +211,7 @@ def _window_rows(unit, length: int) -> Callable:
         for batch in sliced(batches):
             for g, k, lo, data, open_blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.concatenate([np.arange(x["i0"], x["i1"] + 1) for x in open_blocks])
-                h = anchors.window_hashes(unit.units(data), length)[at - lo]
+                h = unit.hashes(unit.split(data), at - lo, at - lo + length)
                 yield from out.add(np.full(len(h), g, np.int64), h, np.full(len(h), k, np.int64), at)
         yield from out.flush()
 
