@@ -118,10 +118,10 @@ def test_html_article_keeps_its_own_parts():
         "Title here": "<h1 class=page-header>Title here</h1>", "Lead.": "<header><h2>Lead.</h2></header>",
         "So x=2 holds.": "<p>So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds.</p>",
         "Method": "<h2 class=section-header id=comments>Method</h2>", "An ad-hoc rule.": "<p class=ad-hoc>An ad-hoc rule.</p>",
-        "Others did so too.": "<div id=related-work><p>Others did so too.</p></div>", "Beware.": "<div class='notice alert'>Beware.</div>",
+        "Others did so too.": "<div id=related-work><p>Others did so too.</p></div>",
         "a # why": "<pre>a <span class='token comment'># why</span></pre>", "Wise words. Someone": "<blockquote><p>Wise words.<footer>Someone</footer></blockquote>",
         "Source 0 Source 1 Source 2 Source 3": f"<ul>{links}</ul>"}
-    cut = "".join(f"<div {x}>Gone</div>" for x in ("class=ad", "id=comments", "class='x share'", "class=newsletter", "class=cookie-notice", "class=related-posts",
+    cut = "".join(f"<div {x}>Gone</div>" for x in ("class=ad", "class='notice alert'", "id=comments", "class='x share'", "class=newsletter", "class=cookie-notice", "class=related-posts",
                                                   "hidden", "role=navigation", "class=ad_slot")) + "<nav>Gone</nav><footer>Gone</footer>"
     for name in ("article", "main"):
         page = f"<body><nav><a href=/>Home</a></nav><div class=ad>Buy</div><{name}>{''.join(parts.values())}{cut}</{name}><footer>(c)</footer></body>"
@@ -194,3 +194,18 @@ def test_word_ids_equal_the_tokenizers():
     for low in range(len(odd)):
         ids, at = words.encode(column.slice(1 + low))
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [*want[low:], []]
+
+
+def test_outside_an_article_only_names_of_nothing_else_are_cut():
+    body = "<p>" + "The long text of the page goes on and on, sentence after sentence. " * 8 + "</p>"
+    kept = {"Others did so too, and this is how they went about it.": "<div id=related-work><p>%s</p></div>",
+            "A monarchy is one of several forms that a state may take.": "<p class=form-of-government>%s</p>",
+            "See one and two and three": "<p>See <a href=1>one</a> and <a href=2>two</a> and <a href=3>three</a></p>"}
+    gone = ["class=site-header", "id=siteFooter", "class='left-sidebar x'", "class=related_posts", "id=cookie-consent-banner", "class=ad-slot"]
+    for text, html in kept.items():
+        html = html % text if "%s" in html else html
+        assert text in main_text(f"<html><body><div>{body}{html}{body}</div></body></html>"), text
+    for name in gone:
+        assert "Gone" not in main_text(f"<html><body><div>{body}<div {name}><p>Gone is gone.</p></div>{body}</div></body></html>"), name
+    article = f"<html><body><article><h1>T</h1>{body}<label>Size</label><div class='site-notice'>Gone</div><div class=notice>Gone</div></article></body></html>"
+    assert "Size" in main_text(article) and "Gone" not in main_text(article)

@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree (unclosed and crossed tags are closed as browsers do).  Parts that are never article text
-are cut first: scripts, styles, forms, navigation and the like by tag, by role and by the words of their class and id.
+are cut first: scripts, styles, forms, navigation and the like by tag, by role and by their class and id, as far as a
+name says nothing else: it is made of words for such parts and of words for places on a page (``site-header``, not
+``related-work``).
 Inside the ``article`` or ``main`` element that holds most of the text only what is unambiguous is cut: a class or id
 counts as a whole name there (``ad``, not ``ad-hoc``), never on headings or in code, and lists of links stay.  Formulas
 are text.
@@ -59,13 +61,20 @@ _CUT_WORDS = set(
     "toolbar paywall form outbrain taboola".split())
 #: These name readers' words, which may outweigh the article; a part with another of the words that holds most text is a wrapper.
 _READERS = set("comment comments reply replies respond disqus".split())
-_LISTS = set("ul ol dl div table section p".split())
+_LISTS = set("ul ol dl div table section".split())
+#: Words that may stand beside the cut words in a name without another meaning: places, containers, what is listed.
+_PLACES = set(
+    "site page main top bottom left right upper lower global primary secondary bar box block area container wrapper wrap inner outer section "
+    "list lists link links item items button buttons icon icons unit slot thread module panel region row col column group body text title content "
+    "contents floating sticky fixed mobile desktop user users reader readers post posts article articles story stories news media "
+    "the js is has id class div span web blog home".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words that on a heading name the heading itself.
 _HEADS = set("header masthead topbar banner".split())
 #: Whole names that are cut inside the page's article: words that name nothing else, and words with what they are shown in.
 _CUT_NAME = re.compile(
     r"ad|ads|advert|adverts|advertisement|advertisements|adsense|adsbygoogle|sponsored|nav|navbar|breadcrumb|breadcrumbs|sidebar|comment|comments|"
+    r"notices?|alerts?|disclaimer|(?:site|page|legal|privacy)-(?:notice|alert|disclaimer)|"
     r"disqus(?:-thread)?|newsletter|subscribe|share|sharing|pagination|pager|paywall|outbrain|taboola|"
     r"(?:ads?|advert|advertisement|sponsored|nav|navigation|comments?|newsletter|subscribe|subscription|signup|share|sharing|social|cookies?|consent|gdpr|"
     r"paywall|related|recommended)-(?:bar|banner|box|buttons?|container|form|icons?|links?|list|modal|notice|overlay|popup|signup|slot|thread|unit|widget|wrapper)|"
@@ -73,6 +82,12 @@ _CUT_NAME = re.compile(
 _READERS_NAME = re.compile(r"comments?|comment-(?:box|container|form|list|thread|wrapper)|comments-(?:box|container|form|list|thread|wrapper)|replies|respond|disqus(?:-thread)?")
 
 
+def _only(name: str, words: set[str]) -> bool:
+    """Whether a class or id is made of ``words`` (one at least) and words for places."""
+    parts = [w.lower() for w in _WORD.findall(name)]
+    return any(w in words for w in parts) and all(w in words or w in _CUT_WORDS or w in _PLACES for w in parts)
+
+
 class Page:
     """The tree of one page: parallel arrays in page order."""
 
@@ -155,7 +170,7 @@ class Page:
             sure = within[parent[i]]
             if out[i] or tag[i] in ("html", "body"):
                 continue
-            if tag[i] in _CUT_TAGS and not (tag[i] in ("form", "aside", "fieldset") and holds[i]):
+            if tag[i] in _CUT_TAGS and not (tag[i] in ("form", "aside", "fieldset") and holds[i] or sure and tag[i] == "label"):
                 out[i] = not (sure and tag[i] == "footer" and tag[parent[i]] == "blockquote")  # a quotation's source
             elif tag[i] in ("annotation", "annotation-xml"):
                 out[i] = tag[parent[i]] == "semantics"  # not shown: the formula before it, in another notation
@@ -167,7 +182,8 @@ class Page:
                 most = below[i] > 2 and 2 * (chars[i] - links[i]) > chars[0] - links[0]
                 if not sure:
                     words = _READERS if most or tag[i] in ("article", "main") else _CUT_WORDS
-                    out[i] = self._named(i, (words - _HEADS if tag[i] in _HEADINGS else words).intersection, _WORD.findall)
+                    words = words - _HEADS if tag[i] in _HEADINGS else words
+                    out[i] = self._named(i, lambda names: any(_only(x, words) for x in names), str.split, fold=False)
                 elif tag[i] in _HEADINGS or code[i]:
                     out[i] = self._named(i, None, str.split)
                 else:
@@ -175,7 +191,7 @@ class Page:
                     out[i] = self._named(i, lambda names: any(name.fullmatch(x.replace("_", "-")) for x in names), str.split)
         return out
 
-    def _named(self, i: int, cuts: Callable | None, split: Callable[[str], list[str]]) -> bool:
+    def _named(self, i: int, cuts: Callable | None, split: Callable[[str], list[str]], fold: bool = True) -> bool:
         """Whether a node is hidden, has a role that is not text, or a class or id of which ``cuts`` holds."""
         for name, *values in _ATTR.findall(self.attrs[i]):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -183,7 +199,7 @@ class Page:
                 return True
             if name == "role" and value.lower() in _CUT_ROLES:
                 return True
-            if cuts and name in ("class", "id") and cuts([w.lower() for w in split(value)]):
+            if cuts and name in ("class", "id") and cuts([w.lower() if fold else w for w in split(value)]):
                 return True
         return False
 
