@@ -43,6 +43,8 @@ CACHE_WORDS, CHUNK_CHARS = 350_000, 2_000_000
 #: Latin letters that stay one letter in lower case; a word of them is one pre-token, unchanged by its neighbours.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 _PLAIN = re.compile(f"[{_LETTERS}]+")
+#: Texts on which a tokenizer must show that it treats words one by one.
+_PROBES = ("Hello  world it is", " A lead", "Trail \n", "two\nlines\n\nHere", "\u00dcn\u00efc\u00f6de \u00e9t\u00e9 n\u00fal", "Don't stop, now. (Or 12 3)", "a b c", "")
 
 
 def default_tokenizer() -> str:
@@ -74,10 +76,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fold_case = Tokenizer.from_file(path), fold_case
+        self._verify(path)
         self.letters = self._spelling()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _verify(self, path: str) -> None:
+        """Refuse tokenizers whose ids of a text are not its words' ids in turn."""
+        for text in _PROBES:
+            words = text.replace("\n", " ").split(" ")
+            folded = "".join(chr(ord(c) + 32) if self.fold_case and "A" <= c <= "Z" else c for c in text)
+            whole, each = self._encode([text])[0], [i for x in self._encode(words) for i in x]
+            if whole != each or whole != self._encode([folded])[0]:
+                raise ValueError(f"{path}: ids depend on the white space or the case around a word")
+
     def _spelling(self) -> dict[int, str]:
         """How the model spells each plain letter; empty unless it spells plain words letter by letter."""
         before, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
@@ -130,7 +142,7 @@ class WordTokenizer:
             texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
+        known = self._known(as_list(coded.dictionary))
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         code = coded.indices.to_numpy()
         n = size[code]
@@ -141,6 +153,14 @@ class WordTokenizer:
         return ids, np.r_[0, np.r_[0, ends][last]]
 
 
+def as_list(words: pa.Array) -> list[str]:
+    """Strings without spaces as a list, by one join and split: an Arrow value at a time takes ten times as long."""
+    if not len(words):
+        return []
+    lists = pa.LargeListArray.from_arrays([0, len(words)], words)
+    return pc.binary_join(lists, pa.scalar(" ", words.type))[0].as_py().split(" ")
+
+
 def _pieces(path: str, end_id: int, seq_len: int, unit: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -276,7 +296,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(tokenizer or default_tokenizer(), end_id, seq_len, unit, with_ids), schema)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pieces = materialise(cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))), "pieces")
+    # by row, too, so that rows which share an id are spread; written, so it stays
+    bucket = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(buckets))
+    pieces = materialise(cut.withColumn("bucket", bucket), "pieces")
 
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = materialise(counts, "lengths")  # a row per class and bucket
