@@ -240,6 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) per row of ``docs``."""
+    if not docs.select(id_col).head(1):
+        empty = docs.select(F.col(id_col), F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return empty.limit(0)
     model = train(docs, labels, id_col, text_col)
     scored = model.score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
