@@ -22,7 +22,9 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more); of an empty table, none."""
+    if not docs.head(1):
+        return docs
     score = _unused(docs, "quality_score")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     return model.score(docs, score_col=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
