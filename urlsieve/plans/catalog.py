@@ -41,6 +41,12 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+def _rounded(df: DataFrame, col: str = "layer1_confidence") -> DataFrame:
+    """A confidence that exp made, to 6 places (two engines differ in the last bits).
+    Decisions are made before; only a query's result is rounded."""
+    return df.withColumn(col, F.round(col, 6))
+
+
 # ---------------------------------------------------------------- C1–C4
 CLEAN_SQL = O.with_(O.RAW_URLS) + (
     "SELECT page_id, url, CASE status WHEN 'legitimate' THEN 0 WHEN 'phishing' THEN 1 END AS status "
@@ -186,19 +192,19 @@ def q_train_token_weights(spark, sf):
 
 
 @register("score_layer1", O.with_(*URL_MODEL_CTES) +
-          "SELECT row_id, url, split, layer1_confidence, layer1_prediction FROM l1")
+          "SELECT row_id, url, split, round(layer1_confidence, 6) AS layer1_confidence, layer1_prediction FROM l1")
 def q_score_layer1(spark, sf):
     model, split = flows.train_layer1(fx.urls(spark, sf))
-    return M.score_layer1(split, model).select("row_id", "url", "split", "layer1_confidence", "layer1_prediction")
+    return _rounded(M.score_layer1(split, model).select("row_id", "url", "split", "layer1_confidence", "layer1_prediction"))
 
 
 @register("score_standalone", O.with_(*URL_MODEL_CTES) + (
-    "SELECT row_id, url, layer1_confidence AS confidence, layer1_prediction AS prediction, "
+    "SELECT row_id, url, round(layer1_confidence, 6) AS confidence, layer1_prediction AS prediction, "
     "CASE WHEN layer1_error THEN 'error' WHEN layer1_prediction = 1 THEN 'phishing' ELSE 'legitimate' END AS status "
     "FROM l1"))
 def q_score_standalone(spark, sf):
     model, split = flows.train_layer1(fx.urls(spark, sf))
-    return M.score_standalone(M.score_layer1(split, model))
+    return _rounded(M.score_standalone(M.score_layer1(split, model)), "confidence")
 
 
 ERR_SRC = ("errsrc AS (SELECT row_id, CASE WHEN label = 1 THEN NULL ELSE url END AS url, label, "
@@ -208,14 +214,14 @@ ERR_SRC = ("errsrc AS (SELECT row_id, CASE WHEN label = 1 THEN NULL ELSE url END
 @register("score_error_rows", O.with_(O.URLS, TOK, *O.split_ctes("tok"),
                                       "train AS (SELECT * FROM split WHERE split = 'train')",
                                       *O.nb_ctes("train"), ERR_SRC, *O.score_ctes("errsrc")) + (
-    "SELECT row_id, url, layer1_confidence, layer1_prediction, layer1_error FROM l1"))
+    "SELECT row_id, url, round(layer1_confidence, 6) AS layer1_confidence, layer1_prediction, layer1_error FROM l1"))
 def q_score_error_rows(spark, sf):
     """M4: urls of one class nulled out; those rows must come back as error rows."""
     u = fx.urls(spark, sf)
     model, _ = flows.train_layer1(u)
     broken = u.withColumn("url", F.when(F.col("label") == 1, F.lit(None).cast("string")).otherwise(F.col("url")))
     s = M.score_layer1(flows.tokenized(broken), model)
-    return s.select("row_id", "url", "layer1_confidence", "layer1_prediction", "layer1_error")
+    return _rounded(s.select("row_id", "url", "layer1_confidence", "layer1_prediction", "layer1_error"))
 
 
 def _val_sql(where: str) -> str:
@@ -260,11 +266,12 @@ def q_text_validation_metrics(spark, sf):
 
 # ---------------------------------------------------------------- H1–H11
 FLAG = O.url_cascade_ctes()
+FLAG_COLS = O.FINAL_COLS.replace("layer1_confidence", "round(layer1_confidence, 6) AS layer1_confidence")
 
 
-@register("cascade_predict", O.with_(*FLAG) + f"SELECT {O.FINAL_COLS}, label AS true_label FROM final")
+@register("cascade_predict", O.with_(*FLAG) + f"SELECT {FLAG_COLS}, label AS true_label FROM final")
 def q_cascade_predict(spark, sf):
-    return flows.url_cascade(fx.urls(spark, sf))
+    return _rounded(flows.url_cascade(fx.urls(spark, sf)))
 
 
 @register("route_band", O.with_(O.SCORED) +
@@ -502,7 +509,7 @@ def q_train_logreg(spark, sf):
     split = flows.train_layer1_split(fx.urls(spark, sf))
     model = M.train_logreg(split.where(F.col("split") == "train"))
     val = split.where(F.col("split") == "validation")
-    return M.score_logreg(val, model).select("row_id", "label", "layer1_confidence", "layer1_prediction")
+    return _rounded(M.score_logreg(val, model).select("row_id", "label", "layer1_confidence", "layer1_prediction"))
 
 
 # ---------------------------------------------------------------- E1–E11
@@ -693,7 +700,7 @@ def q_training_estimate(spark, sf):
 
 # ---------------------------------------------------------------- B1–B5
 
-BATCH_OUT = ("url, layer1_confidence, layer1_prediction, used_layer2, final_prediction, layer2_explanation, "
+BATCH_OUT = ("url, round(layer1_confidence, 6) AS layer1_confidence, layer1_prediction, used_layer2, final_prediction, layer2_explanation, "
              "decision_maker")
 
 
@@ -712,7 +719,7 @@ def q_batch_job(spark, sf):
     src = _write_urls_csv(spark, sf)
     _, res = J.batch_job(spark, src, model, "url", "label", fresh_path(spark, "batch_output"),
                          schema="page_id bigint, url string, label int", layer2_fn=flows.rule_layer2)
-    return res
+    return _rounded(res)
 
 
 @register("batch_metrics", O.with_(*FLAG, (
@@ -736,7 +743,7 @@ def q_url_list_job(spark, sf):
     model, _ = flows.train_layer1(u)
     _, res = J.url_list_job(spark, u.select("url"), model, fresh_path(spark, "url_list_output"),
                             layer2_fn=flows.rule_layer2)
-    return res
+    return _rounded(res)
 
 
 def _sim_sql(seed: int = 42) -> str:
@@ -781,11 +788,41 @@ def q_json_scan(spark, sf):
     return S.read_json_records(spark, path, "row_id bigint, text string, label int", array_file=False)
 
 
-@register("csv_sink", O.with_(*FLAG) + f"SELECT {O.FINAL_COLS}, label AS true_label FROM final")
+_NA_SQL = "(" + ", ".join("'" + t + "'" for t in S.NA_TOKENS) + ")"
+
+
+@register("csv_multiline_scan", (
+    f"SELECT doc_id, CASE WHEN text NOT IN {_NA_SQL} THEN text END AS text, n_chars, "
+    f"CASE WHEN source NOT IN {_NA_SQL} THEN source END AS source FROM documents"))
+def q_csv_multiline_scan(spark, sf):
+    """Whole documents, with their line breaks and quotes, in one CSV file that many tasks read."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "n_chars", "source")
+    path = S.write_results(docs.coalesce(1), fresh_path(spark, "csv_multiline_scan"), "documents")
+    return S.read_csv(spark, path, "doc_id bigint, text string, n_chars bigint, source string")
+
+
+@register("json_array_scan", (
+    "SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id ELSE -1 END AS row_id, text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label "
+    "FROM documents"))
+def q_json_array_scan(spark, sf):
+    """One JSON array of records, a third of them without an id, in one file that many tasks read."""
+    d = fx.table(spark, sf, "documents")
+    record = F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("row_id"), "text",
+                                F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label")))
+    rows = d.select(F.lit(1).alias("part"), "doc_id", record.alias("value"))
+    edge = spark.createDataFrame([(0, None, "["), (2, None, "{}]")], "part int, doc_id bigint, value string")
+    lines = rows.withColumn("value", F.concat("value", F.lit(","))).unionByName(edge).coalesce(1).sortWithinPartitions("part", "doc_id")
+    path = fresh_path(spark, "json_array_scan")
+    lines.select("value").write.text(path)
+    read = S.read_json_records(spark, path, "row_id bigint, text string, label int").where("label is not null")
+    return read.withColumn("row_id", F.coalesce("row_id", F.lit(-1)))      # -1: the record has none
+
+
+@register("csv_sink", O.with_(*FLAG) + f"SELECT {FLAG_COLS}, label AS true_label FROM final")
 def q_csv_sink(spark, sf):
     final = flows.url_cascade(fx.urls(spark, sf))
     path = S.write_results(final, fresh_path(spark, "csv_sink"), prefix="hybrid_detection_results")
-    return S.read_back(spark, path, final.schema)
+    return _rounded(S.read_back(spark, path, final.schema))
 
 
 @register("metrics_json")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
+
 # Texts pandas reads as missing by default (S1 parity).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -31,33 +33,67 @@ def null_na_tokens(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     return df.select(*cols)
 
 
+#: Types tried for a column without a schema, first to last; text otherwise.
+INFERRED_TYPES = ("int", "bigint", "double", "boolean", "timestamp")
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """Text columns as the first type that fits all of their values (one aggregate over all rows)."""
+    if not df.columns:
+        return df
+    fits = [F.min(F.coalesce(F.col(f"`{c}`").try_cast(t).isNotNull(), F.lit(True)) | F.col(f"`{c}`").isNull()).alias(f"{i}_{t}")
+            for i, c in enumerate(df.columns) for t in INFERRED_TYPES]
+    some = [F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(df.columns)]
+    got = df.agg(*fits, *some).first()
+    kinds = [next((t for t in INFERRED_TYPES if got[f"{i}_{t}"] and got[f"{i}_n"]), "string") for i in range(len(df.columns))]
+    return df.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in zip(df.columns, kinds, strict=True)])
+
+
+def _csv_rows(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """All columns as text, each file read by many tasks (see ``ranges``); the first file's header names the columns."""
+    names = spark.read.options(**options, header=True, multiLine=True, inferSchema=False).csv(path).columns
+    found = ranges.records(spark, path, ranges.Csv()).where(~F.col("first"))
+    text = F.regexp_replace("record", r"\r$", "")
+    fields = ", ".join(f"_c{i} string" for i in range(len(names)))
+    row = F.from_csv(F.when(text != "", text), fields, {**options, "multiLine": "true"})
+    return found.where(text != "").select(row.alias("r")).select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_tokens=NA_TOKENS, multi_line: bool = True) -> DataFrame:
-    """Header row, columns by name, quoted line breaks and doubled quotes
-    (``multi_line``: a file is then one task; pass False for files known to
-    have no line break in a value); typed by ``schema`` (or inferred: one extra pass, avoid
-    at scale).  Numeric columns are read as text first when a schema is given,
-    so a pandas missing token (``NA``, ``nan`` …) becomes null instead of
-    failing the cast."""
-    r = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-         .option("multiLine", multi_line))
+    """Header row, columns by name, quoted line breaks and doubled quotes.  A file is
+    read by many tasks, whether its values hold line breaks or not; ``multi_line=False``
+    spares the scans that find the quotes, for files known to have none.  Typed by
+    ``schema`` (or inferred: one extra pass, avoid at scale).  Numeric columns are read
+    as text first, so a pandas missing token (``NA``, ``nan`` …) becomes null instead of
+    failing the cast.  Lines end with a line feed, with or without a carriage return."""
+    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    if multi_line:
+        raw = _csv_rows(spark, path, options)
+    else:
+        raw = spark.read.options(**options, header=True, inferSchema=False).csv(path)
     if schema is None:
-        return null_na_tokens(r.option("inferSchema", True).csv(path), na_tokens)
+        return inferred(null_na_tokens(raw, na_tokens))
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    raw = r.option("inferSchema", False).csv(path).select(*[f"`{f.name}`" for f in st.fields])
-    raw = null_na_tokens(raw, na_tokens)
+    raw = null_na_tokens(raw.select(*[f"`{f.name}`" for f in st.fields]), na_tokens)
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
                         else F.col(f.name) for f in st.fields])
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                       array_file: bool = True) -> DataFrame:
-    """Records with ``text`` and ``label``.  ``array_file``: one JSON array
-    per file (multiLine; a file is then one task) -- prefer JSON Lines at scale."""
-    r = spark.read.option("multiLine", array_file)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    """Records with ``text`` and ``label``.  ``array_file``: one JSON array of records
+    per file, read by many tasks (see ``ranges``); otherwise JSON Lines.  Without a schema
+    it is inferred from all records (one extra pass)."""
+    if not array_file:
+        return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
+    found = ranges.records(spark, path, ranges.Json()).where(F.col("record").contains("{"))
+    record = F.concat(F.regexp_extract("record", r"(?s)\{.*", 0), F.lit("}"))
+    if schema is None:
+        kind = found.select(F.schema_of_variant_agg(F.try_parse_json(record))).first()[0]
+        schema = T._parse_datatype_string(kind.replace("OBJECT<", "struct<").replace("VOID", "string").replace("VARIANT", "string"))
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    return found.select(F.from_json(record, st).alias("r")).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in st.fields])
 
 
 def stamped_name(prefix: str, now: _dt.datetime | None = None) -> str:
