@@ -3,8 +3,7 @@
 M1a is multinomial naive Bayes written as aggregates: one pass of per-token
 conditional counts (map-side combined, so a token in every row costs one
 partial count per task) and a handful of scalar totals read as scalar
-subqueries -- no cross join.  Scoring explodes tokens, joins the weight table
-(broadcast only below a checked row count) and sums per row.
+subqueries -- no cross join.  Scoring looks the weights up inside the row.
 """
 
 from __future__ import annotations
@@ -13,12 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ranking import bounded_broadcast, broadcastable
+from .lookup import lookup_sum
 
-CONFIDENCE_DECIMALS = 6
+METRIC_DECIMALS = 6
 DECISION_THRESHOLD = 0.5
 LOG_CLAMP = -100.0
 
@@ -70,38 +68,22 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
                  tokens: str = "tokens", threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """M2 (+M4): adds layer1_confidence = P(phishing), layer1_prediction =
     confidence > 0.5, layer1_error (the token array is dropped).  A null url
-    or a non-finite score gives the error row (0.5, 0).
-
-    Weights proven small: tokens are exploded and looked up by a broadcast
-    join inside one stage, and the per-row sum (partial aggregate, map side)
-    carries the row's other columns as grouping keys -- one shuffle, no join
-    back.  Keys are hashed once per token, so pass narrow columns (drop long
-    texts before scoring; ``url=None`` skips the null-url check).
-    Otherwise only (row_id, token) is shuffled to the weights and the sums are
-    joined back on row_id.
+    or a non-finite score gives the error row (0.5, 0).  ``url=None`` skips the
+    null-url check.
+
+    Weights are looked up and summed inside the row, so rows do not move, other
+    columns are not touched, and rows with equal ids are scored each.  The
+    confidence is not rounded: decisions and routing see it as it is.
     """
-    weights = model.weights.select(F.col("token").alias("_tok"), "weight")
-    carried = [f.name for f in df.schema.fields
-               if f.name not in (row_id, tokens) and not isinstance(f.dataType, T.MapType)]
-    if broadcastable(weights) and len(carried) == len(df.columns) - 2:
-        # carried columns depend on row_id only, so they can be grouping keys:
-        # a hash aggregate (no sort), collapsed to one row per url map side.
-        ex = df.select(row_id, *carried, F.explode_outer(tokens).alias("_t"))
-        j = ex.join(F.broadcast(weights), F.col("_t") == F.col("_tok"), "left")
-        scored = j.groupBy(row_id, *carried).agg(F.sum("weight").alias("_s"))
-    else:
-        ex = df.select(row_id, F.explode(tokens).alias("_t"))
-        sums = ex.join(bounded_broadcast(weights), F.col("_t") == F.col("_tok"), "inner").groupBy(row_id) \
-            .agg(F.sum("weight").alias("_s"))
-        scored = df.drop(tokens).join(sums, row_id, "left")
-    raw = sigmoid(model.bias.select("bias").scalar() + F.coalesce(F.col("_s"), F.lit(0.0)))
+    scored = lookup_sum(df, model.weights, "token", "weight", F.coalesce(F.col(tokens), F.array().cast("array<string>")), "_s")
+    scored = scored.drop(tokens)
+    raw = sigmoid(model.bias.select("bias").scalar() + F.col("_s"))
     bad = raw.isNull() | F.isnan(raw)
     if url is not None:
         bad = F.col(url).isNull() | bad
-    conf = F.when(bad, F.lit(ERROR_CONFIDENCE)).otherwise(F.round(raw, CONFIDENCE_DECIMALS))
     return (scored
             .withColumn("layer1_error", bad)
-            .withColumn("layer1_confidence", conf)
+            .withColumn("layer1_confidence", F.when(F.col("layer1_error"), F.lit(ERROR_CONFIDENCE)).otherwise(raw))
             .withColumn("layer1_prediction",
                         F.when(F.col("layer1_error"), F.lit(ERROR_PREDICTION))
                         .otherwise((F.col("layer1_confidence") > threshold).cast("int")))
@@ -157,8 +139,8 @@ def validation_metrics(scored: DataFrame, label: str = "label",
     pred = (p > DECISION_THRESHOLD).cast("int")
     agg = scored.groupBy(*group_by).agg(F.avg(loss).alias("_loss"), *binary_counts(F.col(label), pred))
     m = metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    return agg.select(*group_by, F.round("_loss", CONFIDENCE_DECIMALS).alias("val_loss"),
-                      *[F.round(v, CONFIDENCE_DECIMALS).alias(k) for k, v in m.items()],
+    return agg.select(*group_by, F.round("_loss", METRIC_DECIMALS).alias("val_loss"),
+                      *[F.round(v, METRIC_DECIMALS).alias(k) for k, v in m.items()],
                       F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
                       F.col("fn").cast("bigint").alias("fn"), F.col("tn").cast("bigint").alias("tn"))
 
@@ -184,6 +166,6 @@ def score_logreg(df: DataFrame, model, tokens: str = "tokens") -> DataFrame:
     data = df.withColumn(tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
     out = model.transform(data)
     p = vector_to_array("probability")[1]
-    return (out.withColumn("layer1_confidence", F.round(p, CONFIDENCE_DECIMALS))
+    return (out.withColumn("layer1_confidence", p)
             .withColumn("layer1_prediction", (F.col("layer1_confidence") > DECISION_THRESHOLD).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))

@@ -97,7 +97,7 @@ def pack_supervised(rows: DataFrame, vocab: DataFrame, row_id: str = "row_id", f
     full_len, prompt_len = (FAST_LEN, FAST_PROMPT_LEN) if fast else (STANDARD_LEN, STANDARD_PROMPT_LEN)
     toks = rows.select(row_id, whitespace_tokens(F.concat("prompt", "target")).alias("tokens"),
                        F.size(whitespace_tokens("prompt")).alias("_plen"))
-    j = token_ids(toks, vocab, row_id, max_tokens=full_len, carry=["_plen"])
+    j = token_ids(toks, vocab, max_tokens=full_len)
     n = F.size("ids")
     p = F.least(F.col("_plen"), F.lit(prompt_len))
     pad = full_len - n

@@ -1,9 +1,8 @@
 """Token frequencies, vocabulary, encoding, masks, decoding.
 
 The vocabulary is a DataFrame ``token, cnt, idx`` (idx >= 2); ids 0 and 1 are
-the reserved padding and unknown ids and never appear in it.  Lookups are
-joins: broadcast while the vocabulary is proven small, shuffle join (with AQE
-skew splitting for hot tokens) beyond that.
+the reserved padding and unknown ids and never appear in it.  Lookups
+run inside the row (see ``lookup``): nothing is exploded, shuffled or regrouped.
 """
 
 from __future__ import annotations
@@ -12,11 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.urls import tokenizer
 from ..session import cut_lineage
-from .ranking import bounded_broadcast, broadcastable, distributed_rank, range_bucket
+from .lookup import lookup
+from .ranking import distributed_rank, quantile_cells
 
 # Fixed values.
 PAD_ID, UNK_ID = 0, 1
@@ -71,66 +70,38 @@ def token_counts(df: DataFrame, row_id: str = "row_id", tokens: str = "tokens",
 def build_vocab(counts: DataFrame, min_freq: int = DEFAULT_MIN_FREQ, materialize: bool = True) -> DataFrame:
     """T4: tokens with cnt >= min_freq, ids from 2 in order of first occurrence.
 
-    The rank runs bucketed by ranges of first_row (see ranking), not as one
-    unpartitioned window."""
+    The rank runs in cells of about equal counts along the first occurrence
+    (see ranking), not as one unpartitioned window."""
     kept = counts.where((F.col("cnt") >= min_freq) & ~F.col("token").isin(PAD_TOKEN, UNK_TOKEN))
-    ranked = distributed_rank(kept, ["first_row", "first_pos"], range_bucket(kept, "first_row"),
-                              rank_col="_r")
+    celled = quantile_cells(kept, "first_row", tie="first_pos", out="_cell")
+    ranked = distributed_rank(celled, ["first_row", "first_pos"], F.col("_cell"), rank_col="_r")
     vocab = ranked.select("token", "cnt", (F.col("_r") + (FIRST_ID - 1)).cast("int").alias("idx"))
     # read by every encode / decode job: compute once, cut the lineage
     return cut_lineage(vocab) if materialize else vocab
 
 
-def vocab_size(vocab: DataFrame) -> int:
-    return vocab.count() + FIRST_ID
-
-
 def pad_to(ids: Column, length: int, fill: int = PAD_ID) -> Column:
     """Truncate to ``length`` or right-pad with ``fill``."""
     return F.slice(F.concat(ids, F.array_repeat(F.lit(fill), length)), 1, length)
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", tokens: str = "tokens",
-              max_tokens: int | None = None, out: str = "ids", carry: Sequence[str] = ()) -> DataFrame:
-    """(row_id, carry..., ids) with ids in token order, unknown -> 1, for
-    every row of ``df`` (a row without tokens gets an empty array).  Tokens
-    past ``max_tokens`` are cut before the lookup.  ``carry``: narrow columns
-    kept as grouping keys (collapsed map side, no join back needed)."""
+def token_ids(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_tokens: int | None = None,
+              out: str = "ids") -> DataFrame:
+    """Adds ``out``: the ids of each row's tokens, unknown -> 1 (an empty array for a row
+    without tokens).  Tokens past ``max_tokens`` are cut before the lookup."""
     toks = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    ex = df.select(row_id, *carry, F.posexplode_outer(toks).alias("pos", "token"))
-    v = bounded_broadcast(vocab.select("token", "idx"))
-    looked = ex.join(v, "token", "left")
-    item = F.when(F.col("pos").isNotNull(),
-                  F.struct(F.col("pos"), F.coalesce(F.col("idx"), F.lit(UNK_ID)).alias("idx")))
-    grouped = looked.groupBy(row_id, *carry).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return grouped.select(row_id, *carry, F.transform("_items", lambda x: x["idx"]).alias(out))
+    return lookup(df, vocab, "token", "idx", toks, out, UNK_ID)
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN, row_id: str = "row_id",
            tokens: str = "tokens", out: str = "sequence") -> DataFrame:
     """T5: fixed-length id array for every row of ``df``; the token array is
-    replaced by the id array, other columns are kept.
-
-    Vocabulary proven small: explode, broadcast lookup and ``collect_list``
-    grouped by row_id plus the other (narrow) columns -- the map-side partial
-    aggregate collapses each row before the one shuffle, no join back.
-    Otherwise a slim (row_id, token) path and a join back on row_id."""
-    carried = [f.name for f in df.schema.fields
-               if f.name not in (row_id, tokens) and not isinstance(f.dataType, T.MapType)]
-    v = vocab.select("token", "idx")
-    if broadcastable(v) and len(carried) == len(df.columns) - 2:
-        toks = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_len)
-        ex = df.select(row_id, *carried, F.posexplode_outer(toks).alias("pos", "token"))
-        looked = ex.join(F.broadcast(v), "token", "left")
-        item = F.when(F.col("pos").isNotNull(),
-                      F.struct(F.col("pos"), F.coalesce(F.col("idx"), F.lit(UNK_ID)).alias("idx")))
-        g = looked.groupBy(row_id, *carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        return g.select(row_id, *carried, pad_to(F.transform("_items", lambda x: x["idx"]), max_len).alias(out))
-    ids = token_ids(df.select(row_id, tokens), vocab, row_id, tokens, max_tokens=max_len)
-    seq = ids.select(row_id, pad_to(F.col("ids"), max_len).alias(out))
-    return df.drop(tokens).join(seq, row_id, "left")
+    replaced by the id array, other columns are kept.  Rows do not move, and
+    rows with equal ids stay rows of their own."""
+    ids = token_ids(df, vocab, tokens, max_len, out)
+    return ids.withColumn(out, pad_to(F.col(out), max_len)).drop(tokens)
 
 
 def attention_mask(seq) -> Column:
@@ -143,17 +114,9 @@ def decode(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", seq: str = "
            out: str = "decoded") -> DataFrame:
     """Ids back to tokens through the inverse vocabulary; padding dropped,
     unknown ids as ``<UNK>``.  The id array is replaced by the token array;
-    other (narrow) columns ride along as grouping keys, so one shuffle and
-    no join back (rows of padding only get an empty array)."""
-    carried = [f.name for f in df.schema.fields
-               if f.name not in (row_id, seq) and not isinstance(f.dataType, T.MapType)]
-    ex = df.select(row_id, *carried, F.posexplode_outer(seq).alias("pos", "idx"))
-    v = bounded_broadcast(vocab.select("idx", "token"))
-    looked = ex.join(v, "idx", "left")
-    item = F.when(F.col("idx").isNotNull() & (F.col("idx") != PAD_ID),
-                  F.struct("pos", F.coalesce(F.col("token"), F.lit(UNK_TOKEN)).alias("token")))
-    dec = looked.groupBy(row_id, *carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return dec.select(row_id, *carried, F.transform("_items", lambda x: x["token"]).alias(out))
+    rows do not move."""
+    ids = F.filter(F.coalesce(F.col(seq), F.array().cast("array<int>")), lambda x: x.isNotNull() & (x != PAD_ID))
+    return lookup(df, vocab, "idx", "token", ids, out, UNK_TOKEN, "string").drop(seq)
 
 
 def model_ready(df: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,

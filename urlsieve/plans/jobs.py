@@ -81,12 +81,6 @@ def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", lay
     return final.select(*H.FINAL_COLUMNS, *[f"original_{c}" for c in others])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def saved_answers(spark: SparkSession, path: str):
     """Layer 2 from a saved table of answers (parquet: url, response and, where a
     call failed, error): the first answer of each url of the work list."""
@@ -128,16 +122,13 @@ def batch_job(spark: SparkSession, input_path: str, model: M.TokenModel, url_col
               label_column: str | None = None, output_dir: str = "results", output_name: str | None = None,
               schema=None, layer2_fn=None, threshold: float = H.DEFAULT_BAND,
               on_missing: str = "reference", multi_line: bool = True) -> tuple[str, DataFrame]:
-    """B1: read a CSV, score, carry columns, add truth, write.  With ``multi_line``
-    a file is read by one task and its rows are spread for scoring; without,
-    files are split (for inputs with no line break in a value).  ``layer2_fn``
-    answers the uncertain band; without one ``on_missing`` decides it (H7).
+    """B1: read a CSV, score, carry columns, add truth, write.  Files are read by many
+    tasks; ``multi_line=False`` spares the search for quoted line breaks (for inputs
+    with none in a value).  ``layer2_fn`` answers the uncertain band; without one ``on_missing`` decides it (H7).
     Returns the output path and the result as it was computed (from parquet:
     text survives a CSV only as far as its reader's rules go)."""
     df = read_csv(spark, input_path, schema, multi_line=multi_line)
-    if multi_line:
-        df = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    final = _stored(with_truth(score_table(df, model, url_column, layer2_fn, threshold, on_missing), label_column), "batch_result")
+    final = cut_lineage(with_truth(score_table(df, model, url_column, layer2_fn, threshold, on_missing), label_column), "batch_result")
     return write_results(final, output_dir, output_name, prefix="batch_results"), final
 
 
@@ -148,7 +139,7 @@ def url_list_job(spark: SparkSession, urls, model: M.TokenModel, output_dir: str
     if isinstance(urls, str):
         urls = [urls]
     df = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
-    final = _stored(score_table(df.select("url"), model, "url", layer2_fn, threshold, on_missing), "url_list_result")
+    final = cut_lineage(score_table(df.select("url"), model, "url", layer2_fn, threshold, on_missing), "url_list_result")
     return write_results(final, output_dir, output_name, prefix="url_list_results"), final
 
 
@@ -174,13 +165,15 @@ def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_l
 def instruction_data_job(spark: SparkSession, json_path: str, out_path: str, per_class: int = 2_000,
                          fast: bool = True, array_file: bool = False, seed: int = 42) -> DataFrame:
     """The tuning-data path: S2 records (text, label, and row_id where they have
-    one; others are numbered) -> C2 (rows with
+    one; the others are numbered past the largest given one, so a number is never
+    an id, and records that share an id stay records of their own) -> C2 (rows with
     any null dropped, label as int) -> P3 balanced sample -> F2 rows -> F3
     prompt (no ``URL:`` prefix on the fast path) -> F4 packing -> parquet,
     written once and read back.  No intermediate CSV."""
     raw = read_json_records(spark, json_path, "row_id bigint, text string, label int", array_file)
-    numbered = F.coalesce("row_id", F.monotonically_increasing_id())
-    raw = _stored(raw.withColumn("row_id", numbered), "records")   # written once, so numbers stay
+    raw = cut_lineage(raw.withColumn("_new", F.monotonically_increasing_id()), "records")   # written once, so numbers stay
+    past = F.coalesce(raw.agg(F.max("row_id")).scalar(), F.lit(-1)) + 1
+    raw = raw.withColumn("row_id", F.coalesce("row_id", past + F.col("_new"))).drop("_new")
     clean = C.clean_rows(raw, "text", "label", keep=["row_id"], drop_any_null=True) \
         .withColumn("label", F.col("label").cast("int"))
     rows = PD.instruction_rows_b(P.balanced_sample(clean, per_class=per_class, seed=seed), url="text")

@@ -146,8 +146,8 @@ def score_ctes(src: str, p: str = "nb", out: str = "l1") -> list[str]:
         f"JOIN {p}_w w ON e.token = w.token GROUP BY e.row_id)",
         f"{out}_raw AS (SELECT t.*, 1.0 / (1.0 + exp(-((SELECT bias FROM {p}_b) + coalesce(s._s, 0.0)))) AS _p "
         f"FROM {src} t LEFT JOIN {out}_s s ON t.row_id = s.row_id)",
-        f"{out} AS (SELECT * EXCLUDE (_p, _e), CASE WHEN _e THEN 0.5 ELSE round(_p, 6) END AS layer1_confidence, "
-        f"CASE WHEN _e THEN 0 ELSE CAST(round(_p, 6) > 0.5 AS INTEGER) END AS layer1_prediction, _e AS layer1_error "
+        f"{out} AS (SELECT * EXCLUDE (_p, _e), CASE WHEN _e THEN 0.5 ELSE _p END AS layer1_confidence, "
+        f"CASE WHEN _e THEN 0 ELSE CAST(_p > 0.5 AS INTEGER) END AS layer1_prediction, _e AS layer1_error "
         f"FROM (SELECT *, (url IS NULL OR _p IS NULL OR isnan(_p)) AS _e FROM {out}_raw))",
     ]
 
