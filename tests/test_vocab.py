@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urlsieve.operators import tokens as T
-from urlsieve.operators.ranking import distributed_rank, hash_bucket, md5_order_key, range_bucket, running_agg
+from urlsieve.operators.ranking import distributed_rank, hash_bucket, md5_order_key, quantile_cells, running_agg
 from urlsieve.plans import flows
 
 SEED_A = ["http://maple.org", "https://cedar.org", "http://plum-shop.org", "https://fern-coop.org", "http://willow.page"]
@@ -64,11 +64,11 @@ def test_distributed_rank_equals_window(spark):
     assert got.count() == 5000
 
 
-def test_range_bucket_rank_with_hot_key(spark):
+def test_quantile_cells_rank_with_hot_key(spark):
     # one partition value holds a third of the rows
     df = spark.range(0, 3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"),
                                      ((F.col("id") * 37) % 1000).alias("v"))
-    got = distributed_rank(df, ["v", "id"], range_bucket(df, "v", 16), partition_by=["g"])
+    got = distributed_rank(quantile_cells(df, "v", "id", ["g"], 16, "cell"), ["v", "id"], F.col("cell"), partition_by=["g"])
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
     assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
 
@@ -76,7 +76,7 @@ def test_range_bucket_rank_with_hot_key(spark):
 def test_running_min_equals_window(spark):
     df = spark.range(0, 2000).select((F.col("id") % 4).alias("run"), (F.col("id") / 4).cast("int").alias("epoch"),
                                      ((F.col("id") * 7919) % 101).cast("double").alias("loss"))
-    got = running_agg(df, ["run"], ["epoch"], range_bucket(df, "epoch", 8), "loss", "min", "rm")
+    got = running_agg(quantile_cells(df, "epoch", cells=8, out="cell"), ["run"], ["epoch"], F.col("cell"), "loss", "min", "rm")
     w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("rm", F.min("loss").over(w))
     assert got.select("run", "epoch", "rm").exceptAll(want.select("run", "epoch", "rm")).count() == 0
@@ -96,8 +96,8 @@ def test_token_counts_fallback_for_unpackable_row_ids(spark):
     assert _vocab(spark, urls) == {r.token: r.idx for r in T.build_vocab(T.token_counts(big)).collect()}
 
 
-def test_rank_segments_edges(spark):
-    from urlsieve.operators.ranking import rank_segments
+def test_segments_edges(spark):
+    from urlsieve.operators.ranking import with_segments
     # label 0: 3000 rows (hot), label 1: 1 row, label 2: 40 rows
     df = spark.range(0, 3041).select(F.col("id").alias("row_id"),
                                      F.when(F.col("id") < 3000, 0).when(F.col("id") == 3000, 1).otherwise(2)
@@ -112,9 +112,9 @@ def test_rank_segments_edges(spark):
         (lambda t: [F.ceil(t / 5), F.ceil(t / 5) + F.ceil((t - F.ceil(t / 5)) / 5)],
          lambda r, n: 0 if r <= -(-n // 5) else (1 if r <= -(-n // 5) + -(-(n - -(-n // 5)) // 5) else 2)),
     ):
-        seg = rank_segments(keyed, "_k", "row_id", hash_bucket(F.col("_k"), 2), ["label"], cuts)
-        got = ranked.withColumn("seg", seg).select("r", "n", "seg").collect()
-        assert all(x.seg == want(x.r, x.n) for x in got)
+        for sort_rows in (1, 5, 1_000_000):     # many rounds of radix selection, some, one
+            got = with_segments(ranked, "_k", "row_id", ["label"], cuts, "seg", sort_rows).select("r", "n", "seg").collect()
+            assert len(got) == 3041 and all(x.seg == want(x.r, x.n) for x in got)
 
 
 def test_reserved_tokens_never_enter_the_vocabulary(spark):
@@ -130,7 +130,7 @@ def test_reserved_tokens_never_enter_the_vocabulary(spark):
 
 
 def test_null_partition_values_are_their_own_group(spark):
-    from urlsieve.operators.ranking import rank_segments
+    from urlsieve.operators.ranking import with_segments
     df = spark.range(0, 600).select(F.col("id").alias("row_id"),
                                     F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("label"))
     keyed = df.withColumn("_k", md5_order_key(5, "row_id"))
@@ -139,11 +139,10 @@ def test_null_partition_values_are_their_own_group(spark):
     got = {r.row_id: r.rank for r in distributed_rank(keyed, ["_k", "row_id"], hash_bucket(F.col("_k"), 1),
                                                       partition_by=["label"]).collect()}
     assert got == want
-    seg = rank_segments(keyed, "_k", "row_id", hash_bucket(F.col("_k"), 1), ["label"], lambda t: [F.lit(50)])
-    segs = {r.row_id: r.s for r in keyed.withColumn("s", seg).collect()}
+    segs = {r.row_id: r.s for r in with_segments(keyed, "_k", "row_id", ["label"], lambda t: [F.lit(50)], "s").collect()}
     assert all(segs[i] == (0 if want[i] <= 50 else 1) for i in want)
     rm = running_agg(keyed.withColumn("v", F.col("row_id").cast("double")), ["label"], ["row_id"],
-                     range_bucket(keyed, "row_id", 4), "v", "min", "m")
+                     F.floor(F.col("row_id") / 150), "v", "min", "m")
     assert rm.count() == 600
 
 

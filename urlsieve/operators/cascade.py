@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranking import bounded_broadcast
 
 DEFAULT_BAND = 0.3
 
@@ -157,7 +156,6 @@ def combine(routed: DataFrame, layer2: DataFrame | None, url: str = "url",
         layer2 = layer2_unavailable(layer2_worklist(routed, url), url)
     l2 = layer2.select(F.col(url).alias("_l2url"), "layer2_prediction", "layer2_explanation",
                        F.lit(True).alias("_hit"))
-    l2 = bounded_broadcast(l2)
     j = routed.join(l2, F.col(url).eqNullSafe(F.col("_l2url")), "left").drop("_l2url")
     return _final(j)
 

@@ -1,9 +1,9 @@
 """Seeded exact sample, stratified split, balanced down-sample.
 
 No ``rand()``: the order of a row is ``md5(seed|row_id)``, reproducible and
-the same in SQL engines.  Ranks come from :func:`distributed_rank` bucketed on
-the md5 prefix, so no step runs in one task even when one label holds most
-rows.
+the same in SQL engines.  Cut points come from radix selection over the digits
+of that key (:func:`with_segments`), for all labels at once: nothing is collected,
+and no step runs in one task even when one label holds most rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import distributed_rank, hash_bucket, md5_order_key, rank_segments
+from .ranking import distributed_rank, hash_bucket, md5_order_key, with_segments
 
 DEFAULT_SEED = 42
 DEFAULT_SAMPLE = 100_000
@@ -23,11 +23,9 @@ def sample_n(df: DataFrame, n: int = DEFAULT_SAMPLE, seed: int = DEFAULT_SEED,
              row_id: str = "row_id") -> DataFrame:
     """Exactly ``n`` rows if the table is larger, else all rows.
 
-    The n-th smallest md5 key is found from bucket counts and one small
-    sort of the bucket that holds it; the sample is then a filter."""
+    The n-th smallest md5 key is found by radix selection; the sample is then a filter."""
     keyed = df.withColumn("_k", md5_order_key(seed, row_id))
-    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [], lambda total: [F.lit(n)])
-    return keyed.where(seg == 0).drop("_k")
+    return with_segments(keyed, "_k", row_id, [], lambda total: [F.lit(n)]).where("_seg = 0").drop("_k", "_seg")
 
 
 def stratified_split(df: DataFrame, seed: int = DEFAULT_SEED, label: str = "label",
@@ -35,8 +33,7 @@ def stratified_split(df: DataFrame, seed: int = DEFAULT_SEED, label: str = "labe
     """Per label, first ceil(n/5) by md5 order -> test, next
     ceil((n - test)/5) -> validation, rest -> train.  Adds ``split``.
 
-    The two cut keys per label come from bucket counts; the split itself is a
-    narrow column expression, so the table is not shuffled."""
+    Rows compare with the two cut keys of their label, a table that is joined."""
     d = TEST_FRACTION_DIVISOR
 
     def cuts(total):
@@ -44,9 +41,9 @@ def stratified_split(df: DataFrame, seed: int = DEFAULT_SEED, label: str = "labe
         return [t, t + F.ceil((total - t) / d)]
 
     keyed = df.withColumn("_k", md5_order_key(seed, row_id))
-    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [label], cuts)
+    seg = F.col("_seg")
     split = F.when(seg == 0, "test").when(seg == 1, "validation").otherwise("train")
-    return keyed.withColumn("split", split).drop("_k")
+    return with_segments(keyed, "_k", row_id, [label], cuts).withColumn("split", split).drop("_k", "_seg")
 
 
 def balanced_sample(df: DataFrame, per_class: int = DEFAULT_PER_CLASS, seed: int = DEFAULT_SEED,
@@ -56,8 +53,8 @@ def balanced_sample(df: DataFrame, per_class: int = DEFAULT_PER_CLASS, seed: int
     keys), then a reproducible shuffle position (``position``, 1-based) over
     the union -- at most labels x per_class rows."""
     keyed = df.where(F.col(label).isin(*labels)).withColumn("_k", md5_order_key(seed, row_id))
-    seg = rank_segments(keyed, "_k", row_id, hash_bucket(F.col("_k")), [label], lambda total: [F.lit(per_class)])
-    picked = keyed.where(seg == 0).drop("_k").withColumn("_k", md5_order_key(seed + 1, row_id))
+    picked = with_segments(keyed, "_k", row_id, [label], lambda total: [F.lit(per_class)]).where("_seg = 0").drop("_k", "_seg")
+    picked = picked.withColumn("_k", md5_order_key(seed + 1, row_id))
     shuffled = distributed_rank(picked, ["_k", row_id], hash_bucket(F.col("_k")), rank_col="position")
     return shuffled.drop("_k")
 

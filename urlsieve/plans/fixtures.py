@@ -66,7 +66,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("user_id").alias("run_id"), "value", "props")
     e = e.withColumn("_t", epoch_micros("ts", e.schema["ts"].dataType))
-    ranked = partition_rank(e, ["run_id"], ["_t", "event_id"], "_t", rank_col="epoch")
+    ranked = partition_rank(e, ["run_id"], ["_t", "event_id"], "_t", rank_col="epoch", tie="event_id")
     return cut_lineage(ranked.select(
         "run_id", F.col("epoch").cast("int").alias("epoch"), "ts",
         (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("train_loss"),

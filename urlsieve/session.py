@@ -23,27 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of lineage cuts are removed once their DataFrame is gone
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Settings to pass at submit time for a given input size: scan splits of
-    ``target_partition_bytes``, an initial shuffle width that gives every
-    core several tasks and keeps each shuffle partition near the target
-    before AQE coalesces small ones, and skew splitting."""
-    parts = max(total_cores * 4, input_bytes // target_partition_bytes)
-    return {
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    }
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "urlsieve", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench.  A cluster job gets its session from
@@ -93,11 +75,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder: survives executor loss,
-    unlike a local checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, survives
+    executor loss, read column by column, and of a size Spark knows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[int] = set()
