@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from urlsieve.operators import cascade as H
+from urlsieve.plans import fixtures as fx
 from urlsieve.plans import flows
 
 PARSE_GOLDEN = [
@@ -65,7 +66,7 @@ def test_combine_duplicates_and_policies(spark):
 
 def test_stats_and_listing(spark):
     rows = [(1, "http://x.com", 0.1, 0), (2, "http://y.com", 0.5, 1), (3, "http://z.com", 0.9, 1)]
-    final = flows.fixture_cascade(_scored(spark, rows))
+    final = flows.fixture_cascade(_scored(spark, rows), fx.rule_layer2)
     st = H.cascade_stats(final).first()
     assert st.total_processed == st.layer1_legitimate + st.layer1_suspicious + 1
     assert math.isclose(st.efficiency_pct, 200 / 3)
@@ -111,8 +112,8 @@ def test_plugin_scorer_errors(spark):
 
 def test_rule_scorer_native_equals_python(spark):
     wl = spark.createDataFrame([(f"http://c{i}.example.com/o/{i % 97}",) for i in range(300)], "url string")
-    a = H.rule_responses(wl).select("url", "response")
-    b = H.plugin_responses(wl).select("url", "response")
+    a = fx.rule_responses(wl).select("url", "response")
+    b = H.plugin_responses(wl, fx.RuleScorer()).select("url", "response")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 

@@ -38,8 +38,9 @@ def test_plugin_scorer_more_partitions(spark):
     from pyspark.sql import functions as F
 
     from urlsieve.operators import cascade as H
+    from urlsieve.plans import fixtures as fx
     wl = E.queries()["layer2_worklist"](spark, SF)
-    a = H.plugin_responses(wl, num_partitions=16)
+    a = H.plugin_responses(wl, fx.RuleScorer(), num_partitions=16)
     assert a.rdd.getNumPartitions() == 16
-    b = H.rule_responses(wl).select("url", "response", F.col("error"))
+    b = fx.rule_responses(wl).select("url", "response", F.col("error"))
     assert a.exceptAll(b).count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlsieve.operators import sampling as P
+from urlsieve.plans import fixtures as fx
 from urlsieve.plans import flows
 from urlsieve.plans import jobs as J
 
@@ -28,7 +29,7 @@ def test_batch_job_csv(spark, model):
         fh.write("url,label,source\n")
         for u, y in BATCH:
             fh.write(f"{u},{y},by_hand\n")
-    path, out = J.batch_job(spark, src, model, "url", "label", os.path.join(d, "out"), layer2_fn=flows.rule_layer2)
+    path, out = J.batch_job(spark, src, model, "url", "label", os.path.join(d, "out"), layer2_fn=fx.rule_layer2)
     assert os.path.basename(path).startswith("batch_results_")
     rows = out.collect()
     assert len(rows) == 15

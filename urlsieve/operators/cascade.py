@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 DEFAULT_BAND = 0.3
+#: A url in so many rows is hot; at most so many are, of so many that the sketch tracks; bytes of their answers.
+HOT_URL_ROWS, HOT_URLS, HOT_TRACKED, HOT_BYTES = 100_000, 1_000, 100_000, 32 << 20
 
 # Names, texts and tags of the cascade output.
 LAYER1_NAME = "BiGRU"
@@ -31,15 +33,6 @@ TAG_PHISHING, TAG_LEGITIMATE = "[PHISHING]", "[LEGITIMATE]"
 EXPLANATION_CHARS = 100
 ANSWER_HEAD_CHARS = 20
 
-# Answers of the default rule scorer, picked by md5(url) mod 5.
-RULE_ANSWERS = (
-    "Phishing: suspicious keywords",
-    "Legitimate: no indicators",
-    "legitimate site, not phishing",
-    "phishing:legitimate: unclear phishing",
-    "no verdict",
-)
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -141,8 +134,8 @@ def layer2_unavailable(worklist: DataFrame, url: str = "url") -> DataFrame:
 
 def combine(routed: DataFrame, layer2: DataFrame | None, url: str = "url",
             on_missing: str = "reference") -> DataFrame:
-    """H8: left join layer 1 with layer 2 on url (null-safe); the layer-2 answer
-    wins for routed rows that have one.
+    """H8: layer 1 with layer 2 on url (null-safe); the layer-2 answer wins for routed
+    rows that have one.
 
     ``layer2=None`` means layer 2 is unavailable: ``on_missing='reference'``
     gives H7 rows (prediction 0, credited to layer 2); ``'layer1'`` keeps the
@@ -156,8 +149,46 @@ def combine(routed: DataFrame, layer2: DataFrame | None, url: str = "url",
         layer2 = layer2_unavailable(layer2_worklist(routed, url), url)
     l2 = layer2.select(F.col(url).alias("_l2url"), "layer2_prediction", "layer2_explanation",
                        F.lit(True).alias("_hit"))
-    j = routed.join(l2, F.col(url).eqNullSafe(F.col("_l2url")), "left").drop("_l2url")
-    return _final(j)
+    if routed.isStreaming:
+        return _final(_joined(routed, l2, url))
+    # rows that are not routed take no part in any join; rows of hot urls meet their answers in
+    # a broadcast of bounded bytes, so no task gets all rows of one url; the others shuffle
+    none = [F.lit(None).cast(l2.schema[c].dataType).alias(c) for c in ("layer2_prediction", "layer2_explanation", "_hit")]
+    parts = [routed.where(~F.col("used_layer2")).select("*", *none)]
+    rest = routed.where(F.col("used_layer2"))
+    hot = hot_answers(rest, l2, url)
+    if hot is not None:
+        met = _joined(rest, F.broadcast(hot), url)
+        parts.append(met.where("_hit"))
+        rest = met.where("_hit is null").drop("layer2_prediction", "layer2_explanation", "_hit")
+    parts.append(_joined(rest, l2, url))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _final(out)
+
+
+def _joined(rows: DataFrame, answers: DataFrame, url: str) -> DataFrame:
+    return rows.join(answers, F.col(url).eqNullSafe(F.col("_l2url")), "left").drop("_l2url")
+
+
+def hot_answers(rows: DataFrame, answers: DataFrame, url: str) -> DataFrame | None:
+    """Answers of the urls that a sketch of frequent items counts at least ``HOT_URL_ROWS`` times,
+    most frequent first, as far as they take ``HOT_BYTES`` together; None without any."""
+    top = rows.agg(F.expr(f"approx_top_k({_quoted(url)}, {HOT_URLS}, {HOT_TRACKED})").alias("top"))
+    hot = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= HOT_URL_ROWS).select(
+        F.col("t.item").alias("_hot"), F.col("t.count").alias("_rows"))
+    if not hot.head(1):
+        return None
+    found = answers.join(F.broadcast(hot), F.col("_l2url").eqNullSafe(F.col("_hot")))       # HOT_URLS rows at most
+    size = F.octet_length("_l2url").cast("long") + F.coalesce(F.octet_length("layer2_explanation"), F.lit(0)) + 64
+    order = Window.orderBy(F.desc("_rows"), "_l2url").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.withColumn("_bytes", F.sum(size).over(order)).where(F.col("_bytes") <= HOT_BYTES)
+    return cut_lineage(fits.select(answers.columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _final(j: DataFrame) -> DataFrame:
@@ -233,29 +264,6 @@ def result_listing(final: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 # --- U1: pluggable batch scorer ----------------------------------------------------
 
-class RuleScorer:
-    """Default layer-2 scorer for tests: the prompt followed by one of
-    :data:`RULE_ANSWERS` picked by the first 16 bits of md5(url) mod 5.
-    Deterministic, so a recomputed task gives the same answer."""
-
-    name = "rule"
-
-    def load(self):
-        return self
-
-    def generate(self, urls: pd.Series, instruction: str) -> tuple[list, list]:
-        out, err = [], []
-        for u in urls:
-            if u is None:
-                out.append(None)
-                err.append("url is null")
-                continue
-            k = int(hashlib.md5(u.encode("utf-8")).hexdigest()[:4], 16) % len(RULE_ANSWERS)
-            out.append(f"<|user|>\n{instruction}\nURL: {u}<|end|>\n{ASSISTANT_TAG}{RULE_ANSWERS[k]}")
-            err.append(None)
-        return out, err
-
-
 _LOADED: dict[str, object] = {}    # by the scorer's pickled state
 
 
@@ -268,25 +276,30 @@ def _loaded(scorer):
     return _LOADED[key]
 
 
-def plugin_responses(worklist: DataFrame, scorer=None, instruction: str = DEFAULT_INSTRUCTION,
+def _batches(batches: Iterator[pd.DataFrame], rows: int | None) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), rows or max(len(pdf), 1)):
+            yield pdf.iloc[at:at + (rows or len(pdf))]
+
+
+def plugin_responses(worklist: DataFrame, scorer, instruction: str = DEFAULT_INSTRUCTION,
                      url: str = "url", batch_rows: int | None = None,
                      num_partitions: int | None = None) -> DataFrame:
-    """Run a Python model over the distinct routed urls in Arrow batches.
+    """Run a Python model over the distinct routed urls in Arrow batches of at most
+    ``batch_rows`` rows.
 
     Output url, response, error (per-row failure captured, the job goes on).
     A scorer whose ``load`` raises makes every row an error row.
     ``num_partitions`` spreads a costly model over more tasks (the work list
     is already deduplicated, so no url is scored twice).
     """
-    scorer = scorer or RuleScorer()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             model = _loaded(scorer)
             load_error = None
         except Exception as exc:  # noqa: BLE001 - reported per row
             model, load_error = None, str(exc)
-        for pdf in batches:
+        for pdf in _batches(batches, batch_rows):
             urls = pdf[url]
             if model is None:
                 yield pd.DataFrame({url: urls, "response": [None] * len(urls),
@@ -306,20 +319,8 @@ def plugin_responses(worklist: DataFrame, scorer=None, instruction: str = DEFAUL
 
     from ..session import ship_package
     ship_package(worklist.sparkSession)
-    if batch_rows:
-        worklist.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     schema = f"{url} string, response string, error string"
     wl = worklist.select(url)
     if num_partitions:
         wl = wl.repartition(num_partitions, url)
     return wl.mapInPandas(run, schema)
-
-
-def rule_responses(worklist: DataFrame, instruction: str = DEFAULT_INSTRUCTION,
-                   url: str = "url") -> DataFrame:
-    """The rule scorer as native expressions (same text as :class:`RuleScorer`)."""
-    k = F.pmod(F.conv(F.substring(F.md5(F.col(url)), 1, 4), 16, 10).cast("int"), F.lit(len(RULE_ANSWERS)))
-    answers = F.array(*[F.lit(a) for a in RULE_ANSWERS])
-    resp = F.concat(render_prompt(F.lit(instruction), F.col(url)), F.element_at(answers, k + 1))
-    return worklist.select(url, resp.alias("response"),
-                           F.when(F.col(url).isNull(), F.lit("url is null")).alias("error"))

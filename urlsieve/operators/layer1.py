@@ -29,7 +29,7 @@ STATUS_PHISHING, STATUS_LEGITIMATE, STATUS_ERROR = "phishing", "legitimate", "er
 @dataclass
 class TokenModel:
     weights: DataFrame   # token, c1, c0, weight
-    bias: DataFrame      # one row: bias (log prior odds)
+    bias: DataFrame | float      # one row: bias (log prior odds), or the number itself
 
 
 def train_token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label",
@@ -77,7 +77,8 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
     """
     scored = lookup_sum(df, model.weights, "token", "weight", F.coalesce(F.col(tokens), F.array().cast("array<string>")), "_s")
     scored = scored.drop(tokens)
-    raw = sigmoid(model.bias.select("bias").scalar() + F.col("_s"))
+    bias = F.lit(model.bias) if isinstance(model.bias, float) else model.bias.select("bias").scalar()
+    raw = sigmoid(bias + F.col("_s"))
     bad = raw.isNull() | F.isnan(raw)
     if url is not None:
         bad = F.col(url).isNull() | bad

@@ -69,6 +69,8 @@ def _chained(df: DataFrame, table: DataFrame, key: str, value: str, out: str, st
     df = df.withColumn(out, start)
     for i, part in enumerate(_parts(table, key, value)):
         if i and i % PARTS_AT_ONCE == 0:
+            if df.isStreaming:
+                raise ValueError("the table takes too many parts to look up in a stream")
             df = cut_lineage(df)
         df = df.withColumn(out, step(part, F.col(out)))
     return df

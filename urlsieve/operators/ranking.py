@@ -66,7 +66,7 @@ def _search(bounds: Column, value: Column, cells: int) -> Column:
 
 def _bounds(value: Column, cells: int) -> Column:
     """Aggregate: ``cells - 1`` values that cut the rows into parts of about equal counts."""
-    ranks = F.array(*(F.lit(i / cells) for i in range(1, cells)))
+    ranks = F.expr("array(" + ", ".join(f"{i / cells!r}D" for i in range(1, cells)) + ")")
     return F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(value, SKETCH_K), ranks)
 
 
@@ -88,7 +88,7 @@ def quantile_cells(df: DataFrame, value: str, tie: str | None = None, part: Sequ
         tagged = join_on(df, bounds, part, "left")
     else:       # one array of ``cells - 1`` numbers
         found = bounds.first()[0] or []
-        tagged = df.withColumn("_bounds", F.array(*map(F.lit, found)).cast("array<bigint>"))
+        tagged = df.withColumn("_bounds", F.expr("array(" + ", ".join(f"{x}L" for x in found) + ")").cast("array<bigint>"))
     tagged = tagged.withColumn(out, _search(F.col("_bounds"), v, cells).cast("long") * (cells + 1)).drop("_bounds")
     if tie is None:
         return tagged

@@ -271,7 +271,7 @@ FLAG_COLS = O.FINAL_COLS.replace("layer1_confidence", "round(layer1_confidence,
 
 @register("cascade_predict", O.with_(*FLAG) + f"SELECT {FLAG_COLS}, label AS true_label FROM final")
 def q_cascade_predict(spark, sf):
-    return _rounded(flows.url_cascade(fx.urls(spark, sf)))
+    return _rounded(flows.url_cascade(fx.urls(spark, sf), fx.rule_layer2))
 
 
 @register("route_band", O.with_(O.SCORED) +
@@ -304,13 +304,13 @@ def q_layer2_worklist(spark, sf):
     f"SELECT url, {O.extract_answer(O.rule_response('url'))} AS answer FROM final_wl"))
 def q_extract_answer(spark, sf):
     wl = q_layer2_worklist(spark, sf)
-    return H.rule_responses(wl).select("url", H.extract_answer("response").alias("answer"))
+    return fx.rule_responses(wl).select("url", H.extract_answer("response").alias("answer"))
 
 
 @register("parse_answer", O.with_(*FIX) + "SELECT url, layer2_prediction, layer2_explanation FROM final_l2")
 def q_parse_answer(spark, sf):
     wl = q_layer2_worklist(spark, sf)
-    return H.layer2_results(H.rule_responses(wl)).select("url", "layer2_prediction", "layer2_explanation")
+    return H.layer2_results(fx.rule_responses(wl)).select("url", "layer2_prediction", "layer2_explanation")
 
 
 @register("layer2_error_rows", O.with_(*FIX) + (
@@ -322,7 +322,7 @@ def q_parse_answer(spark, sf):
 def q_layer2_error_rows(spark, sf):
     """H6: half of the answers fail (even md5 prefix) and must become error rows."""
     wl = q_layer2_worklist(spark, sf)
-    resp = H.rule_responses(wl)
+    resp = fx.rule_responses(wl)
     fail = F.pmod(F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int"), F.lit(2)) == 0
     resp = resp.withColumn("error", F.when(fail, F.lit("scorer failed")))
     return H.layer2_results(resp)
@@ -339,7 +339,7 @@ def q_layer2_unavailable(spark, sf):
 
 @register("fixture_cascade", O.with_(*FIX) + f"SELECT {O.FINAL_COLS}, true_label FROM final")
 def q_fixture_cascade(spark, sf):
-    return flows.fixture_cascade(fx.scored(spark, sf))
+    return flows.fixture_cascade(fx.scored(spark, sf), fx.rule_layer2)
 
 
 STATS_SQL = (
@@ -351,7 +351,7 @@ STATS_SQL = (
 
 @register("cascade_stats", O.with_(*FIX) + STATS_SQL)
 def q_cascade_stats(spark, sf):
-    return H.cascade_stats(flows.fixture_cascade(fx.scored(spark, sf)))
+    return H.cascade_stats(flows.fixture_cascade(fx.scored(spark, sf), fx.rule_layer2))
 
 
 @register("standalone_stats", O.with_(*URL_MODEL_CTES) + (
@@ -368,7 +368,7 @@ def q_standalone_stats(spark, sf):
     "length(layer2_explanation) > 100 THEN substr(layer2_explanation, 1, 100) || '...' ELSE layer2_explanation END "
     "END AS explanation FROM final"))
 def q_result_listing(spark, sf):
-    return H.result_listing(flows.url_cascade(fx.urls(spark, sf)))
+    return H.result_listing(flows.url_cascade(fx.urls(spark, sf), fx.rule_layer2))
 
 
 # ---------------------------------------------------------------- P1–P4
@@ -516,7 +516,7 @@ def q_train_logreg(spark, sf):
 
 
 def _final_fixture(spark, sf):
-    return flows.fixture_cascade(fx.scored(spark, sf))
+    return flows.fixture_cascade(fx.scored(spark, sf), fx.rule_layer2)
 
 
 def _cnt(cond: str) -> str:
@@ -718,7 +718,7 @@ def q_batch_job(spark, sf):
     model, _ = flows.train_layer1(fx.urls(spark, sf))
     src = _write_urls_csv(spark, sf)
     _, res = J.batch_job(spark, src, model, "url", "label", fresh_path(spark, "batch_output"),
-                         schema="page_id bigint, url string, label int", layer2_fn=flows.rule_layer2)
+                         schema="page_id bigint, url string, label int", layer2_fn=fx.rule_layer2)
     return _rounded(res)
 
 
@@ -733,7 +733,7 @@ def q_batch_metrics(spark, sf):
     u = fx.urls(spark, sf)
     model, _ = flows.train_layer1(u)
     final = J.with_truth(J.score_table(u.select(F.col("row_id").alias("page_id"), "url", "label"), model,
-                                       layer2_fn=flows.rule_layer2), "label")
+                                       layer2_fn=fx.rule_layer2), "label")
     return J.batch_metrics(final)
 
 
@@ -742,7 +742,7 @@ def q_url_list_job(spark, sf):
     u = fx.urls(spark, sf)
     model, _ = flows.train_layer1(u)
     _, res = J.url_list_job(spark, u.select("url"), model, fresh_path(spark, "url_list_output"),
-                            layer2_fn=flows.rule_layer2)
+                            layer2_fn=fx.rule_layer2)
     return _rounded(res)
 
 
@@ -820,7 +820,7 @@ def q_json_array_scan(spark, sf):
 
 @register("csv_sink", O.with_(*FLAG) + f"SELECT {FLAG_COLS}, label AS true_label FROM final")
 def q_csv_sink(spark, sf):
-    final = flows.url_cascade(fx.urls(spark, sf))
+    final = flows.url_cascade(fx.urls(spark, sf), fx.rule_layer2)
     path = S.write_results(final, fresh_path(spark, "csv_sink"), prefix="hybrid_detection_results")
     return _rounded(S.read_back(spark, path, final.schema))
 
@@ -841,7 +841,7 @@ def q_metrics_json(spark, sf):
 def _run_stream_cascade(spark, sf) -> str:
     out = fresh_path(spark, "stream_cascade")
     stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet", schema=fx.table(spark, sf, "orders").schema)
-    X.stream_cascade(stream, flows.rule_layer2, out, fresh_path(spark, "stream_cascade_ckpt"))
+    X.stream_cascade(stream, fx.rule_layer2, out, fresh_path(spark, "stream_cascade_ckpt"))
     return out
 
 
@@ -864,7 +864,7 @@ def q_stream_cascade_stats(spark, sf):
 def q_plugin_scorer(spark, sf):
     s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
     wl = H.layer2_worklist(H.route(s))
-    return H.layer2_results(H.plugin_responses(wl))
+    return H.layer2_results(H.plugin_responses(wl, fx.RuleScorer()))
 
 
 # ---------------------------------------------------------------- training path
@@ -915,11 +915,24 @@ def q_instruction_data_job(spark, sf):
     return out.select("row_id", "input_ids", "attention_mask", "labels")
 
 
+@register("stream_cascade_urls", O.with_(*FLAG) + f"SELECT {FLAG_COLS}, label AS true_label FROM final")
+def q_stream_cascade_urls(spark, sf):
+    """X2 from raw urls: arriving pages are scored in the stream with saved weights and joined to saved answers."""
+    u = fx.urls(spark, sf)
+    model, _ = flows.train_layer1(u)
+    answers = cut_lineage(fx.rule_layer2(u.select("url").distinct()))
+    pages = spark.readStream.schema(fx.table(spark, sf, "pages").schema).parquet(f"{sf.rstrip('/')}/pages*.parquet")
+    stream = fx.urls_of(pages)
+    out = fresh_path(spark, "stream_urls")
+    X.stream_url_cascade(stream, model, answers, out, fresh_path(spark, "stream_urls_ckpt"), keep=("row_id", "label"))
+    return _rounded(spark.read.parquet(out).withColumnRenamed("label", "true_label").select("row_id", *H.FINAL_COLUMNS, "true_label"))
+
+
 @register("stream_cascade_static", O.with_(*FIX) + f"SELECT {O.FINAL_COLS}, true_label FROM final")
 def q_stream_cascade_static(spark, sf):
     """X2 as a stream-static join with layer-2 answers saved ahead of the stream."""
     s = fx.scored(spark, sf).withColumn("layer1_prediction", (F.col("layer1_confidence") > 0.5).cast("int"))
-    answers = cut_lineage(flows.rule_layer2(H.layer2_worklist(H.route(s))))
+    answers = cut_lineage(fx.rule_layer2(H.layer2_worklist(H.route(s))))
     out = fresh_path(spark, "stream_static")
     stream = X.scored_stream(spark, f"{sf.rstrip('/')}/orders*.parquet", schema=fx.table(spark, sf, "orders").schema)
     X.stream_cascade_static(stream, answers, out, fresh_path(spark, "stream_static_ckpt"))

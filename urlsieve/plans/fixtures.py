@@ -12,12 +12,15 @@ derived from the given tables; every view grows with its source table.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
+from ..operators import cascade as H
 from ..operators.ranking import partition_rank
 from ..session import cut_lineage
 
@@ -30,9 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select(F.col("page_id").alias("row_id"), "url",
-                    F.when(F.col("url").like("%://blog.%"), 1).otherwise(0).alias("label"))
+    return urls_of(table(spark, sf_dir, "pages"))
+
+
+def urls_of(pages: DataFrame) -> DataFrame:
+    """The urls view of a pages table or stream."""
+    return pages.select(F.col("page_id").alias("row_id"), "url",
+                        F.when(F.col("url").like("%://blog.%"), 1).otherwise(0).alias("label"))
 
 
 def raw_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,3 +79,48 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("train_loss"),
         F.col("value").alias("val_loss"),
         (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy")))
+
+
+# Answers of the rule scorer, picked by md5(url) mod 5.
+RULE_ANSWERS = (
+    "Phishing: suspicious keywords",
+    "Legitimate: no indicators",
+    "legitimate site, not phishing",
+    "phishing:legitimate: unclear phishing",
+    "no verdict",
+)
+
+
+class RuleScorer:
+    """A layer-2 scorer for queries and tests: the prompt followed by one of
+    :data:`RULE_ANSWERS` picked by the first 16 bits of md5(url) mod 5.
+    Deterministic, so a recomputed task gives the same answer."""
+
+    def load(self):
+        return self
+
+    def generate(self, urls: pd.Series, instruction: str) -> tuple[list, list]:
+        out, err = [], []
+        for u in urls:
+            if u is None:
+                out.append(None)
+                err.append("url is null")
+                continue
+            k = int(hashlib.md5(u.encode("utf-8")).hexdigest()[:4], 16) % len(RULE_ANSWERS)
+            out.append(f"<|user|>\n{instruction}\nURL: {u}<|end|>\n{H.ASSISTANT_TAG}{RULE_ANSWERS[k]}")
+            err.append(None)
+        return out, err
+
+
+def rule_responses(worklist: DataFrame, instruction: str = H.DEFAULT_INSTRUCTION, url: str = "url") -> DataFrame:
+    """The rule scorer as native expressions (same text as :class:`RuleScorer`)."""
+    k = F.pmod(F.conv(F.substring(F.md5(F.col(url)), 1, 4), 16, 10).cast("int"), F.lit(len(RULE_ANSWERS)))
+    answers = F.array(*[F.lit(a) for a in RULE_ANSWERS])
+    resp = F.concat(H.render_prompt(F.lit(instruction), F.col(url)), F.element_at(answers, k + 1))
+    return worklist.select(url, resp.alias("response"),
+                           F.when(F.col(url).isNull(), F.lit("url is null")).alias("error"))
+
+
+def rule_layer2(worklist: DataFrame) -> DataFrame:
+    """Layer 2 = the rule answers, parsed (H4-H6)."""
+    return H.layer2_results(rule_responses(worklist))

@@ -29,22 +29,11 @@ def train_layer1(labelled: DataFrame, text_col: str = "url", tok="url", min_freq
     return model, split
 
 
-def rule_layer2(worklist: DataFrame) -> DataFrame:
-    """Layer 2 = the default rule answers, parsed (H4-H6)."""
-    return H.layer2_results(H.rule_responses(worklist))
-
-
-def plugin_layer2(scorer=None):
-    def run(worklist: DataFrame) -> DataFrame:
-        return H.layer2_results(H.plugin_responses(worklist, scorer))
-    return run
-
-
 def score_urls(df: DataFrame, model: M.TokenModel, tok="url") -> DataFrame:
     return M.score_layer1(tokenized(df, "url", tok), model)
 
 
-def url_cascade(labelled: DataFrame, layer2_fn=rule_layer2, threshold: float = H.DEFAULT_BAND,
+def url_cascade(labelled: DataFrame, layer2_fn, threshold: float = H.DEFAULT_BAND,
                 model: M.TokenModel | None = None) -> DataFrame:
     """Flagship: T1 -> P2 -> M1a -> M2 -> H1 -> H3 -> layer 2 -> H8 over a
     labelled url table (row_id, url, label)."""
@@ -55,7 +44,7 @@ def url_cascade(labelled: DataFrame, layer2_fn=rule_layer2, threshold: float = H
     return final.select("row_id", *H.FINAL_COLUMNS, F.col("label").alias("true_label"))
 
 
-def fixture_cascade(scored: DataFrame, layer2_fn=rule_layer2, threshold: float = H.DEFAULT_BAND,
+def fixture_cascade(scored: DataFrame, layer2_fn, threshold: float = H.DEFAULT_BAND,
                     on_missing: str = "reference") -> DataFrame:
     """Cascade over a table that already holds layer-1 confidences."""
     s = scored.withColumn("layer1_prediction",

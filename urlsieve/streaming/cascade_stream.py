@@ -1,10 +1,13 @@
 """The cascade over arriving files (X1, X2) with Structured Streaming.
 
 * X2 ``stream_cascade``: each micro-batch of scored urls goes through the
-  batch cascade in ``foreachBatch`` (layer 2 deduplicates urls inside the
-  batch and runs only on the band) and lands in a parquet folder, one
+  cascade in ``foreachBatch`` and lands in a parquet folder, one
   ``batch=<id>`` sub-folder per micro-batch written with overwrite, so a
-  retried batch replaces its own output (idempotent sink).
+  retried batch replaces its own output (idempotent sink).  Layer 2 runs only
+  on the band, and on a url once per stream (H3): its answers are a table with
+  a version per micro-batch, and only urls without an earlier answer are asked.
+* X2 ``stream_url_cascade``: raw urls, scored inside the stream with saved
+  weights (in the row, no state), then routed and joined to saved answers.
 * X1 ``stream_stats``: a second stream over that folder keeps the running
   cascade counters (the totals the batch code accumulates over calls) as a
   one-group ``complete``-mode aggregate; its state is one row whatever the
@@ -21,7 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.urls import tokenizer
 from ..operators import cascade as H
+from ..operators import layer1 as M
+from ..session import cut_lineage
 
 FINAL_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -50,12 +56,46 @@ def scored_stream(spark: SparkSession, orders_glob: str, max_files_per_trigger:
                     (conf > 0.5).cast("int").alias("layer1_prediction"))
 
 
+ANSWER_SCHEMA = T.StructType([
+    T.StructField("url", T.StringType()), T.StructField("layer2_prediction", T.IntegerType()),
+    T.StructField("layer2_explanation", T.StringType()), T.StructField("layer2_confidence", T.DoubleType()),
+    T.StructField("batch", T.LongType())])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def batch_answers(routed: DataFrame, layer2_fn, path: str, batch_id: int, url: str = "url") -> DataFrame:
+    """Answers for the routed urls of a micro-batch.  ``path`` holds those of the stream, a folder
+    ``batch=<id>`` each; urls that an earlier batch has answered are not asked again.  A batch that
+    is run again finds its own complete answers and asks nothing."""
+    spark = routed.sparkSession
+    worklist = H.layer2_worklist(routed, url)
+    own = os.path.join(path, f"batch={batch_id}")
+    if not _exists(spark, os.path.join(own, "_SUCCESS")):
+        asked = worklist
+        if _exists(spark, path):
+            earlier = spark.read.schema(ANSWER_SCHEMA).parquet(path).where(F.col("batch") < batch_id).select(F.col("url").alias("_u"))
+            asked = worklist.join(earlier, F.col(url).eqNullSafe(F.col("_u")), "left_anti")
+        layer2_fn(asked).select(F.col(url).alias("url"), "layer2_prediction", "layer2_explanation", "layer2_confidence") \
+            .write.mode("overwrite").parquet(own)
+    answers = spark.read.schema(ANSWER_SCHEMA).parquet(path).where(F.col("batch") <= batch_id).drop("batch")
+    needed = worklist.select(F.col(url).alias("_u"))
+    return answers.join(needed, F.col("url").eqNullSafe(F.col("_u")), "left_semi").withColumnRenamed("url", url)
+
+
 def stream_cascade(stream: DataFrame, layer2_fn, out_path: str, checkpoint: str,
-                   threshold: float = H.DEFAULT_BAND) -> None:
-    """Cascade per micro-batch; runs until the available input is done."""
+                   threshold: float = H.DEFAULT_BAND, answers_path: str | None = None) -> None:
+    """Cascade per micro-batch; runs until the available input is done.  ``answers_path``
+    (next to the output by default) keeps layer 2's answers over batches and restarts."""
+    answers_path = answers_path or out_path.rstrip("/") + "-answers"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        final = H.cascade(batch, layer2_fn, threshold)
+        routed = cut_lineage(H.route(batch, threshold), "routed")
+        l2 = cut_lineage(batch_answers(routed, layer2_fn, answers_path, batch_id), "answers") if layer2_fn is not None else None
+        final = H.combine(routed, l2)
         (final.select("row_id", *H.FINAL_COLUMNS, "true_label")
          .write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}")))
 
@@ -110,3 +150,18 @@ def stream_cascade_static(stream: DataFrame, layer2: DataFrame, out_path: str, c
          .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def stream_url_cascade(stream: DataFrame, model: M.TokenModel, layer2: DataFrame, out_path: str, checkpoint: str,
+                       threshold: float = H.DEFAULT_BAND, tok="url", keep: tuple[str, ...] = ("row_id",)) -> None:
+    """X2 from raw urls: T1, M2 with saved weights, H1 and H8 in one stateless plan, appended to
+    a parquet sink.  The weights are looked up inside the row, so the stream is neither grouped
+    nor shuffled for scoring and needs no watermark; a url may arrive any number of times."""
+    tokens = stream.withColumn("tokens", tokenizer(tok)(F.col("url")))
+    bias = model.bias.first()[0]        # one number, saved with the model
+    scored = M.score_layer1(tokens, M.TokenModel(model.weights, bias))
+    final = H.combine(H.route(scored, threshold), layer2)
+    q = (final.select(*keep, *H.FINAL_COLUMNS).writeStream.format("parquet")
+         .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
