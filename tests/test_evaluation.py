@@ -63,8 +63,8 @@ def test_examples_and_report(final):
     assert [(r.kind, r.rank, r.layer1, r.layer2) for r in ex] == [("mistake", 1, "Phishing", "Legitimate")]
     assert ex[0].url_head == "http://fake-bank.malicious.com..."
     lines = [r.line for r in E.evaluation_report(final).orderBy("line_no").collect()]
-    assert "Accuracy:  0.8000" in lines and "Samples processed by Layer 2: 1" in lines
-    assert "Pipeline efficiency: 80.0%" in lines and "Accuracy improvement: -1.0000" in lines
+    assert "Accuracy:  0.8000" in lines and "Given to layer 2: 1" in lines
+    assert "Share of layer 1: 80.0%" in lines and "Accuracy gained: -1.0000" in lines
 
 
 def test_nothing_routed_gives_no_subset_rows(spark):

@@ -11,6 +11,7 @@ from urlsieve.plans import fixtures as fx
 from urlsieve.plans import flows
 from urlsieve.plans import jobs as J
 
+SF = "/root/testdata/sf0.001"
 GOOD = ["orchard", "harbour", "lantern", "meadow", "quarry", "saddle", "timber"]
 BAD = ["parcel-fee", "locked-mailbox", "card-refund", "toll-notice", "prize-desk", "wallet-repair", "tax-rebate", "sim-renewal"]
 BATCH = [(f"https://{w}.example.org", 0) for w in GOOD] + [(f"http://{w}-confirm.example.net", 1) for w in BAD]
@@ -154,7 +155,7 @@ def test_records_without_ids_text_labels_and_missing_label_column(spark, model,
         fh.write('[{"text": "http://a.example.org", "label": 1}, {"text": "http://b.example.org", "label": 0}]')
     assert J.instruction_data_job(spark, src, os.path.join(d, "packed"), array_file=True).count() == 2
     final = spark.createDataFrame([("x", 1, "phishing")], "url string, final_prediction int, original_label string")
-    assert J.with_truth(final, "label").first().true_label is None
+    assert J.with_truth(final, "label").first().true_label == 1
     with open(os.path.join(d, "in.csv"), "w") as fh:
         fh.write("url\nhttp://a.example.org\n")
     J.save_model(model, os.path.join(d, "model"))
@@ -167,3 +168,50 @@ def test_null_row_ids_are_refused_and_other_labels_go(spark):
     with pytest.raises(Exception, match="row id is null"):
         P.sample_n(df, 1).collect()
     assert P.balanced_sample(spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "row_id long, label int")).count() == 2
+
+
+def test_saved_model_keeps_its_tokenizer(spark, tmp_path):
+    from urlsieve.plans import fixtures as fx
+    from urlsieve.plans import jobs as J
+
+    urls = fx.raw_urls(spark, SF).withColumnRenamed("page_id", "row_id")
+    csv, out = str(tmp_path / "urls"), str(tmp_path / "out")
+    urls.select("url", "status").write.option("header", True).csv(csv)
+    J.train_main(["--input", csv, "--output", out, "--tokenizer", "structured"])
+    model = J.load_model(spark, out + "/model")
+    assert model.tok == "structured"
+    spark.createDataFrame([(0.0,)], "bias double").write.parquet(str(tmp_path / "old/bias"))
+    model.weights.write.parquet(str(tmp_path / "old/weights"))
+    with pytest.raises(ValueError, match="tokenizer"):
+        J.load_model(spark, str(tmp_path / "old"))
+
+
+def test_layer1_job_and_evaluation_job(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from urlsieve.plans import fixtures as fx
+    from urlsieve.plans import flows
+    from urlsieve.plans import jobs as J
+
+    model, _ = flows.train_layer1(fx.urls(spark, SF))
+    path, result, stats = J.standalone_job(spark, ["http://a.com/x", None, "http://blog.b.org"], model, output_dir=str(tmp_path / "one"))
+    rows = {r.url: r for r in result.collect()}
+    assert rows[None].status == "error" and len(rows) == 3
+    s = stats.first()
+    assert s.total_processed == 3 and s.phishing_detected + s.legitimate_detected == 3
+
+    final = flows.fixture_cascade(fx.scored(spark, SF), fx.rule_layer2)
+    saved = J.write_results(final.withColumn("true_label", F.when(F.col("row_id") % 2 == 0, F.col("true_label"))), str(tmp_path), "result")
+    lines, metrics, report = J.evaluation_job(spark, saved, str(tmp_path / "reports"))
+    total = final.where("row_id % 2 = 0").count()
+    assert f"Rows in all: {total}" in {r.line for r in lines.collect()}
+    assert {r.value for r in metrics.where("metric = 'total_samples'").collect()} == {float(total)}
+    assert spark.read.text(report).count() > 0
+
+
+def test_text_labels_are_truth(spark):
+    from urlsieve.plans import jobs as J
+
+    df = spark.createDataFrame([("phishing", 1), ("legitimate", 1), ("bad", 1), ("0", 0), ("1.0", 1), ("?", 1)], "original_label string, final_prediction int")
+    got = [(r.true_label, r.correct_prediction) for r in J.with_truth(df, "label").collect()]
+    assert got == [(1, True), (0, False), (1, True), (0, True), (1, True), (None, None)]

@@ -96,6 +96,17 @@ def normalized_label(c: Column, dtype: T.DataType, scheme: str) -> Column:
     return F.when(finite, F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d))).try_cast("int")
 
 
+def label_value(df: DataFrame, label_col: str) -> Column:
+    """0/1 or an integer per value, without looking at the whole set: a text of any of C3's
+    pairs, or a number; null otherwise."""
+    c = F.col(label_col)
+    number = normalized_label(c, df.schema[label_col].dataType, "numeric")
+    if not isinstance(df.schema[label_col].dataType, T.StringType):
+        return number
+    negative, positive = ([pair[i] for pair in LABEL_VOCABULARIES] for i in (0, 1))
+    return F.when(c.isin(*negative), 0).when(c.isin(*positive), 1).otherwise(number)
+
+
 def normalize_labels(df: DataFrame, label_col: str, scheme: str | None = None) -> DataFrame:
     """Map the label column to 0/1 or integers; drop rows that do not parse."""
     scheme = scheme or label_scheme(df, label_col)

@@ -172,34 +172,36 @@ def evaluation_report(final: DataFrame) -> DataFrame:
     """The text report as ordered lines (line_no, line)."""
     c = evaluation_counts(final)
     h, l1, s = _metrics("h_"), _metrics("l_"), _metrics("s_")
-    f4 = lambda x: F.format_string("%.4f", x)
-    sgn4 = lambda x: F.format_string("%+.4f", x)
-    f1d = lambda x: F.format_string("%.1f", x)
-    lines: list[Column] = [F.lit("HYBRID PHISHING DETECTION - EVALUATION REPORT"), F.lit("=" * 60),
-                           F.lit("OVERALL PERFORMANCE")]
+    # rounded by arithmetic, so that every engine prints the same digits
+    fixed = lambda x, k: F.floor(x * F.lit(10.0**k) + F.lit(0.5)) / F.lit(10.0**k)
+    f4 = lambda x: F.format_string("%.4f", fixed(x, 4))
+    sgn4 = lambda x: F.format_string("%+.4f", fixed(x, 4))
+    f1d = lambda x: F.format_string("%.1f", fixed(x, 1))
+    lines: list[Column] = [F.lit("CASCADE EVALUATION"), F.lit("-" * 40),
+                           F.lit("FINAL DECISIONS")]
     names = (("Accuracy:  ", "accuracy"), ("Precision: ", "precision"), ("Recall:    ", "recall"),
              ("F1-Score:  ", "f1_score"), ("AUC-ROC:   ", "auc_roc"))
     lines += [F.concat(F.lit(n), f4(h[k])) for n, k in names]
-    lines.append(F.lit("LAYER 1 ONLY PERFORMANCE"))
+    lines.append(F.lit("LAYER 1 ALONE"))
     lines += [F.concat(F.lit(n), f4(l1[k])) for n, k in names]
     routed = F.col("routed") > 0
     gain = ratio(F.col("s_tp") + F.col("s_tn") - F.col("s_l1_correct"), F.col("routed"))
-    lines += [F.when(routed, F.lit("LAYER 2 IMPACT ANALYSIS")),
-              F.when(routed, F.concat(F.lit("Samples processed by Layer 2: "), F.col("routed").cast("string"))),
-              F.when(routed, F.concat(F.lit("Accuracy improvement: "), sgn4(gain))),
-              F.when(routed, F.concat(F.lit("Layer 2 Precision: "), f4(s["precision"]))),
-              F.when(routed, F.concat(F.lit("Layer 2 Recall:    "), f4(s["recall"]))),
-              F.when(routed, F.concat(F.lit("Layer 2 F1-Score:  "), f4(s["f1_score"])))]
+    lines += [F.when(routed, F.lit("ROWS GIVEN TO LAYER 2")),
+              F.when(routed, F.concat(F.lit("Rows: "), F.col("routed").cast("string"))),
+              F.when(routed, F.concat(F.lit("Accuracy gained: "), sgn4(gain))),
+              F.when(routed, F.concat(F.lit("Their precision: "), f4(s["precision"]))),
+              F.when(routed, F.concat(F.lit("Their recall:    "), f4(s["recall"]))),
+              F.when(routed, F.concat(F.lit("Their F1-score:  "), f4(s["f1_score"])))]
     eff = F.try_divide((F.col("total") - F.col("routed")) * 100.0, F.col("total"))
     use = F.try_divide(F.col("routed") * 100.0, F.col("total"))
-    lines += [F.lit("EFFICIENCY ANALYSIS"),
-              F.concat(F.lit("Total samples: "), F.col("total").cast("string")),
-              F.concat(F.lit("Resolved by Layer 1: "), (F.col("total") - F.col("routed")).cast("string")),
-              F.concat(F.lit("Processed by Layer 2: "), F.col("routed").cast("string")),
-              F.concat(F.lit("Pipeline efficiency: "), f1d(eff), F.lit("%")),
-              F.concat(F.lit("Layer 2 usage: "), f1d(use), F.lit("%")),
-              F.lit("HYBRID vs LAYER 1 ONLY COMPARISON"),
-              F.concat(F.lit("Accuracy improvement: "), sgn4(h["accuracy"] - l1["accuracy"])),
-              F.concat(F.lit("F1-Score improvement: "), sgn4(h["f1_score"] - l1["f1_score"]))]
+    lines += [F.lit("WORK"),
+              F.concat(F.lit("Rows in all: "), F.col("total").cast("string")),
+              F.concat(F.lit("Decided by layer 1: "), (F.col("total") - F.col("routed")).cast("string")),
+              F.concat(F.lit("Given to layer 2: "), F.col("routed").cast("string")),
+              F.concat(F.lit("Share of layer 1: "), f1d(eff), F.lit("%")),
+              F.concat(F.lit("Share of layer 2: "), f1d(use), F.lit("%")),
+              F.lit("GAIN OVER LAYER 1"),
+              F.concat(F.lit("Accuracy: "), sgn4(h["accuracy"] - l1["accuracy"])),
+              F.concat(F.lit("F1-score: "), sgn4(h["f1_score"] - l1["f1_score"]))]
     arr = F.array(*[F.struct(F.lit(i + 1).alias("line_no"), x.alias("line")) for i, x in enumerate(lines)])
     return c.select(F.explode(arr).alias("r")).select("r.*").where(F.col("line").isNotNull())

@@ -30,6 +30,7 @@ STATUS_PHISHING, STATUS_LEGITIMATE, STATUS_ERROR = "phishing", "legitimate", "er
 class TokenModel:
     weights: DataFrame   # token, c1, c0, weight
     bias: DataFrame | float      # one row: bias (log prior odds), or the number itself
+    tok: str = "url"     # the tokenizer whose tokens the weights are of
 
 
 def train_token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label",
@@ -91,13 +92,13 @@ def score_layer1(df: DataFrame, model: TokenModel, row_id: str = "row_id", url:
             .drop("_s"))
 
 
-def score_standalone(scored: DataFrame, url: str = "url") -> DataFrame:
+def score_standalone(scored: DataFrame, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """M3: url, confidence, prediction, status (phishing / legitimate / error)."""
     status = (F.when(F.col("layer1_error"), STATUS_ERROR)
               .when(F.col("layer1_prediction") == 1, STATUS_PHISHING)
               .otherwise(STATUS_LEGITIMATE))
     return scored.select("row_id", url, F.col("layer1_confidence").alias("confidence"),
-                         F.col("layer1_prediction").alias("prediction"), status.alias("status"))
+                         F.col("layer1_prediction").alias("prediction"), status.alias("status"), *(keep or []))
 
 
 def clamped_log(p: Column) -> Column:
@@ -146,9 +147,65 @@ def validation_metrics(scored: DataFrame, label: str = "label",
                       F.col("fn").cast("bigint").alias("fn"), F.col("tn").cast("bigint").alias("tn"))
 
 
+RIDGE, MAX_STEPS, GRADIENT_NORM = 1.0, 100, 1e-9
+
+
+def log_odds(df: DataFrame, model: TokenModel, tokens: str = "tokens", out: str = "log_odds") -> DataFrame:
+    """Adds ``out``: the row's vocabulary counts weighted by M1a, plus the bias."""
+    summed = lookup_sum(df, model.weights, "token", "weight", F.coalesce(F.col(tokens), F.array().cast("array<string>")), out)
+    return summed.withColumn(out, F.col(out) + model.bias.select("bias").scalar())
+
+
+@dataclass
+class LogisticModel:
+    slope: float
+    intercept: float
+    steps: int
+    gradient: float     # its norm at the end
+
+
+def train_logistic(train: DataFrame, feature: str = "log_odds", label: str = "label", ridge: float = RIDGE) -> LogisticModel:
+    """Logistic regression of the label on the log-odds, with a ridge, by Newton's method.
+
+    Rows with equal feature and label are counted once, so a step is one aggregate over
+    the distinct values: five sums reach the driver, which solves two equations.  The loss
+    is strictly convex; a step that does not lower the gradient's norm is halved.  Ends
+    when that norm is below ``GRADIENT_NORM`` times the number of rows."""
+    cells = cut_lineage(train.groupBy(F.col(feature).alias("z"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")))
+
+    def sums(a: float, b: float) -> tuple:
+        p = sigmoid(F.lit(a) * F.col("z") + F.lit(b))
+        error, weight = F.col("n") * (p - F.col("y")), F.col("n") * p * (1 - p)
+        g1, g0, h11, h10, h00, n = (x or 0.0 for x in cells.agg(
+            F.sum(error * F.col("z")), F.sum(error), F.sum(weight * F.col("z") * F.col("z")), F.sum(weight * F.col("z")), F.sum(weight),
+            F.sum("n").cast("double")).first())
+        return g1 + ridge * a, g0 + ridge * b, h11 + ridge, h10, h00 + ridge, n
+
+    a = b = 0.0
+    g1, g0, h11, h10, h00, n = sums(a, b)
+    steps, size = 0, 1.0
+    while (norm := (g1 * g1 + g0 * g0) ** 0.5) > GRADIENT_NORM * max(n, 1.0) and steps < MAX_STEPS:
+        det = h11 * h00 - h10 * h10
+        da, db = (g1 * h00 - g0 * h10) / det, (g0 * h11 - g1 * h10) / det
+        new = sums(a - size * da, b - size * db)
+        steps += 1
+        if (new[0] ** 2 + new[1] ** 2) ** 0.5 < norm:
+            a, b, size = a - size * da, b - size * db, 1.0
+            g1, g0, h11, h10, h00, n = new
+        else:
+            size /= 2
+    return LogisticModel(a, b, steps, norm)
+
+
+def score_logistic(df: DataFrame, model: LogisticModel, feature: str = "log_odds") -> DataFrame:
+    """Apply M1b: layer1_confidence = P(class 1), layer1_prediction."""
+    p = sigmoid(F.lit(model.slope) * F.col(feature) + F.lit(model.intercept))
+    return df.withColumn("layer1_confidence", p).withColumn("layer1_prediction", (p > DECISION_THRESHOLD).cast("int"))
+
+
 def train_logreg(train: DataFrame, tokens: str = "tokens", label: str = "label",
                  num_features: int = 1 << 18, max_iter: int = 20):
-    """Hashed term counts + logistic regression (pyspark.ml, distributed)."""
+    """M1b, another form: hashed term counts + logistic regression (pyspark.ml, distributed)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
@@ -161,7 +218,7 @@ def train_logreg(train: DataFrame, tokens: str = "tokens", label: str = "label",
 
 
 def score_logreg(df: DataFrame, model, tokens: str = "tokens") -> DataFrame:
-    """Apply M1b: layer1_confidence = P(class 1), layer1_prediction."""
+    """Apply the other form of M1b: layer1_confidence = P(class 1), layer1_prediction."""
     from pyspark.ml.functions import vector_to_array
 
     data = df.withColumn(tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))

@@ -503,13 +503,29 @@ def q_pack_supervised_fast(spark, sf):
 
 
 # ---------------------------------------------------------------- M1b
-@register("train_logreg")
+# Newton's steps as recursion: 30 of them, each over the distinct (log-odds, label) of the train split
+LOGISTIC_CTES = [
+    "zr AS (SELECT t.row_id, t.label, t.split, (SELECT bias FROM nb_b) + coalesce(s._s, 0.0) AS z FROM split t "
+    "LEFT JOIN l1_s s ON t.row_id = s.row_id)",
+    "zc AS (SELECT z, CAST(label AS DOUBLE) AS y, count(*) AS n FROM zr WHERE split = 'train' GROUP BY z, label)",
+    "nt AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL "
+    "SELECT step + 1, a - (g1 * h00 - g0 * h10) / (h11 * h00 - h10 * h10), b - (g0 * h11 - g1 * h10) / (h11 * h00 - h10 * h10) FROM ("
+    "SELECT step, a, b, sum(n * (p - y) * z) + a AS g1, sum(n * (p - y)) + b AS g0, sum(n * p * (1 - p) * z * z) + 1 AS h11, "
+    "sum(n * p * (1 - p) * z) AS h10, sum(n * p * (1 - p)) + 1 AS h00 FROM ("
+    "SELECT step, a, b, z, y, n, 1.0 / (1.0 + exp(-(a * z + b))) AS p FROM nt, zc WHERE step < 30) GROUP BY step, a, b))",
+    "lr AS (SELECT row_id, label, 1.0 / (1.0 + exp(-((SELECT a FROM nt WHERE step = 30) * z + (SELECT b FROM nt WHERE step = 30)))) AS p "
+    "FROM zr WHERE split = 'validation')"]
+
+
+@register("train_logreg", O.with_(*URL_MODEL_CTES, *LOGISTIC_CTES).replace("WITH", "WITH RECURSIVE", 1) +
+          "SELECT row_id, label, round(p, 6) AS layer1_confidence, CAST(p > 0.5 AS INTEGER) AS layer1_prediction FROM lr")
 def q_train_logreg(spark, sf):
-    """M1b (rows-only check): hashed counts + logistic regression, scored on validation."""
-    split = flows.train_layer1_split(fx.urls(spark, sf))
-    model = M.train_logreg(split.where(F.col("split") == "train"))
-    val = split.where(F.col("split") == "validation")
-    return _rounded(M.score_logreg(val, model).select("row_id", "label", "layer1_confidence", "layer1_prediction"))
+    """Logistic regression on vocabulary counts weighted by M1a, scored on validation."""
+    model, split = flows.train_layer1(fx.urls(spark, sf))
+    rows = cut_lineage(M.log_odds(split, model).select("row_id", "label", "split", "log_odds"))
+    fitted = M.train_logistic(rows.where(F.col("split") == "train"))
+    scored = M.score_logistic(rows.where(F.col("split") == "validation"), fitted)
+    return _rounded(scored.select("row_id", "label", "layer1_confidence", "layer1_prediction"))
 
 
 # ---------------------------------------------------------------- E1–E11
@@ -631,9 +647,30 @@ def q_layer2_examples(spark, sf):
     return E.layer2_examples(_final_fixture(spark, sf))
 
 
-@register("evaluation_report")
+def _report_sql() -> str:
+    fixed = lambda x, k: f"floor(({x}) * {10.0**k} + 0.5) / {10.0**k}"
+    f4, sgn = (lambda x: f"printf('%.4f', {fixed(x, 4)})"), (lambda x: f"printf('%+.4f', {fixed(x, 4)})")
+    pct = lambda x: f"printf('%.1f', {fixed(f'{x} * 100.0::DOUBLE / nullif(total, 0)', 1)}) || '%'"
+    text = lambda x: f"CAST({x} AS VARCHAR)"
+    names = (("Accuracy:  ", "accuracy"), ("Precision: ", "precision"), ("Recall:    ", "recall"), ("F1-Score:  ", "f1_score"), ("AUC-ROC:   ", "auc_roc"))
+    h, l1, s = _m("h_"), _m("l_"), _m("s_")
+    gain = O.ratio("s_tp + s_tn - s_l1_correct", "routed")
+    lines = [("CASCADE EVALUATION", None), ("-" * 40, None), ("FINAL DECISIONS", None), *((n, f4(h[k])) for n, k in names),
+             ("LAYER 1 ALONE", None), *((n, f4(l1[k])) for n, k in names),
+             ("ROWS GIVEN TO LAYER 2", None), ("Rows: ", text("routed")), ("Accuracy gained: ", sgn(gain)),
+             ("Their precision: ", f4(s["precision"])), ("Their recall:    ", f4(s["recall"])), ("Their F1-score:  ", f4(s["f1_score"])),
+             ("WORK", None), ("Rows in all: ", text("total")), ("Decided by layer 1: ", text("total - routed")), ("Given to layer 2: ", text("routed")),
+             ("Share of layer 1: ", pct("(total - routed)")), ("Share of layer 2: ", pct("routed")),
+             ("GAIN OVER LAYER 1", None), ("Accuracy: ", sgn(f"{h['accuracy']} - {l1['accuracy']}")),
+             ("F1-score: ", sgn(f"{h['f1_score']} - {l1['f1_score']}"))]
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS line_no, '{head}'" + (f" || {value}" if value else "") + " AS line FROM ec"
+        + (" WHERE routed > 0" if 14 <= i <= 19 else "") for i, (head, value) in enumerate(lines, 1))
+
+
+@register("evaluation_report", O.with_(*EVAL) + _report_sql())
 def q_evaluation_report(spark, sf):
-    """E11 (rows-only check): the report lines."""
+    """The report lines."""
     return E.evaluation_report(_final_fixture(spark, sf))
 
 
@@ -746,6 +783,34 @@ def q_url_list_job(spark, sf):
     return _rounded(res)
 
 
+@register("standalone_job", O.with_(*URL_MODEL_CTES) + (
+    "SELECT url, round(layer1_confidence, 6) AS confidence, layer1_prediction AS prediction, "
+    "CASE WHEN layer1_error THEN 'error' WHEN layer1_prediction = 1 THEN 'phishing' ELSE 'legitimate' END AS status, "
+    "row_id AS original_page_id FROM l1"))
+def q_standalone_job(spark, sf):
+    """Layer 1 alone as a job: score, write, count."""
+    u = fx.urls(spark, sf)
+    model, _ = flows.train_layer1(u)
+    _, result, _ = J.standalone_job(spark, u.select(F.col("row_id").alias("page_id"), "url"), model, output_dir=fresh_path(spark, "standalone"))
+    return _rounded(result, "confidence")
+
+
+STRUCTURED = [O.URLS, f"tok AS (SELECT row_id, url, label, {O.t2('url')} AS tokens FROM urls)", *O.split_ctes("tok"),
+              "train AS (SELECT * FROM split WHERE split = 'train')", *O.nb_ctes("train"), *O.cascade_ctes("l1")]
+
+
+@register("saved_structured_model", O.with_(*STRUCTURED[:-len(O.cascade_ctes("l1"))], *O.score_ctes("tok"), *O.cascade_ctes("l1")) +
+          "SELECT url, round(layer1_confidence, 6) AS layer1_confidence, used_layer2, final_prediction, row_id AS original_row_id FROM final")
+def q_saved_structured_model(spark, sf):
+    """A model of T2's tokens, saved and loaded again: the job scores with the tokenizer that was saved with it."""
+    u = fx.urls(spark, sf)
+    model, _ = flows.train_layer1(u, tok="structured")
+    path = fresh_path(spark, "structured_model")
+    J.save_model(model, path)
+    final = J.score_table(u.select("row_id", "url"), J.load_model(spark, path), layer2_fn=fx.rule_layer2)
+    return _rounded(final.select("url", "layer1_confidence", "used_layer2", "final_prediction", "original_row_id"))
+
+
 def _sim_sql(seed: int = 42) -> str:
     def u(j):
         return f"(CAST('0x' || substr(md5('{seed}|' || CAST(row_id AS VARCHAR) || '|{j}'), 1, 4) AS INTEGER) / 65536.0::DOUBLE)"
@@ -825,14 +890,26 @@ def q_csv_sink(spark, sf):
     return _rounded(S.read_back(spark, path, final.schema))
 
 
-@register("metrics_json")
+_JSON_GROUPS = {"overall": "metrics_overall", "layer1_only": "metrics_layer1", "layer2_samples": "metrics_layer2_subset",
+                "efficiency": "metrics_efficiency"}
+
+
+@register("metrics_json", " UNION ALL ".join(
+    f"SELECT '{g}' AS grp, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({SQL[k]})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+    for g, k in _JSON_GROUPS.items()))
 def q_metrics_json(spark, sf):
-    """S5 (rows-only check): nested evaluation report written as JSON text, read back."""
+    """The nested evaluation report, written as JSON text, read back and parsed."""
     final = _final_fixture(spark, sf)
     groups = {"overall": E.metrics_overall(final), "layer1_only": E.metrics_layer1(final),
               "layer2_samples": E.metrics_layer2_subset(final), "efficiency": E.metrics_efficiency(final)}
-    path = S.write_metrics_json(groups, fresh_path(spark, "metrics_json"))
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "report")
+    return S.read_metrics_json(spark, S.write_metrics_json(groups, fresh_path(spark, "metrics_json")))
+
+
+@register("evaluation_job", SQL["metrics_json"])
+def q_evaluation_job(spark, sf):
+    """Evaluation of a saved result file: the cascade's CSV is read back and reported on."""
+    path = S.write_results(_final_fixture(spark, sf), fresh_path(spark, "evaluation_input"))
+    return J.evaluation_job(spark, path, fresh_path(spark, "evaluation_output"))[1]
 
 
 # ---------------------------------------------------------------- X1, X2, U1

@@ -26,11 +26,12 @@ def train_layer1(labelled: DataFrame, text_col: str = "url", tok="url", min_freq
     """P2 split -> M1a on the train split.  Returns (model, split table)."""
     split = train_layer1_split(labelled, text_col, tok, seed)
     model = M.train_token_weights(split.where(F.col("split") == "train"), min_freq=min_freq)
+    model.tok = tok
     return model, split
 
 
-def score_urls(df: DataFrame, model: M.TokenModel, tok="url") -> DataFrame:
-    return M.score_layer1(tokenized(df, "url", tok), model)
+def score_urls(df: DataFrame, model: M.TokenModel) -> DataFrame:
+    return M.score_layer1(tokenized(df, "url", model.tok), model)
 
 
 def url_cascade(labelled: DataFrame, layer2_fn, threshold: float = H.DEFAULT_BAND,

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade as H
 from ..operators import cleaning as C
+from ..operators import evaluation as E
 from ..operators import layer1 as M
 from ..operators import sampling as P
 from ..operators import tokens as T
 from ..session import cut_lineage, fresh_path
 from ..operators import promptdata as PD
-from ..sources.files import read_csv, read_json_records, write_results
+from ..sources.files import read_csv, read_json_records, read_metrics_json, write_metrics_json, write_results
 from . import flows
 
 # Fixed values of the simulated scores (B5): error rates and confidence ranges.
@@ -58,14 +59,17 @@ class JobConfig:
 
 
 def save_model(model: M.TokenModel, path: str) -> None:
-    """Persist weights and bias together (the vocabulary travels with the model)."""
+    """Persist weights, bias and the tokenizer's name together (the vocabulary travels with the model)."""
     model.weights.write.mode("errorifexists").parquet(path + "/weights")
-    model.bias.write.mode("errorifexists").parquet(path + "/bias")
+    model.bias.select("bias", F.lit(model.tok).alias("tokenizer")).write.mode("errorifexists").parquet(path + "/bias")
 
 
 def load_model(spark: SparkSession, path: str) -> M.TokenModel:
-    """Fails loudly when the model is missing (no silent random model)."""
-    return M.TokenModel(spark.read.parquet(path + "/weights"), spark.read.parquet(path + "/bias"))
+    """Fails loudly when the model, or its tokenizer's name, is missing (no silent wrong scores)."""
+    bias = spark.read.parquet(path + "/bias")
+    if "tokenizer" not in bias.columns:
+        raise ValueError(f"{path} does not say which tokenizer its weights belong to")
+    return M.TokenModel(spark.read.parquet(path + "/weights"), bias.select("bias"), bias.first().tokenizer)
 
 
 def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", layer2_fn=None,
@@ -76,7 +80,7 @@ def score_table(df: DataFrame, model: M.TokenModel, url_column: str = "url", lay
     others = [c for c in df.columns if c != url_column]
     base = base.select("row_id", F.col(url_column).cast("string").alias("url"),
                        *[F.col(c).alias(f"original_{c}") for c in others])
-    scored = M.score_layer1(flows.tokenized(base), model)
+    scored = M.score_layer1(flows.tokenized(base, "url", model.tok), model)
     final = H.cascade(scored, layer2_fn, threshold, on_missing=on_missing)
     return final.select(*H.FINAL_COLUMNS, *[f"original_{c}" for c in others])
 
@@ -95,10 +99,10 @@ def saved_answers(spark: SparkSession, path: str):
 
 
 def with_truth(final: DataFrame, label_column: str | None) -> DataFrame:
-    """true_label and correct_prediction, only when the named label column exists."""
+    """true_label (numbers or one of C3's pairs of texts) and correct_prediction, only when the named label column exists."""
     if not label_column or f"original_{label_column}" not in final.columns:
         return final
-    lab = F.col(f"original_{label_column}").try_cast("int")
+    lab = C.label_value(final, f"original_{label_column}")
     return final.withColumn("true_label", lab).withColumn(
         "correct_prediction", F.col("true_label") == F.col("final_prediction"))
 
@@ -143,6 +147,38 @@ def url_list_job(spark: SparkSession, urls, model: M.TokenModel, output_dir: str
     return write_results(final, output_dir, output_name, prefix="url_list_results"), final
 
 
+def standalone_job(spark: SparkSession, urls, model: M.TokenModel, url_column: str = "url", output_dir: str = "results",
+                   output_name: str | None = None) -> tuple[str, DataFrame, DataFrame]:
+    """Layer 1 alone (M3, H10, S4) over a CSV path, a DataFrame or a list of urls: url, confidence,
+    prediction, status and every other column as ``original_<name>``.  Returns the output
+    path, the result and its statistics (total, phishing, everything else)."""
+    if isinstance(urls, str):
+        urls = read_csv(spark, urls)
+    elif not isinstance(urls, DataFrame):
+        urls = spark.createDataFrame([(u,) for u in urls], f"`{url_column}` string")
+    others = [c for c in urls.columns if c != url_column]
+    base = urls.select(F.col(url_column).cast("string").alias("url"), *[F.col(c).alias(f"original_{c}") for c in others])
+    scored = M.score_layer1(flows.tokenized(base.withColumn("row_id", F.lit(0)), "url", model.tok), model)
+    status = M.score_standalone(scored, keep=[f"original_{c}" for c in others]).drop("row_id")
+    result = cut_lineage(status, "standalone_result")
+    return write_results(result, output_dir, output_name, prefix="layer1_results"), result, H.standalone_stats(result)
+
+
+#: Columns that evaluation needs of a saved result, as a job writes them.
+RESULT_SCHEMA = "url string, layer1_prediction int, used_layer2 boolean, final_prediction int, true_label int"
+
+
+def evaluation_job(spark: SparkSession, result_path: str, output_dir: str = "results") -> tuple[DataFrame, DataFrame, str]:
+    """Evaluation of a saved result file (CSV): E11's lines, the groups of metrics as rows, and the JSON
+    report's path (S5).  Rows without a true label are left out; a file without the column is refused."""
+    final = read_csv(spark, result_path, RESULT_SCHEMA).where("true_label is not null").withColumn("row_id", F.monotonically_increasing_id())
+    final = cut_lineage(final, "evaluated")
+    groups = {"overall": E.metrics_overall(final), "layer1_only": E.metrics_layer1(final),
+              "layer2_samples": E.metrics_layer2_subset(final), "efficiency": E.metrics_efficiency(final)}
+    path = write_metrics_json(groups, output_dir)
+    return E.evaluation_report(final), read_metrics_json(spark, path), path
+
+
 def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_len: int = 150,
                  min_freq: int = 2, tok="url", seed: int = 42) -> tuple[M.TokenModel, DataFrame]:
     """The layer-1 training path: C1-C3 -> P2 -> T4 (whole train split) -> T8
@@ -157,6 +193,7 @@ def training_job(raw: DataFrame, out_dir: str, sample_size: int = 100_000, max_l
     T.write_training_table(T.model_ready(split, vocab, max_len), out_dir + "/training_table")
     vocab.write.mode("errorifexists").parquet(out_dir + "/model/vocab")
     model = M.train_token_weights(P.sample_n(train, sample_size, seed), min_freq=min_freq)
+    model.tok = tok
     save_model(model, out_dir + "/model")
     held_out = M.score_layer1(split.where(F.col("split") != "train"), model)
     return model, M.validation_metrics(held_out, group_by=("split",))
@@ -227,6 +264,33 @@ def parse_args(argv=None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def parse_training_args(argv=None) -> argparse.Namespace:
+    """``spark-submit`` arguments of the training job."""
+    p = argparse.ArgumentParser(description="Train the first layer on a labelled url file")
+    p.add_argument("--input", "-i", required=True, help="CSV, or JSON records (.json, .jsonl)")
+    p.add_argument("--output", "-o", required=True, help="folder for the model and the training table")
+    p.add_argument("--tokenizer", "-t", default="url", choices=("url", "structured", "whitespace"))
+    p.add_argument("--sample-size", type=int, default=100_000, help="train rows that fit the weights")
+    p.add_argument("--max-len", type=int, default=150)
+    p.add_argument("--min-freq", type=int, default=2)
+    p.add_argument("--seed", type=int, default=42)
+    return p.parse_args(argv)
+
+
+def train_main(argv=None) -> None:
+    """``python -m urlsieve.plans.jobs train --input … --output …``"""
+    args = parse_training_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    if args.input.rstrip("/*").endswith((".json", ".jsonl")):
+        raw = read_json_records(spark, args.input, "text string, label string", array_file=args.input.endswith(".json"))
+    else:
+        raw = read_csv(spark, args.input)
+    raw = cut_lineage(raw.withColumn("row_id", F.monotonically_increasing_id()), "labelled")
+    _, metrics = training_job(raw, args.output, args.sample_size, args.max_len, args.min_freq, args.tokenizer, args.seed)
+    metrics.show(truncate=False)
+    print(f"Model saved to: {args.output}/model")
+
+
 def main(argv=None) -> None:
     """``spark-submit -m urlsieve.plans.jobs --input … --model …``"""
     args = parse_args(argv)
@@ -248,4 +312,6 @@ def main(argv=None) -> None:
 
 
 if __name__ == "__main__":
-    main()
+    import sys
+
+    train_main(sys.argv[2:]) if sys.argv[1:2] == ["train"] else main()

@@ -123,15 +123,16 @@ def read_back(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "
 def metrics_json(groups: dict[str, DataFrame]) -> DataFrame:
     """Nested report {group: {metric: value}} as one JSON text row.
 
-    Each group is a one-row metrics DataFrame; the rows are combined through
-    scalar subqueries (no join), pretty-printed like an indented dump."""
+    Each group is a metrics DataFrame of one row, or of none: such a group is left out.
+    The rows are combined through scalar subqueries (no join), pretty-printed like an
+    indented dump.  A metric that is undefined (null) is left out, too."""
     first = next(iter(groups.values()))
     fields = []
     for g, df in groups.items():
         fields.append(F.lit(g))
         fields.append(df.select(F.struct(*df.columns)).scalar())
     obj = F.named_struct(*fields)
-    return first.select(F.to_json(obj, {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))
+    return first.select(F.to_json(obj, {"pretty": "true", "ignoreNullFields": "true"}).alias("report"))
 
 
 def write_metrics_json(groups: dict[str, DataFrame], out_dir: str, name: str | None = None) -> str:
@@ -139,3 +140,10 @@ def write_metrics_json(groups: dict[str, DataFrame], out_dir: str, name: str | N
     path = os.path.join(out_dir, name or stamped_name("evaluation_report"))
     metrics_json(groups).write.mode("errorifexists").text(path)
     return path
+
+
+def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
+    """The report of :func:`write_metrics_json` as rows: grp, metric, value."""
+    text = spark.read.text(path, wholetext=True)
+    groups = text.select(F.explode(F.from_json("value", "map<string, map<string, double>>")).alias("grp", "metrics"))
+    return groups.select("grp", F.explode("metrics").alias("metric", "value"))

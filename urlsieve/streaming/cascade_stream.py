@@ -153,11 +153,11 @@ def stream_cascade_static(stream: DataFrame, layer2: DataFrame, out_path: str, c
 
 
 def stream_url_cascade(stream: DataFrame, model: M.TokenModel, layer2: DataFrame, out_path: str, checkpoint: str,
-                       threshold: float = H.DEFAULT_BAND, tok="url", keep: tuple[str, ...] = ("row_id",)) -> None:
+                       threshold: float = H.DEFAULT_BAND, keep: tuple[str, ...] = ("row_id",)) -> None:
     """X2 from raw urls: T1, M2 with saved weights, H1 and H8 in one stateless plan, appended to
     a parquet sink.  The weights are looked up inside the row, so the stream is neither grouped
     nor shuffled for scoring and needs no watermark; a url may arrive any number of times."""
-    tokens = stream.withColumn("tokens", tokenizer(tok)(F.col("url")))
+    tokens = stream.withColumn("tokens", tokenizer(model.tok)(F.col("url")))
     bias = model.bias.first()[0]        # one number, saved with the model
     scored = M.score_layer1(tokens, M.TokenModel(model.weights, bias))
     final = H.combine(H.route(scored, threshold), layer2)
