@@ -180,7 +180,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     wanted = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(is_query)
     usable = distinct.select("v").distinct()
     queries = wanted.join(usable, "v", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    queries = queries.mapInArrow(_query_rows(forest, leaves, share, k + 1), f"query_id long, q {kind}, leaf array<int>")
+    # a number of partitions of its own, as adaptive execution would merge the few bytes of queries into one task
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    queries = queries.repartition(spread, "query_id").mapInArrow(
+        _query_rows(forest, leaves, share, k + 1), f"query_id long, q {kind}, leaf array<int>")
     queries = materialise(queries, "queries").select("query_id", "q", F.explode("leaf").alias("leaf"))
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
