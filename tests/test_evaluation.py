@@ -7,11 +7,11 @@ import pytest
 from urlsieve.operators import evaluation as E
 
 ROWS = [  # url, layer1_confidence, layer1_prediction, used_layer2, final_prediction, decision_maker, true_label
-    (1, "https://www.google.com", 0.1, 0, False, 0, "BiGRU", 0),
-    (2, "http://fake-bank.malicious.com", 0.85, 1, True, 0, "Phi3", 1),
-    (3, "https://www.amazon.com", 0.2, 0, False, 0, "BiGRU", 0),
-    (4, "http://paypal-urgent.phishing.net", 0.9, 1, False, 1, "BiGRU", 1),
-    (5, "https://www.facebook.com", 0.15, 0, False, 0, "BiGRU", 0),
+    (1, "https://orchard.example.org", 0.12, 0, False, 0, "BiGRU", 0),
+    (2, "http://parcel-desk.example.net", 0.81, 1, True, 0, "Phi3", 1),
+    (3, "https://harbour.example.org", 0.23, 0, False, 0, "BiGRU", 0),
+    (4, "http://prize-wallet.example.net", 0.93, 1, False, 1, "BiGRU", 1),
+    (5, "https://meadow.example.org", 0.17, 0, False, 0, "BiGRU", 0),
 ]
 DDL = ("row_id long, url string, layer1_confidence double, layer1_prediction int, used_layer2 boolean, "
        "final_prediction int, decision_maker string, true_label int")
@@ -61,7 +61,7 @@ def test_confusion_and_comparison(final):
 def test_examples_and_report(final):
     ex = E.layer2_examples(final).collect()
     assert [(r.kind, r.rank, r.layer1, r.layer2) for r in ex] == [("mistake", 1, "Phishing", "Legitimate")]
-    assert ex[0].url_head == "http://fake-bank.malicious.com..."
+    assert ex[0].url_head == "http://parcel-desk.example.net..."
     lines = [r.line for r in E.evaluation_report(final).orderBy("line_no").collect()]
     assert "Accuracy:  0.8000" in lines and "Given to layer 2: 1" in lines
     assert "Share of layer 1: 80.0%" in lines and "Accuracy gained: -1.0000" in lines

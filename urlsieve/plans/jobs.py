@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +35,10 @@ class JobConfig:
     model_path: str | None = None          # saved token weights (parquet)
     layer2_path: str | None = None         # saved layer-2 responses (parquet), optional
     threshold: float = H.DEFAULT_BAND
-    device: str = "cpu"
+    device: str = "cpu"                    # read and kept; Spark decides where tasks run
     batch_size: int = 10_000               # Arrow records per batch for a Python scorer
     output_directory: str = "results"
     multi_line: bool = True                # False: no value of the CSV holds a line break, files are split
-    extra: dict = field(default_factory=dict)
 
     @classmethod
     def from_json(cls, path: str) -> JobConfig:
