@@ -14,7 +14,7 @@ from urlsieve.plans import jobs as J
 ROWS = [(1, ["a", "b", None, "zz"]), (1, ["b"]), (2, []), (3, None), (1, ["b"]), (None, ["w7", "w8", "w7"])]
 
 
-@pytest.fixture(params=[1 << 25, 100, 1], ids=["one part", "some parts", "many parts"])
+@pytest.fixture(params=[1 << 25, 200, 60], ids=["one part", "some parts", "many parts"])
 def vocab(spark, request, monkeypatch):
     monkeypatch.setattr(L, "PART_BYTES", request.param)
     words = ["a", "b", *(f"w{i}" for i in range(10))]

@@ -39,8 +39,8 @@ def _index(entries: tuple[list, list]) -> dict:
 
 def _parts(table: DataFrame, key: str, value: str):
     """The table's parts as broadcast (keys, values); one after the other passes through the driver."""
-    size = table.agg(F.sum(F.octet_length(F.col(key).cast("string")).cast("long") + ENTRY_BYTES)).first()[0] or 0
-    count = -(-size // PART_BYTES) or 1
+    size, rows = table.agg(F.sum(F.octet_length(F.col(key).cast("string")).cast("long") + ENTRY_BYTES), F.count(F.lit(1))).first()
+    count = min(-(-(size or 0) // PART_BYTES), rows) or 1
     part = F.pmod(F.xxhash64(key), F.lit(count))
     for i in range(count):
         rows = table if count == 1 else table.where(part == i)
