@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import words
 
@@ -145,3 +146,41 @@ def test_learned_scores_beat_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")  # a small table of its own
     got = [r for r in L.lm_scores(docs).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_every_training_segment_takes_part(spark):
+    """In the written segments, in each round of gradient steps and in the mixture, whatever a task holds at a time."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 130))) for i in range(200)], "doc_id long, text string").repartition(3)
+    train = [tokens(r.text) for r in docs.collect() if not late(r.doc_id)]
+    path, counts = L.default_tokenizer(), L.word_counts(docs)
+    assert counts.agg({"c": "sum"}).first()[0] == sum(map(len, train))
+    words = [bytes(r.word) for r in counts.limit(40).collect()]
+    s = L.Speller.of(path)
+    opens = np.array([k.startswith(b" ") for k, _ in sorted(s.ranks.items(), key=lambda x: x[1])] + [False] * (s.size - len(s.ranks)))
+    n = 8
+    m = L.initial_model(path, np.arange(n), opens, np.ones((n + 2, n + 2)), np.ones(n + 2), np.ones(n + 2), 1.0)
+    texts = docs.where(~L.held_out(docs.doc_id, 7, 2)).select("text")
+    segments = L.materialise(texts.mapInArrow(L._segments(spark.sparkContext.broadcast((m, words))), L.SEGMENT_COLUMNS), "segments")
+    rows = segments.collect()
+    assert len(rows) == sum(-(-len(t) // L.SEGMENT) for t in train) and sum(r.opens for r in rows) == len(train)
+    ids = sum(1 if w == L.END else len(s.one(w)) for t in train for w in t)
+    assert sum(len(r.rows) for r in rows) == 2 * ids and sum(np.frombuffer(r.sizes, "<i4").sum() for r in rows) == ids
+    places = {w: i for i, w in enumerate(words)}
+    assert sorted(c for r in rows for c in np.frombuffer(r.codes, "<i4").tolist()) == sorted(places.get(w, -1) for t in train for w in t)
+
+    kinds = np.random.default_rng(0).normal(size=(len(m.group), L.KINDS))
+    batches = [pa.RecordBatch.from_pylist([r.asDict() for r in rows[at : at + 37]], pa.schema(
+        [("opens", pa.bool_()), ("rows", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])) for at in range(0, len(rows), 37)]
+    scored = ids - sum(np.frombuffer(r.rows, "<u2").size > 0 and not r.opens for r in rows)  # a segment's first id has nothing before it
+    before, value = m.parameters(), type("Broadcast", (), {"value": m})
+    for held in (1 << 20, 500):
+        L.BLOCK_IDS, kept = held, L.BLOCK_IDS
+        try:
+            (out,) = L._trained(value, kinds, 0.01, 0)(b.select(["opens", "rows"]) for b in batches)
+            lift = type("Broadcast", (), {"value": (np.ones(len(words), np.int64), np.ones((len(words), L.KINDS), np.float32))})
+            (share,) = L._mixture(value, lift)(b.select(["rows", "sizes", "codes"]) for b in batches)
+        finally:
+            L.BLOCK_IDS = kept
+        assert set(out.column(1).to_pylist()) == {float(scored)}
+        assert share.column(1).to_pylist() == [float(sum(map(len, train)))]
+        assert (m.parameters() == before).all()  # every block starts from the same model

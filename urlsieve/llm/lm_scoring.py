@@ -21,12 +21,13 @@ Learning, all of it from training rows, and all of it growing with them:
 
 * every word is counted; ids, (id, next id), first and last ids of words are counted from the counted words;
 * ids' classes, their distribution within a class, and the first rows of the network follow from these counts;
-* the kinds are a mixture of ``KINDS`` id distributions, fitted to the kept segments by expectation maximisation;
-* one in ``RATE`` runs of ``SEGMENT`` words is kept for gradient steps: in every round each task runs Adam over its own
-  segments from the same start, and the results are averaged by their number of ids (grouped by pieces of the parameters,
-  so no task holds more than one piece of all tasks' results);
-* the mixture's shares are fitted to the kept segments (expectation maximisation in every task, averaged), where a word's
-  own occurrence is left out of its count.
+* all texts are cut into segments of ``SEGMENT`` words, and every segment takes part in every pass of what follows;
+* the kinds are a mixture of ``KINDS`` id distributions, fitted to the segments by expectation maximisation;
+* in every round Adam runs over each ``BLOCK_IDS`` ids of a task's segments from the same start, and the results are
+  averaged by their number of ids (grouped by pieces of the parameters, so no task holds more than one piece of all tasks'
+  results);
+* the mixture's share is fitted to the segments (expectation maximisation over each ``BLOCK_IDS`` ids, averaged), where a
+  word's own occurrence is left out of its count.
 
 Frequent words are sent to every task.  A word of b bytes is frequent if it makes up ``(32 + b) / FREQUENT_BYTES`` of all
 tokens, so that together they never take more than ``FREQUENT_BYTES``, whatever the input.  All other words of a text are
@@ -40,7 +41,6 @@ base score uses N = V = 0; extra columns are ignored, so their names cannot clas
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -61,8 +61,8 @@ WIDTH = CONTEXT + STRIDE
 #: Width of the model, classes of ids, and ids with rows of their own (the others share one).
 DIMS, CLASSES, SINGLE, SLOTS, KINDS = 8, 64, 40, 1023, 8
 VALUES = DIMS + KINDS
-#: Words of a training segment, one in how many segments is kept, rounds, windows of a gradient step.
-SEGMENT, RATE, ROUNDS, STEP = 48, 64, 2, 256
+#: Words of a training segment, rounds, windows of a gradient step, ids of the segments that a task holds at a time.
+SEGMENT, ROUNDS, STEP, BLOCK_IDS = 48, 2, 256, 1 << 20
 #: Passes that fit the kinds, and the weight of the kind in the loss.
 KIND_ROUNDS, KIND_LOSS = 10, 0.3
 FREQUENT_BYTES = 1 << 26
@@ -155,18 +155,15 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, held out) to (word, times in training rows, times in all rows), and kept segments with no counts."""
+    """(text, held out) to (word, times in training rows, times in all rows)."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("n", pa.int64())])
     held: dict[bytes, tuple[int, int]] = {}
-    segments: list[bytes] = []
 
     def flush() -> pa.RecordBatch:
         c, n = zip(*held.values(), strict=True)
-        words = pa.array([*held, *segments], pa.binary())
-        none = np.full(len(segments), -1)
+        words = pa.array(list(held), pa.binary())
         held.clear()
-        segments.clear()
-        return pa.RecordBatch.from_arrays([words, pa.array(np.r_[c, none]), pa.array(np.r_[n, none])], schema=schema)
+        return pa.RecordBatch.from_arrays([words, pa.array(c, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     for batch in sliced(batches, rows=4000):
         if not batch.num_rows:
@@ -180,28 +177,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b:
                 x, y = held.get(w, none)
                 held[w] = x + a, y + b
-        # every text is cut into segments, of which a hash of the text's start and the segment's number keeps some
-        start = np.cumsum(sizes) - sizes
-        many = -(-sizes // SEGMENT)
-        which, seeds = np.repeat(np.arange(len(sizes)), many), np.array([zlib.crc32(x[:64]) for x in utf8(batch.column(0))], np.uint64)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-        kept = (k.astype(np.uint64) * np.uint64(2654435761) + seeds[which] * np.uint64(40503)) % np.uint64(1 << 32) < (1 << 32) // RATE
-        for i, at in zip(which[kept & train[which]].tolist(), k[kept & train[which]].tolist(), strict=True):
-            own = number[start[i] + at * SEGMENT : start[i] + min((at + 1) * SEGMENT, sizes[i])]
-            # a leading feed marks a text's start, an empty last word its end
-            segments.append((b"" if at else b"\n ") + b" ".join(distinct[w] for w in own.tolist()))
         if len(held) > HELD:
             yield flush()
     if held:
         yield flush()
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Written tables (word, c, n) of all words, and (segment) of the kept training segments."""
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+    """Written table (word, c, n) of all words: times in training rows and in all rows."""
     texts = docs.select(F.col(text_col).alias("t"), held_out(F.col(id_col), folds, fold).alias("h"))
-    raw = materialise(texts.mapInArrow(_counted, "word binary, c long, n long"), "counted")
-    counts = raw.where("n >= 0").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    return materialise(counts, "words"), raw.where("n < 0").select(F.col("word").alias("segment"))
+    counted = texts.mapInArrow(_counted, "word binary, c long, n long")
+    return materialise(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
 
 
 def _pairs(path: str):
@@ -450,10 +436,12 @@ def with_kinds(m: Model, kinds: np.ndarray, weight: np.ndarray) -> Model:
     return Model(m.path, m.slot, m.group, m.opening, m.inside, **changed).bounded()
 
 
-def _scatter(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    width = values.shape[-1]
-    flat = index.reshape(-1, 1) * width + np.arange(width)
-    return np.bincount(flat.ravel(), values.ravel(), rows * width).reshape(rows, width).astype(np.float32)
+def _scatter(index: np.ndarray, values: list[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+    """Sums of each array's last axis by the index, which has the other axes."""
+    at = index.ravel().astype(np.int64)
+    for x in values:
+        columns = np.ascontiguousarray(x.reshape(len(at), -1).T)
+        yield np.array([np.bincount(at, c, rows) for c in columns], np.float32).T
 
 
 def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -463,26 +451,34 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.
     now = x[:, CONTEXT:]
     q, k, v = m.q[now], m.k[x], m.v[x]
     a = np.exp(np.matmul(q, k.transpose(0, 2, 1)) + m.bias())
-    a /= a.sum(axis=2, keepdims=True)
+    a /= np.matmul(a, np.ones((WIDTH, 1), np.float32))
     state = (np.matmul(a, v) + m.h[now]).reshape(-1, VALUES)
-    used = use.ravel() / max(use.sum(), 1)
+    used = (use.ravel() / max(use.sum(), 1)).astype(np.float32)
     at = np.arange(used.size)
     loss, outs = 0.0, []
     for out, bias, target, scale in ((m.u, m.b, m.group[y].ravel(), 1.0), (m.uk, m.bk, np.repeat(kind, STRIDE), KIND_LOSS)):
-        p = _softmax(state @ out + bias)
-        loss -= scale * float((np.log(p[at, target] + 1e-30) * used).sum())
-        p[at, target] -= 1
-        outs.append(p * (scale * used).astype(np.float32)[:, None])
+        p = out.T @ state.T  # classes by places, as numpy adds and compares long rows faster
+        p += bias[:, None]
+        if out is m.uk:  # the others are bounded
+            p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p *= 1 / p.sum(axis=0)
+        own = p[target, at]
+        loss -= scale * float((np.log(own + 1e-30) * used).sum())
+        p[target, at] = own - 1
+        p *= np.float32(scale) * used
+        outs.append(p)
     p, pk = outs
-    dstate = (p @ m.u.T + pk @ m.uk.T).reshape(-1, STRIDE, VALUES)
+    dstate = (m.u @ p + m.uk @ pk).T.reshape(-1, STRIDE, VALUES)
     da = np.matmul(dstate, v.transpose(0, 2, 1))
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+    ds = a * (da - np.matmul(a * da, np.ones((WIDTH, 1), np.float32)))
     distance = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(WIDTH)[None, :]
     rows = len(m.group)
+    h, dq = _scatter(now, [dstate, np.matmul(ds, k)], rows)
+    dk, dv = _scatter(x, [np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dstate)], rows)
     return loss, {
-        "u": state.T @ p, "b": p.sum(axis=0), "uk": state.T @ pk, "bk": pk.sum(axis=0),
-        "h": _scatter(now, dstate, rows), "q": _scatter(now, np.matmul(ds, k), rows),
-        "k": _scatter(x, np.matmul(ds.transpose(0, 2, 1), q), rows), "v": _scatter(x, np.matmul(a.transpose(0, 2, 1), dstate), rows),
+        "u": (p @ state).T, "b": p.sum(axis=1), "uk": (pk @ state).T, "bk": pk.sum(axis=1),
+        "h": h, "q": dq, "k": dk, "v": dv,
         "r": np.bincount(np.maximum(distance, 0).ravel(), (ds.sum(axis=0) * (distance >= 0)).ravel(), WIDTH).astype(np.float32),
     }
 
@@ -490,7 +486,7 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.
 def adam(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.ndarray, rate: float, seed: int) -> Model:
     """One pass over the windows in steps of ``STEP``, with a rate that falls to a tenth."""
     order = np.random.default_rng(seed).permutation(len(x))
-    names = m.NAMES
+    names, m = m.NAMES, m.with_parameters(m.parameters())  # a copy: other blocks start from the given one
     first = {n: np.zeros_like(getattr(m, n)) for n in names}
     second = {n: np.zeros_like(getattr(m, n)) for n in names}
     steps = -(-len(x) // STEP)
@@ -522,31 +518,17 @@ def spelled(m: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows, n
 
 
-def _spelled_segments(model):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments with the rows of their ids (32 bits each) and how many each word has."""
-        m = model.value
-        for batch in sliced(batches, rows=5000):
-            segments = batch.column(0).to_pylist()
-            words = [s.split() + [END] * (s.endswith(b" ") or not s) for s in segments]  # an empty last word is the end
-            flat = [w for own in words for w in own]
-            distinct = dict(zip(dict.fromkeys(flat), range(len(flat))))
-            r, n = spelled(m, list(distinct))
-            which = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
-            r, n = r[_spans(np.cumsum(n) - n, n, which)].astype("<i4"), n[which].astype("<i4")
-            ends = np.cumsum([len(own) for own in words])
-            at = np.r_[0, np.cumsum(n)[ends - 1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
-                                              pa.array([n[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends)], pa.binary())],
-                                             names=["segment", "rows", "sizes"])
-
-    return rows
+def _packed(values: np.ndarray, per: np.ndarray) -> pa.Array:
+    """``per[i]`` of the values, in turn, as the i-th binary value."""
+    ends = np.r_[0, np.cumsum(per) * values.itemsize].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of all segments in turn, how many each segment has, and how many each word has."""
-    rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
-    return rows, np.array([len(x) // 4 for x in batch.column(1).to_pylist()]), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4")
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binary values in turn, and how many each has."""
+    column, size = column.cast(pa.binary()), np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // size, ends[0]), np.diff(ends) // size
 
 
 def _spans(first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -556,6 +538,76 @@ def _spans(first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray
     return np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Reader:
+    """What a process needs to read texts as rows of ids: the frequent words, spelled once."""
+
+    _last: tuple | None = None
+
+    @classmethod
+    def of(cls, payload: tuple) -> Reader:
+        """The reader of a broadcast value, made once a process, which holds the last one only."""
+        if Reader._last is None or Reader._last[0] is not payload:
+            Reader._last = None
+            Reader._last = payload, cls(*payload)
+        return Reader._last[1]
+
+    def __init__(self, m: Model, words: list[bytes]):
+        self.m, self.index = m, dict(zip(words, range(len(words)), strict=True))
+        self.rows, self.sizes = spelled(m, words)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Words of each text; number of each word in turn (its place in ``index``, from the index's size on in the last list),
+        and how many ids it has; rows of all ids in turn; the words outside the index."""
+        number, distinct, sizes = coded_words(texts)
+        of = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero((of < 0) & (np.bincount(number, minlength=len(distinct)) > 0))
+        rare = [distinct[i] for i in new.tolist()]
+        of[new] = len(self.index) + np.arange(len(new))
+        code = of[number]
+        more, more_sizes = spelled(self.m, rare)
+        size = np.r_[self.sizes, more_sizes]
+        return sizes, code, size[code], np.r_[self.rows, more][_spans(np.cumsum(size) - size, size, code)], rare
+
+
+SEGMENT_COLUMNS = "opens boolean, rows binary, sizes binary, codes binary"
+
+
+def _segments(payload):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts to segments: whether one opens its text, the rows of its ids (16 bits each), how many each word has and the
+        word's place among the frequent ones or -1 (32 bits each)."""
+        reader = Reader.of(payload.value)
+        for batch in sliced(batches, rows=SCORE_ROWS, size=SCORE_BYTES):
+            if not batch.num_rows:
+                continue
+            words, code, per_word, ids, _ = reader.read(batch.column(0))
+            many = -(-words // SEGMENT)
+            last = np.cumsum(many) - 1
+            per = np.full(many.sum(), SEGMENT)
+            per[last] = words - (many - 1) * SEGMENT
+            opens = np.zeros(len(per), bool)
+            opens[last - many + 1] = True
+            per_segment = np.add.reduceat(per_word, np.cumsum(per) - per)
+            code = np.where(code < len(reader.index), code, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(opens), _packed(ids.astype("<u2"), per_segment), _packed(per_word.astype("<i4"), per),
+                                              _packed(code.astype("<i4"), per)], names=["opens", "rows", "sizes", "codes"])
+
+    return rows
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BLOCK_IDS`` ids, of which ``column`` holds the rows."""
+    held, size = [], 0
+    for batch in sliced(batches, rows=2000):
+        held.append(batch)
+        size += batch.column(column).nbytes // 2
+        if size >= BLOCK_IDS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 def _windows(m: Model, rows: np.ndarray, per: np.ndarray, opens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of all segments: inputs, targets, which targets count, kind.  ``opens``: whether a segment opens its text."""
     first = np.cumsum(per) - per
@@ -576,11 +628,13 @@ def _kind_sums(kinds: np.ndarray, weight: np.ndarray):
         """Expected counts of (kind, row) and, as row -1, of segments."""
         total, own = np.zeros((len(kinds), KINDS)), np.zeros(KINDS)
         for batch in sliced(batches, rows=2000):
-            r, per, _ = _unpacked(batch)
+            if not batch.num_rows:
+                continue
+            r, per = _unpacked(batch.column(0), "<u2")
+            r = r.astype(np.int64)
             belongs = _softmax(np.add.reduceat(kinds[r], np.cumsum(per) - per, axis=0) + np.log(weight))
-            each = np.repeat(belongs, per, axis=0)
             for j in range(KINDS):
-                total[:, j] += np.bincount(r, each[:, j], len(kinds))
+                total[:, j] += np.bincount(r, np.repeat(belongs[:, j], per), len(kinds))
             own += belongs.sum(axis=0)
         if own.any():
             row, kind = np.divmod(np.arange(total.size + KINDS), KINDS)
@@ -597,7 +651,7 @@ def fit_kinds(segments: DataFrame, count: np.ndarray, seed: int = 42) -> tuple[n
     kinds = np.log(usual)[:, None] + np.random.default_rng(seed).normal(0, 0.3, (len(count), KINDS))
     weight = np.full(KINDS, 1 / KINDS)
     for _ in range(KIND_ROUNDS):
-        sums = segments.mapInArrow(_kind_sums(kinds, weight), "row long, kind long, n double").groupBy("row", "kind").agg(F.sum("n").alias("n")).toPandas()
+        sums = segments.select("rows").mapInArrow(_kind_sums(kinds, weight), "row long, kind long, n double").groupBy("row", "kind").agg(F.sum("n").alias("n")).toPandas()
         if not len(sums):
             break
         table = np.zeros((len(count) + 1, KINDS))
@@ -610,14 +664,20 @@ def fit_kinds(segments: DataFrame, count: np.ndarray, seed: int = 42) -> tuple[n
 
 def _trained(model, kinds: np.ndarray, rate: float, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(*_unpacked(b)[:2], np.array([s.startswith(b"\n") for s in b.column(0).to_pylist()], bool)) for b in batches if b.num_rows]
-        if not held:
+        total, weight = 0.0, 0.0
+        for batch in _blocks(batches, 1):
+            r, per = _unpacked(batch.column(1), "<u2")
+            windows = _windows(model.value, r, per, batch.column(0).to_numpy(zero_copy_only=False), kinds)
+            own = float(windows[2].sum(dtype=np.float64))
+            if own:
+                total = total + own * adam(model.value, *windows, rate, seed).parameters().astype(np.float64)
+                weight += own
+        if not weight:
             return
-        windows = _windows(model.value, *map(np.concatenate, zip(*held, strict=True)), kinds)
-        flat = adam(model.value, *windows, rate, seed).parameters().astype(np.float64)
+        flat = total / weight
         flat = np.pad(flat, (0, -len(flat) % PIECE)).reshape(-1, PIECE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), float(windows[2].sum()))), pa.array(list(flat), pa.list_(pa.float64()))],
+            [pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), weight)), pa.array(list(flat), pa.list_(pa.float64()))],
             names=["piece", "weight", "x"])
 
     return rows
@@ -676,23 +736,24 @@ def word_terms(m: Model, rows: np.ndarray, per_text: np.ndarray, per_word: np.nd
 def _mixture(model, lexicon, rounds: int = 30):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The share of word frequencies that suits this task's segments, times their words, and their words."""
-        m, lex = model.value, lexicon.value
-        index = dict(zip(lex.words, range(len(lex.words)), strict=True))
-        kept = []
-        for batch in sliced(batches, rows=2000):
-            r, per, per_word = _unpacked(batch)
-            words = [w for s in batch.column(0).to_pylist() for w in s.split() + [END] * (s.endswith(b" ") or not s)]
-            whole, kinds = word_terms(m, r, per, per_word)
-            code = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-            c = np.where(code >= 0, lex.c[code] - 1, 0)  # there are segments, so there are words
-            kept.append((np.exp(whole), c / max(lex.c.sum(), 1) * (lex.lift[code] * kinds).sum(axis=1)))
-        if not kept:
-            return
-        a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
-        share = 0.5
-        for _ in range(rounds):
-            share = float(np.mean(share * b / (share * b + (1 - share) * a + 1e-300)))
-        yield pa.RecordBatch.from_arrays([pa.array([share * len(a)]), pa.array([float(len(a))])], names=["share", "n"])
+        m, (c, lift) = model.value, lexicon.value
+        fitted = words = 0.0
+        for block in _blocks(batches, 0):
+            a, b = [], []
+            for batch in sliced([block], rows=2000):
+                (r, per), (per_word, _), (code, _) = (_unpacked(batch.column(i), kind) for i, kind in enumerate(("<u2", "<i4", "<i4")))
+                whole, kinds = word_terms(m, r.astype(np.int32), per, per_word.astype(np.int64))
+                left = np.where(code >= 0, c[code] - 1, 0)  # there are segments, so there are words
+                a.append(np.exp(whole))
+                b.append(left / max(c.sum(), 1) * np.einsum("ij,ij->i", lift[code], kinds))
+            a, b = np.concatenate(a), np.concatenate(b)
+            share = 0.5
+            for _ in range(rounds):
+                share = float(np.mean(share * b / (share * b + (1 - share) * a + 1e-300)))
+            fitted += share * len(a)
+            words += len(a)
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([fitted]), pa.array([words])], names=["share", "n"])
 
     return rows
 
@@ -709,7 +770,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
           rounds: int = ROUNDS, rate: float = 0.02) -> LanguageModel:
     """Learn from the rows outside the held-out fold.  ``tokenizer`` names a file of byte-pair ranks that every executor can read."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    counts, segments = word_counts(docs, id_col, text_col, folds, fold)
+    counts = word_counts(docs, id_col, text_col, folds, fold)
     sums = counts.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("words"), F.sum("n").alias("n")).first()
     tokens, vocabulary, everything = sums.tokens or 0, sums.words, sums.n or 0
     frequent = counts.where((F.col("n").cast("double") * FREQUENT_BYTES >= F.lit(float(everything)) * (F.octet_length("word") + 32)) | (F.col("word") == F.lit(END)))
@@ -738,13 +799,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     m = initial_model(path, ids, opens, table[:-1, :-1], table[-1, :-1], table[:-1, -1], ends)
 
     sc = spark.sparkContext
-    segments = materialise(segments.mapInArrow(_spelled_segments(sc.broadcast(m)), "segment binary, rows binary, sizes binary"), "segments")
+    texts = docs.where(~held_out(F.col(id_col), folds, fold)).select(F.col(text_col).alias("t"))
+    segments = materialise(texts.mapInArrow(_segments(sc.broadcast((m, lexicon.words))), SEGMENT_COLUMNS), "segments")
     kinds, weight = fit_kinds(segments, np.bincount(np.arange(own + 4), np.r_[table[:-1, :-1].sum(axis=0) + table[-1, :-1], ends, 0.0]))
     lexicon.learn(m, kinds, weight)
     m = with_kinds(m, kinds, weight)
     for k in range(rounds):
-        m = _average(segments.mapInArrow(_trained(sc.broadcast(m), kinds, rate / (1 + k), k), "piece long, weight double, x array<double>"), m)
-    fitted = segments.mapInArrow(_mixture(sc.broadcast(m), sc.broadcast(lexicon)), "share double, n double")
+        m = _average(segments.select("opens", "rows").mapInArrow(_trained(sc.broadcast(m), kinds, rate / (1 + k), k), "piece long, weight double, x array<double>"), m)
+    fitted = segments.select("rows", "sizes", "codes").mapInArrow(_mixture(sc.broadcast(m), sc.broadcast((lexicon.c, lexicon.lift))), "share double, n double")
     fitted = fitted.agg(F.sum("share").alias("share"), F.sum("n").alias("n")).first()
     share = min(fitted.share / fitted.n, 0.99) if fitted.n else 0.0  # something is left for words never seen
     return LanguageModel(m, lexicon, share, counts)
@@ -753,22 +815,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 # ---------------------------------------------------------------- scoring
 
 
-class Scorer:
+class Scorer(Reader):
     """What a process needs to score texts."""
 
-    _last: tuple | None = None
-
-    @classmethod
-    def of(cls, payload: tuple) -> Scorer:
-        """The scorer of a broadcast value, made once a process."""
-        if cls._last is None or cls._last[0] is not payload:
-            cls._last = payload, cls(*payload)
-        return cls._last[1]
-
     def __init__(self, m: Model, lex: Lexicon, share: float):
-        self.m = m
-        self.index = dict(zip(lex.words, range(len(lex.words)), strict=True))
-        self.rows, self.sizes = spelled(m, lex.words)
+        super().__init__(m, lex.words)
         self.frequency = (share * lex.c[:, None] / max(lex.c.sum(), 1) * lex.lift).astype(np.float32)
         self.log_rest = np.log1p(-share)
         self.log_c, self.known = np.log10(lex.c + 1.0), lex.c > 0
@@ -776,18 +827,8 @@ class Scorer:
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Per text: words, known frequent words, their sum of log10(c + 1), score; the other words; and per text and other
         word: text, word, times."""
-        number, distinct, sizes = coded_words(texts)
+        sizes, code, per_word, rows, rare = self.read(texts)
         many = len(self.index)
-        of = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
-        seen = np.bincount(number, minlength=len(distinct)) > 0
-        new = np.flatnonzero((of < 0) & seen)
-        rare = [distinct[i] for i in new.tolist()]
-        of[new] = many + np.arange(len(new))
-        code = of[number]
-        more, more_sizes = spelled(self.m, rare)
-        size = np.r_[self.sizes, more_sizes]
-        per_word = size[code]
-        rows = np.r_[self.rows, more][_spans(np.cumsum(size) - size, size, code)]
         first = np.cumsum(sizes) - sizes
         of_word, kinds = word_terms(self.m, rows, np.add.reduceat(per_word, first), per_word)
         of_word += self.log_rest
