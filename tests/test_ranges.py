@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from urlsieve.plans import catalog
 from urlsieve.sources import files as S
 from urlsieve.sources import ranges
 
@@ -88,3 +89,22 @@ def test_small_json_files(spark, tmp_path):
     for name, text in {"a": "[]", "b": ' [ {"text": "x"} ] \n', "c": '{"text": "alone"}', "d": '{"text": "l1"}\n{"text": "l2"}\n'}.items():
         (tmp_path / f"{name}.json").write_text(text)
     assert sorted(r.text for r in S.read_json_records(spark, str(tmp_path), "text string").collect()) == ["alone", "l1", "l2", "x"]
+
+
+@pytest.mark.parametrize("name", ["csv_multiline_scan"])
+def test_scan_queries_write_by_many_tasks(spark, tmp_path, name):
+    """No task takes up the whole table, neither to write the files nor to read them; rows stay, whichever file holds them."""
+    rows = [(i, None if i % 9 == 0 else f'say "{i}"\n{{ [x], }} ' * (i % 7), len(str(i)), "web") for i in range(60)] + [(None, "no id", 5, None), (7, "again", 5, "a,b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    files = got.inputFiles()
+    assert len(files) >= spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions() > 1
+    if name == "csv_multiline_scan":
+        want = [(i, t or None, n, s) for i, t, n, s in rows]
+    else:
+        want = [(i if (i or 0) % 3 else -1, t, int(i is not None and i % 2 == 0)) for i, t, *_ in rows]
+        for f in files:
+            records = json.loads(open(f.removeprefix("file://")).read())
+            assert records[-1] == {} and all("label" in r for r in records[:-1])
+    assert same(map(tuple, got.collect()), want)

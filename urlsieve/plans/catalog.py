@@ -860,9 +860,9 @@ _NA_SQL = "(" + ", ".join("'" + t + "'" for t in S.NA_TOKENS) + ")"
     f"SELECT doc_id, CASE WHEN text NOT IN {_NA_SQL} THEN text END AS text, n_chars, "
     f"CASE WHEN source NOT IN {_NA_SQL} THEN source END AS source FROM documents"))
 def q_csv_multiline_scan(spark, sf):
-    """Whole documents, with their line breaks and quotes, in one CSV file that many tasks read."""
+    """Whole documents, with their line breaks and quotes, in CSV files written by many tasks, each read by many tasks."""
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", "n_chars", "source")
-    path = S.write_results(docs.coalesce(1), fresh_path(spark, "csv_multiline_scan"), "documents")
+    path = S.write_results(docs, fresh_path(spark, "csv_multiline_scan"), "documents")
     return S.read_csv(spark, path, "doc_id bigint, text string, n_chars bigint, source string")
 
 
