@@ -91,7 +91,7 @@ def test_small_json_files(spark, tmp_path):
     assert sorted(r.text for r in S.read_json_records(spark, str(tmp_path), "text string").collect()) == ["alone", "l1", "l2", "x"]
 
 
-@pytest.mark.parametrize("name", ["csv_multiline_scan"])
+@pytest.mark.parametrize("name", ["csv_multiline_scan", "json_array_scan"])
 def test_scan_queries_write_by_many_tasks(spark, tmp_path, name):
     """No task takes up the whole table, neither to write the files nor to read them; rows stay, whichever file holds them."""
     rows = [(i, None if i % 9 == 0 else f'say "{i}"\n{{ [x], }} ' * (i % 7), len(str(i)), "web") for i in range(60)] + [(None, "no id", 5, None), (7, "again", 5, "a,b")]
@@ -108,3 +108,8 @@ def test_scan_queries_write_by_many_tasks(spark, tmp_path, name):
             records = json.loads(open(f.removeprefix("file://")).read())
             assert records[-1] == {} and all("label" in r for r in records[:-1])
     assert same(map(tuple, got.collect()), want)
+
+
+def test_json_arrays_of_an_empty_table(spark, tmp_path):
+    path = S.write_json_arrays(spark.createDataFrame([], "text string"), str(tmp_path / "a"))
+    assert S.read_json_records(spark, path, "text string").where("text is not null").count() == 0

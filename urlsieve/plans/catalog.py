@@ -870,15 +870,11 @@ def q_csv_multiline_scan(spark, sf):
     "SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id ELSE -1 END AS row_id, text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label "
     "FROM documents"))
 def q_json_array_scan(spark, sf):
-    """One JSON array of records, a third of them without an id, in one file that many tasks read."""
+    """JSON arrays of records, a third of them without an id, in files written by many tasks, each read by many tasks."""
     d = fx.table(spark, sf, "documents")
-    record = F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("row_id"), "text",
-                                F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label")))
-    rows = d.select(F.lit(1).alias("part"), "doc_id", record.alias("value"))
-    edge = spark.createDataFrame([(0, None, "["), (2, None, "{}]")], "part int, doc_id bigint, value string")
-    lines = rows.withColumn("value", F.concat("value", F.lit(","))).unionByName(edge).coalesce(1).sortWithinPartitions("part", "doc_id")
-    path = fresh_path(spark, "json_array_scan")
-    lines.select("value").write.text(path)
+    records = d.select(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("row_id"), "text",
+                       F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label"))
+    path = S.write_json_arrays(records, fresh_path(spark, "json_array_scan"))
     read = S.read_json_records(spark, path, "row_id bigint, text string, label int").where("label is not null")
     return read.withColumn("row_id", F.coalesce("row_id", F.lit(-1)))      # -1: the record has none
 

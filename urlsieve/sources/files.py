@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from . import ranges
 
 # Texts pandas reads as missing by default (S1 parity).
@@ -96,6 +100,22 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
     return found.select(F.from_json(record, st).alias("r")).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in st.fields])
 
 
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one array: records, each with a comma, between the brackets; an empty object ends it."""
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(batch.column(0), ",", "")], names=["value"])
+    yield pa.RecordBatch.from_pydict({"value": ["{}]"]})
+
+
+def write_json_arrays(df: DataFrame, path: str) -> str:
+    """S2's input: a folder of files, one per partition, each a JSON array of the partition's records."""
+    ship_package(df.sparkSession)
+    record = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("value"))
+    record.mapInArrow(_array_lines, "value string").write.mode("errorifexists").text(path)
+    return path
+
+
 def stamped_name(prefix: str, now: _dt.datetime | None = None) -> str:
     return f"{prefix}_{(now or _dt.datetime.now()).strftime(STAMP_FORMAT)}"
 
