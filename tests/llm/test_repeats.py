@@ -1,8 +1,10 @@
 """Byte and word repeat removal against brute force, with and without crowded grams."""
 
 import random
+import tracemalloc
 
 import brute
+import pyarrow as pa
 import pytest
 
 from urlsieve.llm import anchors, repeats, substring_dedup, suffix_array_dedup
@@ -110,3 +112,25 @@ def test_lengths_of_the_queries(spark, monkeypatch, resolver):
     assert got == dict(enumerate(brute.byte_digest(texts, 200)))
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.repeated_word_digest(docs, length=35).collect()}
     assert got == dict(enumerate(brute.word_digest(texts, 35)))
+
+
+def test_stretches_are_resolved_a_few_at_a_time():
+    """What a task holds follows neither the batches nor the number of stretches; groups stay whole."""
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"ab ") for _ in range(340)) for _ in range(40)]
+    rows = [(g, 1000 * g + j, 0, texts[r.randrange(40)]) for g in range(2000) for j in range(r.randint(2, 12))]
+    rows += [(2000, 10_000_000 + j, 0, texts[j % 40]) for j in range(5000)]
+    schema = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("lo", pa.int32()), ("data", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+    held = list(repeats._groups([batch]))
+    assert [x for part in held for x in part] == rows
+    assert max(map(len, held[:-1])) <= 1.25 * repeats.TOGETHER and len(held[-1]) >= 5000
+    assert not any(a[-1][0] == b[0][0] for a, b in zip(held, held[1:]))
+
+    some = batch.slice(0, 13_000)
+    resolve = repeats._resolved(repeats.equal_windows(repeats.ByteUnits, 200))
+    tracemalloc.start()
+    found = sum(x.num_rows for x in resolve([some]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 90 << 20

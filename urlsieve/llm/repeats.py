@@ -35,6 +35,8 @@ from urlsieve.llm.common import Batches, materialise, merge_spans, sliced, text_
 
 #: Distinct stretches of one gram up to which one task resolves them together.
 HOT = 2048
+#: Stretches that a task resolves together, apart from those of one gram (a stretch has up to ``length`` windows).
+TOGETHER = 4000
 #: Neighbouring windows that are ranked together first where a gram has more.
 BLOCK = 8
 
@@ -125,10 +127,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], names=batch.schema.names)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], many: int = 20_000) -> Iterator[list[tuple]]:
-    """Rows sorted by their first column, in lists that hold whole groups and about ``many`` rows."""
+def _groups(batches: Iterator[pa.RecordBatch], many: int = TOGETHER) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column, in lists that hold whole groups and about ``many`` rows, whatever a batch holds."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in sliced(batches, rows=max(many // 4, 1)):
         held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
         if len(held) >= many:
             at = len(held) - 1
