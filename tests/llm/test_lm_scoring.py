@@ -133,6 +133,47 @@ def test_gradients():
             assert abs((ends[1] - ends[0]) / 2e-2 - flat[i]) < 0.05 * abs(flat[i]) + 1e-3, name
 
 
+def test_steps_that_share_arrays_learn_the_same():
+    """A pass of Adam equals one written out with arrays of its own in every step, also where the last step is shorter."""
+    m, rng = random_model(), np.random.default_rng(3)
+    n, rate = 2 * L.STEP + 7, 0.05
+    x = rng.integers(0, len(m.group), (n, L.WIDTH))
+    y, use, kind = rng.integers(0, len(m.group) - 1, (n, L.STRIDE)), (rng.random((n, L.STRIDE)) < 0.8).astype(np.float32), rng.integers(0, L.KINDS, n)
+    before, room = m.parameters(), L.Room()
+    for size in (9, 4, 9):
+        alone, shared = (L.gradients(m, x[:size], y[:size], use[:size], kind[:size], r) for r in (None, room))
+        assert alone[0] == shared[0] and all((alone[1][k] == shared[1][k]).all() for k in m.NAMES)
+    got = L.adam(m, x, y, use, kind, rate, 5).parameters()
+    assert (m.parameters() == before).all()  # other blocks start from it
+    first, second, order, want = {k: 0.0 for k in m.NAMES}, {k: 0.0 for k in m.NAMES}, np.random.default_rng(5).permutation(n), m
+    for t in (1, 2, 3):
+        some = order[(t - 1) * L.STEP : t * L.STEP]
+        _, grads = L.gradients(want, x[some], y[some], use[some], kind[some])
+        moved = {}
+        for k in m.NAMES:
+            first[k], second[k] = 0.9 * first[k] + 0.1 * grads[k], 0.99 * second[k] + 0.01 * grads[k] ** 2
+            change = rate * (1 - 0.9 * (t - 1) / 3) * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-6)
+            moved[k] = (getattr(want, k) - change).astype(np.float32)
+        want = L.Model(**{**want.__dict__, **moved}).bounded()
+    assert np.abs(got - want.parameters()).max() < 1e-3 < np.abs(got - before).max()
+
+
+def test_expected_counts_of_kinds():
+    """Sums over segments that are counted some at a time equal those over each segment's rows in turn."""
+    rng, width = np.random.default_rng(4), 12
+    kinds, weight = np.log(rng.dirichlet(np.ones(width), L.KINDS).T), rng.dirichlet(np.ones(L.KINDS))
+    segments = [rng.integers(0, width, rng.integers(1, 130)).astype("<u2") for _ in range(2 * L.COUNTED + 3)]
+    counts = np.concatenate(list(L._row_counts(np.concatenate(segments), np.array(list(map(len, segments))), width)))
+    assert (counts == [np.bincount(s, minlength=width) for s in segments]).all()
+    want, own = np.zeros((width, L.KINDS)), np.zeros(L.KINDS)
+    for s in segments:
+        p = np.exp(kinds[s].sum(axis=0) + np.log(weight))
+        np.add.at(want, s, p / p.sum())
+        own += p / p.sum()
+    (got,) = L._kind_sums(kinds, weight)([pa.RecordBatch.from_pydict({"rows": pa.array([s.tobytes() for s in segments], pa.binary())})])
+    assert np.allclose(got.column(2).to_numpy(), np.r_[want.ravel(), own])
+
+
 def test_words_are_spelled_alone_as_together():
     s = L.Speller.of(L.default_tokenizer())
     some = [w for t in EDGE for w in tokens(t)[:-1]] + [b"'s", b"don't", " x ".encode(), " ".encode(), b"a" * 64, b"1234"]

@@ -68,6 +68,8 @@ KIND_ROUNDS, KIND_LOSS = 10, 0.3
 FREQUENT_BYTES = 1 << 26
 #: Words that a counting task holds at a time, windows scored at a time, characters of a word encoded at a time.
 HELD, CHUNK, PART = 800_000, 512, 64
+#: Segments whose rows are counted at a time.
+COUNTED = 250
 #: Rows and bytes of text scored at a time.
 SCORE_ROWS, SCORE_BYTES = 1000, 2 << 20
 #: Pseudo-counts of the class given the id before, and of the id in its class.
@@ -273,14 +275,24 @@ class Model:
         """The same with rows short enough that no exponential overflows: |q k| <= 36, |r| <= 8, |logit| <= 64
         (kinds subtract the largest)."""
 
-        def short(x: np.ndarray, most: float) -> np.ndarray:
-            return x * np.minimum(1, most / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))
-
-        u, uk = short(self.u.T, 4.0).T, short(self.uk.T, 16.0).T
-        out = Model(self.path, self.slot, self.group, self.opening, self.inside, short(self.q, 6.0), short(self.k, 6.0), short(self.v, 6.0),
-                    short(self.h, 6.0), u, np.clip(self.b, -16, 16), np.clip(self.r, -8, 8), uk, np.clip(self.bk, -16, 16))
+        out = Model(self.path, self.slot, self.group, self.opening, self.inside, *(np.array(getattr(self, n)) for n in self.NAMES))
+        out.bound()
         return out.with_parameters(out.parameters())
 
+    def bound(self) -> None:
+        """The same in place."""
+        for n, most in (("q", 6.0), ("k", 6.0), ("v", 6.0), ("h", 6.0), ("u", 4.0), ("uk", 16.0)):
+            rows = getattr(self, n) if n in "qkvh" else getattr(self, n).T
+            rows *= np.minimum(1, most / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9))
+        for n, most in (("b", 16), ("r", 8), ("bk", 16)):
+            np.clip(getattr(self, n), -most, most, out=getattr(self, n))
+
+    def over(self, flat: np.ndarray) -> Model:
+        """A model whose parameters are views of ``flat``, which is as ``parameters`` gives it."""
+        ends = np.cumsum([getattr(self, n).size for n in self.NAMES])
+        parts = zip(self.NAMES, np.split(flat, ends[:-1]), strict=True)
+        return Model(self.path, self.slot, self.group, self.opening, self.inside, **{n: x.reshape(getattr(self, n).shape) for n, x in parts})
+
     def bias(self) -> np.ndarray:
         distance = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(WIDTH)[None, :]
         return np.where(distance >= 0, self.r[np.maximum(distance, 0)], np.float32(-1e9)).astype(np.float32)
@@ -436,46 +448,78 @@ def with_kinds(m: Model, kinds: np.ndarray, weight: np.ndarray) -> Model:
     return Model(m.path, m.slot, m.group, m.opening, m.inside, **changed).bounded()
 
 
-def _scatter(index: np.ndarray, values: list[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+class Room:
+    """Arrays that one step leaves to the next, by name: a step would take and return some 10 MB of memory otherwise."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        if name not in self.held or self.held[name].shape != shape:
+            self.held[name] = np.empty(shape, kind)
+        return self.held[name]
+
+
+def _scatter(index: np.ndarray, values: list[np.ndarray], rows: int, room: Room) -> Iterator[np.ndarray]:
     """Sums of each array's last axis by the index, which has the other axes."""
-    at = index.ravel().astype(np.int64)
+    at = index.ravel()
     for x in values:
-        columns = np.ascontiguousarray(x.reshape(len(at), -1).T)
+        flat = x.reshape(len(at), -1)
+        columns = room(f"columns {flat.shape}", *flat.shape[::-1], kind=np.float64)
+        np.copyto(columns, flat.T)
         yield np.array([np.bincount(at, c, rows) for c in columns], np.float32).T
 
 
-def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the targets in use (negative log probability of the class and, weighted, of the kind) and its gradients.
 
     ``x`` is (windows, WIDTH), ``y`` and ``use`` (windows, STRIDE), ``kind`` (windows)."""
-    now = x[:, CONTEXT:]
-    q, k, v = m.q[now], m.k[x], m.v[x]
-    a = np.exp(np.matmul(q, k.transpose(0, 2, 1)) + m.bias())
-    a /= np.matmul(a, np.ones((WIDTH, 1), np.float32))
-    state = (np.matmul(a, v) + m.h[now]).reshape(-1, VALUES)
+    room, n = room or Room(), len(x)
+    x = x.astype(np.intp)
+    now = np.ascontiguousarray(x[:, CONTEXT:])
+    ones = np.ones((WIDTH, 1), np.float32)
+
+    def rows_of(name: str, at: np.ndarray) -> np.ndarray:
+        table = getattr(m, name)
+        return table.take(at, axis=0, out=room(name, *at.shape, table.shape[1]), mode="clip")  # all are in range; "raise" copies
+
+    q, k, v = rows_of("q", now), rows_of("k", x), rows_of("v", x)
+    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, STRIDE, WIDTH))
+    a += m.bias()
+    np.exp(a, out=a)
+    a /= np.matmul(a, ones)
+    state = np.matmul(a, v, out=room("state", n, STRIDE, VALUES))
+    state += rows_of("h", now)
+    state = state.reshape(-1, VALUES)
     used = (use.ravel() / max(use.sum(), 1)).astype(np.float32)
     at = np.arange(used.size)
     loss, outs = 0.0, []
-    for out, bias, target, scale in ((m.u, m.b, m.group[y].ravel(), 1.0), (m.uk, m.bk, np.repeat(kind, STRIDE), KIND_LOSS)):
-        p = out.T @ state.T  # classes by places, as numpy adds and compares long rows faster
+    for out, bias, target, scale in ((m.u, m.b, m.group.take(y).ravel(), 1.0), (m.uk, m.bk, np.repeat(kind, STRIDE), KIND_LOSS)):
+        # classes by places, as numpy adds and compares long rows faster
+        p = np.matmul(out.T, state.T, out=room("p" if out is m.u else "pk", len(bias), used.size))
         p += bias[:, None]
         if out is m.uk:  # the others are bounded
             p -= p.max(axis=0)
         np.exp(p, out=p)
         p *= 1 / p.sum(axis=0)
-        own = p[target, at]
+        place = target * used.size + at
+        own = p.ravel().take(place)
         loss -= scale * float((np.log(own + 1e-30) * used).sum())
-        p[target, at] = own - 1
+        p.ravel()[place] = own - 1
         p *= np.float32(scale) * used
         outs.append(p)
     p, pk = outs
-    dstate = (m.u @ p + m.uk @ pk).T.reshape(-1, STRIDE, VALUES)
-    da = np.matmul(dstate, v.transpose(0, 2, 1))
-    ds = a * (da - np.matmul(a * da, np.ones((WIDTH, 1), np.float32)))
+    dstate = np.matmul(m.u, p, out=room("dstate", VALUES, used.size))
+    dstate += m.uk @ pk
+    dstate = dstate.T.reshape(-1, STRIDE, VALUES)
+    ds = np.matmul(dstate, v.transpose(0, 2, 1), out=room("ds", n, STRIDE, WIDTH))
+    ds -= np.matmul(np.multiply(a, ds, out=room("ads", n, STRIDE, WIDTH)), ones)
+    ds *= a
     distance = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(WIDTH)[None, :]
     rows = len(m.group)
-    h, dq = _scatter(now, [dstate, np.matmul(ds, k)], rows)
-    dk, dv = _scatter(x, [np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dstate)], rows)
+    h, dq = _scatter(now, [dstate, np.matmul(ds, k, out=room("dq", n, STRIDE, DIMS))], rows, room)
+    dk, dv = _scatter(x, [np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", n, WIDTH, DIMS)),
+                          np.matmul(a.transpose(0, 2, 1), dstate, out=room("dv", n, WIDTH, VALUES))], rows, room)
     return loss, {
         "u": (p @ state).T, "b": p.sum(axis=1), "uk": (pk @ state).T, "bk": pk.sum(axis=1),
         "h": h, "q": dq, "k": dk, "v": dv,
@@ -486,21 +530,30 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.
 def adam(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, kind: np.ndarray, rate: float, seed: int) -> Model:
     """One pass over the windows in steps of ``STEP``, with a rate that falls to a tenth."""
     order = np.random.default_rng(seed).permutation(len(x))
-    names, m = m.NAMES, m.with_parameters(m.parameters())  # a copy: other blocks start from the given one
-    first = {n: np.zeros_like(getattr(m, n)) for n in names}
-    second = {n: np.zeros_like(getattr(m, n)) for n in names}
-    steps = -(-len(x) // STEP)
+    flat = m.parameters()
+    m = m.over(flat)  # a copy: other blocks start from the given one
+    first, second, g, step, root = (np.zeros_like(flat) for _ in range(5))
+    room, steps = Room(), -(-len(x) // STEP)
     for t in range(1, steps + 1):
         some = order[(t - 1) * STEP : t * STEP]
-        _, grads = gradients(m, x[some], y[some], use[some], kind[some])
+        _, grads = gradients(m, x[some], y[some], use[some], kind[some], room)
+        np.concatenate([grads[n].ravel() for n in m.NAMES], out=g)
         now = rate * (1 - 0.9 * (t - 1) / steps)
-        for n in names:
-            g = grads[n]
-            first[n] += 0.1 * (g - first[n])
-            second[n] += 0.01 * (g * g - second[n])
-            step = now * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + 1e-6)
-            setattr(m, n, (getattr(m, n) - step).astype(np.float32))
-        m = m.bounded()
+        np.subtract(g, first, out=step)
+        step *= 0.1
+        first += step
+        g *= g
+        g -= second
+        g *= 0.01
+        second += g
+        np.divide(first, 1 - 0.9**t, out=step)
+        step *= now
+        np.divide(second, 1 - 0.99**t, out=root)
+        np.sqrt(root, out=root)
+        root += 1e-6
+        step /= root
+        flat -= step
+        m.bound()
     return m
 
 
@@ -608,19 +661,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         yield pa.concat_batches(held)
 
 
+def _row_counts(rows: np.ndarray, per: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """How often each segment has each row, some segments at a time (a few MB, so that products with it are fast)."""
+    ends = np.r_[0, np.cumsum(per)]
+    for low in range(0, len(per), COUNTED):
+        n = per[low : low + COUNTED]
+        at = np.repeat(np.arange(len(n)) * width, n)
+        at += rows[ends[low] : ends[low + len(n)]]
+        yield np.bincount(at, minlength=len(n) * width).reshape(-1, width).astype(np.float64)
+
+
 def _windows(m: Model, rows: np.ndarray, per: np.ndarray, opens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of all segments: inputs, targets, which targets count, kind.  ``opens``: whether a segment opens its text."""
     first = np.cumsum(per) - per
-    kind = np.argmax(np.add.reduceat(kinds[rows], first, axis=0), axis=1)
+    kind = np.concatenate([np.argmax(c @ kinds, axis=1) for c in _row_counts(rows, per, len(kinds))])
     x, y, place = layout(rows, per, m.start)
     use, of = np.zeros(len(x), np.float32), np.zeros(len(x), np.int64)
     use[place], of[place] = 1, np.repeat(kind, per)
     use[place[first[~opens]]] = 0  # nothing is known before a segment from inside a text
-    strides = len(x) // STRIDE
-    at = (np.arange(1, strides) * STRIDE)[:, None]
-    wx, wy, wu, wk = x[at - CONTEXT + np.arange(WIDTH)], y[at + np.arange(STRIDE)], use[at + np.arange(STRIDE)], of[at[:, 0]]
-    some = wu.any(axis=1)
-    return wx[some], wy[some], wu[some], wk[some]
+    wu = use.reshape(-1, STRIDE)
+    some = np.flatnonzero(wu[1:].any(axis=1)) + 1
+    wx = x[(some * STRIDE - CONTEXT)[:, None] + np.arange(WIDTH)]
+    return wx, y.reshape(-1, STRIDE)[some], wu[some], of[some * STRIDE]
 
 
 def _kind_sums(kinds: np.ndarray, weight: np.ndarray):
@@ -630,12 +692,10 @@ def _kind_sums(kinds: np.ndarray, weight: np.ndarray):
         for batch in sliced(batches, rows=2000):
             if not batch.num_rows:
                 continue
-            r, per = _unpacked(batch.column(0), "<u2")
-            r = r.astype(np.int64)
-            belongs = _softmax(np.add.reduceat(kinds[r], np.cumsum(per) - per, axis=0) + np.log(weight))
-            for j in range(KINDS):
-                total[:, j] += np.bincount(r, np.repeat(belongs[:, j], per), len(kinds))
-            own += belongs.sum(axis=0)
+            for count in _row_counts(*_unpacked(batch.column(0), "<u2"), len(kinds)):
+                belongs = _softmax(count @ kinds + np.log(weight))
+                total += count.T @ belongs
+                own += belongs.sum(axis=0)
         if own.any():
             row, kind = np.divmod(np.arange(total.size + KINDS), KINDS)
             row[-KINDS:] = -1
