@@ -120,3 +120,19 @@ def test_manifest_finds_any_change(spark):
     rows = merkle.manifest(docs, tampered={"text": F.when(F.col("doc_id") == 11, "other").otherwise(F.col("text"))})
     ok = rows.select("doc_id", (merkle.folded(F.col("claim"), F.col("siblings")) == F.col("root")).alias("ok")).collect()
     assert {r.doc_id for r in ok if not r.ok} == {11}
+
+
+def test_manifest_writes_narrow_rows(spark, monkeypatch):
+    """Readers take up thousands of rows at a time, so no written row holds a block or its siblings."""
+    widest = {}
+
+    def written(df, name):
+        out = materialise(df, name)
+        widest[name] = out.selectExpr("max(length(to_json(struct(*)))) AS n").head().n or 0
+        return out
+
+    materialise = merkle.materialise
+    monkeypatch.setattr(merkle, "materialise", written)
+    docs = spark.createDataFrame(_rows(1500), "doc_id long, source string, lang string, n_chars long, text string")
+    assert merkle.verified_manifest(docs).count() == len(_rows(1500))
+    assert max(widest.values()) < 500, widest

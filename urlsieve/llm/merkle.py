@@ -1,10 +1,14 @@
 """Merkle manifest of a dataset, with levels kept as concatenated strings.
 
 Leaves get their place in their group's order by a range sort and counts per range.  ``BLOCK`` consecutive leaves, aligned
-at multiples of it, form a block; the block keeps each of its tree levels as one string of 64-digit nodes.  SQL's
-fixed-width substrings of a level hash its parents, and the substrings that flank a node are its siblings.  The roots of the
-blocks are the leaves of the next round, until one root a group is left; the groups' roots then form a tree of their own.
-A block is a power of two wide, so every run of two nodes lies within one block and no task holds more than a block.
+at multiples of it, form a block; each of its tree levels is one string of 64-digit nodes.  SQL's fixed-width substrings of
+a level hash its parents, and the substrings that flank a node are its siblings.  The roots of the blocks are the leaves of
+the next round, until one root a group is left; the groups' roots then form a tree of their own.  A block is a power of two
+wide, so every run of two nodes lies within one block and no task holds more than a block.
+
+Rounds go up with roots alone, then down again from the top, where each block passes the path above it to its leaves.  Blocks
+are made anew for that and never written: a reader takes up thousands of rows at a time, so written rows are one leaf or one
+root each, without siblings.
 
 A node without a partner is hashed alone, at every level on which its tree still has other nodes.
 
@@ -70,47 +74,59 @@ def folded(leaf: Column, siblings: Column) -> Column:
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``rows`` with column ``at``, the place in the group's order from 0, and written: a range sort gives every row a range
-    number, counts of (group, range) the offsets, and row numbers run inside a range."""
+    """``rows`` with columns ``at``, the place in the group's order from 0, and ``n``, the group's rows, and written: a range
+    sort gives every row a range number, counts of (group, range) the offsets, and row numbers run inside a range."""
     row = "_row"
     rows = materialise(rows.withColumn(row, F.monotonically_increasing_id()), name)  # equal rows are spread by it, too
     ranges = materialise(rows.repartitionByRange(group, *order, row).withColumn("_range", F.spark_partition_id()), name + "-ranges")
     sizes = ranges.groupBy(group, "_range").agg(F.count("*").alias("_n"))
     offsets = sizes.select(F.col(group).alias("_g"), F.col("_range").alias("_r"),
-                           (F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")).alias("_before"))
+                           (F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy(group)).alias("n"))
     inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order, row)) - 1
     numbered = ranges.withColumn("at", inside)
     out = numbered.join(offsets, numbered[group].eqNullSafe(offsets["_g"]) & (numbered["_range"] == offsets["_r"]))
-    return out.withColumn("at", F.col("at") + F.col("_before")).drop(row, "_range", "_g", "_r", "_before")
+    out = out.withColumn("at", F.col("at") + F.col("_before")).drop(row, "_range", "_g", "_r", "_before")
+    return materialise(out, name + "-places")
 
 
-def _blocks(rows: DataFrame, group: str, node: str, keep: list[str]) -> DataFrame:
-    """One row per block: group, block, height, levels, items (place in the block and the columns to keep), root."""
+def _blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per block of the rows (grp, at, n, node): grp, block, n, items (place in the block, node and the columns to
+    keep), height, leaves as one string."""
     block = F.floor(F.col("at") / BLOCK).cast("long").alias("block")
-    item = F.struct(F.pmod(F.col("at"), F.lit(BLOCK)).cast("int").alias("at"), F.col(node).alias("node"), *keep)
-    made = rows.groupBy(F.col(group).alias("grp"), block).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    counts = made.groupBy("grp").agg(F.max("block").alias("top"))  # one row a group
-    made = made.join(counts.withColumnRenamed("grp", "_g"), F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
+    item = F.struct(F.pmod(F.col("at"), F.lit(BLOCK)).cast("int").alias("at"), "node", *keep)
+    made = rows.groupBy("grp", block).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
     needed = F.ceil(F.log2(F.size("items"))).cast("int")
-    made = made.withColumn("height", F.when(F.col("top") > 0, F.lit(DEPTH)).otherwise(needed))
-    leaves = F.array_join(F.transform("items", lambda x: x["node"]), "").cast("binary")
-    made = made.withColumn("levels", _levels(leaves, F.col("height")))
-    return made.withColumn("root", F.element_at("levels", -1).cast("string"))
-
-
-def tree(rows: DataFrame, group: str, node: str, keep: list[str], name: str) -> DataFrame:
-    """(grp, root, items with siblings) per block of the rows' places ``at``; ``root`` is the whole group's."""
-    blocks = materialise(_blocks(rows, group, node, keep), name)
-    with_siblings = F.transform("items", lambda x: F.struct(
-        *(x[c].alias(c) for c in ["at", "node", *keep]), _siblings(F.col("levels"), x["at"], F.col("height")).alias("siblings")))
-    if not blocks.where("block > 0").head(1):
-        return blocks.select("grp", "block", "root", with_siblings.alias("items"))
-    upper = tree(blocks.select("grp", F.col("block").alias("at"), "root"), "grp", "root", [], name + "-roots")
-    upper = upper.select(F.col("grp").alias("_g"), F.col("root").alias("_root"), (F.col("block") * BLOCK).alias("_first"), F.explode("items").alias("_i"))
-    upper = upper.select("_g", "_root", (F.col("_first") + F.col("_i.at")).alias("_b"), F.col("_i.siblings").alias("_up"))
-    out = blocks.join(upper, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")))
-    longer = F.transform(with_siblings, lambda x: x.withField("siblings", F.concat(x["siblings"], F.col("_up"))))
-    return out.select("grp", "block", F.col("_root").alias("root"), longer.alias("items"))
+    made = made.withColumn("height", F.when(F.col("n") > BLOCK, F.lit(DEPTH)).otherwise(needed))
+    return made.withColumn("leaves", F.array_join(F.transform("items", lambda x: x["node"]), "").cast("binary"))
+
+
+def rounds(rows: DataFrame, name: str) -> list[DataFrame]:
+    """``rows`` (grp, at, n, node), the roots of their blocks in the same form, the roots of those, and so on to one row a
+    group."""
+    out = [rows]
+    while len(out) == 1 or out[-1].where("at > 0").head(1):
+        root = F.element_at(_levels(F.col("leaves"), F.col("height")), -1).cast("string")
+        roots = _blocks(out[-1], []).select("grp", F.col("block").alias("at"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), root.alias("node"))
+        out.append(materialise(roots, f"{name}-{len(out)}"))
+    return out
+
+
+def proofs(made: list[DataFrame], above: DataFrame, keep: list[str]) -> DataFrame:
+    """(grp, at, node, siblings, the columns to keep) per row of the first of the rounds ``made``, and the further columns of
+    ``above`` (grp, at, siblings), which holds the path above each row of the last."""
+    extra = [c for c in above.columns if c not in ("grp", "at", "siblings")]
+    for k in range(len(made) - 2, -1, -1):
+        kept = [] if k else keep
+        up = above.select("grp", F.col("at").alias("block"), F.col("siblings").alias("up"), *extra)
+        # Spark sizes ``up`` without its siblings, so it is never left to choose a broadcast
+        blocks = _blocks(made[k], kept).join(up.hint("shuffle_hash"), ["grp", "block"])
+        # the array of one binds the levels: as a column they could be put into the inner function and made for each item
+        items = F.transform(F.array(_levels(F.col("leaves"), F.col("height"))), lambda levels: F.transform("items", lambda x: F.struct(
+            *(x[c].alias(c) for c in ["at", "node", *kept]), F.concat(_siblings(levels, x["at"], F.col("height")), F.col("up")).alias("siblings"))))  # noqa: B023
+        rows = blocks.select("grp", "block", *extra, F.explode(F.element_at(items, 1)).alias("x"))
+        above = rows.select("grp", (F.col("block") * BLOCK + F.col("x.at")).alias("at"), *(f"x.{c}" for c in ["node", *kept, "siblings"]), *extra)
+    return above
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
@@ -124,18 +140,18 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
     changed = F.lit(False)
     for c, value in (tampered or {}).items():
         changed = changed | ~value.eqNullSafe(F.col(c))
-    leaves = docs.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("lang"), leaf.alias("leaf"),
-                         F.when(changed, claim).alias("claim"))
-    places = ranked(leaves, "lang", ["id", "leaf"], "leaves")
-    subtrees = materialise(tree(places, "lang", "leaf", ["id", "claim"], "blocks"), "subtrees")
-    roots = subtrees.select(F.lit(0).alias("all"), F.col("grp").alias("name"), "root").distinct()
-    roots = ranked(roots, "all", ["name"], "subroots")
-    top = tree(roots, "all", "root", ["name"], "top").select(F.col("root").alias("top"), F.explode("items").alias("g"))
-    top = materialise(top.select("top", F.col("g.name").alias("name"), F.col("g.siblings").alias("up")), "top")
-    joined = subtrees.join(top, F.col("grp").eqNullSafe(F.col("name")))
-    rows = joined.select(F.col("root").alias("subroot"), F.col("top").alias("root"), "up", F.explode("items").alias("x"))
-    return rows.select(F.col("x.id").alias(id_col), F.col("x.node").alias("leaf"), "subroot", "root",
-                       F.concat("x.siblings", "up").alias("siblings"), F.coalesce("x.claim", "x.node").alias("claim"))
+    name = F.col(group_col).cast("string")
+    group = F.when(name.isNull(), "").otherwise(F.concat(F.lit("+"), name))  # in the order of names, the null group first
+    leaves = docs.select(F.col(id_col).alias("id"), group.alias("grp"), leaf.alias("node"), F.when(changed, claim).alias("claim"))
+    trees = rounds(ranked(leaves, "grp", ["id", "node"], "leaves"), "blocks")
+    subroots = trees[-1].select(F.col("grp").alias("of"), "node")
+    top = rounds(ranked(subroots.withColumn("grp", F.lit("")), "grp", ["of"], "subroots"), "top")
+    none = F.array().cast("array<struct<node:string,left:boolean>>")
+    above = proofs(top, top[-1].select("grp", "at", none.alias("siblings"), F.col("node").alias("root")), ["of"])
+    above = above.select(F.col("of").alias("grp"), F.lit(0).cast("long").alias("at"), "siblings", "root", F.col("node").alias("subroot"))
+    rows = proofs(trees, above, ["id", "claim"])
+    return rows.select(F.col("id").alias(id_col), F.col("node").alias("leaf"), "subroot", "root", "siblings",
+                       F.coalesce("claim", "node").alias("claim"))
 
 
 def verified_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", every: int = 7) -> DataFrame:
