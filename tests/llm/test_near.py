@@ -1,6 +1,7 @@
 """SimHash groups, decontamination and nearest neighbours against brute force."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -52,6 +53,15 @@ def test_links_connect_a_crowded_family(spark, hot):
     assert len(pairs) == len(set(label)) == len({b for _, b in pairs})
 
 
+def test_links_broadcast_nothing_under_masks(spark, tmp_path):
+    """A written table of fingerprints looks small, while its probes and points are many times its rows."""
+    spark.createDataFrame([(x,) for x in range(200)], "fp long").write.parquet(f"{tmp_path}/prints")
+    links = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[part#\w+(?:, point#\w+)?\], \[[^]]*\], Inner", plan)
+    assert joins == ["SortMergeJoin"] * 2 * simhash.SEGMENTS, plan
+
+
 def test_least_distance_and_matcher():
     r = random.Random(3)
     for _ in range(500):

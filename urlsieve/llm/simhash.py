@@ -93,7 +93,10 @@ def _signed(x: int) -> int:
 
 def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column ``fp``): each within ``distance`` bits, and enough of them
-    that any two fingerprints within ``distance`` are connected."""
+    that any two fingerprints within ``distance`` are connected.
+
+    Spark sizes probes, members and visits as before their masks, many times too small, so their joins are merge joins by
+    hint and never a broadcast."""
     width, radius, near = 64 // segments, distance // segments, distance // 2
     found = None
     for s in range(segments):
@@ -106,7 +109,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
             F.col("part").bitwiseXOR(F.col("mask")).alias("part"), F.bit_count("mask").alias("off"), "probe")
         crowded = table.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", F.lit(True).alias("crowded"))
         crowded = materialise(crowded, "crowded")
-        pairs = table.join(crowded, "part", "left_anti").join(probes, "part").where(
+        pairs = table.join(crowded, "part", "left_anti").join(probes.hint("merge"), "part").where(
             ((F.col("off") > 0) | (F.col("fp") < F.col("probe")))
             & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= distance))
         both = pairs.select(F.col("fp").alias("u"), F.col("probe").alias("v"))
@@ -129,7 +132,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
             "part", "fp", F.col("fp").bitwiseXOR(F.col("mask")).bitwiseAND(F.lit(outside)).alias("point"), F.lit(False).alias("near"))
         met = members.unionByName(visits)
         heads = members.where("near").groupBy("part", "point").agg(F.min("fp").alias("head"))
-        both = both.unionByName(met.join(heads, ["part", "point"]).where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")))
+        met = met.join(heads.hint("merge"), ["part", "point"]).where("fp <> head")
+        both = both.unionByName(met.select(F.col("fp").alias("u"), F.col("head").alias("v")))
         found = both if found is None else found.unionByName(both)
     return found
 
@@ -143,7 +147,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    return prints.join(named.hint("merge"), "fp").select(  # all rows: several times larger in memory than written
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
