@@ -4,6 +4,7 @@ import random
 import re
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,13 +54,35 @@ def test_links_connect_a_crowded_family(spark, hot):
     assert len(pairs) == len(set(label)) == len({b for _, b in pairs})
 
 
+def inner_joins(df, *keys) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"(\w+Join) \[%s\], \[[^]]*\], Inner" % ", ".join(rf"{k}#\w+" for k in keys), plan)
+
+
 def test_links_broadcast_nothing_under_masks(spark, tmp_path):
     """A written table of fingerprints looks small, while its probes and points are many times its rows."""
     spark.createDataFrame([(x,) for x in range(200)], "fp long").write.parquet(f"{tmp_path}/prints")
     links = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
-    plan = links._jdf.queryExecution().executedPlan().toString()
-    joins = re.findall(r"(\w+Join) \[part#\w+(?:, point#\w+)?\], \[[^]]*\], Inner", plan)
-    assert joins == ["SortMergeJoin"] * 2 * simhash.SEGMENTS, plan
+    assert inner_joins(links, "part") == inner_joins(links, "part", "point") == ["SortMergeJoin"] * simhash.SEGMENTS
+
+
+def test_near_copies_of_the_pipeline_broadcast_no_probes_nor_all_rows(spark, monkeypatch):
+    joins, links, groups = [], simhash.links, simhash.near_duplicate_components
+
+    def linked(*args):
+        joins.extend([*inner_joins(links(*args), "part"), *inner_joins(links(*args), "part", "point")])
+        return links(*args)
+
+    def grouped(*args):
+        joins.extend(inner_joins(out := groups(*args), "fp"))
+        return out
+
+    monkeypatch.setattr(simhash, "links", linked)
+    monkeypatch.setattr(simhash, "near_duplicate_components", grouped)
+    docs = spark.createDataFrame([(i, f"text {i // 2} of some words") for i in range(40)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(0, 40, 2))
+    assert joins == ["SortMergeJoin"] * (2 * simhash.SEGMENTS + 1)
 
 
 def test_least_distance_and_matcher():
